@@ -1,6 +1,11 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from . import quality
+from . import ngram_join, quality
 
-QUERIES = {"op3_quality_rules": quality.op3_quality_rules}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op3_quality_rules": quality.op3_quality_rules,
+    "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
+}
+ORACLES: dict[str, str] = {
+    "op10_ngram_jaccard_join": ngram_join.ORACLE,
+}
