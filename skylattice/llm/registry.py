@@ -1,11 +1,19 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from . import ngram_join, quality
+from . import decontaminate, licenses, mixing, ngram_join, quality, sharding, warc
 
 QUERIES = {
+    "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_source_mixing": mixing.op4_source_mixing,
+    "op6_warc_bundles": warc.op6_warc_bundles,
+    "op8_license_scan": licenses.op8_license_scan,
+    "op9_balanced_shards": sharding.op9_balanced_shards,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {
+    "op1_benchmark_decontamination": decontaminate.ORACLE,
+    "op6_warc_bundles": warc.ORACLE,
+    "op8_license_scan": licenses.ORACLE,
     "op10_ngram_jaccard_join": ngram_join.ORACLE,
 }
