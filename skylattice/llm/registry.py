@@ -1,9 +1,10 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from . import decontaminate, licenses, mixing, ngram_join, quality, sharding, warc
+from . import decontaminate, licenses, mixing, ngram_join, quality, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op6_warc_bundles": warc.op6_warc_bundles,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": decontaminate.ORACLE,
+    "op2_substring_dedup": substring_dedup.ORACLE,
     "op6_warc_bundles": warc.ORACLE,
     "op8_license_scan": licenses.ORACLE,
     "op10_ngram_jaccard_join": ngram_join.ORACLE,
