@@ -1,13 +1,15 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from . import decontaminate, licenses, mixing, ngram_join, quality, sharding, substring_dedup, warc
+from . import decontaminate, language_id, licenses, lm_score, mixing, ngram_join, quality, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_source_mixing": mixing.op4_source_mixing,
+    "op5_lm_scoring": lm_score.op5_lm_scoring,
     "op6_warc_bundles": warc.op6_warc_bundles,
+    "op7_language_id": language_id.op7_language_id,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_balanced_shards": sharding.op9_balanced_shards,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
