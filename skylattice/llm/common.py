@@ -43,6 +43,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few short columns that may be broadcast.
+MAX_BROADCAST = 1_000_000
+
+
+def few(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
+    """``df`` with a hint to broadcast it if it has no more than ``most`` rows; else a plain join shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def words_column(text: Column) -> Column:
     """Words of a text as an array; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

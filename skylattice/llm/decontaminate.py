@@ -26,12 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, stage, table
+from .common import few, let, stage, table
 
 SHINGLE = 5
 PERCENT = 80
-#: Rows of codes (16 bytes each) that are broadcast at most.
-MAX_BROADCAST = 1_000_000
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -48,10 +46,6 @@ def shingle_codes(text: Column) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
-
-
 def item_shingles(items: DataFrame) -> DataFrame:
     """(item_id, code, n_item, size_class): the shingles of all items."""
     codes = items.filter("item_id IS NOT NULL").select("item_id", F.explode(F.array_distinct(shingle_codes(F.col("text")))).alias("code")).distinct()
@@ -73,11 +67,11 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFram
     shingles = stage(item_shingles(items.select("item_id", "text")), "item-shingles")
     sketch = sketches(shingles, percent).select("code").distinct()
     found = stage(
-        docs.select("doc_id", F.explode(shingle_codes(F.col("text"))).alias("code")).join(_few(sketch), "code", "left_semi").select("doc_id").distinct(),
+        docs.select("doc_id", F.explode(shingle_codes(F.col("text"))).alias("code")).join(few(sketch), "code", "left_semi").select("doc_id").distinct(),
         "candidates",
     )
-    held = docs.join(_few(found), "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct(shingle_codes(F.col("text")))).alias("code"))
-    shared = held.join(_few(shingles), "code").groupBy("doc_id", "item_id").agg(
+    held = docs.join(few(found), "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct(shingle_codes(F.col("text")))).alias("code"))
+    shared = held.join(few(shingles), "code").groupBy("doc_id", "item_id").agg(
         F.countDistinct("code").alias("n_shared"), F.first("n_item").alias("n_item")
     )
     return shared.filter(100 * F.col("n_shared") >= percent * F.col("n_item")).withColumn("containment", F.col("n_shared") / F.col("n_item"))

@@ -41,13 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, mix, slices, stage, table
+from .common import Words, few, mix, slices, stage, table
 from .components import components
 
 SHINGLE = 3
 PERCENT = 90
 MAX_HEAVY = 1 << 20
-CLASSES = 32
+CLASSES = 256
 #: Members of a group that one task joins; larger groups are dealt out.
 MAX_REGION = 20_000
 #: Members of a first-level region up to which pairs are tested by their class counts.
@@ -97,7 +97,7 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBat
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, sets in _with_sets(batches):
         kinds = np.bincount(sets.row * CLASSES + (sets.codes & np.uint64(CLASSES - 1)).astype(np.int64), minlength=len(sets.n) * CLASSES)
-        kinds = kinds.astype("<i4").reshape(-1, CLASSES)
+        kinds = np.minimum(kinds, 255).astype(np.uint8).reshape(-1, CLASSES)
         yield pa.RecordBatch.from_arrays(
             [part.column("doc_id").cast(pa.int64()), pa.array(sets.n), _signed(sets.sig), pa.array([x.tobytes() for x in kinds], pa.binary())],
             ["doc_id", "n", "sig", "classes"],
@@ -198,7 +198,7 @@ def _similar(percent: int):
             sig, n = t.column("sig").to_numpy(), t.column("n").to_numpy().astype(np.int64)
             cell = np.cumsum(np.concatenate([[0], (code[1:] != code[:-1]) | (chain[1:] != chain[:-1])]))
             size = np.bincount(cell)[cell]
-            kinds = np.frombuffer(b"".join(t.column("classes").to_pylist()), "<i4").reshape(-1, CLASSES)
+            kinds = np.frombuffer(b"".join(t.column("classes").to_pylist()), np.uint8).reshape(-1, CLASSES)
             found_a, found_b = [], []
             whole = np.flatnonzero((size[1:] > MAX_TESTED) & (cell[1:] == cell[:-1]))
             found_a.append(whole), found_b.append(whole + 1)  # too many to test: all of them are one group
@@ -207,10 +207,11 @@ def _similar(percent: int):
                 at = at[at + step < len(n)]
                 at = at[cell[at] == cell[at + step]]
                 at = at[100 * n[at] >= percent * n[at + step]]  # by rising n: once too far, always
-                for part in np.array_split(at, max(1, len(at) // 100_000)):
+                for part in np.array_split(at, max(1, len(at) // 20_000)):
                     other = part + step
                     # |x ^ y| <= (1 - t) / (1 + t) (|x| + |y|), and class counts differ by no more
-                    near = (100 + percent) * np.abs(kinds[part] - kinds[other]).sum(axis=1) <= (100 - percent) * (n[part] + n[other])
+                    apart = np.maximum(kinds[part], kinds[other]) - np.minimum(kinds[part], kinds[other])
+                    near = (100 + percent) * apart.sum(axis=1, dtype=np.int64) <= (100 - percent) * (n[part] + n[other])
                     found_a.append(part[near]), found_b.append(other[near])
                 step += 1
             a, b = np.concatenate(found_a), np.concatenate(found_b)
@@ -284,7 +285,10 @@ def _join_regions(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["region", "part"], 2_000):
             region, part, sig = (t.column(k).to_numpy() for k in ("region", "part", "sig"))
-            sets = [np.frombuffer(x, np.uint64) for x in t.column("codes").to_pylist()]
+            once = np.ones(len(sig), bool)  # copies of a set may have come along
+            once[1:] = (region[1:] != region[:-1]) | (part[1:] != part[:-1]) | (sig[1:] != sig[:-1])
+            region, part, sig = region[once], part[once], sig[once]
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("codes").filter(pa.array(once)).to_pylist()]
             edges = [0, *(np.flatnonzero((region[1:] != region[:-1]) | (part[1:] != part[:-1])) + 1), len(sig)]
             a, b = [], []
             for i, k in zip(edges[:-1], edges[1:], strict=True):
@@ -390,12 +394,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_region: int
     )
 
     firsts = sets.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    wanted = firsts.join(regions.select("sig").distinct(), "sig", "left_semi").select("rep")
-    needed = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    payload = stage(
-        needed.mapInArrow(_payload, "sig long, codes binary").join(regions.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]),
-        "payload",
-    )
+    wanted = stage(firsts.join(regions.select("sig").distinct(), "sig", "left_semi").select("rep"), "wanted")
+    needed = docs.join(few(wanted), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    payload = stage(needed.mapInArrow(_payload, "sig long, codes binary"), "payload")
     links = stage(
         _deal_out(regions, payload, max_region).join(payload, "sig")
         .repartition("region", "part").sortWithinPartitions("region", "part", "sig")
