@@ -1,7 +1,8 @@
 """Every registered query of the library with its SQL."""
 
-from collections.abc import Callable
+from .plans import metric_queries, pixel_queries  # noqa: F401
+from .plans.registry import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "I4"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
