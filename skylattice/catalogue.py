@@ -1,6 +1,6 @@
 """Every registered query of the library with its SQL."""
 
-from .plans import component_queries, metric_queries, pixel_queries  # noqa: F401
+from .plans import catalog_queries, component_queries, metric_queries, pixel_queries  # noqa: F401
 from .plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "I4"
