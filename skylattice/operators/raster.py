@@ -136,3 +136,38 @@ def delta_report(df: DataFrame) -> DataFrame:
         F.round(F.avg("d"), 6).alias("mean"), F.round(F.percentile("d", 0.5), 6).alias("median"), percent(d < 0).alias("decrease_pct"),
         percent(d > 0).alias("increase_pct"), percent(d <= -0.1).alias("strong_decrease_pct"), percent(d >= 0.1).alias("strong_increase_pct"),
     )
+
+
+def overlapping_tiles(df: DataFrame, size: int, stride: int, extent: int, least: float) -> DataFrame:
+    """Tiles of a grid whose tiles may overlap, with the share of valid pixels; a pixel goes to each tile that covers it."""
+
+    def covering(k: str):
+        first = F.greatest(F.ceil((F.col(k) - size + 1) / stride), F.lit(0))
+        last = F.least(F.floor(F.col(k) / stride), F.lit((extent - 1) // stride))
+        return F.transform(F.sequence(first, last), lambda i: (i * stride).cast("int"))
+
+    tops = df.filter("valid").select("scene_id", "x", F.explode(covering("y")).alias("top"))
+    both = tops.select("scene_id", "top", F.explode(covering("x")).alias("left"))
+    share = F.col("n") / float(size * size)
+    starts = F.col("top").isin(_starts(extent, size, stride)) & F.col("left").isin(_starts(extent, size, stride))
+    return both.filter(starts).groupBy("scene_id", "top", "left").agg(F.count("*").alias("n")).filter(share >= least).select("scene_id", "top", "left", F.round(share, 6).alias("valid_fraction"))
+
+
+def _starts(extent: int, size: int, stride: int) -> list[int]:
+    found = [0]
+    while found[-1] + size < extent:
+        found.append(found[-1] + stride)
+    return found
+
+
+def mosaic(patches: DataFrame) -> DataFrame:
+    """Pixels of patches at their place in the scene, with how many patches cover each."""
+    at = patches.select("scene_id", (F.col("top") + F.col("i")).alias("y"), (F.col("left") + F.col("j")).alias("x"), "p")
+    return at.groupBy(*KEY).agg(F.first("p").alias("p"), F.count("*").alias("times"))
+
+
+def mosaic_checks(patches: DataFrame, height: int, width: int) -> DataFrame:
+    """Pixels covered, whether all are, and how many are covered twice."""
+    return mosaic(patches).groupBy("scene_id").agg(
+        F.count("*").alias("covered"), (F.count("*") == height * width).alias("complete"), F.count_if(F.col("times") > 1).alias("overlapping")
+    )

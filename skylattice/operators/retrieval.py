@@ -55,3 +55,34 @@ def vector_checks(batch: DataFrame, index: DataFrame, dimension: int) -> DataFra
         .when(F.size("vector") != dimension, "dimension").when(F.isnan(n) | (n == float("inf")), "not_finite").when(n <= 1e-12, "zero")
     )
     return batch.withColumn("twice", twice).join(known, F.col("tile_id") == F.col("known"), "left").select("tile_id", reason.alias("reason"))
+
+
+def similar_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Inner products of the unit vectors of two tables joined on ``pair``."""
+    one = a.select("pair", F.col("tile_id").alias("tile_1"), vectors.unit(F.col("vector")).alias("u"))
+    two = b.select("pair", F.col("tile_id").alias("tile_2"), vectors.unit(F.col("vector")).alias("v"))
+    return one.join(two, "pair").select("pair", "tile_1", "tile_2", F.round(vectors.cosine(F.col("u"), F.col("v")), 6).alias("similarity"))
+
+
+def clusters(tiles: DataFrame, least: float, min_points: int, blocks: int = 8):
+    """Density clusters by one radius: tiles with ``min_points`` neighbours (themselves included) of similarity
+    ``least`` or more are cores, cores that are neighbours share a cluster, a border tile goes to the
+    smallest core next to it, others are noise (null). Pairs meet in blocks, every pair of blocks once."""
+    from .graph import least_reachable
+
+    unit = tiles.select("tile_id", vectors.unit(F.col("vector")).alias("u")).filter("u IS NOT NULL")
+    block = unit.withColumn("k", F.pmod(F.xxhash64("tile_id"), F.lit(blocks)))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    left = block.withColumn("o", others).select("tile_id", "u", F.col("k").alias("i"), F.col("o").alias("j"))
+    right = block.withColumn("o", others).select(F.col("tile_id").alias("near_id"), F.col("u").alias("v"), F.col("o").alias("i"), F.col("k").alias("j"))
+    near = left.join(right, ["i", "j"]).filter(F.round(vectors.cosine(F.col("u"), F.col("v")), 6) >= least).select("tile_id", "near_id")
+    from ..storage import stage
+
+    near = stage(near, "neighbours")
+    core = near.groupBy("tile_id").count().filter(F.col("count") >= min_points).select("tile_id")
+    core_links = near.join(core, "tile_id", "left_semi").join(core.select(F.col("tile_id").alias("near_id")), "near_id", "left_semi")
+    labels = least_reachable(core_links.select("tile_id", "near_id"), "tile_id", "near_id")
+    first = near.join(core.select(F.col("tile_id").alias("near_id")), "near_id", "left_semi").groupBy("tile_id").agg(F.min("near_id").alias("core_id"))
+    own = first.join(core.withColumn("is_core", F.lit(True)), "tile_id", "left").withColumn("at", F.when(F.col("is_core"), F.col("tile_id")).otherwise(F.col("core_id")))
+    named = own.join(labels.withColumnRenamed("node", "at"), "at", "left").select("tile_id", F.coalesce("label", "at").alias("cluster"))
+    return tiles.select("tile_id").join(named, "tile_id", "left")

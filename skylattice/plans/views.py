@@ -83,9 +83,9 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return read(spark, sf_dir, "events").select(
         F.col("user_id").alias("ledger_id"), F.row_number().over(order).cast("long").alias("seq"), "event_id",
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"), F.upper("event_type").alias("action"), F.col("props").alias("detail"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("stamp"), F.upper("event_type").alias("action"), F.col("props").alias("detail"),
     )
 
 
 LEDGER = """ledger AS (SELECT user_id AS ledger_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id,
-  strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') AS at, upper(event_type) AS action, props AS detail FROM events)"""
+  strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') AS stamp, upper(event_type) AS action, props AS detail FROM events)"""
