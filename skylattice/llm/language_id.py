@@ -35,6 +35,8 @@ EMBED = 8
 PER_LANGUAGE = 1500
 MAX_LANGUAGES = 100
 EPOCHS = 12
+#: Batches that training takes at least; a small sample is gone through more often.
+LEAST_STEPS = 1200
 UNKNOWN = "und"
 
 
@@ -87,11 +89,11 @@ class ByteNetwork:
             out[f"w{w}"], out[f"b{w}"] = weight, d.sum(axis=0)
         return loss, out
 
-    def fit(self, windows: np.ndarray, target: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.004, seed: int = 7) -> float:
+    def fit(self, windows: np.ndarray, target: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.004, seed: int = 7, least_steps: int = LEAST_STEPS) -> float:
         draw, step, loss = np.random.default_rng(seed), 0, 0.0
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-least_steps // -(-len(windows) // batch)))):
             order = draw.permutation(len(windows))
             for a in range(0, len(order), batch):
                 chosen = order[a : a + batch]
