@@ -44,17 +44,21 @@ def append_chain(events: DataFrame) -> DataFrame:
     return columns.groupBy("ledger_id").applyInPandas(run, "ledger_id long, seq long, stamp string, action string, detail string, previous_hash string, event_hash string")
 
 
-@F.pandas_udf("string")
-def _recomputed(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+def _recompute(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
     for previous, seq, stamp, action, detail in parts:
         yield pd.Series([event_hash(*x) for x in zip(previous, seq, stamp, action, detail, strict=True)])
 
 
+def recomputed(*columns: str) -> Column:
+    """Hash of the event that the columns previous_hash, seq, stamp, action and detail hold."""
+    return F.pandas_udf(_recompute, "string")(*columns)
+
+
 def verify_chain(chain: DataFrame) -> DataFrame:
     """Adds ``status``: from the first row that does not fit, all rows of the ledger are broken."""
     order = Window.partitionBy("ledger_id").orderBy("seq")
     expected = F.coalesce(F.lag("event_hash").over(order), F.lit(GENESIS))
-    right = _recomputed("previous_hash", "seq", "stamp", "action", "detail")
+    right = recomputed("previous_hash", "seq", "stamp", "action", "detail")
     rows = chain.withColumn("right_hash", right).withColumn("bad", (F.col("previous_hash") != expected) | (F.col("event_hash") != F.col("right_hash")))
     broken = F.max("bad").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("status", F.when(broken, "broken").otherwise("intact")).drop("right_hash", "bad")

@@ -58,7 +58,7 @@ def d35(spark, sf):
 @query("H5", f"WITH {LEDGER} SELECT event_id, sha256('{{\"action\":' || to_json(action) || ',\"detail\":' || to_json(detail) || ',\"previous_hash\":\"' || repeat('0', 64) || '\",\"seq\":' || seq || ',\"timestamp\":\"' || stamp || '\"}}') AS h FROM ledger")
 def h5(spark, sf):
     rows = views.ledger(spark, sf).withColumn("previous_hash", F.lit(ledger.GENESIS))
-    return rows.select("event_id", ledger._recomputed("previous_hash", "seq", "stamp", "action", "detail").alias("h"))
+    return rows.select("event_id", ledger.recomputed("previous_hash", "seq", "stamp", "action", "detail").alias("h"))
 
 
 _REVIEW = "rv AS (SELECT ledger_id AS candidate_id, seq, CASE action WHEN 'PURCHASE' THEN 'confirmed' WHEN 'ERROR' THEN 'rejected' WHEN 'CLICK' THEN 'flagged' ELSE 'pending' END AS decision FROM ledger)"
