@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, stage, table, words_column
+from .common import SPACE, let, stage, table, words_column
 
 #: Frequent words of each language.
 COMMON_WORDS = {
@@ -192,3 +192,44 @@ def judge(
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+
+
+def _oracle() -> str:
+    listed = sorted({w for ws in COMMON_WORDS.values() for w in ws})
+    words, langs = (", ".join(f"'{w}'" for w in x) for x in (listed, COMMON_WORDS))
+    classes = ", ".join("len(regexp_extract_all(t, '{}'))".format(c.replace("'", "''")) for c in CLASSES)
+
+    def half(a: str, b: str) -> str:
+        return f"coalesce(list_sum(list_transform(list_zip({a}, {b}), lambda z: CASE WHEN z[1] > 0 THEN z[1] * log2(2 * z[1] / (z[1] + z[2])) ELSE 0 END)), 0)"
+
+    def distance(a: str, b: str) -> str:
+        return f"sqrt(greatest(0, ({half(a, b)} + {half(b, a)}) / 2))"
+
+    def mean(column: str, n: int) -> str:
+        return "[" + ", ".join(f"avg({column}[{i}])" for i in range(1, n + 1)) + "]"
+
+    def shares(counts: str, total: str) -> str:
+        return f"list_append(list_transform({counts}, lambda c: c / {total}), greatest(0, 1 - list_sum(list_transform({counts}, lambda c: c / {total}))))"
+
+    n_classes, n_words = len(CLASSES) + 2, len(listed) + 1
+    return f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS k, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i+7], ' '))) AS w FROM d WHERE len(ws) >= 8),
+again AS (SELECT doc_id, k FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + 8)) AS p FROM again) GROUP BY doc_id),
+f AS (SELECT d.doc_id, lang, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '{CONTRACT_SYMBOLS}'))::BIGINT AS n_symbols,
+  (len(list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')))))::BIGINT AS n_dup_lines,
+  coalesce(covered.n, 0)::BIGINT AS n_repeat_words, length(t) AS n_chars, [{classes}, length(t) - length(array_to_string(ws, ''))] AS classes,
+  list_transform([{words}], lambda k: len(list_filter(ws, lambda x: lower(x) = k))) AS common FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id),
+h AS (SELECT *, n_words < {MIN_BASE_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  CASE WHEN n_chars >= {MIN_CHARS} THEN {shares('classes', 'n_chars')} END AS ch, CASE WHEN n_words >= {MIN_WORDS} THEN {shares('common', 'n_words')} END AS wh FROM f),
+r AS (SELECT lang AS ref_lang, {mean('ch', n_classes)} AS cr, {mean('wh', n_words)} AS wr FROM h WHERE NOT base_failed AND n_chars >= {MIN_CHARS} AND n_words >= {MIN_WORDS} AND lang IN ({langs}) GROUP BY lang),
+s AS (SELECT h.doc_id, min(CASE WHEN ch IS NOT NULL THEN {distance('ch', 'cr')} END) AS cd, min(CASE WHEN wh IS NOT NULL THEN {distance('wh', 'wr')} END) AS wd
+  FROM h JOIN r ON h.lang = r.ref_lang OR h.lang IS NULL OR h.lang NOT IN (SELECT ref_lang FROM r) GROUP BY h.doc_id)
+SELECT h.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (coalesce(cd > {CHAR_LIMIT[0]} + {CHAR_LIMIT[1]} / sqrt(n_chars), false) OR coalesce(wd > {WORD_LIMIT[0]} + {WORD_LIMIT[1]} / sqrt(n_words), false)) AS kept
+FROM h LEFT JOIN s ON h.doc_id = s.doc_id
+"""
+
+
+ORACLE = _oracle()

@@ -15,6 +15,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {
+    "op3_quality_rules": quality.ORACLE,
     "op1_benchmark_decontamination": decontaminate.ORACLE,
     "op2_substring_dedup": substring_dedup.ORACLE,
     "op6_warc_bundles": warc.ORACLE,
