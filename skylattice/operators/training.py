@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import with_rank
+
 
 def folds(rows: DataFrame, key: str, k: int, seed: int) -> DataFrame:
-    """Each key in one of ``k`` folds of nearly equal size, by the order of a digest. One row for each location,
-    so the single window partition stays small."""
+    """Each key in one of ``k`` folds of nearly equal size, by the order of a digest."""
     order = F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256)
-    return rows.select(key, ((F.row_number().over(Window.orderBy(order)) - 1) % k).alias("fold"))
+    ranked = with_rank(rows.select(key, order.alias("_digest")), ["_digest"], "_i")
+    return ranked.select(key, ((F.col("_i") - 1) % k).cast("int").alias("fold"))
 
 
 def starts(extent: Column, patch: int, stride: int) -> Column:
@@ -60,7 +62,7 @@ def augment(patches: DataFrame, size: int, choice: Column) -> DataFrame:
 
 def evenly(rows: DataFrame, order: str, n: int) -> DataFrame:
     """``n`` rows evenly spaced by rank, first and last among them."""
-    ranked = rows.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)
+    ranked = with_rank(rows, [order], "_i").withColumn("_i", F.col("_i") - 1)
     total = rows.agg(F.count("*").alias("_n"))
-    spots = total.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor(k * (F.col("_n") - 1) / (n - 1)).cast("int"))).alias("_i")).distinct()
+    spots = total.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor(k * (F.col("_n") - 1) / (n - 1)))).alias("_i")).distinct()
     return ranked.join(F.broadcast(spots), "_i", "left_semi").drop("_i")

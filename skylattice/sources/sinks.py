@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import with_rank
+
 
 def result_rows(rows: DataFrame, order: list[str]) -> DataFrame:
     """Ranked rows as they are exported: places to five digits, day of acquisition."""
-    rank = F.row_number().over(Window.orderBy(*order))
-    return rows.select(
-        rank.alias("rank"), "scene_id", F.round("ymin", 5).alias("lat"), F.round("xmin", 5).alias("lng"), F.date_format("acquired", "yyyy-MM-dd").alias("day")
+    return with_rank(rows, order).select(
+        F.col("rank").cast("int").alias("rank"), "scene_id", F.round("ymin", 5).alias("lat"), F.round("xmin", 5).alias("lng"), F.date_format("acquired", "yyyy-MM-dd").alias("day")
     )
 
 
