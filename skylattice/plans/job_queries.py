@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, pixels
 from ..operators import catalog, change, components, embedding, focal
-from ..sources import arrays, manifests, sinks, stac
+from ..sources import aoi, arrays, manifests, sinks, stac
 from ..storage import new_path
 from ..streaming import jobs
 from . import views
 from .component_queries import T, _JUDGED, _RANK, _judged, _pixels, mask
+from .ledger_queries import _CHAIN
 from .registry import query
 from .views import LEDGER, PX, SCENES, SIDE
 
@@ -199,6 +200,11 @@ def k2_stream(spark, sf):
     return jobs.replay(spark, decisions(spark, sf), new_path(spark, "review"), jobs.review)
 
 
+@query("K3_stream", f"{_CHAIN} SELECT ledger_id, seq, previous_hash, event_hash FROM chain")
+def k3_stream(spark, sf):
+    return jobs.replay(spark, views.ledger(spark, sf).drop("event_id"), new_path(spark, "audit"), jobs.audit)
+
+
 @query("L1")
 def l1(spark, sf):
     pages = views.read(spark, sf, "pages").select("page_id", "url")
@@ -227,3 +233,27 @@ def l7(spark, sf):
     old = s.filter("scene_no % 3 = 0 AND scene_no % 2 = 1").select("scene_id")
     added = catalog.insert_absent(old, items, "scene_id", "acquired")
     return items.agg(F.count("*").alias("found")).join(added.agg(F.count("*").alias("added")))
+
+
+@query("A5", "SELECT c_name AS name, (c_custkey % 300 - 150)::DOUBLE AS west, (c_nationkey - 12)::DOUBLE AS south, (c_custkey % 300 - 148)::DOUBLE AS east, (c_nationkey - 11)::DOUBLE AS north FROM customer")
+def a5(spark, sf):
+    """Areas as landed GeoJSON lines: load, check, bounding box."""
+    x, y = (F.col("c_custkey") % 300 - 150).cast("double"), (F.col("c_nationkey") - 12).cast("double")
+    ring = F.array(*(F.array(x + a, y + b) for a, b in ((0, 0), (2, 0), (2, 1), (0, 1), (0, 0))))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    line = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.col("c_name").alias("name")).alias("properties"), geometry.alias("geometry")))
+    path = _written(views.read(spark, sf, "customer").select(line.alias("value")), "areas", "text")
+    return aoi.load(spark, path, multi_line=False).select("name", aoi.ring_box(F.col("rings")).alias("b")).select("name", "b.*")
+
+
+@query("A11", "SELECT o_custkey::VARCHAR AS im_idx, CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS pair_idx, strftime(o_orderdate, '%Y%m%d') AS date, o_totalprice AS lat FROM orders")
+def a11(spark, sf):
+    """Pair metadata through CSV with a header."""
+    empty = [F.lit(f"x{k}").alias(n) for k, n in enumerate(("time", "system_idx", "city", "city_ascii", "country"))]
+    rows = views.read(spark, sf, "orders").select(
+        F.col("o_custkey").alias("im_idx"), F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b").alias("pair_idx"), F.lit("f.npy").alias("filename"),
+        F.date_format("o_orderdate", "yyyyMMdd").alias("date"), *empty, F.col("o_totalprice").alias("lat"), F.lit(0.0).alias("lng"),
+    )
+    path = new_path(spark, "pairs")
+    rows.write.option("header", True).csv(path)
+    return manifests.read_pairs(spark, path).select("im_idx", "pair_idx", "date", "lat")

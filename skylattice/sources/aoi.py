@@ -15,9 +15,9 @@ def ring_box(rings: Column) -> Column:
     return F.struct(F.array_min(xs).alias("west"), F.array_min(ys).alias("south"), F.array_max(xs).alias("east"), F.array_max(ys).alias("north"))
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """(name, rings): one row for each feature; anything but a Feature with a filled Polygon or MultiPolygon fails."""
-    rows = spark.read.schema(FEATURE).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def load(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(name, rings): one row for each feature (a file each, or a line each without ``multi_line``); anything but a Feature with a filled Polygon or MultiPolygon fails."""
+    rows = spark.read.schema(FEATURE).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
     kind, text = F.col("geometry.type"), F.col("geometry.coordinates")
     one = F.from_json(text, "array<array<array<double>>>")
     many = F.flatten(F.from_json(text, "array<array<array<array<double>>>>"))
