@@ -5,8 +5,8 @@ earlier (smaller doc_id, or the same document and an earlier start); words under
 
 Sharding by content. Each window has a minimizer, the least code among its 6-word runs. Equal windows
 have equal minimizers, so the minimizer decides the shard, and every window is looked up in one shard
-only: the work grows with the text, not with text times shards. Neighbouring windows of one minimizer
-form a segment. Segments whose minimizer no other segment has are done (their windows occur once).
+only: the work grows with the text, not with text times shards. Neighbouring windows around one place of a
+minimizer form a segment, which holds no window twice. Segments whose minimizer no other segment has are done (their windows occur once).
 Segments with the same words are one entry, kept at their earliest place; a later copy is a repeat as a
 whole.
 
@@ -69,11 +69,14 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = np.zeros(len(words.code) - RUN + 1, np.uint64)
         for j in range(RUN):
             runs += words.code[j : j + len(runs)] * common._GRAM[j]
-        least = _sliding_min(mix(runs), WINDOW - RUN + 1)[:n]
+        runs = mix(runs)
+        least = _sliding_min(runs, WINDOW - RUN + 1)[:n]
         at = np.flatnonzero(words.row[:n] == words.row[WINDOW - 1 :])
         least = least[at]
         new = np.ones(len(at), bool)
-        new[1:] = (least[1:] != least[:-1]) | (np.diff(at) != 1) | (words.row[at[1:]] != words.row[at[:-1]])
+        # A segment also ends where its minimizer leaves the window, so that no window is in it twice.
+        left = runs[at[:-1]] == least[:-1]
+        new[1:] = (least[1:] != least[:-1]) | left | (np.diff(at) != 1) | (words.row[at[1:]] != words.row[at[:-1]])
         first = np.flatnonzero(new)
         n_windows = np.diff(np.append(first, len(at)))
         start = at[first]
