@@ -6,7 +6,9 @@ multi-byte UTF-8 character, so splitting bytes and splitting characters agree.
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -80,7 +82,6 @@ _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -92,13 +93,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        n = max(n, 1 << 20)
-        for k, base in enumerate((_BASE, _UNBASE)):
-            steps = np.full(n, base, np.uint64)
+    """Powers of the base and of its inverse, at least ``n``. Functions travel by value and so have globals for each
+    task; the tables are held once for each Python process instead."""
+    held = sys.modules.setdefault("_skylattice_process", types.ModuleType("_skylattice_process"))
+    if len(getattr(held, "powers", [()])[0]) < n:
+        tables = []
+        for base in (_BASE, _UNBASE):
+            steps = np.full(max(n, 1 << 20), base, np.uint64)
             steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers
+            tables.append(np.cumprod(steps, dtype=np.uint64))
+        held.powers = tables
+    return held.powers
 
 
 class Words:
@@ -141,7 +146,7 @@ class Words:
         return at, mix(code[at])
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices of about ``most_bytes`` of text; no row is cut."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -50,7 +50,8 @@ MAX_HEAVY = 1 << 20
 CLASSES = 256
 #: Members of a group that one task joins; larger groups are dealt out.
 MAX_REGION = 20_000
-#: Members of a first-level region up to which pairs are tested by their class counts.
+#: Members of a first-level region up to which one task tests pairs by their class counts; a larger region is a group
+#: as it is, and is dealt out.
 MAX_TESTED = 30_000
 
 
@@ -104,7 +105,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _repeated(batches: Iterator[pa.RecordBatch], flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterator[pa.RecordBatch], flush: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Counts of the shingles that come twice or more in a run of rows; a hint, not a result."""
     held: list[np.ndarray] = []
 
@@ -153,7 +154,7 @@ def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --------------------------------------------------------------------------------- groups in tasks
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], most_rows: int = 50_000) -> Iterator[pa.Table]:
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], most_rows: int = 20_000) -> Iterator[pa.Table]:
     """Tables of whole groups from batches that come sorted by ``keys``."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -197,12 +198,9 @@ def _similar(percent: int):
             code, chain = t.column("code").to_numpy(), t.column("chain").to_numpy()
             sig, n = t.column("sig").to_numpy(), t.column("n").to_numpy().astype(np.int64)
             cell = np.cumsum(np.concatenate([[0], (code[1:] != code[:-1]) | (chain[1:] != chain[:-1])]))
-            size = np.bincount(cell)[cell]
             kinds = np.frombuffer(b"".join(t.column("classes").to_pylist()), np.uint8).reshape(-1, CLASSES)
             found_a, found_b = [], []
-            whole = np.flatnonzero((size[1:] > MAX_TESTED) & (cell[1:] == cell[:-1]))
-            found_a.append(whole), found_b.append(whole + 1)  # too many to test: all of them are one group
-            at, step = np.flatnonzero(size <= MAX_TESTED), 1
+            at, step = np.arange(len(n)), 1
             while len(at):
                 at = at[at + step < len(n)]
                 at = at[cell[at] == cell[at + step]]
@@ -214,7 +212,7 @@ def _similar(percent: int):
                     near = (100 + percent) * apart.sum(axis=1, dtype=np.int64) <= (100 - percent) * (n[part] + n[other])
                     found_a.append(part[near]), found_b.append(other[near])
                 step += 1
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
+            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (found_a, found_b))
             label = _least_labels(len(sig), a, b)
             member = np.unique(np.concatenate([a, b]))
             least = sig.copy()
@@ -355,7 +353,7 @@ def _deal_out(regions: DataFrame, payload: DataFrame, most: int, n_pivots: int =
 # ------------------------------------------------------------------------------------- the join
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_region: int = MAX_REGION) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_region: int = MAX_REGION, max_tested: int = MAX_TESTED) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -384,14 +382,15 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_region: int
     same = cells.groupBy("code", "chain").agg(
         F.count("*").alias("k"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("y")
     )
-    one = same.groupBy("k", "x", "y").agg(F.min(F.struct("code", "chain")).alias("cell")).select("cell.code", "cell.chain")
+    one = stage(same.groupBy("k", "x", "y").agg(F.min(F.struct("code", "chain")).alias("cell")).select("cell.code", "cell.chain", "k"), "distinct-cells")
     classes = sets.dropDuplicates(["sig"]).select("sig", "classes")
-    regions = stage(
-        cells.join(one, ["code", "chain"]).join(classes, "sig")
+    tested = (
+        cells.join(one.filter(F.col("k") <= max_tested).drop("k"), ["code", "chain"]).join(classes, "sig")
         .repartition("code").sortWithinPartitions("code", "chain", "n")
-        .mapInArrow(_similar(percent), "region long, sig long").distinct(),
-        "regions",
+        .mapInArrow(_similar(percent), "region long, sig long").distinct()
     )
+    large = cells.join(one.filter(F.col("k") > max_tested).drop("k"), ["code", "chain"])
+    regions = stage(tested.union(large.select(F.xxhash64("code", "chain").alias("region"), "sig")), "regions")
 
     firsts = sets.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     wanted = stage(firsts.join(regions.select("sig").distinct(), "sig", "left_semi").select("rep"), "wanted")

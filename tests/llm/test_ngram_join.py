@@ -67,6 +67,10 @@ def test_large_groups_are_dealt_out(frame, most):
     assert run(frame(clusters()), max_region=most) == brute(clusters())
 
 
+def test_large_first_regions_are_dealt_out(frame):
+    assert run(frame(clusters()), max_region=8, max_tested=2) == brute(clusters())
+
+
 def test_local_join_is_exact():
     draw = np.random.default_rng(5)
     sets = []
