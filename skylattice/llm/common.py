@@ -6,6 +6,7 @@ multi-byte UTF-8 character, so splitting bytes and splitting characters agree.
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -147,7 +148,9 @@ class Words:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in slices of about ``most_bytes`` of text; no row is cut."""
+    """The rows of ``batches`` in slices of about ``most_bytes`` of text; no row is cut. A reused worker first drops what
+    an earlier task's functions held, and gives Arrow's spare memory back at the end."""
+    gc.collect()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         part = (np.cumsum(sizes) - sizes) // most_bytes
@@ -155,3 +158,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 1 <<
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
