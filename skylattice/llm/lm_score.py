@@ -1,37 +1,60 @@
 """LM scoring: cross-entropy difference of matched bigram models.
 
-Two models, of the target documents and of all documents (the background), share one vocabulary (the most
-frequent words of the corpus, the rest is one unknown word) and one smoothing, so that their losses
-differ only by what the texts hold:
+Two models, of the target documents and of all documents (the background), share one vocabulary (all words
+of the corpus and one unknown word) and one smoothing, so that their losses differ only by what the texts hold:
 
     P(w | v) = 0.7 c(v, w) / c(v) + 0.25 c(w) / N + 0.05 / V
 
 and the first term's share goes to the others where v was never seen. A document's score is the mean
 over its words of -ln P_target(w | v) + ln P_background(w | v): below 0, it is nearer to the target.
 
-Counts cover every word of every document. The vocabulary is bounded by a parameter, hence so are the
-two tables of V * V losses (34 MB at 2,048), which are broadcast; counts before that are aggregated on
-Spark, with a map-side sum in each task.
+Counts cover every word and every pair of words of every document, and grow with the corpus; none passes through
+the driver. Documents are packed into chunks of about ``FLUSH`` words. A chunk sends its distinct pairs, words and
+contexts once each, with what it counts of them, to buckets by 64-bit code; a bucket adds up the chunks' counts and
+sends each chunk the sums of what it asked for, with which the chunk's documents are scored. So a hot word or pair
+is one entry of a chunk, however many documents hold it.
 
 Defined cases: a null or blank text has no words and a null score; without target documents the target
 model is uniform; repeated rows count as often as they come and each get a row; a null doc_id is
-background only; several labels of one document count as its best; other columns are not read.
+background only; several labels of one document count as its best; other columns are not read. With
+``vocabulary``, which is off by default, only that many most frequent words are told apart.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, few, slices, stage, table
+from .common import Words, few, mix, slices, stage, table
 
-VOCABULARY = 2047
 WEIGHTS = (0.7, 0.25, 0.05)
-FLUSH = 4_000_000
+#: Words of a chunk, about; a document is never cut.
+FLUSH = 300_000
+MAX_ROWS = 100_000
+#: Entries that a bucket gets from all chunks, about, once there are more than ``LEAST_BUCKETS`` full ones.
+BUCKET = 2_000_000
+LEAST_BUCKETS = 256
+
+CHUNK = "chunk long, doc_ids array<long>, n_words array<long>, targets array<boolean>, words long, target_words long, codes binary, ids binary"
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """64-bit numbers by byte planes, compressed; most of their high bytes are alike."""
+    return len(x).to_bytes(8, "little") + pa.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    n = int.from_bytes(x[:8], "little")
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(x[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).reshape(-1).view(np.int64)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,110 +73,160 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted()
 
 
-def _numbered(vocabulary):
+def _chunks(vocabulary, most_words: int):
+    """Documents (doc_id, text, target) to chunks: codes of the chunk's distinct words, and the words as indices of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value
+        task, made = TaskContext.get().partitionId(), 0
+        doc_ids, targets, lengths, held = [], [], [], []
+
+        def chunk() -> pa.RecordBatch:
+            codes, ids = np.unique(np.concatenate(held), return_inverse=True)
+            n, target = np.concatenate(lengths), pa.concat_arrays(targets)
+            in_target = int(n[target.to_numpy(zero_copy_only=False)].sum())
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), x) for x in (pa.concat_arrays(doc_ids), pa.array(n), target)]
+            rest = [pa.array([x], pa.int64()) for x in (len(ids), in_target)] + [pa.array([_packed(x)], pa.binary()) for x in (codes, ids.astype(np.int64))]
+            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + made], pa.int64()), *lists, *rest], ["chunk", "doc_ids", "n_words", "targets", "words", "target_words", "codes", "ids"])
+
         for part in slices(batches, "text"):
             words = Words(part.column("text"), lower=True)
-            ids = np.full(len(words.code), len(known), np.uint16)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, words.code), len(known) - 1)
-                ids = np.where(known[at] == words.code, at, len(known)).astype("<u2")
-            n = np.bincount(words.row, minlength=words.n_rows)
-            ends = np.cumsum(n)
-            parts = [ids[b - k : b].tobytes() for b, k in zip(ends, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(parts, pa.binary())], ["doc_id", "n_words", "ids"])
+            code = words.code
+            if vocabulary is not None:
+                code = np.where(np.isin(code, vocabulary.value), code, np.uint64(0))
+            held.append(code)
+            lengths.append(np.bincount(words.row, minlength=words.n_rows))
+            doc_ids.append(part.column("doc_id").cast(pa.int64())), targets.append(part.column("target"))
+            if sum(map(len, held)) >= most_words or sum(map(len, lengths)) >= MAX_ROWS:
+                yield chunk()
+                made += 1
+                doc_ids, targets, lengths, held = [], [], [], []
+        if lengths:
+            yield chunk()
 
     return run
 
 
-def _pairs(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and pair code of each word; before the first word of a row stands the symbol ``size``."""
-    n = batch.column("n_words").to_numpy()
-    ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u2").astype(np.int64)
-    row = np.repeat(np.arange(len(n)), n)
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    before[(np.cumsum(n) - n)[n > 0]] = size
-    return row, before * size + ids
-
-
-def _pair_counts(size: int):
+class Entries:
+    """What a chunk counts: distinct pairs, words and contexts. ``keys`` are their codes in rising order, odd for words
+    only; ``place`` is where the pairs, then the words, then the contexts are in them; before the first word of a document
+    stands one more context. ``pair`` is the pair of each word, ``left`` and ``right`` are the pairs' context and word."""
+
+    def __init__(self, codes: bytes, ids: bytes, n: np.ndarray) -> None:
+        code, self.ids = _unpacked(codes).view(np.uint64), _unpacked(ids)
+        self.size = size = len(code)
+        self.before = np.empty(len(self.ids), np.int64)
+        self.before[1:] = self.ids[:-1]
+        self.before[(np.cumsum(n) - n)[n > 0]] = size
+        pairs, self.pair = np.unique(self.before * max(size, 1) + self.ids, return_inverse=True)
+        self.left, self.right = np.divmod(pairs, max(size, 1))
+        context = mix(np.append(code, np.uint64(1)) + np.uint64(0x9E3779B97F4A7C15))
+        pair = mix(context[self.left] * np.uint64(0xD1342543DE82EF95) + code[self.right])
+        even = np.uint64(0xFFFFFFFFFFFFFFFE)
+        keys = np.concatenate([pair & even, mix(code) | np.uint64(1), context & even])
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.arange(len(order))
+
+    def counts(self, chosen: np.ndarray | None = None) -> np.ndarray:
+        """Counts by key, over the words that ``chosen`` marks."""
+        parts = ((self.pair, len(self.left)), (self.ids, self.size), (self.before, self.size + 1))
+        found = np.concatenate([np.bincount(x if chosen is None else x[chosen], minlength=n) for x, n in parts])
+        out = np.empty(len(found), np.int64)
+        out[self.place] = found
+        return out
+
+
+def _opened(t: pa.RecordBatch | pa.Table, k: int) -> tuple[Entries, np.ndarray]:
+    n = np.array(t.column("n_words")[k].as_py(), np.int64)
+    return Entries(t.column("codes")[k].as_py(), t.column("ids")[k].as_py(), n), n
+
+
+def _asked(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, target, n = np.zeros((size + 1) * size, np.int64), np.zeros((size + 1) * size, np.int64), 0
+        gc.collect()
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                row, pair = _pairs(part, size)
-                is_target = part.column("target").to_numpy(zero_copy_only=False).astype(bool)[row]
-                total += np.bincount(pair, minlength=len(total))
-                target += np.bincount(pair[is_target], minlength=len(total))
-                n += len(pair)
-        if n:
-            seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen]), pa.array(target[seen])], ["pair", "total", "target"])
+            for k in range(batch.num_rows):
+                e, n = _opened(batch, k)
+                total = e.counts()
+                target = e.counts(np.repeat(np.array(batch.column("targets")[k].as_py(), bool), n))
+                bucket = ((e.keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)]
+                spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+                keys = [_packed(np.diff(e.keys[a:b], prepend=np.uint64(0))) for a, b in spans]
+                counts = [_packed(np.concatenate([total[a:b], target[a:b]])) for a, b in spans]
+                first = bucket[cuts[:-1]].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(len(first), batch.column("chunk")[k].as_py())), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "chunk", "keys", "counts"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def losses(counts: np.ndarray, weights: tuple[float, float, float] = WEIGHTS) -> np.ndarray:
-    """-ln P(w | v) for a table of counts c(v, w), v by rows (the last row stands before first words)."""
-    size = counts.shape[1]
-    of_word, of_context = counts.sum(axis=0), counts.sum(axis=1)
-    rest = np.full(size, 1.0 / size)
-    if of_word.sum():
+def _answered(t: pa.Table) -> pa.Table:
+    """One bucket: to each chunk the sums over all chunks of what it asked for, and once how many words the bucket has."""
+    held = [np.cumsum(_unpacked(x).view(np.uint64)) for x in t.column("keys").to_pylist()]
+    counts = np.concatenate([_unpacked(x).reshape(2, -1) for x in t.column("counts").to_pylist()], axis=1)
+    known, at = np.unique(np.concatenate(held), return_inverse=True)
+    sums = np.zeros((2, len(known)), np.int64)
+    for k in range(2):
+        np.add.at(sums[k], at, counts[k])
+    ends = np.cumsum([len(x) for x in held])
+    answers = [_packed(sums[:, x].reshape(-1)) for x in np.split(at, ends[:-1])]
+    words = np.zeros(t.num_rows, np.int64)
+    words[0] = int((known & np.uint64(1)).sum())
+    return pa.Table.from_arrays([t.column("chunk"), t.column("bucket"), pa.array(words), pa.array(answers, pa.binary())], ["chunk", "bucket", "words", "counts"])
+
+
+def losses(pair: np.ndarray, word: np.ndarray, context: np.ndarray, n: int, size: int, weights: tuple[float, float, float] = WEIGHTS) -> np.ndarray:
+    """-ln P(w | v) from c(v, w), c(w) and c(v) of each pair, ``n`` words in all and ``size`` symbols."""
+    rest = np.full(len(pair), 1.0 / size)
+    if n:
         share = weights[1] / (weights[1] + weights[2])
-        rest = share * of_word / of_word.sum() + (1 - share) / size
-    out = np.empty(counts.shape, np.float32)
-    for v in range(counts.shape[0]):
-        p = weights[0] * counts[v] / of_context[v] + (1 - weights[0]) * rest if of_context[v] else rest
-        out[v] = -np.log(p)
-    return out
-
-
-def _scores(tables, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background = (t.reshape(-1) for t in tables.value)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                row, pair = _pairs(part, size)
-                n = part.column("n_words").to_numpy()
-                some = np.maximum(n, 1)
-                h = [np.bincount(row, weights=t[pair], minlength=len(n)) / some for t in (target, background)]
-                empty = n == 0
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("n_words"), *(pa.array(x, mask=empty) for x in (h[0], h[1], h[0] - h[1]))],
-                    ["doc_id", "n_words", "target_loss", "background_loss", "score"],
-                )
+        rest = share * word / n + (1 - share) / size
+    return -np.log(np.where(context > 0, weights[0] * pair / np.maximum(context, 1) + (1 - weights[0]) * rest, rest))
+
+
+def _scores(totals: tuple[int, int], size: int):
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        e, n = _opened(chunk, 0)
+        answers = answers.sort_by("bucket")
+        row, some, empty = np.repeat(np.arange(len(n)), n), np.maximum(n, 1), n == 0
+        sums = np.concatenate([np.zeros((2, 0), np.int64), *(_unpacked(x).reshape(2, -1) for x in answers.column("counts").to_pylist())], axis=1)
+        h = []
+        for count, total in zip(sums[::-1, e.place], totals, strict=True):
+            pair, word, context = np.split(count, [len(e.left), len(e.left) + e.size])
+            loss = losses(pair, word[e.right], context[e.left], total, size)
+            h.append(np.bincount(row, weights=loss[e.pair], minlength=len(n)) / some)
+        return pa.Table.from_arrays(
+            [chunk.column("doc_ids").combine_chunks().flatten(), pa.array(n), *(pa.array(x, mask=empty) for x in (h[0], h[1], h[0] - h[1]))],
+            ["doc_id", "n_words", "target_loss", "background_loss", "score"],
+        )
 
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocabulary: int | None = None, chunk_words: int = FLUSH) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score) of each row of ``docs`` (doc_id, text);
     ``target`` has the doc_id of the documents of the target."""
-    context = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    top = (
-        docs.mapInArrow(_word_counts, "code long, count long").groupBy("code").agg(F.sum("count").alias("count"))
-        .orderBy(F.desc("count"), "code").limit(vocabulary).toArrow()
-    )
-    known = context.broadcast(np.sort(top.column("code").to_numpy().view(np.uint64)))
-    size = len(known.value) + 1
-    rows = stage(docs.mapInArrow(_numbered(known), "doc_id long, n_words long, ids binary"), "word-ids")
+    known = None
+    if vocabulary is not None:
+        top = (
+            docs.mapInArrow(_word_counts, "code long, count long").groupBy("code").agg(F.sum("count").alias("count"))
+            .orderBy(F.desc("count"), "code").limit(vocabulary).toArrow()
+        )
+        known = docs.sparkSession.sparkContext.broadcast(top.column("code").to_numpy().view(np.uint64))
     chosen = stage(target.select(F.col("doc_id").alias("target_id")).distinct(), "target")
-    marked = rows.join(few(chosen), F.col("doc_id") == F.col("target_id"), "left")
-    counts = (
-        marked.select("n_words", "ids", F.col("target_id").isNotNull().alias("target"))
-        .mapInArrow(_pair_counts(size), "pair long, total long, target long").groupBy("pair").agg(F.sum("total").alias("total"), F.sum("target").alias("target")).toArrow()
-    )
-    tables = []
-    for which in ("target", "total"):
-        dense = np.zeros((size + 1) * size)
-        dense[counts.column("pair").to_numpy()] = counts.column(which).to_numpy()
-        tables.append(losses(dense.reshape(size + 1, size)))
-    return rows.mapInArrow(_scores(context.broadcast(tables), size), "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    marked = docs.join(few(chosen), F.col("doc_id") == F.col("target_id"), "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("target"))
+    chunks = stage(marked.mapInArrow(_chunks(known, chunk_words), CHUNK), "chunks")
+    n, n_target = chunks.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("target_words"), F.lit(0))).first()
+    buckets = max(min(LEAST_BUCKETS, 1 + n // 1000), n // BUCKET)
+    asked = chunks.select("chunk", "n_words", "targets", "codes", "ids").mapInArrow(_asked(buckets), "bucket long, chunk long, keys binary, counts binary")
+    answers = stage(asked.groupBy("bucket").applyInArrow(_answered, "chunk long, bucket long, words long, counts binary"), "answers")
+    size = 1 + (len(known.value) if known is not None else answers.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0])
+    return chunks.select("chunk", "doc_ids", "n_words", "codes", "ids").groupBy("chunk").cogroup(answers.drop("words").groupBy("chunk")).applyInArrow(
+        _scores((n_target, n), size), "doc_id long, n_words long, target_loss double, background_loss double, score double"
+    )
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,6 +156,17 @@ def test_lm_scores(frame, spark):
         assert found[r[0]] is None if want is None else found[r[0]] == pytest.approx(want, abs=1e-4)
 
 
+def test_lm_scores_tell_all_words_apart(frame, spark):
+    """More words than the former bound of 2,047; chunks of few words, so that counts of many chunks are added up."""
+    rows = [(k, " ".join(prose(k, 120, 3000)), "en", "a") for k in range(80)] + [(90, None, "en", "a")]
+    target = spark.createDataFrame([(k,) for k in range(0, 80, 3)], "doc_id long")
+    n = len({w for r in rows for w in (r[1] or "").split()})
+    assert n > 2500
+    found = {r["doc_id"]: r["score"] for r in lm_score.cross_entropy_difference(frame(rows), target, chunk_words=1).collect()}
+    for r, want in zip(rows, brute_scores(rows, set(range(0, 80, 3)), n), strict=True):
+        assert found[r[0]] is None if want is None else found[r[0]] == pytest.approx(want, abs=1e-6)
+
+
 def test_lm_odd_rows(frame, spark, odd_docs):
     none = spark.createDataFrame([], "doc_id long")
     assert lm_score.cross_entropy_difference(frame(odd_docs), none).count() == len(odd_docs)
