@@ -32,8 +32,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of linked documents."""
-    return _without(docs, jaccard_components(docs).filter("doc_id <> component_id"))
+    """The document with the smallest doc_id of each group of linked documents: 0.8 of the five-word shingles."""
+    return _without(docs, jaccard_components(docs, percent=80, width=5).filter("doc_id <> component_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

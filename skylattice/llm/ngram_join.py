@@ -1,7 +1,8 @@
 """N-gram Jaccard join in the Jaccard metric space: pivots, Voronoi regions, recursion, exact links.
 
 A document is the set of its distinct 3-word shingles; d(x, y) = 1 - |x & y| / |x | y| is a metric.
-Two documents link when d <= 1 - 0.9.
+Two documents link when d <= 1 - 0.9. Callers may ask for another width and another share; the figures
+below are those of 3 words and 0.9.
 
 First level. The pivots are the one-shingle sets {s}. A document's nearest pivots are the shingles
 that it holds (all at distance 1 - 1/n), and ties go to the rarer, then to the smaller code, so that
@@ -90,43 +91,50 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Sets]]:
+def _with_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, Sets]]:
     for part in slices(batches, "text"):
-        yield part, Sets(part.column("text"))
+        yield part, Sets(part.column("text"), width)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, sets in _with_sets(batches):
-        kinds = np.bincount(sets.row * CLASSES + (sets.codes & np.uint64(CLASSES - 1)).astype(np.int64), minlength=len(sets.n) * CLASSES)
-        kinds = np.minimum(kinds, 255).astype(np.uint8).reshape(-1, CLASSES)
-        yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id").cast(pa.int64()), pa.array(sets.n), _signed(sets.sig), pa.array([x.tobytes() for x in kinds], pa.binary())],
-            ["doc_id", "n", "sig", "classes"],
-        )
+def _signatures(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _with_sets(batches, width):
+            kinds = np.bincount(sets.row * CLASSES + (sets.codes & np.uint64(CLASSES - 1)).astype(np.int64), minlength=len(sets.n) * CLASSES)
+            kinds = np.minimum(kinds, 255).astype(np.uint8).reshape(-1, CLASSES)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").cast(pa.int64()), pa.array(sets.n), _signed(sets.sig), pa.array([x.tobytes() for x in kinds], pa.binary())],
+                ["doc_id", "n", "sig", "classes"],
+            )
 
+    return run
 
-def _repeated(batches: Iterator[pa.RecordBatch], flush: int = 1_500_000) -> Iterator[pa.RecordBatch]:
-    """Counts of the shingles that come twice or more in a run of rows; a hint, not a result."""
-    held: list[np.ndarray] = []
 
-    def counted() -> pa.RecordBatch:
-        codes, count = np.unique(np.concatenate(held), return_counts=True)
-        many = count > 1
-        return pa.RecordBatch.from_arrays([_signed(codes[many]), pa.array(count[many])], ["code", "count"])
+def _repeated(width: int, flush: int = 1_500_000):
+    """Counts of the shingles that come twice or more in a run of rows; a hint, not a result."""
 
-    for _, sets in _with_sets(batches):
-        held.append(sets.codes)
-        if sum(map(len, held)) > flush:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            codes, count = np.unique(np.concatenate(held), return_counts=True)
+            many = count > 1
+            return pa.RecordBatch.from_arrays([_signed(codes[many]), pa.array(count[many])], ["code", "count"])
+
+        for _, sets in _with_sets(batches, width):
+            held.append(sets.codes)
+            if sum(map(len, held)) > flush:
+                yield counted()
+                held = []
+        if held:
             yield counted()
-            held = []
-    if held:
-        yield counted()
 
+    return run
 
-def _prefixes(heavy, percent: int):
+
+def _prefixes(heavy, percent: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = heavy.value
-        for _, sets in _with_sets(batches):
+        for _, sets in _with_sets(batches, width):
             weight = np.zeros(len(sets.codes), np.int64)
             if len(codes):
                 at = np.minimum(np.searchsorted(codes, sets.codes), len(codes) - 1)
@@ -145,10 +153,13 @@ def _prefixes(heavy, percent: int):
     return run
 
 
-def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, sets in _with_sets(batches):
-        parts = [sets.codes[a : a + k].tobytes() for a, k in zip(sets.first, sets.n, strict=True)]
-        yield pa.RecordBatch.from_arrays([_signed(sets.sig), pa.array(parts, pa.binary())], ["sig", "codes"])
+def _payload(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _with_sets(batches, width):
+            parts = [sets.codes[a : a + k].tobytes() for a, k in zip(sets.first, sets.n, strict=True)]
+            yield pa.RecordBatch.from_arrays([_signed(sets.sig), pa.array(parts, pa.binary())], ["sig", "codes"])
+
+    return run
 
 
 # --------------------------------------------------------------------------------- groups in tasks
@@ -300,24 +311,28 @@ def _join_regions(percent: int):
 # ------------------------------------------------------------------------------ groups too large
 
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _distances(percent: int):
     """Member and pivots of its region to the pivots in whose regions it must be."""
-    eps = 1 - PERCENT / 100
-    for batch in batches:
-        out: dict[str, list] = {"region": [], "sig": [], "part": []}
-        for region, sig, mine, pivots in zip(*(batch.column(k).to_pylist() for k in ("region", "sig", "codes", "pivots")), strict=True):
-            mine = np.frombuffer(mine, np.uint64)
-            d = []
-            for p in pivots:
-                p = np.frombuffer(p, np.uint64)
-                inner = len(np.intersect1d(mine, p, assume_unique=True))
-                d.append(1 - inner / (len(mine) + len(p) - inner))
-            for k in np.flatnonzero(np.array(d) <= min(d) + 2 * eps + 1e-9):
-                out["region"].append(region), out["sig"].append(sig), out["part"].append(int(k) + 1)
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("region", pa.int64()), ("sig", pa.int64()), ("part", pa.int64())]))
-
-
-def _deal_out(regions: DataFrame, payload: DataFrame, most: int, n_pivots: int = 32) -> DataFrame:
+    eps = 1 - percent / 100
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"region": [], "sig": [], "part": []}
+            for region, sig, mine, pivots in zip(*(batch.column(k).to_pylist() for k in ("region", "sig", "codes", "pivots")), strict=True):
+                mine = np.frombuffer(mine, np.uint64)
+                d = []
+                for p in pivots:
+                    p = np.frombuffer(p, np.uint64)
+                    inner = len(np.intersect1d(mine, p, assume_unique=True))
+                    d.append(1 - inner / (len(mine) + len(p) - inner))
+                for k in np.flatnonzero(np.array(d) <= min(d) + 2 * eps + 1e-9):
+                    out["region"].append(region), out["sig"].append(sig), out["part"].append(int(k) + 1)
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("region", pa.int64()), ("sig", pa.int64()), ("part", pa.int64())]))
+
+    return run
+
+
+def _deal_out(regions: DataFrame, payload: DataFrame, most: int, percent: int, n_pivots: int = 32) -> DataFrame:
     """(region, part, sig) with no part above ``most`` members: Voronoi regions with their boundary
     documents for large groups, then pairs of blocks for what those do not divide."""
     sizes = regions.groupBy("region").count()
@@ -332,7 +347,7 @@ def _deal_out(regions: DataFrame, payload: DataFrame, most: int, n_pivots: int =
     )
     dealt = stage(
         inside.join(payload, "sig").join(pivots, "region").select("region", "sig", "codes", "pivots")
-        .mapInArrow(_distances, "region long, sig long, part long"),
+        .mapInArrow(_distances(percent), "region long, sig long, part long"),
         "voronoi",
     )
     still = dealt.groupBy("region", "part").count().withColumn("blocks", F.ceil(2 * F.col("count") / most)).filter(F.col("count") > most)
@@ -353,14 +368,14 @@ def _deal_out(regions: DataFrame, payload: DataFrame, most: int, n_pivots: int =
 # ------------------------------------------------------------------------------------- the join
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_region: int = MAX_REGION, max_tested: int = MAX_TESTED) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_region: int = MAX_REGION, max_tested: int = MAX_TESTED, width: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stage(docs.mapInArrow(_signatures, "doc_id long, n long, sig long, classes binary"), "sets")
+    sets = stage(docs.mapInArrow(_signatures(width), "doc_id long, n long, sig long, classes binary"), "sets")
 
     total = sets.agg(F.sum("n")).first()[0] or 0
-    counts = docs.select("doc_id", "text").mapInArrow(_repeated, "code long, count long").groupBy("code").agg(F.sum("count").alias("count"))
+    counts = docs.select("doc_id", "text").mapInArrow(_repeated(width), "code long, count long").groupBy("code").agg(F.sum("count").alias("count"))
     heavy = counts.filter(F.col("count") >= max(8, total // MAX_HEAVY)).orderBy(F.desc("count")).limit(MAX_HEAVY).toArrow()
     codes, count = heavy.column("code").to_numpy().view(np.uint64), heavy.column("count").to_numpy()
     order = np.argsort(codes)
@@ -371,7 +386,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_region: int
     begins = before.isNull() | (100 * before < percent * F.col("n"))
     ends = after.isNull() | (100 * F.col("n") < percent * after)
     cells = stage(
-        docs.mapInArrow(_prefixes(known, percent), "code long, sig long, n int")
+        docs.mapInArrow(_prefixes(known, percent, width), "code long, sig long, n int")
         .repartition("code").dropDuplicates(["code", "sig"])
         .withColumn("begins", begins).withColumn("ends", ends)
         .withColumn("chain", F.sum(F.col("begins").cast("int")).over(by_n))
@@ -395,9 +410,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_region: int
     firsts = sets.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     wanted = stage(firsts.join(regions.select("sig").distinct(), "sig", "left_semi").select("rep"), "wanted")
     needed = docs.join(few(wanted), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    payload = stage(needed.mapInArrow(_payload, "sig long, codes binary"), "payload")
+    payload = stage(needed.mapInArrow(_payload(width), "sig long, codes binary"), "payload")
     links = stage(
-        _deal_out(regions, payload, max_region).join(payload, "sig")
+        _deal_out(regions, payload, max_region, percent).join(payload, "sig")
         .repartition("region", "part").sortWithinPartitions("region", "part", "sig")
         .select("region", "part", "sig", "codes").mapInArrow(_join_regions(percent), "a long, b long").distinct(),
         "set-links",

@@ -98,3 +98,29 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(200, 201), (None, 3), (7, 7)], "a long, b long")
     found = dict(components(links).collect())
     assert found == dict.fromkeys(range(61), 0) | {200: 200, 201: 200}
+
+
+def test_five_words_and_eighty_percent_dealt_out(frame):
+    """Links at 80 in groups that are dealt out."""
+    rows = clusters()
+    sets = {r[0]: (lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)})(r[1].split()) for r in rows}
+    least = {k: k for k in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+        if all(least[least[k]] == least[k] for k in least):
+            break
+    want = sorted((k, len(sets[k]), least[k]) for k in sets)
+    for how in ({}, {"max_region": 6, "max_tested": 4}):
+        assert sorted(run(frame(rows), percent=80, width=5, **how)) == want
+
+
+def test_pipeline_stage_takes_five_words_and_eighty_percent(spark, frame):
+    import corpus_pipeline
+
+    base = prose(400, 54)
+    changed = base[:27] + ["other"] + base[28:]
+    rows = [(1, " ".join(base), "en", "a"), (2, " ".join(changed), "en", "a"), (3, " ".join(prose(401, 54)), "en", "a")]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame(rows), "").collect()) == [1, 3]
