@@ -201,8 +201,19 @@ def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least labels after the pairs (a, b) are linked too; ``label`` has the least member of each group so far."""
+    if not len(a):
+        return label
+    least, at = np.unique(np.concatenate([label[a], label[b]]), return_inverse=True)
+    new = np.arange(len(label))
+    new[least] = least[_least_labels(len(least), at[: len(a)], at[len(a) :])]
+    return new[label]
+
+
 def _similar(percent: int):
-    """First-level regions (sorted by code, chain, n) to groups of members that may link."""
+    """First-level regions (sorted by code, chain, n) to groups of members that may link. Pairs join the labels
+    as they are found and are not kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["code", "chain"]):
@@ -210,22 +221,21 @@ def _similar(percent: int):
             sig, n = t.column("sig").to_numpy(), t.column("n").to_numpy().astype(np.int64)
             cell = np.cumsum(np.concatenate([[0], (code[1:] != code[:-1]) | (chain[1:] != chain[:-1])]))
             kinds = np.frombuffer(b"".join(t.column("classes").to_pylist()), np.uint8).reshape(-1, CLASSES)
-            found_a, found_b = [], []
+            label = np.arange(len(n))
             at, step = np.arange(len(n)), 1
             while len(at):
                 at = at[at + step < len(n)]
                 at = at[cell[at] == cell[at + step]]
                 at = at[100 * n[at] >= percent * n[at + step]]  # by rising n: once too far, always
                 for part in np.array_split(at, max(1, len(at) // 20_000)):
+                    part = part[label[part] != label[part + step]]  # those of one group need no test
                     other = part + step
                     # |x ^ y| <= (1 - t) / (1 + t) (|x| + |y|), and class counts differ by no more
                     apart = np.maximum(kinds[part], kinds[other]) - np.minimum(kinds[part], kinds[other])
                     near = (100 + percent) * apart.sum(axis=1, dtype=np.int64) <= (100 - percent) * (n[part] + n[other])
-                    found_a.append(part[near]), found_b.append(other[near])
+                    label = _joined(label, part[near], other[near])
                 step += 1
-            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (found_a, found_b))
-            label = _least_labels(len(sig), a, b)
-            member = np.unique(np.concatenate([a, b]))
+            member = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
             least = sig.copy()
             np.minimum.at(least, label[member], sig[member])
             yield pa.RecordBatch.from_arrays([pa.array(least[label[member]]), pa.array(sig[member])], ["region", "sig"])

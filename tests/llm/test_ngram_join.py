@@ -1,6 +1,8 @@
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skylattice.llm import ngram_join
@@ -124,3 +126,30 @@ def test_pipeline_stage_takes_five_words_and_eighty_percent(spark, frame):
     changed = base[:27] + ["other"] + base[28:]
     rows = [(1, " ".join(base), "en", "a"), (2, " ".join(changed), "en", "a"), (3, " ".join(prose(401, 54)), "en", "a")]
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame(rows), "").collect()) == [1, 3]
+
+
+def test_first_level_keeps_members_and_no_pairs():
+    """3,000 near copies are 4.5 million pairs, 72 MB of indices."""
+    n = 3000
+    kinds = np.ones(ngram_join.CLASSES, np.uint8).tobytes()
+    alone = np.full(ngram_join.CLASSES, 9, np.uint8).tobytes()
+    batch = pa.RecordBatch.from_pydict(
+        {"code": [7] * (n + 1), "chain": [1] * (n + 1), "sig": list(range(n + 1)), "n": [256] * (n + 1), "classes": [kinds] * n + [alone]},
+        pa.schema([("code", pa.int64()), ("chain", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("classes", pa.binary())]),
+    )
+    tracemalloc.start()
+    (found,) = ngram_join._similar(90)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.column("sig").to_pylist() == list(range(n)) and set(found.column("region").to_pylist()) == {0}
+    assert peak < 30e6
+
+
+def test_labels_join_as_pairs_come():
+    draw = np.random.default_rng(3)
+    for _ in range(30):
+        a, b = draw.integers(0, 60, (2, 45))
+        label = np.arange(60)
+        for k in range(0, 45, 5):
+            label = ngram_join._joined(label, a[k : k + 5], b[k : k + 5])
+        assert (label == ngram_join._least_labels(60, a, b)).all()
