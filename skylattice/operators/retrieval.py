@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 
-#: Queries that are broadcast at most; more of them meet the vectors in blocks.
+#: Queries that are broadcast at most; more of them meet the vectors partition by partition.
 MAX_QUERIES = 4096
 
 
@@ -17,23 +17,23 @@ def usable(rows: DataFrame, vector: str, dimension: int) -> DataFrame:
     return rows.withColumn("usable", F.coalesce((F.size(vector) == dimension) & n.between(1 - 1e-5, 1 + 1e-5), F.lit(False)))
 
 
-def top_k(tiles: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, tile_id, score, rank) of the k best tiles of each query; ties by tile_id. A stated, small set of
-    queries is broadcast; each partition keeps its own best k before the shuffle."""
+def _asked(queries: DataFrame) -> DataFrame:
     asked = queries.select("query_id", vectors.unit(F.col("query")).alias("query"))
-    n = asked.count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"{n} queries; send them in blocks of {MAX_QUERIES}")
+    return F.broadcast(asked) if asked.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES else asked
+
+
+def top_k(tiles: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, tile_id, score, rank) of the k best tiles of each query; ties by tile_id. A small set of
+    queries is broadcast, a larger one is crossed with the tiles; each partition keeps its own best k before the shuffle."""
     held = tiles.withColumn("unit", vectors.unit(F.col("vector"))).filter("unit IS NOT NULL")
-    scored = held.join(F.broadcast(asked)).withColumn("score", F.round(vectors.cosine(F.col("unit"), F.col("query")), 6))
+    scored = held.crossJoin(_asked(queries)).withColumn("score", F.round(vectors.cosine(F.col("unit"), F.col("query")), 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "tile_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("unit", "query", "vector")
 
 
 def per_sensor(tiles: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The best k of each sensor, merged to the best k of each query."""
-    asked = queries.select("query_id", vectors.unit(F.col("query")).alias("query"))
-    scored = tiles.withColumn("unit", vectors.unit(F.col("vector"))).join(F.broadcast(asked)).withColumn("score", F.round(vectors.cosine(F.col("unit"), F.col("query")), 6))
+    scored = tiles.withColumn("unit", vectors.unit(F.col("vector"))).crossJoin(_asked(queries)).withColumn("score", F.round(vectors.cosine(F.col("unit"), F.col("query")), 6))
     inner = Window.partitionBy("query_id", "sensor").orderBy(F.desc("score"), "tile_id")
     outer = Window.partitionBy("query_id").orderBy(F.desc("score"), "tile_id")
     best = scored.withColumn("i", F.row_number().over(inner)).filter(F.col("i") <= k).drop("i", "unit", "query", "vector")

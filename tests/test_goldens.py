@@ -241,3 +241,13 @@ def test_resampling(spark):
     half = {(r["y"], r["x"]): r["value"] for r in raster.average_down(px, 2, "value").collect()}
     assert half == {(0, 0): 2.5, (0, 1): 4.5, (1, 0): 10.5, (1, 1): 12.5}
     assert math.isclose(sum(half.values()) / 4, 7.5)
+
+
+def test_more_queries_than_are_broadcast(spark, monkeypatch):
+    tiles = spark.createDataFrame([(f"t{k}", "ab"[k % 2], [float(k % 5 + 1), float(k % 7), 1.0]) for k in range(30)], "tile_id string, sensor string, vector array<double>")
+    queries = tiles.limit(9).selectExpr("tile_id AS query_id", "vector AS query")
+    for search in (retrieval.top_k, retrieval.per_sensor):
+        monkeypatch.setattr(retrieval, "MAX_QUERIES", 4096)
+        want = sorted(map(tuple, search(tiles, queries, 4).select("query_id", "tile_id", "score", "rank").collect()))
+        monkeypatch.setattr(retrieval, "MAX_QUERIES", 2)
+        assert sorted(map(tuple, search(tiles, queries, 4).select("query_id", "tile_id", "score", "rank").collect())) == want and len(want) == 36
