@@ -9,15 +9,15 @@ and the first term's share goes to the others where v was never seen. A document
 over its words of -ln P_target(w | v) + ln P_background(w | v): below 0, it is nearer to the target.
 
 Counts cover every word and every pair of words of every document, and grow with the corpus; none passes through
-the driver. Documents are packed into chunks of about ``FLUSH`` words. A chunk sends its distinct pairs, words and
-contexts once each, with what it counts of them, to buckets by 64-bit code; a bucket adds up the chunks' counts and
-sends each chunk the sums of what it asked for, with which the chunk's documents are scored. So a hot word or pair
-is one entry of a chunk, however many documents hold it.
+the driver, and no word is left out. Documents are packed into chunks of about ``FLUSH`` words. A chunk sends its
+distinct pairs and words once each, with what it counts of them, to buckets by 64-bit code; a word carries how often
+it comes and how often a word follows it. A bucket adds up the chunks' counts and sends each chunk what the other
+chunks add to its own (nothing, for most), with which the chunk's documents are scored. So a hot word or pair is one
+entry of a chunk, however many documents hold it.
 
 Defined cases: a null or blank text has no words and a null score; without target documents the target
 model is uniform; repeated rows count as often as they come and each get a row; a null doc_id is
-background only; several labels of one document count as its best; other columns are not read. With
-``vocabulary``, which is off by default, only that many most frequent words are told apart.
+background only; several labels of one document count as its best; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from .common import Words, few, mix, slices, stage, table
 
 WEIGHTS = (0.7, 0.25, 0.05)
 #: Words of a chunk, about; a document is never cut.
-FLUSH = 300_000
+FLUSH = 1_000_000
 MAX_ROWS = 100_000
 #: Entries that a bucket gets from all chunks, about, once there are more than ``LEAST_BUCKETS`` full ones.
 BUCKET = 2_000_000
@@ -57,31 +57,18 @@ def _unpacked(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, n).T).reshape(-1).view(np.int64)
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
-
-    def counted() -> pa.RecordBatch:
-        codes, count = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(count)], ["code", "count"])
-
-    for part in slices(batches, "text"):
-        held.append(Words(part.column("text"), lower=True).code)
-        if sum(map(len, held)) >= FLUSH:
-            yield counted()
-            held = []
-    if held:
-        yield counted()
-
-
-def _chunks(vocabulary, most_words: int):
-    """Documents (doc_id, text, target) to chunks: codes of the chunk's distinct words, and the words as indices of them."""
+def _chunks(most_words: int):
+    """Documents (doc_id, text, target) to chunks: codes of the chunk's distinct words by falling count, and the words as
+    indices of them, so that most indices are small and pack well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
         doc_ids, targets, lengths, held = [], [], [], []
 
         def chunk() -> pa.RecordBatch:
-            codes, ids = np.unique(np.concatenate(held), return_inverse=True)
+            codes, ids, count = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+            order = np.argsort(-count, kind="stable")
+            codes, ids = codes[order], np.argsort(order)[ids]
             n, target = np.concatenate(lengths), pa.concat_arrays(targets)
             in_target = int(n[target.to_numpy(zero_copy_only=False)].sum())
             lists = [pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), x) for x in (pa.concat_arrays(doc_ids), pa.array(n), target)]
@@ -90,10 +77,7 @@ def _chunks(vocabulary, most_words: int):
 
         for part in slices(batches, "text"):
             words = Words(part.column("text"), lower=True)
-            code = words.code
-            if vocabulary is not None:
-                code = np.where(np.isin(code, vocabulary.value), code, np.uint64(0))
-            held.append(code)
+            held.append(words.code)
             lengths.append(np.bincount(words.row, minlength=words.n_rows))
             doc_ids.append(part.column("doc_id").cast(pa.int64())), targets.append(part.column("target"))
             if sum(map(len, held)) >= most_words or sum(map(len, lengths)) >= MAX_ROWS:
@@ -107,9 +91,9 @@ def _chunks(vocabulary, most_words: int):
 
 
 class Entries:
-    """What a chunk counts: distinct pairs, words and contexts. ``keys`` are their codes in rising order, odd for words
-    only; ``place`` is where the pairs, then the words, then the contexts are in them; before the first word of a document
-    stands one more context. ``pair`` is the pair of each word, ``left`` and ``right`` are the pairs' context and word."""
+    """What a chunk counts: distinct pairs and words. ``keys`` are their codes in rising order, odd for words; ``place`` is
+    where the pairs, then the words, are in them; the last word stands before the first of each document. ``pair`` is the
+    pair of each word, ``left`` and ``right`` are the pairs' context and word."""
 
     def __init__(self, codes: bytes, ids: bytes, n: np.ndarray) -> None:
         code, self.ids = _unpacked(codes).view(np.uint64), _unpacked(ids)
@@ -119,21 +103,20 @@ class Entries:
         self.before[(np.cumsum(n) - n)[n > 0]] = size
         pairs, self.pair = np.unique(self.before * max(size, 1) + self.ids, return_inverse=True)
         self.left, self.right = np.divmod(pairs, max(size, 1))
-        context = mix(np.append(code, np.uint64(1)) + np.uint64(0x9E3779B97F4A7C15))
-        pair = mix(context[self.left] * np.uint64(0xD1342543DE82EF95) + code[self.right])
-        even = np.uint64(0xFFFFFFFFFFFFFFFE)
-        keys = np.concatenate([pair & even, mix(code) | np.uint64(1), context & even])
+        word = mix(np.append(code, np.uint64(1)) + np.uint64(0x9E3779B97F4A7C15))
+        pair = mix(word[self.left] * np.uint64(0xD1342543DE82EF95) + code[self.right])
+        keys = np.concatenate([pair & np.uint64(0xFFFFFFFFFFFFFFFE), word | np.uint64(1)])
         order = np.argsort(keys)
         self.keys = keys[order]
         self.place = np.empty(len(order), np.int64)
         self.place[order] = np.arange(len(order))
 
-    def counts(self, chosen: np.ndarray | None = None) -> np.ndarray:
-        """Counts by key, over the words that ``chosen`` marks."""
-        parts = ((self.pair, len(self.left)), (self.ids, self.size), (self.before, self.size + 1))
-        found = np.concatenate([np.bincount(x if chosen is None else x[chosen], minlength=n) for x, n in parts])
-        out = np.empty(len(found), np.int64)
-        out[self.place] = found
+    def counts(self, chosen: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """By key, over the words that ``chosen`` marks: how often it comes, and how often it is a context."""
+        p, n = len(self.left), self.size + 1
+        out = np.zeros((2, len(self.keys)), np.int64)
+        out[0, self.place] = np.concatenate([np.bincount(self.pair[chosen], minlength=p), np.bincount(self.ids[chosen], minlength=n)])
+        out[1, self.place[p:]] = np.bincount(self.before[chosen], minlength=n)
         return out
 
 
@@ -142,39 +125,43 @@ def _opened(t: pa.RecordBatch | pa.Table, k: int) -> tuple[Entries, np.ndarray]:
     return Entries(t.column("codes")[k].as_py(), t.column("ids")[k].as_py(), n), n
 
 
+def _all_counts(e: Entries, target, n: np.ndarray) -> np.ndarray:
+    """Counts of all documents, then of the target's."""
+    return np.concatenate([e.counts(), e.counts(np.repeat(np.array(target.as_py(), bool), n))])
+
+
 def _asked(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.collect()
         for batch in batches:
             for k in range(batch.num_rows):
                 e, n = _opened(batch, k)
-                total = e.counts()
-                target = e.counts(np.repeat(np.array(batch.column("targets")[k].as_py(), bool), n))
+                counts = _all_counts(e, batch.column("targets")[k], n)
                 bucket = ((e.keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
                 cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)]
                 spans = list(zip(cuts[:-1], cuts[1:], strict=True))
                 keys = [_packed(np.diff(e.keys[a:b], prepend=np.uint64(0))) for a, b in spans]
-                counts = [_packed(np.concatenate([total[a:b], target[a:b]])) for a, b in spans]
+                packed = [_packed(counts[:, a:b].reshape(-1)) for a, b in spans]
                 first = bucket[cuts[:-1]].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(len(first), batch.column("chunk")[k].as_py())), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "chunk", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(len(first), batch.column("chunk")[k].as_py())), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], ["bucket", "chunk", "keys", "counts"])
         pa.default_memory_pool().release_unused()
 
     return run
 
 
 def _answered(t: pa.Table) -> pa.Table:
-    """One bucket: to each chunk the sums over all chunks of what it asked for, and once how many words the bucket has."""
+    """One bucket: to each chunk what the other chunks add to its counts, and once how many words the bucket has."""
     held = [np.cumsum(_unpacked(x).view(np.uint64)) for x in t.column("keys").to_pylist()]
-    counts = np.concatenate([_unpacked(x).reshape(2, -1) for x in t.column("counts").to_pylist()], axis=1)
+    counts = np.concatenate([_unpacked(x).reshape(4, -1) for x in t.column("counts").to_pylist()], axis=1)
     known, at = np.unique(np.concatenate(held), return_inverse=True)
-    sums = np.zeros((2, len(known)), np.int64)
-    for k in range(2):
+    sums = np.zeros((4, len(known)), np.int64)
+    for k in range(4):
         np.add.at(sums[k], at, counts[k])
     ends = np.cumsum([len(x) for x in held])
-    answers = [_packed(sums[:, x].reshape(-1)) for x in np.split(at, ends[:-1])]
+    others = np.split(sums[:, at] - counts, ends[:-1], axis=1)
     words = np.zeros(t.num_rows, np.int64)
-    words[0] = int((known & np.uint64(1)).sum())
-    return pa.Table.from_arrays([t.column("chunk"), t.column("bucket"), pa.array(words), pa.array(answers, pa.binary())], ["chunk", "bucket", "words", "counts"])
+    words[0] = int(((known & np.uint64(1) > 0) & (sums[0] > 0)).sum())  # the start of documents is no word
+    return pa.Table.from_arrays([t.column("chunk"), t.column("bucket"), pa.array(words), pa.array([_packed(x.reshape(-1)) for x in others], pa.binary())], ["chunk", "bucket", "words", "counts"])
 
 
 def losses(pair: np.ndarray, word: np.ndarray, context: np.ndarray, n: int, size: int, weights: tuple[float, float, float] = WEIGHTS) -> np.ndarray:
@@ -191,11 +178,12 @@ def _scores(totals: tuple[int, int], size: int):
         e, n = _opened(chunk, 0)
         answers = answers.sort_by("bucket")
         row, some, empty = np.repeat(np.arange(len(n)), n), np.maximum(n, 1), n == 0
-        sums = np.concatenate([np.zeros((2, 0), np.int64), *(_unpacked(x).reshape(2, -1) for x in answers.column("counts").to_pylist())], axis=1)
+        others = np.concatenate([np.zeros((4, 0), np.int64), *(_unpacked(x).reshape(4, -1) for x in answers.column("counts").to_pylist())], axis=1)
+        sums = (_all_counts(e, chunk.column("targets")[0], n) + others)[:, e.place]
         h = []
-        for count, total in zip(sums[::-1, e.place], totals, strict=True):
-            pair, word, context = np.split(count, [len(e.left), len(e.left) + e.size])
-            loss = losses(pair, word[e.right], context[e.left], total, size)
+        for (count, context), total in zip((sums[2:], sums[:2]), totals, strict=True):
+            pair, word = count[: len(e.left)], count[len(e.left) :]
+            loss = losses(pair, word[e.right], context[len(e.left) :][e.left], total, size)
             h.append(np.bincount(row, weights=loss[e.pair], minlength=len(n)) / some)
         return pa.Table.from_arrays(
             [chunk.column("doc_ids").combine_chunks().flatten(), pa.array(n), *(pa.array(x, mask=empty) for x in (h[0], h[1], h[0] - h[1]))],
@@ -205,26 +193,19 @@ def _scores(totals: tuple[int, int], size: int):
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocabulary: int | None = None, chunk_words: int = FLUSH) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, chunk_words: int = FLUSH) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score) of each row of ``docs`` (doc_id, text);
     ``target`` has the doc_id of the documents of the target."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = None
-    if vocabulary is not None:
-        top = (
-            docs.mapInArrow(_word_counts, "code long, count long").groupBy("code").agg(F.sum("count").alias("count"))
-            .orderBy(F.desc("count"), "code").limit(vocabulary).toArrow()
-        )
-        known = docs.sparkSession.sparkContext.broadcast(top.column("code").to_numpy().view(np.uint64))
     chosen = stage(target.select(F.col("doc_id").alias("target_id")).distinct(), "target")
     marked = docs.join(few(chosen), F.col("doc_id") == F.col("target_id"), "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("target"))
-    chunks = stage(marked.mapInArrow(_chunks(known, chunk_words), CHUNK), "chunks")
+    chunks = stage(marked.mapInArrow(_chunks(chunk_words), CHUNK), "chunks")
     n, n_target = chunks.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("target_words"), F.lit(0))).first()
     buckets = max(min(LEAST_BUCKETS, 1 + n // 1000), n // BUCKET)
     asked = chunks.select("chunk", "n_words", "targets", "codes", "ids").mapInArrow(_asked(buckets), "bucket long, chunk long, keys binary, counts binary")
     answers = stage(asked.groupBy("bucket").applyInArrow(_answered, "chunk long, bucket long, words long, counts binary"), "answers")
-    size = 1 + (len(known.value) if known is not None else answers.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0])
-    return chunks.select("chunk", "doc_ids", "n_words", "codes", "ids").groupBy("chunk").cogroup(answers.drop("words").groupBy("chunk")).applyInArrow(
+    size = 1 + answers.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    return chunks.drop("words", "target_words").groupBy("chunk").cogroup(answers.drop("words").groupBy("chunk")).applyInArrow(
         _scores((n_target, n), size), "doc_id long, n_words long, target_loss double, background_loss double, score double"
     )
 

@@ -151,7 +151,7 @@ def brute_scores(rows, target, size):
 def test_lm_scores(frame, spark):
     rows = [(k, " ".join(f"w{min(int(x[1:]), 30)}" for x in prose(k, 3 + k % 50, 60)), "en", "a") for k in range(60)] + [(90, None, "en", "a"), (91, " ", "en", "a")]
     target = spark.createDataFrame([(k,) for k in range(0, 60, 3)] + [(0,), (None,)], "doc_id long")
-    found = {r["doc_id"]: r["score"] for r in lm_score.cross_entropy_difference(frame(rows), target, vocabulary=31).collect()}
+    found = {r["doc_id"]: r["score"] for r in lm_score.cross_entropy_difference(frame(rows), target).collect()}
     for r, want in zip(rows, brute_scores(rows, set(range(0, 60, 3)), 31), strict=True):
         assert found[r[0]] is None if want is None else found[r[0]] == pytest.approx(want, abs=1e-4)
 
