@@ -107,6 +107,30 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return held.powers
 
 
+def packed(x: np.ndarray) -> bytes:
+    """64-bit numbers by byte planes, compressed; most of their high bytes are alike."""
+    return len(x).to_bytes(8, "little") + pa.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    n = int.from_bytes(x[:8], "little")
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(x[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).reshape(-1).view(np.int64)
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets, in rising order for rising keys, of evenly spread 64-bit keys."""
+    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def spans_of(sorted_values: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of each run of equal values."""
+    cuts = [0, *(np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1), len(sorted_values)]
+    return [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+
+
 class Words:
     """Words of a slice of rows: ``row`` (index in the slice), byte ``start`` and ``end`` in
     ``data``, 64-bit ``code`` of the bytes."""

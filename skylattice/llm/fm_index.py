@@ -65,24 +65,25 @@ class FMIndex:
         self.before = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=n_symbols))])
         self.last = WaveletMatrix(self.text[self.order - 1], n_symbols)
 
-    def search(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Backward search for the ``length`` symbols from each position of the text itself: the
-        interval of the suffix array that starts with them. Searches that are down to one
-        occurrence, which is then their own, end early with an interval of one."""
-        low, high = np.zeros(len(at), np.int64), np.ones(len(at), np.int64)
-        lane = np.arange(len(at))
-        symbol = self.text[at + length - 1]
-        lo, hi = self.before[symbol], self.before[symbol + 1]
-        for j in range(length - 2, -1, -1):
+    def matching_statistics(self, end: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each position of the text itself: how many symbols that end there (``most`` at most) also occur elsewhere,
+        and the suffix interval of those symbols. Backward search takes all positions one symbol to the left at a time; a
+        position leaves when only its own occurrence is left."""
+        length, low, high = (np.zeros(len(end), np.int64) for _ in range(3))
+        lane = np.arange(len(end))
+        lo, hi = np.zeros(len(end), np.int64), np.full(len(end), len(self.text))
+        for j in range(most):
+            symbol = self.text[end[lane] - j]
+            if j:
+                lo, hi = self.before[symbol] + self.last.rank(symbol, lo), self.before[symbol] + self.last.rank(symbol, hi)
+            else:
+                lo, hi = self.before[symbol], self.before[symbol + 1]
             many = hi - lo > 1
             lane, lo, hi = lane[many], lo[many], hi[many]
             if not len(lane):
-                return low, high
-            symbol = self.text[at[lane] + j]
-            lo = self.before[symbol] + self.last.rank(symbol, lo)
-            hi = self.before[symbol] + self.last.rank(symbol, hi)
-        low[lane], high[lane] = lo, hi
-        return low, high
+                break
+            length[lane], low[lane], high[lane] = j + 1, lo, hi
+        return length, low, high
 
     def earliest(self, low: np.ndarray, high: np.ndarray, place: np.ndarray) -> np.ndarray:
         """The least ``place`` (a value for each text position) over each interval of one pattern length;

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, few, mix, slices, stage, table
+from .common import Words, bucket_of, few, mix, packed, slices, spans_of, stage, table, unpacked
 
 WEIGHTS = (0.7, 0.25, 0.05)
 #: Words of a chunk, about; a document is never cut.
@@ -44,19 +44,6 @@ LEAST_BUCKETS = 256
 CHUNK = "chunk long, doc_ids array<long>, n_words array<long>, targets array<boolean>, words long, target_words long, codes binary, ids binary"
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """64-bit numbers by byte planes, compressed; most of their high bytes are alike."""
-    return len(x).to_bytes(8, "little") + pa.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpacked(x: bytes) -> np.ndarray:
-    n = int.from_bytes(x[:8], "little")
-    if not n:
-        return np.zeros(0, np.int64)
-    planes = np.frombuffer(pa.decompress(x[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, n).T).reshape(-1).view(np.int64)
-
-
 def _chunks(most_words: int):
     """Documents (doc_id, text, target) to chunks: codes of the chunk's distinct words by falling count, and the words as
     indices of them, so that most indices are small and pack well."""
@@ -72,7 +59,7 @@ def _chunks(most_words: int):
             n, target = np.concatenate(lengths), pa.concat_arrays(targets)
             in_target = int(n[target.to_numpy(zero_copy_only=False)].sum())
             lists = [pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), x) for x in (pa.concat_arrays(doc_ids), pa.array(n), target)]
-            rest = [pa.array([x], pa.int64()) for x in (len(ids), in_target)] + [pa.array([_packed(x)], pa.binary()) for x in (codes, ids.astype(np.int64))]
+            rest = [pa.array([x], pa.int64()) for x in (len(ids), in_target)] + [pa.array([packed(x)], pa.binary()) for x in (codes, ids.astype(np.int64))]
             return pa.RecordBatch.from_arrays([pa.array([(task << 32) + made], pa.int64()), *lists, *rest], ["chunk", "doc_ids", "n_words", "targets", "words", "target_words", "codes", "ids"])
 
         for part in slices(batches, "text"):
@@ -96,7 +83,7 @@ class Entries:
     pair of each word, ``left`` and ``right`` are the pairs' context and word."""
 
     def __init__(self, codes: bytes, ids: bytes, n: np.ndarray) -> None:
-        code, self.ids = _unpacked(codes).view(np.uint64), _unpacked(ids)
+        code, self.ids = unpacked(codes).view(np.uint64), unpacked(ids)
         self.size = size = len(code)
         self.before = np.empty(len(self.ids), np.int64)
         self.before[1:] = self.ids[:-1]
@@ -137,13 +124,12 @@ def _asked(buckets: int):
             for k in range(batch.num_rows):
                 e, n = _opened(batch, k)
                 counts = _all_counts(e, batch.column("targets")[k], n)
-                bucket = ((e.keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)]
-                spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-                keys = [_packed(np.diff(e.keys[a:b], prepend=np.uint64(0))) for a, b in spans]
-                packed = [_packed(counts[:, a:b].reshape(-1)) for a, b in spans]
-                first = bucket[cuts[:-1]].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(len(first), batch.column("chunk")[k].as_py())), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], ["bucket", "chunk", "keys", "counts"])
+                bucket = bucket_of(e.keys, buckets)
+                spans = spans_of(bucket)
+                keys = [packed(np.diff(e.keys[a:b], prepend=np.uint64(0))) for a, b in spans]
+                bodies = [packed(counts[:, a:b].reshape(-1)) for a, b in spans]
+                first = bucket[[a for a, _ in spans]]
+                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(len(first), batch.column("chunk")[k].as_py())), pa.array(keys, pa.binary()), pa.array(bodies, pa.binary())], ["bucket", "chunk", "keys", "counts"])
         pa.default_memory_pool().release_unused()
 
     return run
@@ -151,8 +137,8 @@ def _asked(buckets: int):
 
 def _answered(t: pa.Table) -> pa.Table:
     """One bucket: to each chunk what the other chunks add to its counts, and once how many words the bucket has."""
-    held = [np.cumsum(_unpacked(x).view(np.uint64)) for x in t.column("keys").to_pylist()]
-    counts = np.concatenate([_unpacked(x).reshape(4, -1) for x in t.column("counts").to_pylist()], axis=1)
+    held = [np.cumsum(unpacked(x).view(np.uint64)) for x in t.column("keys").to_pylist()]
+    counts = np.concatenate([unpacked(x).reshape(4, -1) for x in t.column("counts").to_pylist()], axis=1)
     known, at = np.unique(np.concatenate(held), return_inverse=True)
     sums = np.zeros((4, len(known)), np.int64)
     for k in range(4):
@@ -161,7 +147,7 @@ def _answered(t: pa.Table) -> pa.Table:
     others = np.split(sums[:, at] - counts, ends[:-1], axis=1)
     words = np.zeros(t.num_rows, np.int64)
     words[0] = int(((known & np.uint64(1) > 0) & (sums[0] > 0)).sum())  # the start of documents is no word
-    return pa.Table.from_arrays([t.column("chunk"), t.column("bucket"), pa.array(words), pa.array([_packed(x.reshape(-1)) for x in others], pa.binary())], ["chunk", "bucket", "words", "counts"])
+    return pa.Table.from_arrays([t.column("chunk"), t.column("bucket"), pa.array(words), pa.array([packed(x.reshape(-1)) for x in others], pa.binary())], ["chunk", "bucket", "words", "counts"])
 
 
 def losses(pair: np.ndarray, word: np.ndarray, context: np.ndarray, n: int, size: int, weights: tuple[float, float, float] = WEIGHTS) -> np.ndarray:
@@ -178,7 +164,7 @@ def _scores(totals: tuple[int, int], size: int):
         e, n = _opened(chunk, 0)
         answers = answers.sort_by("bucket")
         row, some, empty = np.repeat(np.arange(len(n)), n), np.maximum(n, 1), n == 0
-        others = np.concatenate([np.zeros((4, 0), np.int64), *(_unpacked(x).reshape(4, -1) for x in answers.column("counts").to_pylist())], axis=1)
+        others = np.concatenate([np.zeros((4, 0), np.int64), *(unpacked(x).reshape(4, -1) for x in answers.column("counts").to_pylist())], axis=1)
         sums = (_all_counts(e, chunk.column("targets")[0], n) + others)[:, e.place]
         h = []
         for (count, context), total in zip((sums[2:], sums[:2]), totals, strict=True):

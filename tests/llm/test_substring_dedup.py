@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skylattice.llm import substring_dedup
@@ -31,8 +32,8 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def run(df):
-    rows = substring_dedup.deduplicate(df).select("doc_id", "n_words", "n_removed", F.sha2("text", 256))
+def run(df, **how):
+    rows = substring_dedup.deduplicate(df, **how).select("doc_id", "n_words", "n_removed", F.sha2("text", 256))
     return sorted(map(tuple, rows.collect()), key=str)
 
 
@@ -59,27 +60,31 @@ def test_passages(frame):
     assert run(frame(passages())) == brute(passages())
 
 
-def test_hot_minimizers_and_small_shards(frame):
-    docs = frame(passages())
+@pytest.mark.parametrize("how", [{"shard_words": 200, "chunk_bytes": 700}, {"max_segments": 1, "chunk_bytes": 700}, {"max_segments": 3, "max_same": 2, "chunk_bytes": 500}])
+def test_many_chunks_shards_and_hot_minimizers(frame, how):
+    assert run(frame(passages()), **how) == brute(passages())
 
-    def words(spans):
-        return set(map(tuple, spans.select("doc_id", F.explode(F.sequence("first", F.col("end") - 1))).collect()))
 
-    assert words(substring_dedup.repeated_spans(docs, 200, 1)) == words(substring_dedup.repeated_spans(docs))
+def test_odd_rows_in_many_chunks(frame, odd_docs):
+    assert run(frame(odd_docs), max_segments=1, max_same=1 + 1, chunk_bytes=100) == brute(odd_docs)
 
 
-def test_fm_index_finds_all():
+def test_suffix_array():
     draw = np.random.default_rng(3)
-    text = draw.integers(1, 6, 400)
+    whole = np.append(draw.integers(1, 6, 400), 0)
+    assert [tuple(whole[i:]) for i in suffix_array(whole)] == sorted(tuple(whole[i:]) for i in range(len(whole)))
+
+
+def test_matching_statistics():
+    draw = np.random.default_rng(3)
+    text = draw.integers(1, 4, 300)
     index = FMIndex(text)
-    whole = np.append(text, 0)
-    order = suffix_array(whole)
-    assert [tuple(whole[i:]) for i in order] == sorted(tuple(whole[i:]) for i in range(len(whole)))
-    at = np.arange(len(text) - 4)
-    low, high = index.search(at, 5)
-    for i, a, b in zip(at, low, high, strict=True):
-        times = sum((text[j : j + 5] == text[i : i + 5]).all() for j in at)
-        assert times == 1 or b - a == times
-    many = high - low > 1
-    least = index.earliest(low[many], high[many], np.append(np.arange(len(text)), 10**9))
-    assert least.tolist() == [next(j for j in at if (text[j : j + 5] == text[i : i + 5]).all()) for i in at[many]]
+    end = np.arange(11, 300)
+    length, low, high = index.matching_statistics(end, 8)
+    times = lambda run: [j for j in range(301 - len(run)) if (text[j : j + len(run)] == run).all()]
+    for e, n, a, b in zip(end, length, low, high, strict=True):
+        assert n == max(k for k in range(9) if k == 0 or len(times(text[e - k + 1 : e + 1])) > 1)
+        assert b - a == len(times(text[e - n + 1 : e + 1]))
+    full = np.flatnonzero(length == 8)
+    least = index.earliest(low[full], high[full], np.append(np.arange(300), 10**9))
+    assert least.tolist() == [times(text[e - 7 : e + 1])[0] for e in end[full]]
