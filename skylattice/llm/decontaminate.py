@@ -3,15 +3,15 @@
 Texts are lower-cased and cut at everything but letters and digits; a set holds the distinct 5-word
 shingles. An item leaks into a document that holds at least 0.8 of its shingles, however long the
 document. MinHash signatures of whole documents can't see that (the Jaccard similarity of 20 words and
-20,000 is nothing), so only the items are sketched, as in containment search over size partitions:
+20,000 is nothing), so the items are sketched, as in containment search over size partitions:
 
-* Items are partitioned by size (powers of two of the number of shingles). A partition's items keep
-  the k smallest shingle codes (a bottom-k MinHash), k = n - ceil(0.8 n) + 1 for the n of the item; k
-  follows the size, and the partition bounds it.
-* A document that contains 0.8 of an item lacks at most k - 1 of its shingles, so it holds one of any k
-  of them: the search for sketch codes among a document's shingles misses no leak.
-* Documents with a sketch code are candidates; their shingles are then compared with all shingles of
-  the items, and the exact share decides.
+* Items are partitioned by size: class c has 2**c to 2**(c + 1) - 1 shingles. The class sets how many hits a
+  candidate needs, h = 2**c / 4 (at least 1), and which documents can hold its items at all: those of 0.8 * 2**c
+  shingles or more.
+* An item of n shingles keeps its k smallest codes (a bottom-k MinHash), k = n - ceil(0.8 n) + h. A document that holds
+  0.8 of the item lacks at most n - ceil(0.8 n) of them, hence holds h of the k: no leak is missed, and one
+  common shingle makes no candidate of a longer item.
+* Pairs of document and item with h hits are candidates; the exact share of the item's shingles in the document decides.
 
 Everything is DataFrame functions. Sketches and shingles of the items are broadcast while they are few
 enough (a checked count) and join by shuffle beyond.
@@ -54,24 +54,31 @@ def item_shingles(items: DataFrame) -> DataFrame:
 
 
 def sketches(shingles: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(size_class, code): the bottom-k codes of the items of each size partition."""
-    least = shingles.groupBy("size_class", "item_id").agg(
-        F.slice(F.sort_array(F.collect_list("code")), F.lit(1), (F.first("n_item") - F.ceil(F.first("n_item") * percent / 100) + 1).cast("int")).alias("codes")
-    )
-    return least.select("size_class", F.explode("codes").alias("code")).distinct()
+    """(item_id, code, size_class, hits): the bottom-k codes of each item and how many of them make a candidate."""
+    n = F.first("n_item")
+    least = shingles.groupBy("size_class", "item_id").agg(F.sort_array(F.collect_list("code")).alias("codes"), n.alias("n"), F.ceil(n * percent / 100).alias("whole"))
+    least = least.withColumn("hits", F.least(F.greatest(F.lit(1), F.floor(F.pow(F.lit(2), F.col("size_class")) / 4)), F.col("whole")).cast("long"))
+    return least.select("item_id", F.explode(F.slice("codes", F.lit(1), (F.col("n") - F.col("whole") + F.col("hits")).cast("int"))).alias("code"), "size_class", "hits")
+
+
+def candidates(docs: DataFrame, sketch: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, item_id) with as many hits in the item's sketch as its size class asks for."""
+    codes = docs.select("doc_id", F.array_distinct(shingle_codes(F.col("text"))).alias("codes"))
+    held = codes.select("doc_id", F.size("codes").alias("n_doc"), F.explode("codes").alias("code"))
+    fits = 100 * F.col("n_doc") >= percent * F.pow(F.lit(2), F.col("size_class"))
+    found = held.join(few(sketch), "code").filter(fits).groupBy("doc_id", "item_id").agg(F.countDistinct("code").alias("n"), F.first("hits").alias("hits"))
+    return found.filter("n >= hits").select("doc_id", "item_id")
 
 
 def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) of each item that a document contains."""
     docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     shingles = stage(item_shingles(items.select("item_id", "text")), "item-shingles")
-    sketch = sketches(shingles, percent).select("code").distinct()
-    found = stage(
-        docs.select("doc_id", F.explode(shingle_codes(F.col("text"))).alias("code")).join(few(sketch), "code", "left_semi").select("doc_id").distinct(),
-        "candidates",
-    )
-    held = docs.join(few(found), "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct(shingle_codes(F.col("text")))).alias("code"))
-    shared = held.join(few(shingles), "code").groupBy("doc_id", "item_id").agg(
+    found = stage(candidates(docs, stage(sketches(shingles, percent), "sketches"), percent), "candidates")
+    wanted = stage(found.join(few(shingles), "item_id").select("doc_id", "item_id", "code", "n_item"), "wanted")
+    docs = docs.join(few(found.select("doc_id").distinct()), "doc_id", "left_semi")
+    held = docs.select("doc_id", F.explode(F.array_distinct(shingle_codes(F.col("text")))).alias("code"))
+    shared = held.join(few(wanted), ["doc_id", "code"]).groupBy("doc_id", "item_id").agg(
         F.countDistinct("code").alias("n_shared"), F.first("n_item").alias("n_item")
     )
     return shared.filter(100 * F.col("n_shared") >= percent * F.col("n_item")).withColumn("containment", F.col("n_shared") / F.col("n_item"))

@@ -89,6 +89,9 @@ def test_leaks(frame, spark, odd_docs):
     table = spark.createDataFrame(items + items[:2], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]): r["n_shared"] for r in decontaminate.leaks(frame(docs), table).collect()}
     assert found == brute_leaks(docs, items)
+    sketch = decontaminate.sketches(decontaminate.item_shingles(table))
+    sizes = {r["item_id"]: (r["k"], r["hits"]) for r in sketch.groupBy("item_id").agg(F.count("*").alias("k"), F.first("hits").alias("hits")).collect()}
+    assert sizes[0] == (1, 1) and sizes[11] == (15, 8)  # 4 and 37 shingles: 4 - 4 + 1, and 37 - 30 + 8
     assert decontaminate.leaks(frame(docs), table.limit(0)).count() == 0
     assert decontaminate.leaks(frame([]), table).count() == 0
 
