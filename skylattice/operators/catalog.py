@@ -64,6 +64,37 @@ def select_scenes(
     return df
 
 
+def in_crs_box(df: DataFrame, box: tuple[float, float, float, float], samples: int = 22) -> DataFrame:
+    """Rows whose bounds (left, bottom, right, top, in metres of the UTM ``zone``, ``north``) meet a box in degrees. The box is
+    transformed once for each of the 120 reference systems, with ``samples`` steps along each side; where a system's
+    projection does not reach (80 degrees from its meridian) the side does not count. Rows without a zone go."""
+    geo.check_box(box)
+    k = F.col("id")
+    step, far = F.explode(F.array(*(F.lit(i / samples) for i in range(samples + 1)))), F.explode(F.array(*map(F.lit, range(4))))
+    sides = df.sparkSession.range(120).select((k % 60 + 1).cast("int").alias("zone"), (k < 60).alias("north"), step.alias("f")).withColumn("side", far)
+    lng = F.when(F.col("side") == 0, box[0]).when(F.col("side") == 1, box[2]).otherwise(box[0] + (box[2] - box[0]) * F.col("f"))
+    lat = F.when(F.col("side") == 2, box[1]).when(F.col("side") == 3, box[3]).otherwise(box[1] + (box[3] - box[1]) * F.col("f"))
+    sides = sides.withColumn("lng", lng).withColumn("lat", lat).filter(F.abs(F.col("lng") - (F.col("zone") * 6 - 183)) < 80)
+    at = sides.select("zone", "north", geo.utm(F.col("lat"), F.col("lng"), F.col("zone"), F.col("north")).alias("m"))
+    bounds = at.groupBy("zone", "north").agg(
+        F.min("m.easting").alias("_w"), F.min("m.northing").alias("_s"), F.max("m.easting").alias("_e"), F.max("m.northing").alias("_n")
+    )
+    near = df.join(F.broadcast(bounds), ["zone", "north"])
+    return near.filter("left <= _e AND right >= _w AND bottom <= _n AND top >= _s").drop("_w", "_s", "_e", "_n")
+
+
+#: Regions that are broadcast at most.
+MAX_REGIONS = 100_000
+
+
+def nearest_region(places: DataFrame, regions: DataFrame, key: str) -> DataFrame:
+    """(key, region_id): the region (region_id, lat, lng) nearest to each place (key, y, x), of equally near ones the least."""
+    few = regions.limit(MAX_REGIONS + 1).count() <= MAX_REGIONS
+    d = F.round(geo.nearest_distance(F.col("y"), F.col("x"), F.col("lat"), F.col("lng")), 9)
+    both = places.select(key, "y", "x").join(F.broadcast(regions) if few else regions)
+    return both.groupBy(key).agg(F.min(F.struct(d.alias("d"), "region_id"))["region_id"].alias("region_id"))
+
+
 def insert_absent(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Rows of ``new`` whose key is not in ``old``; of equal keys in the batch the first by ``order``."""
     first = F.row_number().over(Window.partitionBy(key).orderBy(order))

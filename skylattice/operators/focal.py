@@ -10,33 +10,33 @@ from pyspark.sql import functions as F
 BLOCK = 512
 
 
-def _box(a: np.ndarray, w: int) -> np.ndarray:
-    """Sums over w by w windows inside ``a`` padded by w // 2."""
-    s = np.zeros((a.shape[0] + 1, a.shape[1] + 1))
-    s[1:, 1:] = a.cumsum(0).cumsum(1)
-    return s[w:, w:] - s[:-w, w:] - s[w:, :-w] + s[:-w, :-w]
+def _box_mean(a: np.ndarray, w: int) -> np.ndarray:
+    """Means over w by w windows; beyond the edge the nearest pixel counts again."""
+    p = np.pad(a, w // 2, mode="edge")
+    s = np.zeros((p.shape[0] + 1, p.shape[1] + 1))
+    s[1:, 1:] = p.cumsum(0).cumsum(1)
+    return (s[w:, w:] - s[:-w, w:] - s[w:, :-w] + s[:-w, :-w]) / (w * w)
 
 
 def lee_block(values: np.ndarray, valid: np.ndarray, window: int) -> np.ndarray:
-    """Lee filter of a block that comes with a halo of window // 2; returns the inside. The noise variance is
-    the median local variance of the block and its halo; invalid pixels become 0."""
-    half = window // 2
-    v = np.where(valid, values, 0.0)
-    pad = lambda a: np.pad(a, half, mode="edge")
-    n = np.maximum(_box(pad(valid.astype(float)), window), 1)
-    mean = _box(pad(v), window) / n
-    var = np.maximum(_box(pad(v * v), window) / n - mean * mean, 0)
+    """Lee filter of a block and its halo, of the same shape. Means and variances are over valid pixels; the noise variance is
+    the median local variance of the valid pixels, and what the local variance has beyond it is signal. Invalid pixels become 0."""
     if not valid.any():
-        raise ValueError("no valid pixel in the block")
+        return np.zeros(values.shape)
+    v = np.where(valid, values, 0.0)
+    share = _box_mean(valid.astype(float), window)
+    there = share > 0.5 / (window * window)
+    mean, square = (np.where(there, _box_mean(x, window) / np.where(there, share, 1), 0.0) for x in (v, v * v))
+    var = np.maximum(square - mean * mean, 0)
     noise = np.median(var[valid])
-    weight = var / np.maximum(var + noise, 1e-12)
-    out = np.where(valid, mean + weight * (v - mean), 0.0)
-    return out[half : out.shape[0] - half, half : out.shape[1] - half]
+    signal = np.maximum(var - noise, 0)
+    return np.where(valid, mean + signal / (signal + noise + 1e-8) * (v - mean), 0.0)
 
 
 def lee_filter(pixels: DataFrame, height: int, width: int, window: int = 3, block: int = BLOCK) -> DataFrame:
-    """(scene_id, y, x, filtered) of ``pixels`` (scene_id, y, x, value; null is invalid). Pixels near a block's edge
-    also go to the neighbour as its halo; a block is the work of one task and has a fixed size."""
+    """(scene_id, y, x, filtered) of ``pixels`` (scene_id, y, x, value). A pixel is valid if its value is not null and above 0;
+    a scene without a valid pixel is an error. Pixels near a block's edge also go to the neighbour as its halo, which ends at the
+    raster's edge; a block is the work of one task and has a fixed size."""
     if window < 3 or window % 2 == 0:
         raise ValueError("the window must be odd and 3 or more")
     half = window // 2
@@ -45,29 +45,38 @@ def lee_filter(pixels: DataFrame, height: int, width: int, window: int = 3, bloc
         return F.array_distinct(F.array(*(F.floor((F.col(k) + d) / block).cast("int") for d in (-half, 0, half))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        by, bx = int(pdf["by"].iloc[0]), int(pdf["bx"].iloc[0])
-        top, left = by * block, bx * block
-        h, w = min(block, height - top), min(block, width - left)
-        values, valid = np.zeros((h + 2 * half, w + 2 * half)), np.zeros((h + 2 * half, w + 2 * half), bool)
-        at = (pdf["y"].to_numpy() - top + half, pdf["x"].to_numpy() - left + half)
-        values[at], valid[at] = pdf["value"].fillna(0).to_numpy(), pdf["value"].notna().to_numpy()
+        top, left = int(pdf["by"].iloc[0]) * block, int(pdf["bx"].iloc[0]) * block
+        bottom, right = min(top + block, height), min(left + block, width)
+        y0, x0 = max(0, top - half), max(0, left - half)
+        shape = (min(height, bottom + half) - y0, min(width, right + half) - x0)
+        y, x, value = pdf["y"].to_numpy(), pdf["x"].to_numpy(), pdf["value"].to_numpy(dtype=float, na_value=np.nan)
+        values, valid = np.zeros(shape), np.zeros(shape, bool)
+        good = value > 0
+        values[y[good] - y0, x[good] - x0], valid[y[good] - y0, x[good] - x0] = value[good], True
         out = lee_block(values, valid, window)
-        y, x = np.mgrid[0:h, 0:w]
-        inside = np.zeros((h, w), bool)
-        own = (at[0] >= half) & (at[0] < h + half) & (at[1] >= half) & (at[1] < w + half)
-        inside[at[0][own] - half, at[1][own] - half] = True
-        return pd.DataFrame({"scene_id": pdf["scene_id"].iloc[0], "y": y[inside] + top, "x": x[inside] + left, "filtered": out[inside]})
+        own = (y >= top) & (y < bottom) & (x >= left) & (x < right)
+        return pd.DataFrame({"scene_id": pdf["scene_id"].iloc[0], "y": y[own], "x": x[own], "filtered": out[y[own] - y0, x[own] - x0]})
 
+    some = pixels.groupBy("scene_id").agg(F.count_if(F.col("value") > 0).alias("n_valid"))
     dealt = pixels.withColumn("by", F.explode(touched("y"))).withColumn("bx", F.explode(touched("x")))
     dealt = dealt.filter((F.col("by") >= 0) & (F.col("bx") >= 0) & (F.col("by") * block < height) & (F.col("bx") * block < width))
-    return dealt.groupBy("scene_id", "by", "bx").applyInPandas(run, "scene_id long, y int, x int, filtered double")
+    done = dealt.groupBy("scene_id", "by", "bx").applyInPandas(run, "scene_id long, y int, x int, filtered double")
+    checked = F.when(F.col("n_valid") > 0, F.col("filtered")).otherwise(F.raise_error(F.lit("no valid pixel in the raster")).cast("double"))
+    return done.join(some, "scene_id").select("scene_id", "y", "x", checked.alias("filtered"))
+
+
+def _standard(a: np.ndarray) -> np.ndarray:
+    """Mean 0, deviation 1, held to 5 deviations."""
+    return np.clip((a - a.mean()) / (a.std() + 1e-12), -5, 5)
 
 
 def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
-    """(dy, dx, response): shift of b against a by windowed phase correlation with a parabola at the peak."""
+    """(dy, dx, response): the shift that moves b onto a, by windowed phase correlation with a parabola at the peak; the
+    response is the peak over the mean magnitude. NaN and no response where either grid is constant."""
+    if min(a.std(), b.std()) < 1e-8:
+        return float("nan"), float("nan"), 0.0
     window = np.outer(np.hanning(a.shape[0]), np.hanning(a.shape[1]))
-    fa, fb = np.fft.fft2((a - a.mean()) * window), np.fft.fft2((b - b.mean()) * window)
-    cross = fb * np.conj(fa)
+    cross = np.fft.fft2(_standard(a) * window) * np.conj(np.fft.fft2(_standard(b) * window))
     peak = np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)).real
     y, x = np.unravel_index(peak.argmax(), peak.shape)
 
@@ -77,7 +86,7 @@ def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
         at = i + (0.5 * (before - after) / bend if abs(bend) > 1e-12 else 0.0)
         return at - len(line) if at > len(line) / 2 else at
 
-    return refine(y, peak[:, x]), refine(x, peak[y]), float(peak[y, x])
+    return refine(y, peak[:, x]), refine(x, peak[y]), float(peak[y, x] / (np.abs(peak).mean() + 1e-12))
 
 
 def pair_shifts(pairs: DataFrame) -> DataFrame:
@@ -94,9 +103,15 @@ def pair_shifts(pairs: DataFrame) -> DataFrame:
 
 
 def shift_report(shifts: DataFrame) -> DataFrame:
-    size = F.hypot("dy", "dx")
-    per_pair = shifts.groupBy("pair_id").agg(F.percentile(size, 0.5).alias("shift"), F.percentile("response", 0.5).alias("response"))
-    return per_pair.withColumn("over_1", F.col("shift") > 1).withColumn("over_2", F.col("shift") > 2)
+    """For each pair the median, least and largest shift of its channels, and whether the median is over 1 and 2 pixels;
+    channels without a shift (NaN) are left out."""
+    dy, dx = (F.when(~F.isnan(c), F.col(c)) for c in ("dy", "dx"))
+    per_pair = shifts.groupBy("pair_id").agg(
+        F.percentile(dy, 0.5).alias("shift_y"), F.percentile(dx, 0.5).alias("shift_x"), F.min(dy).alias("least_y"), F.max(dy).alias("most_y"),
+        F.min(dx).alias("least_x"), F.max(dx).alias("most_x"), F.percentile("response", 0.5).alias("response"),
+    )
+    size = F.hypot("shift_y", "shift_x")
+    return per_pair.withColumn("shift", size).withColumn("over_1", size > 1).withColumn("over_2", size > 2)
 
 
 def clip_segment(a, b, box):
@@ -117,34 +132,37 @@ def clip_segment(a, b, box):
 
 
 def clip_line(points, box) -> list[list]:
-    """Parts of a line inside a box; a part ends where the line leaves."""
-    parts: list[list] = []
+    """Parts of a line inside a box. A part ends where the line leaves or a segment has nothing inside; a piece without
+    length does not make it longer."""
+    parts, going_on = [], False
     for a, b in zip(points[:-1], points[1:], strict=True):
         kept = clip_segment(a, b, box)
         if kept is None:
-            continue
-        if parts and parts[-1][-1] == kept[0]:
-            parts[-1].append(kept[1])
-        else:
+            going_on = False
+        elif not (going_on and parts[-1][-1] == kept[0]):
             parts.append(list(kept))
-    return [p for p in parts if len(p) > 1 and any(q != p[0] for q in p)]
+            going_on = True
+        elif kept[0] != kept[1]:
+            parts[-1].append(kept[1])
+    return parts
 
 
 def clip_ring(points, box) -> list:
     """A ring cut to a box (Sutherland-Hodgman), closed; empty if nothing is left."""
-    for axis, limit, keep_above in ((0, box[0], True), (0, box[2], False), (1, box[1], True), (1, box[3], False)):
-        inside = lambda p, axis=axis, limit=limit, up=keep_above: p[axis] >= limit if up else p[axis] <= limit
+    for axis, limit, up in ((0, box[0], True), (0, box[2], False), (1, box[1], True), (1, box[3], False)):
+        inside = [p[axis] >= limit if up else p[axis] <= limit for p in points]
         out = []
-        for a, b in zip(points, points[1:] + points[:1], strict=True):
-            if inside(a):
-                out.append(a)
-            if inside(a) != inside(b):
+        for k, b in enumerate(points):
+            a = points[k - 1]
+            if inside[k - 1] != inside[k]:
                 t = (limit - a[axis]) / (b[axis] - a[axis])
-                out.append(tuple(a[k] + t * (b[k] - a[k]) for k in (0, 1)))
-        points = [p for k, p in enumerate(out) if k == 0 or p != out[k - 1]]
-        if len(points) < 3:
-            return []
-    return points if points[0] == points[-1] else [*points, points[0]]
+                cut = [a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])]
+                cut[axis] = limit
+                out.append(tuple(cut))
+            if inside[k]:
+                out.append(b)
+        points = out
+    return [*points, points[0]] if len(points) > 2 else []
 
 
 def clip_elements(elements: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:

@@ -17,27 +17,30 @@ def usable(rows: DataFrame, vector: str, dimension: int) -> DataFrame:
     return rows.withColumn("usable", F.coalesce((F.size(vector) == dimension) & n.between(1 - 1e-5, 1 + 1e-5), F.lit(False)))
 
 
-def _asked(queries: DataFrame) -> DataFrame:
-    asked = queries.select("query_id", vectors.unit(F.col("query")).alias("query"))
-    return F.broadcast(asked) if asked.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES else asked
+def scored(tiles: DataFrame, queries: DataFrame, *more: str) -> DataFrame:
+    """``tiles`` with the score of each query (query_id, query, and the columns ``more``). A set of no more than MAX_QUERIES
+    is broadcast."""
+    asked = queries.select("query_id", vectors.unit(F.col("query")).alias("query"), *more)
+    asked = F.broadcast(asked) if asked.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES else asked
+    held = tiles.withColumn("unit", vectors.unit(F.col("vector"))).filter("unit IS NOT NULL").drop("vector")
+    return held.crossJoin(asked).withColumn("score", F.round(vectors.cosine(F.col("unit"), F.col("query")), 6)).drop("unit", "query")
+
+
+def best(hits: DataFrame, k: int | None = None) -> DataFrame:
+    """``hits`` with their ``rank`` for each query, ties by tile_id; the best ``k`` if given, kept in each partition first."""
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "tile_id")))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def top_k(tiles: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, tile_id, score, rank) of the k best tiles of each query; ties by tile_id. A small set of
-    queries is broadcast, a larger one is crossed with the tiles; each partition keeps its own best k before the shuffle."""
-    held = tiles.withColumn("unit", vectors.unit(F.col("vector"))).filter("unit IS NOT NULL")
-    scored = held.crossJoin(_asked(queries)).withColumn("score", F.round(vectors.cosine(F.col("unit"), F.col("query")), 6))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "tile_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("unit", "query", "vector")
+    """The columns of ``tiles``, query_id, score and rank of the k best tiles of each query."""
+    return best(scored(tiles, queries), k)
 
 
 def per_sensor(tiles: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The best k of each sensor, merged to the best k of each query."""
-    scored = tiles.withColumn("unit", vectors.unit(F.col("vector"))).crossJoin(_asked(queries)).withColumn("score", F.round(vectors.cosine(F.col("unit"), F.col("query")), 6))
     inner = Window.partitionBy("query_id", "sensor").orderBy(F.desc("score"), "tile_id")
-    outer = Window.partitionBy("query_id").orderBy(F.desc("score"), "tile_id")
-    best = scored.withColumn("i", F.row_number().over(inner)).filter(F.col("i") <= k).drop("i", "unit", "query", "vector")
-    return best.withColumn("rank", F.row_number().over(outer)).filter(F.col("rank") <= k)
+    return best(scored(tiles, queries).withColumn("i", F.row_number().over(inner)).filter(F.col("i") <= k).drop("i"), k)
 
 
 def diagnostics(hits: DataFrame) -> DataFrame:

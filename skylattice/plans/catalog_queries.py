@@ -92,18 +92,21 @@ def b5(spark, sf):
     return views.scenes(spark, sf).select("scene_id", ((w <= e) & (s <= n)).alias("ordered"), ((e - w) * (n - s) > 0).alias("has_area"))
 
 
-def _utm_sql() -> str:
-    n, e = repr(geo._N), repr(2 * geo._N**0.5 / (1 + geo._N))
-    a = geo._ALPHA
+def utm_sql(rows: str, keep: str, easting: str = "easting", northing: str = "northing") -> str:
+    """``keep`` and UTM metres, without the southern shift, of ``rows`` (lat, lng, zone)."""
+    e, a = repr(2 * geo._N**0.5 / (1 + geo._N)), geo._ALPHA
     xi = "atan2(t, cos(lam))"
     eta = "asinh(sin(lam) / sqrt(t * t + cos(lam) * cos(lam)))"
     x = f"eta + {' + '.join(f'{v!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)' for j, v in enumerate(a, 1))}"
     y = f"xi + {' + '.join(f'{v!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)' for j, v in enumerate(a, 1))}"
-    return f"""{S} scene_id, round(500000 + 0.9996::DOUBLE * {geo._RADIUS!r}::DOUBLE * ({x}), 2) AS easting, round(CASE WHEN lat < 0 THEN 1e7 ELSE 0 END + 0.9996::DOUBLE * {geo._RADIUS!r}::DOUBLE * ({y}), 2) AS northing
- FROM (SELECT *, {xi} AS xi, {eta} AS eta FROM (SELECT *, sinh(atanh(sin(radians(lat))) - {e}::DOUBLE * atanh({e}::DOUBLE * sin(radians(lat)))) AS t, radians(lng - (zone * 6 - 183)) AS lam FROM (SELECT scene_id, ymin AS lat, xmin AS lng, floor((xmin + 180) / 6) + 1 AS zone FROM scenes)))"""
+    return f"""SELECT {keep}, 500000 + 0.9996::DOUBLE * {geo._RADIUS!r}::DOUBLE * ({x}) AS {easting}, 0.9996::DOUBLE * {geo._RADIUS!r}::DOUBLE * ({y}) AS {northing}
+ FROM (SELECT *, {xi} AS xi, {eta} AS eta FROM (SELECT *, sinh(atanh(sin(radians(lat))) - {e}::DOUBLE * atanh({e}::DOUBLE * sin(radians(lat)))) AS t, radians(lng - (zone * 6 - 183)) AS lam FROM ({rows})))"""
 
 
-@query("B7", _utm_sql())
+_CORNER = utm_sql("SELECT scene_id, ymin AS lat, xmin AS lng, floor((xmin + 180) / 6) + 1 AS zone FROM scenes", "scene_id, lat")
+
+
+@query("B7", f"{S} scene_id, round(easting, 2) AS easting, round(northing + CASE WHEN lat < 0 THEN 1e7 ELSE 0 END, 2) AS northing FROM ({_CORNER})")
 def b7(spark, sf):
     zone = F.floor((F.col("xmin") + 180) / 6) + 1
     at = geo.utm(F.col("ymin"), F.col("xmin"), zone)
@@ -119,10 +122,10 @@ def b8(spark, sf):
     return views.scenes(spark, sf).select("scene_id", box.alias("b")).select("scene_id", *(F.round(f"b.{c}", 6).alias(c) for c in ("west", "south", "east", "north")))
 
 
-@query("B9", f"{S} scene_id, unnest(range(0, 49))::INT AS i, round(xmin + 25 / (111.320 * {_CIRCLE}) * cos(unnest(range(0, 49)) * (2 * pi() / 48)), 6) AS lng, round(ymin + 25 / 110.574 * sin(unnest(range(0, 49)) * (2 * pi() / 48)), 6) AS lat FROM scenes WHERE scene_no % 10 = 3")
+@query("B9", f"{S} scene_id, unnest(range(0, 49))::INT AS i, round(xmin + 25 / (111.320 * {_CIRCLE}) * cos(unnest(range(0, 49)) * (2 * pi() / 48)), 6) AS lng, round(ymin + 25 / 110.574 * sin(unnest(range(0, 49)) * (2 * pi() / 48)), 6) AS lat FROM scenes")
 def b9(spark, sf):
     ring = geo.circle_polygon(F.col("ymin"), F.col("xmin"), F.lit(25.0))
-    return views.scenes(spark, sf).filter("scene_no % 10 = 3").select("scene_id", F.posexplode(ring).alias("i", "p")).select("scene_id", "i", F.round(F.col("p")[0], 6).alias("lng"), F.round(F.col("p")[1], 6).alias("lat"))
+    return views.scenes(spark, sf).select("scene_id", F.posexplode(ring).alias("i", "p")).select("scene_id", "i", F.round(F.col("p")[0], 6).alias("lng"), F.round(F.col("p")[1], 6).alias("lat"))
 
 
 @query("B10", f"{S} {COLS}, cloud IS NULL AS cloud_unknown FROM scenes WHERE cloud IS NULL OR cloud <= 20")
@@ -247,13 +250,11 @@ def c19(spark, sf):
     return views.read(spark, sf, "orders").join(known, "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query("C21", f"{S} scene_id, arg_min(n_nationkey, round(sqrt(power(n_nationkey * 5 - 60 - ymin, 2) + power((n_nationkey * 13 % 300 - 150 - xmin) * cos(radians(ymin)), 2)), 9) * 1000 + n_nationkey / 1000) AS region_id FROM scenes, nation GROUP BY scene_id")
+@query("C21", f"{S} scene_id, n_nationkey AS region_id FROM scenes, nation QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY round(sqrt(power(n_nationkey * 5 - 60 - ymin, 2) + power((n_nationkey * 13 % 300 - 150 - xmin) * cos(radians(ymin)), 2)), 9), n_nationkey) = 1")
 def c21(spark, sf):
     k = F.col("n_nationkey")
-    places = F.broadcast(views.read(spark, sf, "nation").select(k.alias("region_id"), (k * 5 - 60).cast("double").alias("lat"), (k * 13 % 300 - 150).cast("double").alias("lng")).limit(1000))
-    d = F.round(geo.nearest_distance(F.col("ymin"), F.col("xmin"), F.col("lat"), F.col("lng")), 9)
-    found = F.min_by("region_id", d * 1000 + F.col("region_id") / 1000)
-    return views.scenes(spark, sf).join(places).groupBy("scene_id").agg(found.alias("region_id"))
+    regions = views.read(spark, sf, "nation").select(k.alias("region_id"), (k * 5 - 60).cast("double").alias("lat"), (k * 13 % 300 - 150).cast("double").alias("lng"))
+    return catalog.nearest_region(views.scenes(spark, sf).select("scene_id", F.col("ymin").alias("y"), F.col("xmin").alias("x")), regions, "scene_id")
 
 
 @query("C24", f"{S} scene_id, scene_no IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS local FROM scenes")

@@ -163,13 +163,13 @@ def d23(spark, sf):
     return change.error_components(components.label(wrong), 16)
 
 
-@query("F6", f"""WITH {PX}, fp AS (SELECT scene_id, y, x FROM px WHERE p >= {T}::FLOAT AND truth = 0), tr AS (SELECT scene_id, y, x FROM px WHERE truth = 1 AND p >= 0.95::FLOAT),
+@query("F6", f"""WITH {PX}, fp AS (SELECT scene_id, y, x FROM px WHERE p >= {T}::FLOAT AND truth = 0), tr AS (SELECT scene_id, y, x FROM px WHERE truth = 1),
  d AS (SELECT fp.scene_id, fp.y, fp.x, min((fp.y - tr.y) * (fp.y - tr.y) + (fp.x - tr.x) * (fp.x - tr.x)) AS d2 FROM fp LEFT JOIN tr ON tr.scene_id = fp.scene_id GROUP BY ALL)
  SELECT scene_id, CASE WHEN d2 <= 4 THEN 'near' WHEN d2 <= 64 THEN 'far' ELSE 'beyond' END AS band, count(*) AS n FROM d GROUP BY ALL""")
 def f6(spark, sf):
     p = views.px(spark, sf)
     wrong = p.filter((F.col("p") >= F.lit(T).cast("float")) & (F.col("truth") == 0)).select("scene_id", "y", "x")
-    truth = p.filter((F.col("truth") == 1) & (F.col("p") >= F.lit(0.95).cast("float"))).select("scene_id", "y", "x")
+    truth = p.filter("truth = 1").select("scene_id", "y", "x")
     return components.distance_bands(wrong, truth, 2, 8)
 
 

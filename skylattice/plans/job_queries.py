@@ -14,6 +14,7 @@ from ..sources import aoi, arrays, manifests, sinks, stac
 from ..storage import new_path
 from ..streaming import jobs
 from . import views
+from .catalog_queries import utm_sql
 from .component_queries import T, _JUDGED, _RANK, _judged, _pixels, mask
 from .ledger_queries import _CHAIN
 from .registry import query
@@ -33,19 +34,19 @@ def a1(spark, sf):
     return spark.read.schema(schema).option("mode", "FAILFAST").json(_written(rows, "scene-catalog"))
 
 
-@query("A2", f"WITH {SCENES} SELECT 'T' || scene_no AS tile_id, scene_id AS source_scene_id, [xmin, ymin, xmax, ymax]::VARCHAR AS bounds FROM scenes WHERE scene_no < 500")
+@query("A2", f"WITH {SCENES} SELECT 'T' || scene_no AS tile_id, scene_id AS source_scene_id, [xmin, ymin, xmax, ymax]::VARCHAR AS bounds FROM scenes")
 def a2(spark, sf):
-    rows = views.scenes(spark, sf).filter("scene_no < 500").select(
+    rows = views.scenes(spark, sf).select(
         F.concat(F.lit("T"), F.col("scene_no").cast("string")).alias("tile_id"), F.col("scene_id").alias("source_scene_id"), F.array("xmin", "ymin", "xmax", "ymax").alias("bounds")
     )
     back = spark.read.schema(manifests.TILE).option("mode", "FAILFAST").json(_written(rows, "tile-catalog")).orderBy("tile_id")
     return back.select("tile_id", "source_scene_id", F.concat(F.lit("["), F.array_join(F.transform("bounds", lambda x: x.cast("string")), ", "), F.lit("]")).alias("bounds"))
 
 
-@query("A7", "SELECT o_custkey AS source, o_orderkey AS tile FROM orders WHERE o_orderkey % 5 = 0")
+@query("A7", "SELECT o_custkey AS source, o_orderkey AS tile FROM orders")
 def a7(spark, sf):
     tile = F.struct(F.concat(F.col("o_orderkey").cast("string"), F.lit(".tif")).alias("path"))
-    rows = views.read(spark, sf, "orders").filter("o_orderkey % 5 = 0").groupBy(F.col("o_custkey").cast("string").alias("source")).agg(F.collect_list(tile).alias("tiles"))
+    rows = views.read(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("source")).agg(F.collect_list(tile).alias("tiles"))
     path = _written(rows, "manifests")
     back = spark.read.schema(manifests.MANIFEST).option("recursiveFileLookup", True).option("mode", "FAILFAST").json(path)
     return back.select(F.col("source").cast("long").alias("source"), F.explode("tiles").alias("t")).select("source", F.regexp_replace("t.path", "[.]tif$", "").cast("long").alias("tile"))
@@ -53,18 +54,18 @@ def a7(spark, sf):
 
 @query("A12", "SELECT 'C' || c_custkey AS id FROM customer")
 def a12(spark, sf):
-    names = views.read(spark, sf, "customer").select((F.col("c_custkey") % 40).alias("g"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("n"))
+    names = views.read(spark, sf, "customer").select(F.expr("c_custkey div 40").alias("g"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("n"))
     lines = names.groupBy("g").agg(F.array_join(F.collect_list("n"), ", ").alias("value")).select("value")
     return manifests.read_roster(spark, _written(lines, "roster", "text"))
 
 
-@query("A13", "SELECT c_custkey AS id, strftime(TIMESTAMP '2015-01-01' + INTERVAL 1 DAY * c_custkey, '%Y%m%d') AS t1, strftime(TIMESTAMP '2015-01-01' + INTERVAL 1 DAY * (c_custkey + 30), '%Y%m%d') AS t2 FROM customer WHERE c_custkey < 6")
+@query("A13", "SELECT c_custkey AS id, strftime(TIMESTAMP '2015-01-01' + INTERVAL 1 DAY * c_custkey, '%Y%m%d') AS t1, strftime(TIMESTAMP '2015-01-01' + INTERVAL 1 DAY * (c_custkey + 30), '%Y%m%d') AS t2 FROM customer")
 def a13(spark, sf):
     day = lambda k: F.date_format(F.date_add(F.lit("2015-01-01").cast("date"), (F.col("c_custkey") + k).cast("int")), "yyyyMMdd")
-    rows = views.read(spark, sf, "customer").filter("c_custkey < 6").select(F.col("c_custkey").alias("id"), F.concat(F.lit("date_1: "), day(0), F.lit("\ndate_2: "), day(30), F.lit("\n")).alias("value"))
+    rows = views.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("date_1: "), day(0), F.lit("\ndate_2: "), day(30), F.lit("\n")).alias("value"))
     path = new_path(spark, "dates")
-    rows.repartition(6, "id").write.partitionBy("id").text(path)
-    back = manifests.read_dates(spark, f"{path}/id=*")
+    rows.repartition("id").write.partitionBy("id").text(path)
+    back = manifests.read_dates(spark, path)
     return back.select(F.regexp_extract("file", "id=([0-9]+)", 1).cast("long").alias("id"), F.col("dates")[0].alias("t1"), F.col("dates")[1].alias("t2"))
 
 
@@ -124,29 +125,36 @@ def a20(spark, sf):
     return spark.read.parquet(path).groupBy(F.col("analysis_id").cast("long").alias("scene_id")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("p").cast("double")), 6).alias("total"))
 
 
-@query("B6")
-def b6(spark, sf):
-    """Scenes whose UTM box meets that of a query box in degrees; the edge of the box is sampled."""
-    s = views.scenes(spark, sf).withColumn("zone", (F.floor((F.col("xmin") + 180) / 6) + 1).cast("int"))
-    zones = s.select("zone").distinct()
-    edge = F.explode(F.sequence(F.lit(0), F.lit(20)))
-    at = zones.select("zone", edge.alias("i")).withColumn("side", F.explode(F.array(*map(F.lit, range(4)))))
-    lng0, lat0, lng1, lat1 = 10.0, -20.0, 16.0, 40.0
-    f = F.col("i") / 20
-    lng = F.when(F.col("side") == 0, lng0).when(F.col("side") == 1, lng1).otherwise(lng0 + (lng1 - lng0) * f)
-    lat = F.when(F.col("side") == 2, lat0).when(F.col("side") == 3, lat1).otherwise(lat0 + (lat1 - lat0) * f)
-    box = at.select("zone", geo.utm(lat, lng, F.col("zone"), F.lit(True)).alias("m")).groupBy("zone").agg(
-        F.min("m.easting").alias("w"), F.min("m.northing").alias("s"), F.max("m.easting").alias("e"), F.max("m.northing").alias("n")
-    )
-    near = s.filter("abs(zone - 33) <= 2").join(F.broadcast(box.filter("abs(zone - 33) <= 2")), "zone")
-    corner = geo.utm(F.col("ymin"), F.col("xmin"), F.col("zone"), F.lit(True))
-    return near.withColumn("m", corner).filter("m.easting BETWEEN w AND e AND m.northing BETWEEN s AND n").select("scene_id", "zone")
+_BOX = (10.0, -20.0, 16.0, 40.0)
+_BOX_SIDES = "SELECT z AS zone, n AS north, CASE side WHEN 0 THEN {0} WHEN 1 THEN {2} ELSE {0} + ({2} - {0}) * f END AS lng, CASE side WHEN 2 THEN {1} WHEN 3 THEN {3} ELSE {1} + ({3} - {1}) * f END AS lat FROM (SELECT unnest(range(1, 61))::INT AS z), (SELECT unnest([true, false]) AS n), (SELECT unnest(range(0, 23)) / 22 AS f), (SELECT unnest(range(0, 4)) AS side)".format(*(f"{v}::DOUBLE" for v in _BOX))
+_SHIFT = "CASE WHEN north THEN 0 ELSE 1e7 END"
+
 
+def _corner(y: str, x: str, a: str, b: str) -> str:
+    return utm_sql(f"SELECT scene_id, ymin >= 0 AS north, {y} AS lat, {x} AS lng, (floor((xmin + 180) / 6) + 1)::INT AS zone FROM scenes", "scene_id, north, zone", a, b)
 
-@query("F5")
+
+@query("B6", f"""WITH {SCENES}, lo AS ({_corner("ymin", "xmin", "l", "b")}), hi AS ({_corner("ymax", "xmax", "r", "t")}),
+ q AS (SELECT zone, north, min(e) AS w, max(e) AS x, min(n + {_SHIFT}) AS s, max(n + {_SHIFT}) AS y FROM ({utm_sql(f"SELECT * FROM ({_BOX_SIDES}) WHERE abs(lng - (zone * 6 - 183)) < 80", "zone, north", "e", "n")}) GROUP BY zone, north)
+ SELECT scene_id, lo.zone FROM lo JOIN hi USING (scene_id) JOIN q ON q.zone = lo.zone AND q.north = lo.north WHERE l <= x AND r >= w AND b + CASE WHEN lo.north THEN 0 ELSE 1e7 END <= y AND t + CASE WHEN lo.north THEN 0 ELSE 1e7 END >= s""")
+def b6(spark, sf):
+    """Scenes with bounds in their own UTM zone, and a box in degrees."""
+    zone, north = (F.floor((F.col("xmin") + 180) / 6) + 1).cast("int"), F.col("ymin") >= 0
+    s = views.scenes(spark, sf).withColumn("zone", zone).withColumn("north", north)
+    low, high = (geo.utm(F.col(y), F.col(x), F.col("zone"), F.col("north")) for y, x in (("ymin", "xmin"), ("ymax", "xmax")))
+    s = s.select("scene_id", "zone", "north", low.alias("lo"), high.alias("hi"))
+    s = s.select("scene_id", "zone", "north", F.col("lo.easting").alias("left"), F.col("lo.northing").alias("bottom"), F.col("hi.easting").alias("right"), F.col("hi.northing").alias("top"))
+    return catalog.in_crs_box(s, _BOX).select("scene_id", "zone")
+
+
+@query("F5", f"""WITH {PX}, v AS (SELECT scene_id, y, x, CASE WHEN scl NOT IN (0,1,3,8,9,10,11) AND b04 > 0 THEN b04 END AS v FROM px),
+ o AS (SELECT unnest(range(-1, 2)) AS d),
+ w AS (SELECT a.scene_id, a.y, a.x, any_value(a.v) AS v, sum(b.v) / count(b.v) AS m, sum(b.v * b.v) / count(b.v) AS q FROM v a, o oy, o ox LEFT JOIN v b ON b.scene_id = a.scene_id AND b.y = least(greatest(a.y + oy.d, 0), 49) AND b.x = least(greatest(a.x + ox.d, 0), 49) GROUP BY a.scene_id, a.y, a.x),
+ s AS (SELECT scene_id, y, x, v, m, greatest(q - m * m, 0) AS var FROM w), n AS (SELECT scene_id, quantile_cont(var, 0.5) AS noise FROM s WHERE v IS NOT NULL GROUP BY scene_id)
+ SELECT s.scene_id, y, x, round(CASE WHEN v IS NULL THEN 0 ELSE m + greatest(var - noise, 0) / (greatest(var - noise, 0) + noise + 1e-8) * (v - m) END, 5) AS filtered FROM s JOIN n ON n.scene_id = s.scene_id""")
 def f5(spark, sf):
     rows = views.px(spark, sf).select("scene_id", "y", "x", F.when(pixels.scl_valid(F.col("scl")), F.col("b04")).alias("value"))
-    return focal.lee_filter(rows, SIDE, SIDE, 3)
+    return focal.lee_filter(rows, SIDE, SIDE, 3).withColumn("filtered", F.round("filtered", 5))
 
 
 @query("F8")

@@ -13,11 +13,12 @@ from .views import TILES
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 _UNIT = """u AS (SELECT *, sqrt(list_sum(list_transform(vector, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM tiles), n AS (SELECT * EXCLUDE (norm),
  CASE WHEN abs(norm - 1) <= 2e-5 THEN list_transform(vector, lambda x: x::DOUBLE) ELSE list_transform(vector, lambda x: x / norm) END AS unit FROM u)"""
-_Q = f"WITH {TILES}, {_UNIT}, q AS (SELECT vec_id AS query_id, unit AS qv FROM n WHERE vec_id < 5), s AS (SELECT n.* EXCLUDE (unit, vector), query_id, round(least(greatest({_DOT.format(a='n.unit', b='q.qv')}, -1), 1), 6) AS score FROM n, q)"
+_Q = f"WITH {TILES}, {_UNIT}, q AS (SELECT vec_id AS query_id, unit AS qv FROM n WHERE vec_id % 100 = 0), s AS (SELECT n.* EXCLUDE (unit, vector), query_id, round(least(greatest({_DOT.format(a='n.unit', b='q.qv')}, -1), 1), 6) AS score FROM n, q)"
 
 
-def _queries(spark, sf, most: int = 5):
-    return views.tiles(spark, sf).filter(F.col("vec_id") < most).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+def _queries(spark, sf):
+    """Every hundredth tile asks for its like among all tiles."""
+    return views.tiles(spark, sf).filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
 
 
 _HIT = "query_id, tile_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tile_id))::INT AS rank"
@@ -82,21 +83,20 @@ def retrieval_rank(hits, k):
 
 @query("I5", f"{_Q} SELECT query_id, tile_id, score, region FROM s WHERE vec_id <> query_id AND region = (SELECT region FROM tiles t WHERE t.vec_id = query_id) {_TOP}")
 def i5(spark, sf):
-    seeds = views.tiles(spark, sf).select(F.col("vec_id").alias("query_id"), F.col("region").alias("seed_region"))
     t = views.tiles(spark, sf)
-    near = retrieval.top_k(t, _queries(spark, sf), 1 << 30).filter("vec_id <> query_id").join(F.broadcast(seeds.filter("query_id < 5")), "query_id").filter("region = seed_region")
-    return retrieval_rank(near.select("query_id", "tile_id", "score", "region"), 10).select("query_id", "tile_id", "score").join(t.select("tile_id", "region"), "tile_id").select("query_id", "tile_id", "score", "region")
+    seeds = t.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.col("region").alias("seed_region"))
+    near = retrieval.scored(t, seeds, "seed_region").filter("vec_id <> query_id AND region = seed_region")
+    return retrieval.best(near, 10).select("query_id", "tile_id", "score", "region")
 
 
 @query("E2", f"{_Q} SELECT {_HIT} FROM s WHERE score >= 0.1")
 def e2(spark, sf):
-    hits = retrieval.top_k(views.tiles(spark, sf), _queries(spark, sf), 1 << 30)
-    return hits.filter("score >= 0.1").select(*HIT)
+    return retrieval.best(retrieval.scored(views.tiles(spark, sf), _queries(spark, sf)).filter("score >= 0.1")).select(*HIT)
 
 
 @query("B12", f"{_Q} SELECT query_id, tile_id, score FROM s WHERE score >= 0.2")
 def b12(spark, sf):
-    return retrieval.top_k(views.tiles(spark, sf), _queries(spark, sf), 1 << 30).filter("score >= 0.2").select("query_id", "tile_id", "score")
+    return retrieval.scored(views.tiles(spark, sf), _queries(spark, sf)).filter("score >= 0.2").select("query_id", "tile_id", "score")
 
 
 _SENSOR = f"b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, sensor ORDER BY score DESC, tile_id) <= 8), m AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tile_id))::INT AS rank FROM b)"
@@ -177,12 +177,12 @@ def g5(spark, sf):
     return retrieval.vector_checks(rows.select("tile_id", "vector"), known, 64)
 
 
-@query("G6", "SELECT 'only_in_index' AS rule, vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') UNION ALL SELECT 'only_in_map', o_orderkey FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey < 500 AND o_orderkey NOT IN (SELECT vec_id FROM embeddings)")
+@query("G6", "SELECT 'only_in_index' AS rule, vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') UNION ALL SELECT 'only_in_map', o_orderkey FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey NOT IN (SELECT vec_id FROM embeddings)")
 def g6(spark, sf):
     index = views.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
     ids = views.read(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"))
     one = index.exceptAll(ids).select(F.lit("only_in_index").alias("rule"), "id")
-    return one.union(ids.filter("id < 500").exceptAll(index).select(F.lit("only_in_map").alias("rule"), "id"))
+    return one.union(ids.exceptAll(index).select(F.lit("only_in_map").alias("rule"), "id"))
 
 
 @query("C8", "SELECT a.o_orderkey AS t1, b.o_orderkey AS t2, CASE WHEN a.o_orderstatus <> b.o_orderstatus THEN 'sensor' END AS reason FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderpriority = '1-URGENT' AND b.o_orderpriority = '2-HIGH'")

@@ -13,6 +13,8 @@ _own: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a temporary folder only where it is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not folder:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="skylattice-"))

@@ -173,24 +173,72 @@ def test_lee_filter_does_not_depend_on_the_task(spark):
     draw = np.random.default_rng(1)
     values = draw.gamma(4, 1, (20, 30))
     px = spark.createDataFrame([(1, y, x, float(values[y, x]) if (y, x) != (3, 3) else None) for y in range(20) for x in range(30)], "scene_id long, y int, x int, value double")
+    v, ok = np.where(np.indices((20, 30)).sum(0) < 0, 0, values), np.ones((20, 30), bool)
+    ok[3, 3] = False
+    near = lambda y, x: [(min(max(y + i, 0), 19), min(max(x + j, 0), 29)) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    around = {(y, x): [v[q] for q in near(y, x) if ok[q]] for y in range(20) for x in range(30)}
+    noise = np.median([np.var(around[q]) for q in around if ok[q]])
     rows = {(r["y"], r["x"]): r["filtered"] for r in focal.lee_filter(px, 20, 30, 3).collect()}
-    assert len(rows) == 600 and rows[3, 3] == 0
+    for q, held in around.items():
+        signal = max(np.var(held) - noise, 0)
+        want = np.mean(held) + signal / (signal + noise + 1e-8) * (v[q] - np.mean(held)) if ok[q] else 0
+        assert rows[q] == pytest.approx(want, abs=1e-6)
     assert len(focal.lee_filter(px, 20, 30, 3, block=8).collect()) == 600
     with pytest.raises(ValueError):
         focal.lee_filter(px, 20, 30, 4)
+    # A block without a valid pixel is 0, a raster without one is an error.
+    half = px.withColumn("value", F.when(F.col("x") < 8, F.lit(0.0)).otherwise(F.col("value")))
+    assert {r["filtered"] for r in focal.lee_filter(half, 20, 30, 3, block=4).filter("x < 8").collect()} == {0.0}
+    with pytest.raises(Exception, match="no valid pixel"):
+        focal.lee_filter(px.withColumn("value", F.lit(0.0)), 20, 30, 3).collect()
 
 
 def test_phase_shift():
     draw = np.random.default_rng(2)
     a = draw.normal(size=(64, 64))
     dy, dx, response = focal.phase_shift(a, np.roll(a, (3, -2), (0, 1)))
-    assert (dy, dx) == pytest.approx((3, -2), abs=0.2) and response > 0.1
+    assert (dy, dx) == pytest.approx((-3, 2), abs=0.2) and response > 10
+    assert np.isnan(focal.phase_shift(a, np.ones((64, 64)))[:2]).all()
+    # The correlation written out as sums, on a small grid.
+    a, b = draw.normal(size=(2, 6, 6))
+    z = [np.clip((g - g.mean()) / g.std(), -5, 5) * np.outer(np.hanning(6), np.hanning(6)) for g in (a, b)]
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(6), np.arange(6)) / 6)
+    cross = (wave @ z[0] @ wave) * np.conj(wave @ z[1] @ wave)
+    corr = (np.conj(wave) @ (cross / np.abs(cross)) @ np.conj(wave)).real / 36
+    assert focal.phase_shift(a, b)[2] == pytest.approx(corr.max() / np.abs(corr).mean())
+
+
+def test_encoder_job(spark):
+    from skylattice.operators import embedding
+
+    rows = spark.createDataFrame([(k, f"http://host/{k} word{k % 3}" if k != 5 else None) for k in range(12)], "page_id long, url string")
+    encode = embedding.hashed_encoder(16)
+    found = {r["page_id"]: r for r in embedding.encode_rows(rows, "page_id", "url", encode, batch=4).collect()}
+    for k, url in rows.collect():
+        assert found[k]["error"] is None and found[k]["vector"] == pytest.approx(encode([url or ""])[0].tolist(), abs=1e-6)
+
+    def fails(texts):
+        raise ValueError("no")
+
+    assert {(r["vector"], r["error"]) for r in embedding.encode_rows(rows, "page_id", "url", fails).collect()} == {(None, "ValueError: no")}
+
+
+def test_patch_scoring(spark):
+    from skylattice.operators import embedding
+
+    px = spark.createDataFrame([(1, y, x, float(y), float(x), (y + x) % 3 > 0) for y in range(5) for x in range(7)], "scene_id long, y int, x int, before double, after double, valid boolean")
+    found = embedding.score_patches(px, lambda a, b: (a + b) / 20, patch=4).collect()
+    assert {(r["y"], r["x"]): r["p"] for r in found} == {(y, x): (y + x) / 20 if (y + x) % 3 else 0.0 for y in range(5) for x in range(7)}
+    with pytest.raises(Exception, match="outside"):
+        embedding.score_patches(px, lambda a, b: a + b + 2, patch=4).collect()
 
 
 def test_clipping():
     box = (0, 0, 10, 10)
     assert focal.clip_line([(-5, 5), (5, 5), (5, 20), (7, 5)], box) == [[(0.0, 5.0), (5.0, 5.0), (5.0, 10.0)], [(pytest.approx(6.3333, abs=1e-3), 10.0), (7.0, 5.0)]]
     assert focal.clip_line([(20, 20), (30, 30)], box) == []
+    assert focal.clip_line([(0, 5), (10, 5), (20, 5)], box) == [[(0, 5), (10, 5)]]
+    assert focal.clip_line([(5, 5), (10, 5), (20, 5), (20, 6), (10, 6), (5, 6)], box) == [[(5, 5), (10, 5)], [(10, 6), (10, 6), (5, 6)]]
     ring = focal.clip_ring([(-5, -5), (5, -5), (5, 5), (-5, 5)], box)
     assert ring[0] == ring[-1] and {(0, 0), (5, 0), (5, 5), (0, 5)} == set(ring)
 
