@@ -21,9 +21,13 @@ documents that the pivot does not reach are split by that window and joined in t
 that lie between two documents already linked to one pivot need no test: they cannot change a
 component.
 
-A group that is too large for a task is dealt out first, on Spark, to Voronoi regions of sampled
-members; a member goes also to every region whose pivot is at most 0.2 farther than its nearest. Where
-that does not divide a group, pairs of blocks do.
+A group that is too large for a task is divided on Spark, round by round, in the same way. Sampled members and one made-up
+set, the shingles that half of the sample holds, are the group's pivots; each member goes to the Voronoi region of its nearest
+pivot and, as a boundary copy, to every region whose pivot is at most 0.2 farther. Members within 0.1 of a pivot are linked to
+it, and members within 0.05 of the made-up centre are linked to each other by the triangle inequality; a region in which all
+are linked is done, and in others only the linked ones in the window of a member that is not go on. A region with few members
+that must meet all others is cut into slices of the others, each with those few. What is still too large is divided again; where
+a round does not halve a group, pairs of blocks of it meet instead.
 
 The order of shingles only decides how much work there is, never the result: it uses the counts of
 the (at most 2**20) most frequent shingles. Equal sets are one set throughout.
@@ -321,58 +325,98 @@ def _join_regions(percent: int):
 # ------------------------------------------------------------------------------ groups too large
 
 
-def _distances(percent: int):
-    """Member and pivots of its region to the pivots in whose regions it must be."""
+def _dealt(percent: int):
+    """Members of a group (a slice of them) and its pivots to (region, part, sig, d, owner, linked): the parts of each member,
+    its distance to the pivot, whether that is its nearest, and whether it is of the one component of the members linked there."""
     eps = 1 - percent / 100
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {"region": [], "sig": [], "part": []}
-            for region, sig, mine, pivots in zip(*(batch.column(k).to_pylist() for k in ("region", "sig", "codes", "pivots")), strict=True):
-                mine = np.frombuffer(mine, np.uint64)
-                d = []
-                for p in pivots:
-                    p = np.frombuffer(p, np.uint64)
-                    inner = len(np.intersect1d(mine, p, assume_unique=True))
-                    d.append(1 - inner / (len(mine) + len(p) - inner))
-                for k in np.flatnonzero(np.array(d) <= min(d) + 2 * eps + 1e-9):
-                    out["region"].append(region), out["sig"].append(sig), out["part"].append(int(k) + 1)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("region", pa.int64()), ("sig", pa.int64()), ("part", pa.int64())]))
+    def run(members: pa.Table, pivots: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.uint64) for x in pivots.column("codes").to_pylist()]
+        if sets:
+            codes, count = np.unique(np.concatenate(sets), return_counts=True)
+            sets.append(codes[2 * count >= len(sets)])
+        out: dict[str, list] = {"region": [], "part": [], "sig": [], "d": [], "owner": [], "linked": []}
+        region = members.column("region")[0].as_py() if members.num_rows else 0
+        for sig, mine in zip(members.column("sig").to_pylist(), members.column("codes").to_pylist(), strict=True):
+            mine = np.frombuffer(mine, np.uint64)
+            inner = np.array([len(np.intersect1d(mine, x, assume_unique=True)) for x in sets])
+            outer = np.array([len(x) for x in sets]) + len(mine) - inner
+            d = 1 - inner / outer
+            linked = 100 * inner >= percent * outer
+            linked[-1] = 200 * (outer[-1] - inner[-1]) <= (100 - percent) * outer[-1]
+            for k in np.flatnonzero(d <= d.min() + 2 * eps + 1e-9):
+                out["region"].append(region), out["part"].append(int(k)), out["sig"].append(sig), out["d"].append(float(d[k])), out["owner"].append(bool(k == d.argmin())), out["linked"].append(bool(linked[k]))
+        return pa.Table.from_pydict(out, pa.schema([("region", pa.int64()), ("part", pa.int64()), ("sig", pa.int64()), ("d", pa.float64()), ("owner", pa.bool_()), ("linked", pa.bool_())]))
 
     return run
 
 
-def _deal_out(regions: DataFrame, payload: DataFrame, most: int, percent: int, n_pivots: int = 32) -> DataFrame:
-    """(region, part, sig) with no part above ``most`` members: Voronoi regions with their boundary
-    documents for large groups, then pairs of blocks for what those do not divide."""
-    sizes = regions.groupBy("region").count()
-    large = sizes.filter(F.col("count") > most).select("region")
-    if large.isEmpty():
-        return regions.select("region", F.lit(0).cast("long").alias("part"), "sig")
-    rank = Window.partitionBy("region").orderBy(F.xxhash64("sig", F.lit(5)), "sig")
-    inside = regions.join(large, "region", "left_semi")
-    pivots = (
-        inside.withColumn("k", F.row_number().over(rank)).filter(F.col("k") <= n_pivots)
-        .join(payload, "sig").groupBy("region").agg(F.collect_list("codes").alias("pivots"))
+def _round(groups: DataFrame, large: DataFrame, payload: DataFrame, percent: int, k: int, n_pivots: int, most_slice: int) -> DataFrame:
+    """The groups of ``large`` (region, n) dealt to their pivots, as ``_dealt`` says."""
+    inside = groups.join(large, "region")
+    hashed = F.xxhash64("sig", F.lit(k))
+    pivots = stage(
+        inside.groupBy("region", F.pmod(hashed, F.lit(n_pivots)).alias("slot")).agg(F.min(F.struct(hashed.alias("h"), "sig"))["sig"].alias("sig"), F.first("n").alias("n"))
+        .join(payload, "sig").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / most_slice))))
+        .select("region", "slice", "codes"),
+        "pivots",
     )
-    dealt = stage(
-        inside.join(payload, "sig").join(pivots, "region").select("region", "sig", "codes", "pivots")
-        .mapInArrow(_distances(percent), "region long, sig long, part long"),
+    members = inside.join(payload, "sig").withColumn("slice", F.pmod(F.xxhash64("sig", F.lit(-1)), F.floor(F.col("n") / most_slice) + 1))
+    return stage(
+        members.select("region", "slice", "sig", "codes").groupBy("region", "slice").cogroup(pivots.groupBy("region", "slice"))
+        .applyInArrow(_dealt(percent), "region long, part long, sig long, d double, owner boolean, linked boolean"),
         "voronoi",
     )
-    still = dealt.groupBy("region", "part").count().withColumn("blocks", F.ceil(2 * F.col("count") / most)).filter(F.col("count") > most)
-    # Blocks i <= j of a part meet in the sub-part (i, j): every pair of members meets in one of them.
+
+
+def _deal_out(regions: DataFrame, payload: DataFrame, most: int, percent: int, n_pivots: int = 32, most_slice: int = 2_000) -> tuple[DataFrame, DataFrame | None]:
+    """(region, part, sig) with no part above ``most`` members, and links (a, b) found on the way, if any."""
+    groups, parts, links, k = regions, [], [], 0
+    blocks = regions.limit(0).select("region", "sig", F.lit(0).cast("long").alias("n"))
+    while True:
+        large = groups.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+        if large.isEmpty():
+            break
+        large = stage(large, "large")
+        parts.append(groups.join(large, "region", "left_anti"))
+        dealt = _round(groups, large, payload, percent, k, n_pivots, most_slice)
+        reps = dealt.filter("linked").groupBy("region", "part").agg(F.min("sig").alias("a"))
+        links.append(dealt.filter("linked").join(reps, ["region", "part"]).select("a", F.col("sig").alias("b")))
+        # Each linked pair meets in the part of the nearest pivot of either. Tests are needed there of the owners, and of the members
+        # that are not linked to the pivot; the fewer of the two are active, and passive members need no test among each other.
+        kinds = dealt.groupBy("region", "part").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("far"), F.count_if(~F.col("linked")).alias("u"), F.count_if("owner").alias("o"))
+        left = dealt.join(kinds.filter("u > 0 AND o > 0"), ["region", "part"]).filter(f"u > o OR NOT linked OR d >= far - {1 - percent / 100} - 1e-9")
+        left = stage(left.select("region", "part", "sig", F.when(F.col("u") <= F.col("o"), F.col("linked")).otherwise(~F.col("owner")).alias("passive")), "left")
+        sizes = left.groupBy("region", "part").agg(F.count("*").alias("m"), F.count_if(~F.col("passive")).alias("s"))
+        # A part that holds few active members is cut into slices of the others that each have these.
+        cut = (F.col("m") > most) & (4 * F.col("s") <= most)
+        whole = sizes.filter(~cut).groupBy("region").agg(F.max("m").alias("m"), F.sum("m").alias("total"))
+        halved = F.col("m").isNull() | (F.col("m") <= most) | ((2 * F.col("m") <= F.col("n")) & (F.col("total") <= 4 * F.col("n")))
+        state = stage(large.join(whole, "region", "left").select("region", "n", halved.alias("halved")), "halved")
+        blocks = blocks.unionByName(groups.join(state.filter("NOT halved").select("region", "n"), "region").select("region", "sig", "n"))
+        going_on = left.join(state.filter("halved").select("region"), "region", "left_semi")
+        slices = sizes.filter(cut).select("region", "part", F.ceil(2 * F.col("m") / most).alias("slices"))
+        mine = F.when(F.col("passive"), F.array(F.pmod(F.xxhash64("sig"), F.col("slices")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))
+        sliced = going_on.join(slices, ["region", "part"]).withColumn("slice", F.explode(mine))
+        parts.append(sliced.select(F.xxhash64("region", "part", "slice", F.lit(k)).alias("region"), "sig"))
+        groups = going_on.join(slices, ["region", "part"], "left_anti").select(F.xxhash64("region", "part", F.lit(k)).alias("region"), "sig")
+        k += 1
+    found = groups
+    for x in parts:
+        found = found.unionByName(x.select("region", "sig"))
+    found = found.select("region", F.lit(0).cast("long").alias("part"), "sig")
+    if not k:
+        return found, None
+    # Blocks i <= j of a group meet in the part (i, j): every pair of members meets in one of them.
     blocked = (
-        dealt.join(still.drop("count"), ["region", "part"])
-        .withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("blocks")))
+        blocks.withColumn("blocks", F.ceil(2 * F.col("n") / most)).withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("region", (-1 - F.xxhash64("part", F.least("mine", "other"), F.greatest("mine", "other")) % (1 << 40)).alias("part"), "sig")
-    )
-    return (
-        regions.join(large, "region", "left_anti").select("region", F.lit(0).cast("long").alias("part"), "sig")
-        .union(dealt.join(still, ["region", "part"], "left_anti").select("region", "part", "sig"))
-        .union(blocked)
+        .select("region", (-1 - F.pmod(F.xxhash64(F.least("mine", "other"), F.greatest("mine", "other")), F.lit(1 << 60))).alias("part"), "sig")
     )
+    every = links[0]
+    for x in links[1:]:
+        every = every.unionByName(x)
+    return found.unionByName(blocked), every
 
 
 # ------------------------------------------------------------------------------------- the join
@@ -421,12 +465,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_region: int
     wanted = stage(firsts.join(regions.select("sig").distinct(), "sig", "left_semi").select("rep"), "wanted")
     needed = docs.join(few(wanted), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     payload = stage(needed.mapInArrow(_payload(width), "sig long, codes binary"), "payload")
-    links = stage(
-        _deal_out(regions, payload, max_region, percent).join(payload, "sig")
-        .repartition("region", "part").sortWithinPartitions("region", "part", "sig")
-        .select("region", "part", "sig", "codes").mapInArrow(_join_regions(percent), "a long, b long").distinct(),
-        "set-links",
+    parts, known_links = _deal_out(regions, payload, max_region, percent)
+    links = (
+        parts.join(payload, "sig").repartition("region", "part").sortWithinPartitions("region", "part", "sig")
+        .select("region", "part", "sig", "codes").mapInArrow(_join_regions(percent), "a long, b long")
     )
+    links = stage((links if known_links is None else links.unionByName(known_links)).distinct(), "set-links")
     rep_a, rep_b = firsts.select(F.col("sig").alias("a"), F.col("rep").alias("rep_a")), firsts.select(F.col("sig").alias("b"), F.col("rep").alias("rep_b"))
     found = components(links.join(rep_a, "a").join(rep_b, "b"), "rep_a", "rep_b")
     label = firsts.join(found, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("label", "rep").alias("label"))

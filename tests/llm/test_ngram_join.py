@@ -4,6 +4,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from skylattice.llm import ngram_join
 from skylattice.llm.components import components
@@ -73,6 +74,39 @@ def test_large_first_regions_are_dealt_out(frame):
     assert run(frame(clusters()), max_region=8, max_tested=2) == brute(clusters())
 
 
+def test_rounds_link_a_large_group_and_leave_little(spark):
+    """Near copies of one text are linked by the first round; members at the edge of it go on."""
+    draw = np.random.default_rng(8)
+    base, sets = draw.choice(100_000, 200, replace=False), {}
+    for k in range(300):
+        x = base.copy()
+        n = k % 4 if k < 290 else 12
+        x[draw.choice(200, n, replace=False)] = 200_000 + draw.choice(100_000, n, replace=False)
+        sets[k] = np.unique(x).astype(np.uint64)
+    payload = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in sets.items()], "sig long, codes binary")
+    regions = spark.createDataFrame([(1, k) for k in sets], "region long, sig long")
+    parts, links = ngram_join._deal_out(regions, payload, 40, 90, n_pivots=4, most_slice=50)
+    held = [sorted(r["x"]) for r in parts.groupBy("region", "part").agg(F.collect_list("sig").alias("x")).collect()]
+    known = {tuple(sorted(r)) for r in links.collect()}
+    inside = [(a, b) for rows in held for a, b in ngram_pairs(rows, sets)]
+    every = [(a, b) for a in sets for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 90 * len(np.union1d(sets[a], sets[b]))]
+
+    def roots(pairs):
+        label = list(range(300))
+        for _ in range(12):
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert max(map(len, held), default=0) <= 45  # slices are dealt by hash
+    assert sum(map(len, held)) < 1500  # pairs of the 15 blocks would hold 4,500
+    assert roots([*known, *inside]) == roots(every)
+
+
+def ngram_pairs(rows, sets):
+    return [(rows[i], rows[j]) for i, j in ngram_join.join_sets([sets[k] for k in rows])]
+
+
 def test_local_join_is_exact():
     draw = np.random.default_rng(5)
     sets = []
