@@ -29,8 +29,9 @@ are linked is done, and in others only the linked ones in the window of a member
 that must meet all others is cut into slices of the others, each with those few. What is still too large is divided again; where
 a round does not halve a group, pairs of blocks of it meet instead.
 
-The order of shingles only decides how much work there is, never the result: it uses the counts of
-the (at most 2**20) most frequent shingles. Equal sets are one set throughout.
+The order of shingles is by how many sets hold them, rare ones first. Texts are packed into chunks; a chunk asks buckets in how
+many sets of all chunks its shingles are, and leaves out those that no other set holds: no other set can meet it there.
+Equal sets are one set throughout.
 
 Defined cases: a null, empty or blank text has the empty set and links with nothing; one or two words
 are one shingle; repeated rows are equal sets; a null doc_id gets the component of its set; other
@@ -39,6 +40,7 @@ columns are not read. Shingles are 64-bit codes of the words.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,12 +48,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, few, mix, slices, stage, table
+from .common import Words, bucket_of, few, mix, packed, slices, spans_of, stage, table, unpacked
 from .components import components
+from .substring_dedup import CHUNK, CHUNK_BYTES, chunks_of, texts_of
 
 SHINGLE = 3
 PERCENT = 90
-MAX_HEAVY = 1 << 20
+#: Shingles of a bucket, about, once there are more than ``LEAST_BUCKETS`` full ones.
+BUCKET = 2_000_000
+LEAST_BUCKETS = 64
 CLASSES = 256
 #: Members of a group that one task joins; larger groups are dealt out.
 MAX_REGION = 20_000
@@ -113,46 +118,61 @@ def _signatures(width: int):
     return run
 
 
-def _repeated(width: int, flush: int = 1_500_000):
-    """Counts of the shingles that come twice or more in a run of rows; a hint, not a result."""
+def _held_keys(sets: Sets, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The upper ``bits`` of the codes of a chunk's different sets, and in how many of these sets each is."""
+    once = np.zeros(len(sets.n), bool)
+    once[np.unique(sets.sig, return_index=True)[1]] = True
+    return np.unique(sets.codes[once[sets.row]] >> np.uint64(64 - bits), return_counts=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def counted() -> pa.RecordBatch:
-            codes, count = np.unique(np.concatenate(held), return_counts=True)
-            many = count > 1
-            return pa.RecordBatch.from_arrays([_signed(codes[many]), pa.array(count[many])], ["code", "count"])
+def _asked(width: int, bits: int, buckets: int):
+    """What a chunk holds, to buckets of shingles."""
 
-        for _, sets in _with_sets(batches, width):
-            held.append(sets.codes)
-            if sum(map(len, held)) > flush:
-                yield counted()
-                held = []
-        if held:
-            yield counted()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.collect()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                keys, count = _held_keys(Sets(texts_of(batch, k)[1], width), bits)
+                bucket = bucket_of(keys << np.uint64(64 - bits), buckets)
+                spans = spans_of(bucket)
+                columns = [
+                    pa.array([bucket[a] for a, _ in spans], pa.int64()), pa.array([batch.column("chunk")[k].as_py()] * len(spans), pa.int64()),
+                    pa.array([packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in spans], pa.binary()), pa.array([packed(count[a:b]) for a, b in spans], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "keys", "counts"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _prefixes(heavy, percent: int, width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = heavy.value
-        for _, sets in _with_sets(batches, width):
-            weight = np.zeros(len(sets.codes), np.int64)
-            if len(codes):
-                at = np.minimum(np.searchsorted(codes, sets.codes), len(codes) - 1)
-                weight = np.where(codes[at] == sets.codes, counts[at], 0)
+def _counted(t: pa.Table) -> pa.Table:
+    """One bucket: to each chunk the counts over all chunks of what it holds, 255 at most."""
+    held = [np.cumsum(unpacked(x).view(np.uint64)) for x in t.column("keys").to_pylist()]
+    known, at = np.unique(np.concatenate(held), return_inverse=True)
+    sums = np.zeros(len(known), np.int64)
+    np.add.at(sums, at, np.concatenate([unpacked(x) for x in t.column("counts").to_pylist()]))
+    answers = np.split(np.minimum(sums, 255)[at], np.cumsum([len(x) for x in held])[:-1])
+    return pa.Table.from_arrays([t.column("chunk"), t.column("bucket"), pa.array([packed(x) for x in answers], pa.binary())], ["chunk", "bucket", "counts"])
+
+
+def _prefixes(percent: int, width: int, bits: int):
+    """(code, sig, n) of the first shingles of each set, rare ones first, that other sets hold too."""
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        out = [pa.table({"code": pa.array([], pa.int64()), "sig": pa.array([], pa.int64()), "n": pa.array([], pa.int32())})]
+        counts = np.concatenate([np.zeros(0, np.int64), *(unpacked(x) for x in answers.sort_by("bucket").column("counts").to_pylist())])
+        for k in range(chunk.num_rows):
+            sets = Sets(texts_of(chunk, k)[1], width)
+            weight = counts[np.searchsorted(_held_keys(sets, bits)[0], sets.codes >> np.uint64(64 - bits))]
             order = np.lexsort((sets.codes, weight, sets.row))
             place = np.arange(len(order)) - sets.first[sets.row]
             n = sets.n[sets.row]
-            take = place < n - (percent * n + 99) // 100 + 1
+            take = (place < n - (percent * n + 99) // 100 + 1) & (weight[order] > 1)
             once = np.zeros(len(sets.n), bool)
             once[np.unique(sets.sig, return_index=True)[1]] = True
             take &= once[sets.row]
-            yield pa.RecordBatch.from_arrays(
-                [_signed(sets.codes[order][take]), _signed(sets.sig[sets.row][take]), pa.array(n[take].astype(np.int32))], ["code", "sig", "n"]
-            )
+            out.append(pa.Table.from_arrays([_signed(sets.codes[order][take]), _signed(sets.sig[sets.row][take]), pa.array(n[take].astype(np.int32))], ["code", "sig", "n"]))
+        return pa.concat_tables(out)
 
     return run
 
@@ -428,20 +448,19 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_region: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = stage(docs.mapInArrow(_signatures(width), "doc_id long, n long, sig long, classes binary"), "sets")
 
+    chunks = stage(docs.mapInArrow(chunks_of(CHUNK_BYTES), CHUNK), "chunks")
     total = sets.agg(F.sum("n")).first()[0] or 0
-    counts = docs.select("doc_id", "text").mapInArrow(_repeated(width), "code long, count long").groupBy("code").agg(F.sum("count").alias("count"))
-    heavy = counts.filter(F.col("count") >= max(8, total // MAX_HEAVY)).orderBy(F.desc("count")).limit(MAX_HEAVY).toArrow()
-    codes, count = heavy.column("code").to_numpy().view(np.uint64), heavy.column("count").to_numpy()
-    order = np.argsort(codes)
-    known = spark.sparkContext.broadcast((codes[order], count[order]))
+    bits = max(40, min(64, total.bit_length() + 10))
+    asked = chunks.mapInArrow(_asked(width, bits, max(LEAST_BUCKETS, total // BUCKET)), "bucket long, chunk long, keys binary, counts binary")
+    answers = stage(asked.groupBy("bucket").applyInArrow(_counted, "chunk long, bucket long, counts binary"), "counts")
+    prefixes = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_prefixes(percent, width, bits), "code long, sig long, n int")
 
     by_n = Window.partitionBy("code").orderBy("n", "sig")
     before, after = F.lag("n").over(by_n), F.lead("n").over(by_n)
     begins = before.isNull() | (100 * before < percent * F.col("n"))
     ends = after.isNull() | (100 * F.col("n") < percent * after)
     cells = stage(
-        docs.mapInArrow(_prefixes(known, percent, width), "code long, sig long, n int")
-        .repartition("code").dropDuplicates(["code", "sig"])
+        prefixes.repartition("code").dropDuplicates(["code", "sig"])
         .withColumn("begins", begins).withColumn("ends", ends)
         .withColumn("chain", F.sum(F.col("begins").cast("int")).over(by_n))
         .filter(~(F.col("begins") & F.col("ends"))).select("code", "chain", "sig", "n"),

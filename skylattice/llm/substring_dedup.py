@@ -74,6 +74,12 @@ def _strings(data: pa.Buffer, lengths: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets), data)
 
 
+def texts_of(t: pa.RecordBatch | pa.Table, k: int) -> tuple[pa.Array, pa.Array]:
+    """doc_ids and texts of a chunk."""
+    lengths = t.column("lengths")[k].values.to_numpy(zero_copy_only=False)
+    return t.column("doc_ids")[k].values, _strings(_unzipped(t.column("texts")[k].as_py(), int(lengths.sum())), lengths)
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     have = 1
     while have < width:
@@ -119,10 +125,9 @@ class Chunk:
     ``minis`` are the distinct minimizers, 48 bits in the upper part, and ``mini`` is the one of each group of equal segments."""
 
     def __init__(self, t: pa.RecordBatch | pa.Table, k: int) -> None:
-        doc_ids = t.column("doc_ids")[k].values
-        lengths = t.column("lengths")[k].values.to_numpy(zero_copy_only=False)
+        doc_ids, texts = texts_of(t, k)
         self.doc_ids, self.chunk = doc_ids, t.column("chunk")[k].as_py()
-        self.words = words = Words(_strings(_unzipped(t.column("texts")[k].as_py(), int(lengths.sum())), lengths))
+        self.words = words = Words(texts)
         known, doc = pc.is_valid(doc_ids).to_numpy(zero_copy_only=False), pc.fill_null(doc_ids, 0).to_numpy(zero_copy_only=False)
         self.begins = np.searchsorted(words.row, np.arange(words.n_rows + 1))
         n = max(0, len(words.code) - WINDOW + 1)
@@ -162,7 +167,9 @@ class Chunk:
         return at, doc, start, Groups(self.words, self.other, at, np.full(len(at), WINDOW), doc, start)
 
 
-def _chunks(most_bytes: int):
+def chunks_of(most_bytes: int):
+    """Documents (doc_id, text) to chunks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
         for made, part in enumerate(slices(batches, "text", most_bytes)):
@@ -384,7 +391,7 @@ def deduplicate(
 ) -> DataFrame:
     """(doc_id, text, n_words, n_removed): each row with the words that stay, joined by one space."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks = stage(docs.mapInArrow(_chunks(chunk_bytes), CHUNK), "chunks")
+    chunks = stage(docs.mapInArrow(chunks_of(chunk_bytes), CHUNK), "chunks")
     n_chunks, n_bytes = chunks.agg(F.count("*"), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda x, y: x + y)), F.lit(0))).first()
     buckets = max(LEAST_BUCKETS, n_bytes // (40 * BUCKET))
     asked = chunks.mapInArrow(_asked(buckets), "kind int, bucket long, chunk long, keys binary, more binary")
