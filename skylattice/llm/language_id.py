@@ -3,8 +3,8 @@
 Bytes of a fixed-length window are embedded; filters of several widths slide over them; each filter's
 largest response (after a rectifier) is a feature, and a softmax over the features gives the language.
 Training (Adam on cross-entropy; only the largest response of a filter gets a gradient) runs on the
-driver, on a bounded sample: at most ``PER_LANGUAGE`` labelled documents of each of the
-``MAX_LANGUAGES`` most frequent languages, one window of each. Prediction runs in tasks over every
+driver, on a bounded sample: at most ``PER_LANGUAGE`` labelled documents of each language, and with many
+languages fewer of each, so that all have at most ``MOST_WINDOWS`` or one each; one window of each document. Prediction runs in tasks over every
 window of every text: filter responses are sums of look-ups by byte and by pair of bytes, so a batch of
 windows needs no loop over positions. A document's probabilities are the mean over its windows,
 weighted by their bytes.
@@ -33,7 +33,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
 PER_LANGUAGE = 1500
-MAX_LANGUAGES = 100
+MOST_WINDOWS = 150_000
 EPOCHS = 12
 #: Batches that training takes at least; a small sample is gone through more often.
 LEAST_STEPS = 1200
@@ -175,13 +175,14 @@ def _predict(tables):
     return run
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, epochs: int = EPOCHS) -> ByteNetwork | None:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_windows: int = MOST_WINDOWS, epochs: int = EPOCHS) -> ByteNetwork | None:
     """A network fitted on the rows that are not held out; None if there are none."""
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND NOT held_out AND letter")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = labelled.groupBy("lang").count().collect()
     if not counts:
         return None
     counts = {r["lang"]: r["count"] for r in counts}
+    per_language = max(1, min(per_language, most_windows // len(counts)))
     # 1.2 times what is needed on average, then cut: the bound holds whatever the draw gives.
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     chosen = F.lit(False)

@@ -2,7 +2,9 @@
 
 Documents fall into cells (source, language, topic). Cell weights start as the cells' shares of all
 tokens; each round scales them to the target share of every source, then language, then topic, and
-rounds repeat until the sources' and languages' shares are right as well. A cell's documents are kept with
+rounds repeat until the sources' and languages' shares are right as well, or until four more rounds bring the worst
+share no nearer: targets can contradict each other where cells are empty. Then given targets are refused with an error, and
+tempered ones leave what remains as ``gap``. A cell's documents are kept with
 probability min(1, budget * weight / tokens), where the budget is set so that the expected number of
 kept tokens is the asked-for part of all tokens, cells that have too few counted at 1. The draw of
 a document is a digest of its doc_id and the seed, hence the same on every run and cluster.
@@ -38,6 +40,9 @@ TOPICS = (
 TEMPER = 0.7
 KEEP = 0.8
 SEED = "mix-1"
+#: Rounds between two looks at the gap, and the part of the last gap that counts as no progress.
+ROUNDS = 4
+STALLED = 0.99
 
 
 def cells_of(docs: DataFrame, topics=TOPICS) -> DataFrame:
@@ -56,9 +61,10 @@ def cells_of(docs: DataFrame, topics=TOPICS) -> DataFrame:
 
 def rake(
     cells: DataFrame, targets: dict[str, dict[str, float] | None] | None = None, temper: float = TEMPER,
-    most_rounds: int = 40, within: float = 1e-9,
+    within: float = 1e-9,
 ) -> DataFrame:
-    """``cells`` (margins, tokens) with ``weight``: shares that meet the targets of every margin."""
+    """``cells`` (margins, tokens) with ``weight``: shares that meet the targets of every margin but for ``gap``, the
+    largest difference of a share from its target."""
     spark, targets = cells.sparkSession, targets or {}
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     cells = cells.withColumn("weight", F.col("tokens") / F.lit(float(max(total, 1))))
@@ -78,18 +84,22 @@ def rake(
     def share(m: str) -> Column:
         return F.sum("weight").over(Window.partitionBy(m))
 
-    for k in range(most_rounds):
-        for m in MARGINS:
+    before = float("inf")
+    while True:
+        for m in MARGINS * ROUNDS:
             cells = cells.withColumn("weight", F.when(share(m) > 0, F.col("weight") * F.col(f"target_{m}") / share(m)).otherwise(F.lit(0.0)))
-        if k % 4 == 3 or k == most_rounds - 1:
-            cells = stage(cells, "raked")
-            gap = max(
-                cells.groupBy(m).agg(F.abs(F.sum("weight") - F.first(f"target_{m}")).alias("x"), F.sum("tokens").alias("t")).filter("t > 0").agg(F.max("x")).first()[0] or 0.0
-                for m in MARGINS
-            )
-            if gap <= within:
-                break
-    return cells
+        cells = stage(cells, "raked")
+        gaps = {
+            m: cells.groupBy(m).agg(F.abs(F.sum("weight") - F.first(f"target_{m}")).alias("x"), F.sum("tokens").alias("t")).filter("t > 0").agg(F.max("x")).first()[0] or 0.0
+            for m in MARGINS
+        }
+        gap = max(gaps.values())
+        if gap <= within or gap > STALLED * before:
+            break
+        before = gap
+    if gap > within and any(targets.get(m) is not None for m in MARGINS):
+        raise ValueError(f"no weights meet the targets: shares differ by {gaps}")
+    return cells.withColumn("gap", F.lit(float(gap)))
 
 
 def calibrate(cells: DataFrame, keep: float = KEEP) -> DataFrame:
@@ -121,15 +131,15 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
 def mix_to_targets(
     docs: DataFrame, targets: dict[str, dict[str, float] | None] | None = None, keep: float = KEEP, temper: float = TEMPER, seed: str = SEED,
 ) -> DataFrame:
-    """doc_id, margins, n_tokens, weight and probability of the cell, draw and ``kept`` of each row."""
+    """doc_id, margins, n_tokens, weight and probability of the cell, draw and ``kept`` of each row, and the raking's ``gap``."""
     rows = stage(cells_of(docs), "mix-rows")
     cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
-    fitted = stage(calibrate(rake(cells, targets, temper), keep).select(*MARGINS, "weight", "probability"), "mix-cells")
+    fitted = stage(calibrate(rake(cells, targets, temper), keep).select(*MARGINS, "weight", "probability", "gap"), "mix-cells")
     return (
         rows.join(fitted, list(MARGINS)).withColumn("draw", draw(F.col("doc_id"), seed)).withColumn("kept", F.col("draw") < F.col("probability"))
-        .select("doc_id", *MARGINS, "n_tokens", "weight", "probability", "draw", "kept")
+        .select("doc_id", *MARGINS, "n_tokens", "weight", "probability", "draw", "kept", "gap")
     )
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_to_targets(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9)).withColumn("probability", F.round("probability", 9))
+    return mix_to_targets(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9)).withColumn("probability", F.round("probability", 9)).withColumn("gap", F.round("gap", 9))

@@ -117,6 +117,18 @@ def test_rake_meets_targets(frame):
     assert set(mixed[mixed.kept].doc_id) == set(again[again.kept].doc_id)
 
 
+def test_rake_says_what_it_cannot_meet(frame):
+    """Two English sources and a French one: the languages' shares follow from the sources'."""
+    docs = frame([(k, " ".join(prose(k, 10 + k % 30)), ("en", "en", "fr")[k % 3], f"s{k % 3}") for k in range(60)])
+    cells = mixing.cells_of(docs).groupBy(*mixing.MARGINS).agg(F.sum("n_tokens").alias("tokens"))
+    got = mixing.rake(cells).toPandas()
+    assert got.gap.nunique() == 1 and got.gap[0] > 1e-3
+    with pytest.raises(ValueError, match="no weights meet"):
+        mixing.rake(cells, {"lang": {"en": 0.1, "fr": 0.9}, "source": {"s0": 0.4, "s1": 0.4, "s2": 0.2}})
+    agreed = mixing.rake(cells, {"lang": {"en": 0.6, "fr": 0.4}, "source": {"s0": 0.3, "s1": 0.3, "s2": 0.4}, "topic": {"prose": 1.0}}).toPandas()
+    assert agreed.gap[0] <= 1e-9
+
+
 def test_mixing_odd_rows(frame, odd_docs):
     assert mixing.mix_to_targets(frame(odd_docs)).count() == len(odd_docs)
     assert mixing.mix_to_targets(frame([])).count() == 0
