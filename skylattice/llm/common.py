@@ -79,6 +79,8 @@ def _splitmix(n: int, seed: int) -> np.ndarray:
 
 _BASE = 0x2545F4914F6CDD1D
 _UNBASE = pow(_BASE, -1, 1 << 64)
+#: Powers are held up to this exponent; a higher one is that of a multiple times one of these.
+_STEP = 1 << 17
 _BYTE = _splitmix(256, 11)
 _GRAM = _splitmix(64, 77) | np.uint64(1)
 _IS_WORD = np.ones(256, bool)
@@ -100,12 +102,10 @@ def _power_tables(n: int) -> list[np.ndarray]:
     task; the tables are held once for each Python process instead."""
     held = sys.modules.setdefault("_skylattice_process", types.ModuleType("_skylattice_process"))
     if len(getattr(held, "powers", [()])[0]) < n:
-        tables = []
-        for base in (_BASE, _UNBASE):
-            steps = np.full(max(n, 1 << 20), base, np.uint64)
+        held.powers = [np.full(-(-n // _STEP) * _STEP, base, np.uint64) for base in (_BASE, _UNBASE)]
+        for steps in held.powers:
             steps[0] = 1
-            tables.append(np.cumprod(steps, dtype=np.uint64))
-        held.powers = tables
+            np.cumprod(steps, out=steps)
     return held.powers
 
 
@@ -156,10 +156,14 @@ class Words:
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.row = np.searchsorted(self.offsets, self.start, side="right") - 1
         if codes:
-            up, down = _power_tables(len(data) + 1)
+            up, down = _power_tables(_STEP)
+            far_up, far_down = (np.array([pow(x, _STEP * k, 1 << 64) for k in range(len(data) // _STEP + 1)], np.uint64) for x in (_BASE, _UNBASE))
             sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-            self.code = mix((sums[self.end] - sums[self.start]) * down[self.start])
+            for k, a in enumerate(range(0, len(data), _STEP)):
+                piece = sums[1 + a : 1 + a + _STEP]
+                np.multiply(_BYTE[data[a : a + _STEP]], up[: len(piece)] * far_up[k], out=piece)
+            np.cumsum(sums[1:], out=sums[1:])
+            self.code = mix((sums[self.end] - sums[self.start]) * (down[self.start % _STEP] * far_down[self.start // _STEP]))
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, 64-bit code) of each run of ``n`` words inside one row."""

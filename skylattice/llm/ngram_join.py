@@ -57,6 +57,8 @@ PERCENT = 90
 #: Shingles of a bucket, about, once there are more than ``LEAST_BUCKETS`` full ones.
 BUCKET = 2_000_000
 LEAST_BUCKETS = 64
+#: Shingles of a bucket that are counted at once.
+AT_ONCE = 250_000
 CLASSES = 256
 #: Members of a group that one task joins; larger groups are dealt out.
 MAX_REGION = 20_000
@@ -146,13 +148,24 @@ def _asked(width: int, bits: int, buckets: int):
 
 
 def _counted(t: pa.Table) -> pa.Table:
-    """One bucket: to each chunk the counts over all chunks of what it holds, 255 at most."""
-    held = [np.cumsum(unpacked(x).view(np.uint64)) for x in t.column("keys").to_pylist()]
-    known, at = np.unique(np.concatenate(held), return_inverse=True)
-    sums = np.zeros(len(known), np.int64)
-    np.add.at(sums, at, np.concatenate([unpacked(x) for x in t.column("counts").to_pylist()]))
-    answers = np.split(np.minimum(sums, 255)[at], np.cumsum([len(x) for x in held])[:-1])
-    return pa.Table.from_arrays([t.column("chunk"), t.column("bucket"), pa.array([packed(x) for x in answers], pa.binary())], ["chunk", "bucket", "counts"])
+    """One bucket: to each chunk the counts over all chunks of what it holds, 255 at most. Keys are evenly spread, so equal
+    ranges of them, of about ``AT_ONCE`` entries, are counted one after the other."""
+    held = [np.cumsum(unpacked(x.as_py()).view(np.uint64)) for x in t.column("keys")]
+    counts = [np.minimum(unpacked(x.as_py()), 255).astype(np.uint8) for x in t.column("counts")]
+    low, high = min(int(x[0]) for x in held), max(int(x[-1]) for x in held)
+    n_ranges = sum(map(len, held)) // AT_ONCE + 1
+    edges = np.array([low + (high - low) * k // n_ranges for k in range(1, n_ranges)], np.uint64)
+    cuts = np.array([[0, *np.searchsorted(x, edges), len(x)] for x in held])
+    for k in range(n_ranges):
+        spans = cuts[:, k : k + 2].tolist()
+        known, at = np.unique(np.concatenate([x[i:j] for x, (i, j) in zip(held, spans, strict=True)]), return_inverse=True)
+        sums = np.bincount(at, np.concatenate([x[i:j] for x, (i, j) in zip(counts, spans, strict=True)]), len(known))
+        answer, begin = np.minimum(sums, 255).astype(np.uint8)[at], 0
+        for x, (i, j) in zip(counts, spans, strict=True):
+            x[i:j] = answer[begin : begin + j - i]
+            begin += j - i
+    answers = pa.array([packed(x.astype(np.int64)) for x in counts], pa.binary())
+    return pa.Table.from_arrays([t.column("chunk"), t.column("bucket"), answers], ["chunk", "bucket", "counts"])
 
 
 def _prefixes(percent: int, width: int, bits: int):
