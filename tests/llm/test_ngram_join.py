@@ -179,6 +179,22 @@ def test_first_level_keeps_members_and_no_pairs():
     assert peak < 30e6
 
 
+@pytest.mark.parametrize("at_once", [7, 250_000])
+def test_buckets_count_what_chunks_hold(monkeypatch, at_once):
+    monkeypatch.setattr(ngram_join, "AT_ONCE", at_once)
+    draw = np.random.default_rng(5)
+    held = [np.unique(draw.integers(1 << 63, (1 << 63) + 60, 25, dtype=np.uint64)) for _ in range(12)] + [np.array([3], np.uint64)]
+    counts = [draw.integers(1, 400 if k == 0 else 4, len(x)) for k, x in enumerate(held)]
+    want = {}
+    for x, n in zip(held, counts, strict=True):
+        for key, c in zip(x.tolist(), n.tolist(), strict=True):
+            want[key] = want.get(key, 0) + c
+    sent = [pa.array([ngram_join.packed(v) for v in values], pa.binary()) for values in ([np.diff(x, prepend=np.uint64(0)) for x in held], counts)]
+    t = pa.table([pa.array(range(len(held))), pa.array([0] * len(held)), *sent], ["chunk", "bucket", "keys", "counts"])
+    got = [ngram_join.unpacked(x).tolist() for x in ngram_join._counted(t).column("counts").to_pylist()]
+    assert got == [[min(want[key], 255) for key in x.tolist()] for x in held]
+
+
 def test_labels_join_as_pairs_come():
     draw = np.random.default_rng(3)
     for _ in range(30):
