@@ -1,16 +1,16 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
 Encoding keeps an agenda of adjacent pairs of symbols whose concatenation is a piece, best score first and leftmost among
-equals; the pair on top is merged, pairs with its neighbours join the agenda, and pairs whose symbols have changed meanwhile
-are passed over. Symbols that are left and no piece are spelled in byte pieces.
+equals; the pair on top is merged and pairs with its neighbours join the agenda. Symbols that are left and no piece are
+spelled in byte pieces. The agendas of short parts lie side by side in arrays, and each round takes the top of every one; a
+long part's is a heap, where pairs whose symbols have changed meanwhile are passed over.
 
 Two neighbouring characters that stand side by side in no piece can't be merged across, so a text is cut there first. The
 cuts come from the vocabulary: around characters that no piece joins to another, and before a space symbol that follows
-anything else, if no piece has one inside. The parts are mostly words, and a process keeps the ids of those it has met
-(``MOST_KEPT`` at most, none longer than ``LONGEST_KEPT``), which changes the work but no result.
+anything else, if no piece has one inside. The parts are mostly words; equal parts of a slice are merged once.
 
 The vocabulary is a parameter, a file read on the driver and sent to the tasks (half a megabyte); every batch can be checked
-against the ``sentencepiece`` library, which gives the column ``agrees``. A task holds one slice of texts (256 kB, or one longer
+against the ``sentencepiece`` library, which gives the column ``agrees``. A task holds one slice of texts (1 MB, or one longer
 text). Nothing is shuffled.
 
 Defined cases: a null text is empty and has no ids; null ids decode to the empty text, null entries are left out; an id outside
@@ -27,7 +27,6 @@ import struct
 import sys
 import types
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +34,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import mix, slices, table
 
 SPACE_SYMBOL = "▁"
-MOST_KEPT, LONGEST_KEPT = 200_000, 48
+#: Longest part whose agenda is in arrays.
+SIDE_BY_SIDE = 40
+_SPREAD, _NONE = 0x9E3779B97F4A7C15, np.int64(1) << np.int64(62)
 #: Fixed values of the vocabulary file's format: piece types, model type, field numbers.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGES = 2
@@ -73,7 +74,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Pieces:
-    """A merge-type vocabulary: ``encode`` and ``decode`` of single texts."""
+    """A merge-type vocabulary."""
 
     def __init__(self, model: bytes) -> None:
         self.names, self.kinds, scores, trainer, normalizer = [], [], [], {}, {}
@@ -95,20 +96,59 @@ class Pieces:
         self.ids = {n: i for i, (n, k) in enumerate(zip(self.names, self.kinds, strict=True)) if k == NORMAL}
         self.cost = {n: -scores[i] for n, i in self.ids.items()}
         self.bytes = {int(n[3:5], 16): i for i, (n, k) in enumerate(zip(self.names, self.kinds, strict=True)) if k == BYTE}
-        self.controls = {i for i, k in enumerate(self.kinds) if k == CONTROL}
-        unknown = trainer.get(UNKNOWN_SURFACE, b" \xe2\x81\x87 ")
-        self.surface = [
-            {CONTROL: b"", UNKNOWN: unknown}.get(k) if k in (CONTROL, UNKNOWN) else bytes([int(n[3:5], 16)]) if k == BYTE else n.replace(SPACE_SYMBOL, " ").encode()
+        self._tables_to_encode()
+        self._tables_to_decode(trainer.get(UNKNOWN_SURFACE, b" \xe2\x81\x87 "))
+
+    def _tables_to_encode(self) -> None:
+        self.size = len(self.names)
+        places = {cost: place for place, cost in enumerate(sorted(set(self.cost.values())))}
+        self.order = np.zeros(self.size, np.int64)
+        for n, i in self.ids.items():
+            self.order[i] = places[self.cost[n]]
+        # By character: its piece or -1, and whether a longer piece holds it.
+        self.symbol, self.joins = np.full(0x110000, -1, np.int32), np.zeros(0x110000, bool)
+        for n, i in self.ids.items():
+            if len(n) == 1:
+                self.symbol[ord(n)] = i
+            else:
+                self.joins[[ord(c) for c in n]] = True
+        self.cut_at_spaces = not any(SPACE_SYMBOL in n.lstrip(SPACE_SYMBOL) for n in self.ids)
+        # Pairs of pieces that give a piece, in a table with open addresses.
+        pairs = {self.ids[a] * self.size + self.ids[b]: i for n, i in self.ids.items() for k in range(1, len(n)) if (a := n[:k]) in self.ids and (b := n[k:]) in self.ids}
+        self.bits = max(4, (8 * len(pairs)).bit_length())
+        self.keys, self.made = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        for key, made in pairs.items():
+            at = ((key * _SPREAD) & ((1 << 64) - 1)) >> (64 - self.bits)
+            while self.keys[at] >= 0:
+                at = (at + 1) & ((1 << self.bits) - 1)
+            self.keys[at], self.made[at] = key, made
+
+    def _tables_to_decode(self, unknown: bytes) -> None:
+        surface = [
+            b"" if k == CONTROL else unknown if k == UNKNOWN else bytes([int(n[3:5], 16)]) if k == BYTE else n.replace(SPACE_SYMBOL, " ").encode()
             for n, k in zip(self.names, self.kinds, strict=True)
         ]
-        joined = set().union(*(n for n in self.ids if len(n) > 1)) - {SPACE_SYMBOL}
-        inside = any(SPACE_SYMBOL in n.lstrip(SPACE_SYMBOL) for n in self.ids)
-        letters = "".join(map(re.escape, sorted(joined | ({SPACE_SYMBOL} if inside else set())))) or SPACE_SYMBOL
-        self.parts = re.compile(f"{SPACE_SYMBOL}*[{letters}]+|{SPACE_SYMBOL}+|.", re.DOTALL).findall
-        self.known = _Known(self._merge)
-
-    def _merge(self, text: str) -> tuple[int, ...]:
-        """The ids of a part, by the agenda."""
+        self.surface = surface
+        self.length = np.array([len(x) for x in surface], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        self.blob = np.frombuffer(b"".join(surface), np.uint8)
+        spaces = [len(n) - len(n.lstrip(SPACE_SYMBOL)) if k == NORMAL else 0 for n, k in zip(self.names, self.kinds, strict=True)]
+        #: Bytes that go where the piece comes first: the space that encoding puts there.
+        self.lead = np.array([x if self.squeeze else min(x, 1) for x in spaces] if self.prefix or self.squeeze else [0] * len(spaces), np.int64)
+        #: Pieces that can spoil the characters of a row: controls end a run of bytes, bytes may spell none.
+        self.careful = np.array([k == CONTROL or k == BYTE and int(n[3:5], 16) > 127 for n, k in zip(self.names, self.kinds, strict=True)])
+
+    # -------------------------------------------------------------------------------- encoding
+
+    def normalized(self, text: str) -> str:
+        if self.squeeze:
+            text = re.sub(" +", " ", text.strip(" "))
+        if text and self.prefix:
+            text = " " + text
+        return text.replace(" ", SPACE_SYMBOL)
+
+    def _merge(self, text: str) -> list[int]:
+        """The ids of one part, its agenda in a heap."""
         symbols: list[str | None] = list(text)
         cost, last = self.cost, len(symbols)
         left, right = list(range(-1, last - 1)), list(range(1, last + 1))
@@ -133,38 +173,137 @@ class Pieces:
             if s is not None:
                 one = self.ids.get(s)
                 out.extend([one] if one is not None else (self.bytes[x] for x in s.encode()))
-        return tuple(out)
-
-    def normalized(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if text and self.prefix:
-            text = " " + text
-        return text.replace(" ", SPACE_SYMBOL)
+        return out
+
+    def _gives(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece that each pair of pieces gives, or -1."""
+        key = a.astype(np.int64) * self.size + b
+        at = ((key.view(np.uint64) * np.uint64(_SPREAD)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        found = self.keys[at]
+        out = np.where(found == key, self.made[at], -1)
+        more = np.flatnonzero((found != key) & (found >= 0))
+        while len(more):
+            at[more] = (at[more] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[at[more]]
+            hit = found == key[more]
+            out[more[hit]] = self.made[at[more[hit]]]
+            more = more[~hit & (found >= 0)]
+        return out
+
+    def _merge_many(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, part of each) of parts whose characters are pieces, given one after the other."""
+        gives = np.append(self._gives(symbols[:-1], symbols[1:]), -1)
+        gives[:-1][owner[:-1] != owner[1:]] = -1
+        place, ended_ids, ended_owner = np.int64(1) << 32, [], []
+        while len(symbols):
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            # The order of the scores, then the place from the left.
+            top = np.minimum.reduceat(np.where(gives >= 0, self.order[gives] * place + np.arange(len(gives)), _NONE), first)
+            over = top == _NONE
+            left = np.ones(len(symbols), bool)
+            if over.any():
+                gone = np.repeat(over, np.diff(np.append(first, len(owner))))
+                ended_ids.append(symbols[gone])
+                ended_owner.append(owner[gone])
+                left[gone] = False
+            at = top[~over] % place
+            symbols[at] = gives[at]
+            left[at + 1] = False
+            merged = (np.cumsum(left) - 1)[at]
+            symbols, owner, gives = symbols[left], owner[left], gives[left]
+            near = np.concatenate([merged, merged - 1])
+            near = near[near >= 0]
+            ends = near + 1 >= len(symbols)
+            gives[near[ends]] = -1
+            near = near[~ends]
+            gives[near] = np.where(owner[near] == owner[near + 1], self._gives(symbols[near], symbols[near + 1]), -1)
+        ids, owner = np.concatenate(ended_ids), np.concatenate(ended_owner)
+        turn = np.argsort(owner, kind="stable")
+        return ids[turn], owner[turn]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of the texts."""
+        texts = [self.normalized(x) for x in texts]
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        rows = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+        if not len(codes):
+            return np.zeros(len(rows), np.int64), np.zeros(0, np.int32)
+        joins = self.joins[codes]
+        begins = np.append(True, ~(joins[1:] & joins[:-1]))
+        if self.cut_at_spaces:
+            space = codes == ord(SPACE_SYMBOL)
+            begins[1:] |= space[1:] & ~space[:-1]
+        begins[rows[(rows < len(codes))]] = True
+        start = np.flatnonzero(begins)
+        size = np.diff(np.append(start, len(codes)))
+
+        # Equal parts by a code of their characters; the characters are compared as well.
+        part = np.repeat(np.arange(len(start)), size)
+        inner = np.arange(len(codes)) - start[part]
+        code = np.add.reduceat(mix(codes.astype(np.uint64) + (inner.astype(np.uint64) << np.uint64(21))), start)
+        _, one, of = np.unique(code, return_index=True, return_inverse=True)
+        shown = one[of]
+        if (size != size[shown]).any() or (codes != codes[start[shown][part] + inner]).any():
+            one = of = np.arange(len(start))
+        # The distinct parts: short ones of known characters in arrays, the others one by one.
+        known = np.logical_and.reduceat(self.symbol[codes] >= 0, start)[one]
+        short = known & (size[one] <= SIDE_BY_SIDE)
+        ids, owner = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        if short.any():
+            which = np.flatnonzero(short)
+            n = size[one[which]]
+            at = np.repeat(start[one[which]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            x, y = self._merge_many(self.symbol[codes[at]], np.repeat(which, n))
+            ids.append(x)
+            owner.append(y)
+        for k in np.flatnonzero(~short).tolist():
+            a = start[one[k]]
+            x = self._merge(codes[a : a + size[one[k]]].tobytes().decode("utf-32-le"))
+            ids.append(np.array(x, np.int32))
+            owner.append(np.full(len(x), k))
+        ids, owner = np.concatenate(ids), np.concatenate(owner)
+        turn = np.argsort(owner, kind="stable")
+        ids, count = ids[turn], np.bincount(owner, minlength=len(one))
+        first = np.cumsum(count) - count
+        n = count[of]
+        ends = np.cumsum(n)
+        out = ids[np.repeat(first[of] - (ends - n), n) + np.arange(ends[-1])]
+        return np.append(0, ends)[np.searchsorted(start, rows)], out
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.known.__getitem__, self.parts(self.normalized(text)))))
+        return self.encode_all([text])[1].tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        if ids and not 0 <= min(ids) <= max(ids) < len(self.names):
+    # -------------------------------------------------------------------------------- decoding
+
+    def decode_all(self, offsets: np.ndarray, ids: np.ndarray) -> list[str]:
+        """The texts of rows of ids."""
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.names):
             raise ValueError("an id is outside the vocabulary")
-        parts = list(map(self.surface.__getitem__, ids))
-        # The space that encoding puts in front goes: one space symbol of the first piece that leaves text.
-        for k, i in enumerate(ids) if self.prefix or self.squeeze else ():
-            if self.names[i].startswith(SPACE_SYMBOL) and self.kinds[i] == NORMAL:
-                parts[k] = parts[k].lstrip(b" ") if self.squeeze else parts[k][1:]
-                break
-            if parts[k]:
-                break
-        if self.controls.isdisjoint(ids):
+        length, begin = self.length[ids], self.begin[ids]
+        # What encoding put in front goes from the first piece of a row that has text.
+        full = np.append(np.flatnonzero(length), len(ids))
+        first = full[np.searchsorted(full, offsets[:-1])]
+        first = first[first < offsets[1:]]
+        lead = self.lead[ids[first]]
+        begin[first] += lead
+        length[first] -= lead
+        ends = np.append(0, np.cumsum(length))
+        data = self.blob[np.repeat(begin - ends[:-1], length) + np.arange(ends[-1])].tobytes()
+        careful = np.append(0, np.cumsum(self.careful[ids]))
+        watched = (careful[offsets[1:]] > careful[offsets[:-1]]).tolist()
+        out = []
+        for k, (a, b) in enumerate(zip(ends[offsets[:-1]].tolist(), ends[offsets[1:]].tolist(), strict=True)):
+            out.append(self._runs(ids[(at := slice(offsets[k], offsets[k + 1]))], ends[:-1][at] - a, length[at], data[a:b]) if watched[k] else data[a:b].decode())
+        return out
+
+    def _runs(self, ids: np.ndarray, begin: np.ndarray, length: np.ndarray, data: bytes) -> str:
+        """A row with byte pieces: those of a run that spell no character with their neighbours are replaced one by one, and
+        control pieces end a run."""
+        if CONTROL not in {self.kinds[i] for i in ids.tolist()}:
             try:
-                return b"".join(parts).decode()
+                return data.decode()
             except UnicodeDecodeError:
                 pass
-        return self._decode_runs(ids, parts)
-
-    def _decode_runs(self, ids: list[int], parts: list[bytes]) -> str:
-        """Byte pieces that spell no character with their neighbours are replaced one by one; control pieces end a run of them."""
         out, run = [], b""
 
         def flush() -> None:
@@ -178,31 +317,21 @@ class Pieces:
                     except UnicodeDecodeError:
                         continue
                 else:
-                    out.append("�")
+                    out.append("\N{REPLACEMENT CHARACTER}")
                     at += 1
 
-        for i, part in zip(ids, parts, strict=True):
+        for i, a, n in zip(ids.tolist(), begin.tolist(), length.tolist(), strict=True):
             if self.kinds[i] == BYTE:
-                run += part
+                run += data[a : a + n]
             else:
                 flush()
                 run = b""
-                out.append(part.decode())
+                out.append(data[a : a + n].decode())
         flush()
         return "".join(out)
 
-
-class _Known(dict):
-    def __init__(self, find) -> None:
-        self.find = find
-
-    def __missing__(self, part: str) -> tuple[int, ...]:
-        ids = self.find(part)
-        if len(part) <= LONGEST_KEPT:
-            if len(self) >= MOST_KEPT:
-                self.clear()
-            self[part] = ids
-        return ids
+    def decode(self, ids: list[int]) -> str:
+        return self.decode_all(np.array([0, len(ids)]), np.array(ids, np.int64))[0]
 
 
 def _held(model: bytes) -> tuple[Pieces, object]:
@@ -216,7 +345,8 @@ def _held(model: bytes) -> tuple[Pieces, object]:
     return held.pieces, held.processor
 
 
-SLICE = 1 << 18
+#: Bytes of text, and ids, of a slice.
+SLICE, IDS = 1 << 20, 1 << 18
 
 
 def _encode(model: bytes, check: bool):
@@ -224,10 +354,11 @@ def _encode(model: bytes, check: bool):
         pieces, library = _held(model)
         for batch in slices(batches, "text", SLICE):
             texts = pc.fill_null(batch.column("text"), "").to_pylist()
-            rows = [pieces.encode(x) for x in texts]
-            columns, names = [batch.column("doc_id"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "ids"]
+            offsets, ids = pieces.encode_all(texts)
+            columns, names = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"]
             if check:
-                columns.append(pa.array([a == b for a, b in zip(rows, library.encode(texts, num_threads=1), strict=True)], pa.bool_()))
+                rows, cuts = ids.tolist(), offsets.tolist()
+                columns.append(pa.array([rows[a:b] == x for a, b, x in zip(cuts[:-1], cuts[1:], library.encode(texts, num_threads=1), strict=True)], pa.bool_()))
                 names.append("agrees")
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -245,17 +376,24 @@ def _decode(model: bytes, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, library = _held(model)
         for batch in batches:
-            lengths = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False))
-            cuts = [0, *(np.flatnonzero(np.diff(lengths // SLICE)) + 1), batch.num_rows]
+            column = batch.column("ids")
+            lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            part_of = np.cumsum(lengths) // IDS
+            cuts = [0, *(np.flatnonzero(np.diff(part_of)) + 1), batch.num_rows]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b <= a:
                     continue
                 part = batch.slice(a, b - a)
-                rows = [[i for i in x or () if i is not None] for x in part.column("ids").to_pylist()]
-                texts = [pieces.decode(x) for x in rows]
+                ids, offsets = pc.list_flatten(part.column("ids")), np.append(0, np.cumsum(lengths[a:b]))
+                if ids.null_count:
+                    offsets = np.append(0, np.cumsum(ids.is_valid().to_numpy(zero_copy_only=False)))[offsets]
+                    ids = ids.drop_null()
+                ids = ids.to_numpy().astype(np.int64)
+                texts = pieces.decode_all(offsets, ids)
                 columns, names = [*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"]
                 if check:
-                    columns.append(pa.array([x == library.decode(y) for x, y in zip(texts, rows, strict=True)], pa.bool_()))
+                    rows, ends = ids.tolist(), offsets.tolist()
+                    columns.append(pa.array([x == library.decode(rows[i:j]) for x, i, j in zip(texts, ends[:-1], ends[1:], strict=True)], pa.bool_()))
                     names.append("decoded_agrees")
                 yield pa.RecordBatch.from_arrays(columns, names)
 

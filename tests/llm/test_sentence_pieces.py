@@ -60,11 +60,21 @@ def test_given_ids(spark, model, library):
     assert found == {1: library.decode([264, 287]), 2: "", 3: ""}
 
 
-def test_kept_parts_are_bounded(model, monkeypatch):
-    monkeypatch.setattr(sp, "MOST_KEPT", 10)
-    pieces = sp.Pieces(model)
-    first = [pieces.encode(f"word{k} and more") for k in range(200)]
-    assert first == [pieces.encode(f"word{k} and more") for k in range(200)] and len(pieces.known) <= 10
+def test_heap_and_arrays_agree(model, library, monkeypatch):
+    draw = random.Random(7)
+    texts = ["".join(draw.choice("aeiorstn ▁é.") for _ in range(draw.randrange(200))) for _ in range(300)] + [x or "" for x in ODD]
+    want = library.encode(texts)
+    for longest in (0, 3, 40, 10**6):
+        monkeypatch.setattr(sp, "SIDE_BY_SIDE", longest)
+        offsets, ids = sp.Pieces(model).encode_all(texts)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == want
+
+
+def test_codes_that_collide(model, library, monkeypatch):
+    monkeypatch.setattr(sp, "mix", lambda x: x * 0)
+    texts = ["one two three two", "four", "", "one"]
+    offsets, ids = sp.Pieces(model).encode_all(texts)
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == library.encode(texts)
 
 
 def test_other_vocabularies_are_refused():
