@@ -2,9 +2,12 @@
 
 Documents fall into cells (source, language, topic). Cell weights start as the cells' shares of all
 tokens; each round scales them to the target share of every source, then language, then topic, and
-rounds repeat until the sources' and languages' shares are right as well, or until four more rounds bring the worst
-share no nearer: targets can contradict each other where cells are empty. Then given targets are refused with an error, and
-tempered ones leave what remains as ``gap``. A cell's documents are kept with
+rounds repeat until the sources' and languages' shares are right as well. Targets can contradict each other where cells are
+empty. Tempered ones then leave what remains as ``gap``, once four more rounds bring the worst share no nearer. Given ones are
+refused with an error, but only on proof: the logarithms of the factors of the last rounds, a number for each value of a
+margin, are tried as a certificate. Any weights that meet the targets have as their mean of the three numbers of a cell
+the sum of target times number, so there are none if that sum is beyond the largest cell with tokens. Targets that are only
+met in the limit are no contradiction: their raking ends after ``MOST_ROUNDS`` rounds and what remains is in ``gap``. A cell's documents are kept with
 probability min(1, budget * weight / tokens), where the budget is set so that the expected number of
 kept tokens is the asked-for part of all tokens, cells that have too few counted at 1. The draw of
 a document is a digest of its doc_id and the seed, hence the same on every run and cluster.
@@ -43,6 +46,7 @@ SEED = "mix-1"
 #: Rounds between two looks at the gap, and the part of the last gap that counts as no progress.
 ROUNDS = 4
 STALLED = 0.99
+MOST_ROUNDS = 200
 
 
 def cells_of(docs: DataFrame, topics=TOPICS) -> DataFrame:
@@ -61,7 +65,7 @@ def cells_of(docs: DataFrame, topics=TOPICS) -> DataFrame:
 
 def rake(
     cells: DataFrame, targets: dict[str, dict[str, float] | None] | None = None, temper: float = TEMPER,
-    within: float = 1e-9,
+    within: float = 1e-9, most_rounds: int = MOST_ROUNDS,
 ) -> DataFrame:
     """``cells`` (margins, tokens) with ``weight``: shares that meet the targets of every margin but for ``gap``, the
     largest difference of a share from its target."""
@@ -84,22 +88,43 @@ def rake(
     def share(m: str) -> Column:
         return F.sum("weight").over(Window.partitionBy(m))
 
-    before = float("inf")
+    given = any(targets.get(m) is not None for m in MARGINS)
+    before, rounds = float("inf"), 0
     while True:
+        for m in MARGINS:
+            cells = cells.withColumn(f"log_{m}", F.lit(0.0))
         for m in MARGINS * ROUNDS:
-            cells = cells.withColumn("weight", F.when(share(m) > 0, F.col("weight") * F.col(f"target_{m}") / share(m)).otherwise(F.lit(0.0)))
-        cells = stage(cells, "raked")
+            cells = cells.withColumn("share", share(m))
+            cells = cells.withColumn(f"log_{m}", F.col(f"log_{m}") + F.when((F.col("share") > 0) & (F.col(f"target_{m}") > 0), F.ln(F.col(f"target_{m}") / F.col("share"))).otherwise(0.0))
+            cells = cells.withColumn("weight", F.when(F.col("share") > 0, F.col("weight") * F.col(f"target_{m}") / F.col("share")).otherwise(F.lit(0.0))).drop("share")
+        cells, rounds = stage(cells, "raked"), rounds + ROUNDS
         gaps = {
             m: cells.groupBy(m).agg(F.abs(F.sum("weight") - F.first(f"target_{m}")).alias("x"), F.sum("tokens").alias("t")).filter("t > 0").agg(F.max("x")).first()[0] or 0.0
             for m in MARGINS
         }
         gap = max(gaps.values())
-        if gap <= within or gap > STALLED * before:
+        if gap <= within or rounds >= most_rounds or not given and gap > STALLED * before:
             break
+        if given and _contradictory(cells):
+            raise ValueError(f"no weights meet the targets: shares differ by {gaps}")
         before = gap
-    if gap > within and any(targets.get(m) is not None for m in MARGINS):
-        raise ValueError(f"no weights meet the targets: shares differ by {gaps}")
-    return cells.withColumn("gap", F.lit(float(gap)))
+    return cells.drop(*(f"log_{m}" for m in MARGINS)).withColumn("gap", F.lit(float(gap)))
+
+
+def _contradictory(cells: DataFrame) -> bool:
+    """Whether a value with a target has no cell left, or the factors of the last rounds prove that no weights meet the targets."""
+    left, wanted = cells.filter("weight > 0"), 0.0
+    for m in MARGINS:
+        row = (
+            cells.groupBy(m).agg(F.first(f"target_{m}").alias("target"), F.max(F.when(F.col("weight") > 0, F.col(f"log_{m}"))).alias("log"), F.sum("tokens").alias("t"))
+            .filter("t > 0 AND target > 0").agg(F.sum(F.col("target") * F.col("log")).alias("mean"), F.count_if(F.col("log").isNull()).alias("lost")).first()
+        )
+        if row["lost"]:
+            return True
+        wanted += row["mean"] or 0.0
+    sums = F.col(f"log_{MARGINS[0]}") + F.col(f"log_{MARGINS[1]}") + F.col(f"log_{MARGINS[2]}")
+    row = left.agg(F.max(sums).alias("most"), F.max(F.greatest(*(F.abs(f"log_{m}") for m in MARGINS))).alias("size")).first()
+    return row["most"] is not None and wanted > row["most"] + 1e-6 * max(row["size"], 1e-3)
 
 
 def calibrate(cells: DataFrame, keep: float = KEEP) -> DataFrame:

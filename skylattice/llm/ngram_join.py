@@ -11,8 +11,8 @@ empty of meaning at such distances, so the boundary window is counted instead: t
 share at least 0.9 n shingles of either, hence their first common shingle is among the first
 n - ceil(0.9 n) + 1 of both. Each document is replicated to those regions and to no other. Inside a
 region two more windows hold, both from Lipschitz maps of the set: sizes differ by at most a tenth
-(distance to the empty set), and so do 32 counts of shingles by code class, in sum (distance to the
-32 class pivots).
+(distance to the empty set), and so do 256 counts of shingles by code class, in sum (distance to the
+256 class pivots).
 
 Second level. What is left of a region are groups of really similar documents. They join recursively
 around real pivots: the document nearest to the group's common shingles is the pivot, documents within
@@ -34,7 +34,7 @@ many sets of all chunks its shingles are, and leaves out those that no other set
 Equal sets are one set throughout.
 
 Defined cases: a null, empty or blank text has the empty set and links with nothing; one or two words
-are one shingle; repeated rows are equal sets; a null doc_id gets the component of its set; other
+are one shingle; repeated rows are equal sets; a null doc_id gets the component of its set, and links sets like any other; other
 columns are not read. Shingles are 64-bit codes of the words.
 """
 
@@ -503,9 +503,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_region: int
         .select("region", "part", "sig", "codes").mapInArrow(_join_regions(percent), "a long, b long")
     )
     links = stage((links if known_links is None else links.unionByName(known_links)).distinct(), "set-links")
-    rep_a, rep_b = firsts.select(F.col("sig").alias("a"), F.col("rep").alias("rep_a")), firsts.select(F.col("sig").alias("b"), F.col("rep").alias("rep_b"))
-    found = components(links.join(rep_a, "a").join(rep_b, "b"), "rep_a", "rep_b")
-    label = firsts.join(found, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("label", "rep").alias("label"))
+    # Sets are linked by signature, since a set may have no doc_id; a component then takes the smallest doc_id of its sets.
+    found = components(links)
+    members = stage(found.join(firsts, F.col("node") == F.col("sig")).select("sig", "label", "rep"), "members")
+    least = members.groupBy("label").agg(F.min("rep").alias("least"))
+    linked = members.join(least, "label").select("sig", "least")
+    label = firsts.join(linked, "sig", "left").select("sig", F.coalesce("least", "rep").alias("label"))
     return sets.select("doc_id", "n", "sig").join(label, "sig", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("label")).alias("component_id")
     )

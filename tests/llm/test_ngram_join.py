@@ -48,6 +48,19 @@ def test_empty_table(frame):
     assert run(frame([])) == []
 
 
+def test_a_null_doc_id_links_others(frame):
+    """A (without doc_id) links with B and with C, B not with C."""
+    a = prose(50, 80)
+    b, c = [*a[:-1], "b1"], ["c1", *a[1:]]
+    b[40], c[20] = "b2", "c2"
+    assert not 100 * len(shingles(" ".join(b)) & shingles(" ".join(c))) >= 90 * len(shingles(" ".join(b)) | shingles(" ".join(c)))
+    rows = [(None, " ".join(a), "en", "a"), (5, " ".join(b), "en", "a"), (7, " ".join(c), "en", "a"), (None, "alone without any id here", "en", "a")]
+    want = brute(rows)
+    assert [r[2] for r in want if r[1] > 10] == [5, 5, 5]
+    assert run(frame(rows)) == want
+    assert run(frame([(None, t, x, y) for _, t, x, y in rows])) == brute([(None, t, x, y) for _, t, x, y in rows])
+
+
 def clusters():
     rows = []
     for c in range(6):

@@ -129,6 +129,38 @@ def test_rake_says_what_it_cannot_meet(frame):
     assert agreed.gap[0] <= 1e-9
 
 
+def test_rake_equals_plain_raking(frame):
+    """Against numpy over all odd rows; one margin given, two tempered."""
+    rows = [(k, " ".join(prose(k, 5 + k % 40)), ("en", "fr", None)[k % 3 if k % 5 else 2], f"s{k % 4}") for k in range(200)] + [(None, None, None, None), (7, "", "xx", "s9")]
+    cells = mixing.cells_of(frame(rows)).groupBy(*mixing.MARGINS).agg(F.sum("n_tokens").alias("tokens"))
+    got = mixing.rake(cells, {"lang": {"en": 0.6, "fr": 0.4, "absent": 3.0}}).toPandas()
+    weight = (got.tokens / got.tokens.sum()).to_numpy()
+    targets = {}
+    for m in mixing.MARGINS:
+        share = got.tokens.groupby(got[m]).sum() / got.tokens.sum()
+        t = share**mixing.TEMPER if m != "lang" else share * 0 + [{"en": 0.6, "fr": 0.4}.get(x, 0.0) for x in share.index]
+        t[share == 0] = 0.0
+        targets[m] = (t / t.sum()).loc[got[m]].to_numpy()
+    for _ in range(400):
+        for m in mixing.MARGINS:
+            share = got.assign(w=weight).groupby(m).w.transform("sum").to_numpy()
+            weight = np.where(share > 0, weight * targets[m] / np.where(share > 0, share, 1), 0.0)
+    assert np.allclose(got.weight, weight, atol=1e-6)
+
+
+def test_rake_of_targets_met_in_the_limit(spark):
+    """The full margins force the one cell off the diagonal towards 0, at a falling pace."""
+    cells = spark.createDataFrame([("a", "x", "t", 1), ("a", "y", "t", 1), ("b", "x", "t", 1)], "source string, lang string, topic string, tokens long")
+    goal = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"t": 1.0}}
+    got = mixing.rake(cells, goal, most_rounds=24).toPandas().set_index(["source", "lang"])
+    assert 0 < got.gap.iloc[0] < 0.03
+    assert got.weight[("a", "x")] < 0.03 and got.weight[("a", "y")] == pytest.approx(0.5, abs=0.03)
+    with pytest.raises(ValueError, match="no weights meet"):
+        mixing.rake(cells, goal | {"lang": {"x": 0.4, "y": 0.6}})
+    with pytest.raises(ValueError, match="no weights meet"):
+        mixing.rake(cells, goal | {"source": {"a": 1.0, "b": 0.0}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"t": 1.0}} | {"lang": {"x": 0.0, "y": 1.0}, "source": {"a": 0.5, "b": 0.5}})
+
+
 def test_mixing_odd_rows(frame, odd_docs):
     assert mixing.mix_to_targets(frame(odd_docs)).count() == len(odd_docs)
     assert mixing.mix_to_targets(frame([])).count() == 0
