@@ -86,3 +86,66 @@ def utm(lat: Column, lng: Column, zone: Column, north: Column | None = None) ->
         y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     shift = F.when(lat < 0, 1e7).otherwise(0.0) if north is None else F.when(north, 0.0).otherwise(1e7)
     return F.struct((500000 + 0.9996 * _RADIUS * x).alias("easting"), (shift + 0.9996 * _RADIUS * y).alias("northing"))
+
+
+# The inverse series, and that of the latitude, to fourth order.
+_BETA = (
+    _N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360,
+    _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440,
+    17 * _N**3 / 480 - 37 * _N**4 / 840,
+    4397 * _N**4 / 161280,
+)
+_DELTA = (
+    2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45,
+    7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45,
+    56 * _N**3 / 15 - 136 * _N**4 / 35,
+    4279 * _N**4 / 630,
+)
+
+
+def from_utm(easting: Column, northing: Column, zone: Column, north: Column) -> Column:
+    """UTM metres to WGS 84 degrees (lat, lng)."""
+    xi = (northing - F.when(north, 0.0).otherwise(1e7)) / (0.9996 * _RADIUS)
+    eta = (easting - 500000) / (0.9996 * _RADIUS)
+    x, y = eta, xi
+    for j, b in enumerate(_BETA, 1):
+        x = x - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        y = y - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    chi = F.asin(F.sin(y) / F.cosh(x))
+    lat = chi
+    for j, d in enumerate(_DELTA, 1):
+        lat = lat + d * F.sin(2 * j * chi)
+    lng = zone * 6 - 183 + F.degrees(F.atan2(F.sinh(x), F.cos(y)))
+    return F.struct(F.degrees(lat).alias("lat"), lng.alias("lng"))
+
+
+#: Points on each edge of a box between its corners.
+EDGE_POINTS = 21
+
+
+def edge_points(box: Column, points: int = EDGE_POINTS) -> Column:
+    """The corners of a box [west, south, east, north] and ``points`` points between them on each edge, as (x, y)."""
+    w, s, e, n = (box[i] for i in range(4))
+    steps = F.transform(F.sequence(F.lit(0), F.lit(points + 1)), lambda k: k / F.lit(points + 1.0))
+    sides = [lambda f: (w + (e - w) * f, s), lambda f: (w + (e - w) * f, n), lambda f: (w, s + (n - s) * f), lambda f: (e, s + (n - s) * f)]
+
+    def along(side):
+        return F.transform(steps, lambda f: F.struct(*(c.alias(a) for a, c in zip(("x", "y"), side(f), strict=True))))
+
+    return F.concat(*map(along, sides))
+
+
+def utm_bounds(box: Column, zone: Column, north: Column) -> Column:
+    """A box in degrees as [left, bottom, right, top] in metres: the extent of its edges."""
+    at = F.transform(edge_points(box), lambda p: utm(p["y"], p["x"], zone, north))
+    return _extent(F.transform(at, lambda m: m["easting"]), F.transform(at, lambda m: m["northing"]))
+
+
+def degree_bounds(box: Column, zone: Column, north: Column) -> Column:
+    """A box in metres as [west, south, east, north] in degrees: the extent of its edges."""
+    at = F.transform(edge_points(box), lambda p: from_utm(p["x"], p["y"], zone, north))
+    return _extent(F.transform(at, lambda m: m["lng"]), F.transform(at, lambda m: m["lat"]))
+
+
+def _extent(x: Column, y: Column) -> Column:
+    return F.array(F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y))

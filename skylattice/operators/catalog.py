@@ -149,13 +149,78 @@ def sort_by(df: DataFrame, mode: str, tie: str) -> DataFrame:
     return df.orderBy(how(column), tie)
 
 
-def pairs(tiles: DataFrame, by: str) -> DataFrame:
-    """Pairs of observations of one place with the earlier first; ``reject`` says why a pair does not fit."""
-    a = tiles.select(by, *(F.col(c).alias(f"{c}_1") for c in ("scene_id", "acquired", "sensor", "xmin", "ymin")))
-    b = tiles.select(by, *(F.col(c).alias(f"{c}_2") for c in ("scene_id", "acquired", "sensor", "xmin", "ymin")))
-    same_box = (F.col("xmin_1") == F.col("xmin_2")) & (F.col("ymin_1") == F.col("ymin_2"))
-    reason = F.when(F.col("sensor_1") != F.col("sensor_2"), "sensor").when(~same_box, "grid")
+GRID = ("crs", "size", "transform", "bounds", "band_count", "dtypes")
+
+
+def temporal_pairs(rasters: DataFrame, by: str = "tile_id", within_days: int | None = None, reversed_too: bool = False, least_bands: int = 4) -> DataFrame:
+    """Pairs of rasters of one place with ``reasons``, the checks that a pair fails, comma-joined and empty if it fits.
+
+    ``rasters``: raster_id, the place, acquired, sensor, crs, width, height, transform, bounds, band_count, dtypes. A pair is
+    two rasters of one place, sensor apart or not, the earlier first; with ``reversed_too`` also the later first. Equal times pair in the order
+    of raster_id and fail. With ``within_days`` only rasters that near in time pair: each meets its own and the next bin of that
+    many days, so that a long history of one place costs no square. Rasters without a time pair with none.
+    """
+    names = ("raster_id", "acquired", "sensor", "crs", "width", "height", "transform", "bounds", "band_count", "dtypes")
+    rows = rasters.filter("acquired IS NOT NULL").select(by, *names)
+    first, second = (rows.select(by, *(F.col(c).alias(f"{c}_{k}") for c in names)) for k in (1, 2))
+    on: list[str] = [by]
+    if within_days is not None:
+        day = lambda k: F.floor(F.unix_timestamp(f"acquired_{k}") / F.lit(86400 * max(within_days, 1)))
+        first, second = first.withColumn("_bin", F.explode(F.array(day(1), day(1) + 1))), second.withColumn("_bin", day(2))
+        on = [by, "_bin"]
+    early, late = F.struct("acquired_1", "raster_id_1"), F.struct("acquired_2", "raster_id_2")
+    both = first.join(second, on).filter(early < late)
+    if within_days is not None:
+        both = both.filter(F.unix_timestamp("acquired_2") - F.unix_timestamp("acquired_1") <= 86400 * within_days).drop("_bin")
+    if reversed_too:
+        swapped = both.filter("acquired_1 < acquired_2").select(by, *(F.col(f"{c}_{3 - k}").alias(f"{c}_{k}") for k in (1, 2) for c in names))
+        both = both.unionByName(swapped)
+
+    def differ(*columns: str) -> Column:
+        same = F.lit(True)
+        for c in columns:
+            same = same & F.col(f"{c}_1").eqNullSafe(F.col(f"{c}_2"))
+        return ~same
+
+    checks = [
+        ("same_time", F.col("acquired_1") == F.col("acquired_2")), ("sensor", differ("sensor")), ("no_crs", F.col("crs_1").isNull() | F.col("crs_2").isNull()), ("crs", differ("crs")),
+        ("size", differ("width", "height")), ("transform", differ("transform")), ("bounds", differ("bounds")), ("band_count", differ("band_count")), ("dtypes", differ("dtypes")),
+        ("bands", (F.col("sensor_1") == "sentinel-2") & (F.least("band_count_1", "band_count_2") < least_bands)),
+    ]
+    reasons = F.array_join(F.array_compact(F.array(*(F.when(c, n) for n, c in checks))), ",")
     day = [F.date_format(f"acquired_{k}", "yyyyMMdd") for k in (1, 2)]
-    return a.join(b, by).filter("acquired_1 < acquired_2").select(
-        F.concat_ws("_", F.concat(F.col(by).cast("string"), F.lit("_")), *day).alias("pair_id"), "scene_id_1", "scene_id_2", reason.alias("reject")
-    )
+    return both.select(
+        F.concat_ws("_", F.concat(F.col(by).cast("string"), F.lit("_")), *day).alias("pair_id"), by, F.col("raster_id_1").alias("raster_1"), F.col("raster_id_2").alias("raster_2"), "acquired_1", "acquired_2",
+        F.col("sensor_1").alias("sensor"), F.col("crs_1").alias("crs"), F.col("transform_1").alias("transform"), F.col("bounds_1").alias("bounds"),
+        F.col("height_1").alias("height"), F.col("width_1").alias("width"), reasons.alias("reasons"),
+    )
+
+
+def observation_pairs(asked: DataFrame, observations: DataFrame) -> DataFrame:
+    """``asked`` (t1, t2: observation ids) with ``reason``, the first check that fails, null if the pair may be analysed.
+    ``observations``: id, role, pair_id, sensor."""
+    rows = asked
+    for k in (1, 2):
+        side = observations.select(F.col("id").alias(f"t{k}"), *(F.col(c).alias(f"{c}_{k}") for c in ("role", "pair_id", "sensor")), F.lit(True).alias(f"known_{k}"))
+        rows = rows.join(side, f"t{k}", "left")
+    reason = (
+        F.when(F.col("t1").isNull() | F.col("t2").isNull(), "missing_id").when(F.col("known_1").isNull() | F.col("known_2").isNull(), "unknown_id")
+        .when(~(F.col("role_1").eqNullSafe("T1") & F.col("role_2").eqNullSafe("T2")), "role").when(~F.col("pair_id_1").eqNullSafe(F.col("pair_id_2")), "pair")
+        .when(~F.col("sensor_1").eqNullSafe(F.col("sensor_2")), "sensor")
+    )
+    return rows.select("t1", "t2", reason.alias("reason"))
+
+
+def public_result(tiles: DataFrame) -> DataFrame:
+    """Search results as they are shown: centre of the tile in degrees (null without bounds or system), day, sensor as name, tag and
+    label, cloud, rank. ``tiles``: tile_id, source_scene_id, sensor, acquired, bounds (metres), zone, north, score, cloud."""
+    b = F.col("bounds")
+    centre = geo.from_utm((b[0] + b[2]) / 2, (b[1] + b[3]) / 2, F.col("zone"), F.col("north"))
+    key = F.lower(F.coalesce("sensor", F.lit("")))
+    labels = {FULL_NAME[tag]: (tag, label) for tag, label in SENSORS.values()}
+    tag, label = (F.create_map(*(x for full, v in labels.items() for x in (F.lit(full), F.lit(v[k])))) for k in (0, 1))
+    sensor = F.struct(F.coalesce(F.try_element_at(tag, key), key).alias("id"), F.coalesce(F.try_element_at(label, key), key).alias("name"), F.upper(F.coalesce(F.try_element_at(tag, key), key)).alias("tag"))
+    return tiles.select(
+        "tile_id", centre["lat"].alias("lat"), centre["lng"].alias("lng"), F.coalesce("source_scene_id", F.lit("Local archive")).alias("region"), F.date_format("acquired", "yyyy-MM-dd").alias("day"),
+        sensor.alias("sensor"), F.col("score").alias("sim"), "cloud",
+    )

@@ -72,25 +72,6 @@ def block_clusters(a: DataFrame, b: DataFrame, size: int, over: float, share: fl
     return clusters.withColumn("rank", rank).filter(F.col("rank") <= top).select("scene_id", "rank", "blocks")
 
 
-def calibration_grid(px: DataFrame, thresholds, areas, height: int, width: int) -> DataFrame:
-    """Pooled counts and F1 for each threshold, least area and morphology. Components are labelled once for
-    each threshold; areas filter those labels."""
-    totals = px.agg(F.count("*").alias("n"), F.sum("truth").alias("pos"))
-    truth, found = px.select(*KEY, "truth"), []
-    for t in thresholds:
-        labels = components.label(px.filter(F.col("p") >= F.lit(t).cast("float")))
-        for area in areas:
-            kept = components.drop_small(labels, area).select(*KEY)
-            for name, mask in (("none", kept), ("closing", components.closing(kept, height, width))):
-                found.append(mask.select(F.lit(t).alias("threshold"), F.lit(area).alias("area"), F.lit(name).alias("morphology"), *KEY))
-    rows = reduce(DataFrame.union, found).join(truth, KEY)
-    counts = rows.groupBy("threshold", "area", "morphology").agg(F.count_if(F.col("truth") == 1).alias("tp"), F.count_if(F.col("truth") == 0).alias("fp"))
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("pos") - F.col("tp")
-    return counts.join(F.broadcast(totals)).select(
-        "threshold", "area", "morphology", "tp", "fp", fn.alias("fn"), (F.col("n") - F.col("pos") - fp).alias("tn"), F.round(2 * tp / (2 * tp + fp + fn), 6).alias("f1")
-    )
-
-
 def choose(grid: DataFrame) -> DataFrame:
     """Best F1; of equals no morphology, then the smaller area, then the higher threshold."""
     best = F.struct("f1", (F.col("morphology") == "none"), -F.col("area"), "threshold")

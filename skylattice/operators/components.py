@@ -65,20 +65,26 @@ def label(mask: DataFrame, diagonal: bool = True, block: int = BLOCK) -> DataFra
     )
     if links.isEmpty():
         return local.withColumnRenamed("label", "root")
-    both = links.union(links.select("scene_id", "b", "a"))
-    names = stage(both.groupBy("scene_id", "a").agg(F.least(F.min("b"), F.col("a")).alias("root")), "roots")
-    while True:
-        near = both.join(names.select("scene_id", F.col("a").alias("b"), "root"), ["scene_id", "b"]).groupBy("scene_id", "a").agg(F.min("root").alias("seen"))
-        spread = names.join(near, ["scene_id", "a"], "left").select("scene_id", "a", F.col("root").alias("old"), F.least("root", "seen").alias("root"))
-        jump = names.select("scene_id", F.col("a").alias("root"), F.col("root").alias("then"))
-        spread = stage(spread.join(jump, ["scene_id", "root"], "left").select("scene_id", "a", "old", F.least("root", "then").alias("root")), "roots")
-        names = spread.select("scene_id", "a", "root")
-        if spread.filter("root <> old").isEmpty():
-            break
-    renamed = names.select("scene_id", F.col("a").alias("label"), "root")
+    renamed = roots(links, ["scene_id"])
     return local.join(renamed, ["scene_id", "label"], "left").select(*KEY, F.coalesce("root", "label").alias("root"))
 
 
+def roots(links: DataFrame, by: list[str], most_rounds: int = 100) -> DataFrame:
+    """(by, label, root): the least label that the links (by, a, b) reach from each label. Labels spread to neighbours and
+    jump to the label of their label, so that rounds grow with the logarithm of the way; a table cuts the lineage of each."""
+    both = links.union(links.select(*by, "b", "a"))
+    names = stage(both.groupBy(*by, "a").agg(F.least(F.min("b"), F.col("a")).alias("root")), "roots")
+    for _ in range(most_rounds):
+        near = both.join(names.select(*by, F.col("a").alias("b"), "root"), [*by, "b"]).groupBy(*by, "a").agg(F.min("root").alias("seen"))
+        spread = names.join(near, [*by, "a"], "left").select(*by, "a", F.col("root").alias("old"), F.least("root", "seen").alias("root"))
+        jump = names.select(*by, F.col("a").alias("root"), F.col("root").alias("then"))
+        spread = stage(spread.join(jump, [*by, "root"], "left").select(*by, "a", "old", F.least("root", "then").alias("root")), "roots")
+        names = spread.select(*by, "a", "root")
+        if spread.filter("root <> old").isEmpty():
+            return names.withColumnRenamed("a", "label")
+    raise RuntimeError(f"labels did not settle in {most_rounds} rounds")
+
+
 def numbered(labels: DataFrame) -> DataFrame:
     """Adds ``component_id``, 1, 2, ... by the first pixel in row-major order inside each scene."""
     roots = labels.select("scene_id", "root").distinct()
@@ -94,24 +100,30 @@ def drop_small(labels: DataFrame, least: int) -> DataFrame:
     return labels.join(kept, ["scene_id", "root"], "left_semi")
 
 
-def _shifted(mask: DataFrame) -> DataFrame:
+def _shifted(mask: DataFrame, *more: str) -> DataFrame:
     steps = F.array(*(F.struct((F.col("y") + a).alias("y"), (F.col("x") + b).alias("x")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    return mask.select("scene_id", F.explode(steps).alias("at")).select("scene_id", "at.y", "at.x")
+    return mask.select("scene_id", *more, F.explode(steps).alias("at")).select("scene_id", *more, "at.y", "at.x")
 
 
-def closing(mask: DataFrame, height: int, width: int) -> DataFrame:
-    """3 by 3 closing; outside the raster is 0 in both steps, so the outermost pixels never stay."""
-    inside = (F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width)
-    grown = _shifted(mask.select(*KEY)).filter(inside).distinct()
-    return _shifted(grown).filter(inside).groupBy(*KEY).count().filter("count = 9").select(*KEY)
+def closing(mask: DataFrame, height: int | str, width: int | str) -> DataFrame:
+    """3 by 3 closing; outside the raster is 0 in both steps, so the outermost pixels never stay. Sizes are numbers, or
+    columns of ``mask`` where scenes differ."""
+    sizes = [c for c in (height, width) if isinstance(c, str)]
+    h, w = (F.col(c) if isinstance(c, str) else F.lit(c) for c in (height, width))
+    inside = (F.col("y") >= 0) & (F.col("y") < h) & (F.col("x") >= 0) & (F.col("x") < w)
+    grown = _shifted(mask.select(*KEY, *sizes), *sizes).filter(inside).distinct()
+    return _shifted(grown, *sizes).filter(inside).groupBy(*KEY).count().filter("count = 9").select(*KEY)
 
 
-def postprocess(pixels: DataFrame, threshold: float, least: int, close: bool, height: int, width: int) -> DataFrame:
+def postprocess(pixels: DataFrame, threshold: float, least: int, close: bool, height: int | str, width: int | str) -> DataFrame:
     """Mask pixels after threshold, validity, area and closing, in this order, and validity again.
-    ``pixels``: scene_id, y, x, p (float), valid."""
+    ``pixels``: scene_id, y, x, p (float), valid, and the sizes where they are columns."""
     mask = pixels.filter(F.col("valid") & (F.col("p") >= F.lit(threshold).cast("float"))).select(*KEY)
     mask = drop_small(label(mask), least).select(*KEY)
     if close:
+        sizes = [c for c in (height, width) if isinstance(c, str)]
+        if sizes:
+            mask = mask.join(pixels.select("scene_id", *sizes).distinct(), "scene_id")
         mask = closing(mask, height, width)
     return mask.join(pixels.filter("valid").select(*KEY), KEY, "left_semi")
 
@@ -131,8 +143,8 @@ def component_statistics(labels: DataFrame, valid: DataFrame) -> DataFrame:
     )
 
 
-def candidates(labels: DataFrame, pixels: DataFrame, threshold: float, height: int, width: int) -> DataFrame:
-    """Statistics of each numbered component over ``pixels`` (p, valid)."""
+def candidates(labels: DataFrame, pixels: DataFrame, threshold: float, height: int | Column, width: int | Column) -> DataFrame:
+    """Statistics of each numbered component over ``pixels`` (p, valid, and the sizes where they are columns)."""
     p, y, x = F.col("p").cast("double"), F.col("y"), F.col("x")
     rows = labels.join(pixels, KEY)
     found = rows.groupBy("scene_id", "component_id").agg(

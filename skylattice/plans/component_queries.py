@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, pixels
-from ..operators import change, components
+from ..operators import calibration, change, components
 from . import views
 from .pixel_queries import _SAR, _geo, _sar
 from .registry import query
@@ -183,31 +183,30 @@ def f7(spark, sf):
     return change.block_clusters(a, b, size=5, over=60.0, share=0.5, top=5)
 
 
-_GRID_T = (0.8, 0.85, 0.9)
+_STEP3 = "(VALUES (-1), (0), (1)) s(d)"
+_LEVELS = ", ".join(f"({k}, {t}::DOUBLE)" for k, t in enumerate(calibration.THRESHOLDS))
+_AREAS = ", ".join(f"({a})" for a in calibration.AREAS)
+_D15 = f"""WITH RECURSIVE {PX}, th(k, t) AS (VALUES {_LEVELS}), ar(area) AS (VALUES {_AREAS}), lev AS (SELECT k, t, scene_id, y, x FROM px, th WHERE p >= t::FLOAT),
+ cc(k, scene_id, y, x, root) USING KEY (k, scene_id, y, x) AS (SELECT k, scene_id, y, x, y * 50 + x FROM lev
+  UNION SELECT m.k, m.scene_id, m.y, m.x, min(c.root) FROM (SELECT k, scene_id, y + dy AS y, x + dx AS x, root FROM cc, {_D9}) c JOIN recurring.cc m ON m.k = c.k AND m.scene_id = c.scene_id AND m.y = c.y AND m.x = c.x WHERE c.root < m.root GROUP BY ALL),
+ kept AS (SELECT c.k, area, c.scene_id, y, x FROM cc c JOIN (SELECT k, scene_id, root, count(*) AS n FROM cc GROUP BY ALL) USING (k, scene_id, root) JOIN ar ON n >= area),
+ g1 AS (SELECT DISTINCT k, area, scene_id, y + d AS y, x FROM kept, {_STEP3} WHERE y + d {_IN}), g2 AS (SELECT DISTINCT k, area, scene_id, y, x + d AS x FROM g1, {_STEP3} WHERE x + d {_IN}),
+ e1 AS (SELECT k, area, scene_id, y, x FROM (SELECT k, area, scene_id, y + d AS y, x FROM g2, {_STEP3}) WHERE y {_IN} GROUP BY ALL HAVING count(*) = 3), e2 AS (SELECT k, area, scene_id, y, x FROM (SELECT k, area, scene_id, y, x + d AS x FROM e1, {_STEP3}) WHERE x {_IN} GROUP BY ALL HAVING count(*) = 3),
+ preds AS (SELECT 'none' AS morphology, * FROM kept UNION ALL SELECT 'closing', * FROM e2), t AS (SELECT count(*) AS n, sum(truth)::BIGINT AS pos FROM px),
+ c AS (SELECT k, area, morphology, count(*) FILTER (truth = 1) AS tp, count(*) FILTER (truth = 0) AS fp FROM preds JOIN px USING (scene_id, y, x) GROUP BY ALL),
+ g AS (SELECT th.t AS threshold, ar.area::INT AS area, m.morphology, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, pos - coalesce(tp, 0) AS fn, n - pos - coalesce(fp, 0) AS tn, round(2 * coalesce(tp, 0) / (pos + coalesce(tp, 0) + coalesce(fp, 0)), 6) AS f1
+  FROM th, ar, (VALUES ('none'), ('closing')) m(morphology), t LEFT JOIN c ON c.k = th.k AND c.area = ar.area AND c.morphology = m.morphology)"""
 
 
-def _d15() -> str:
-    parts, unions = [], []
-    for i, t in enumerate(_GRID_T):
-        parts.append(reach(f"SELECT scene_id, y, x FROM px WHERE p >= {t}::FLOAT", name=str(i)))
-        for a in (0, 4):
-            keep = f"SELECT scene_id, y, x FROM comp{i} c JOIN (SELECT scene_id, root FROM comp{i} GROUP BY ALL HAVING count(*) >= {a}) k USING (scene_id, root)"
-            unions.append(f"SELECT {t}::DOUBLE AS threshold, {a} AS area, 'none' AS morphology, scene_id, y, x FROM ({keep})")
-            closed = f"SELECT scene_id, y, x FROM (SELECT scene_id, y + dy AS y, x + dx AS x FROM (SELECT DISTINCT scene_id, y + dy AS y, x + dx AS x FROM ({keep}), {_D9} WHERE y + dy {_IN} AND x + dx {_IN}), {_D9}) WHERE y {_IN} AND x {_IN} GROUP BY ALL HAVING count(*) = 9"
-            unions.append(f"SELECT {t}::DOUBLE, {a}, 'closing', scene_id, y, x FROM ({closed})")
-    return f"""WITH RECURSIVE {PX}, {', '.join(parts)}, preds AS ({' UNION ALL '.join(unions)}), t AS (SELECT count(*) AS n, sum(truth) AS pos FROM px),
- c AS (SELECT threshold, area, morphology, count(*) FILTER (truth = 1) AS tp, count(*) FILTER (truth = 0) AS fp FROM preds JOIN px USING (scene_id, y, x) GROUP BY ALL),
- g AS (SELECT threshold, area, morphology, tp, fp, (pos - tp)::BIGINT AS fn, (n - pos - fp)::BIGINT AS tn, round(2 * tp / (2 * tp + fp + (pos - tp)), 6) AS f1 FROM c, t)"""
-
-
-@query("D15", f"{_d15()} SELECT * FROM g")
+@query("D15", f"{_D15} SELECT * FROM g")
 def d15(spark, sf):
-    return change.calibration_grid(views.px(spark, sf), _GRID_T, (0, 4), SIDE, SIDE)
+    """All 160 settings."""
+    return calibration.calibration_grid(views.px(spark, sf), height=SIDE, width=SIDE)
 
 
-@query("D16", f"{_d15()} SELECT threshold, area, morphology, f1 FROM g ORDER BY f1 DESC, (morphology = 'none') DESC, area, threshold DESC LIMIT 1")
+@query("D16", f"{_D15} SELECT threshold, area, morphology, f1 FROM g ORDER BY f1 DESC, (morphology = 'none') DESC, area, threshold DESC LIMIT 1")
 def d16(spark, sf):
-    return change.choose(change.calibration_grid(views.px(spark, sf), _GRID_T, (0, 4), SIDE, SIDE))
+    return change.choose(calibration.calibration_grid(views.px(spark, sf), height=SIDE, width=SIDE))
 
 
 _LOGIT = "round(1 / (1 + exp(-(abs(b.b04 - a.b04) / 50 - 2))), 6)"
