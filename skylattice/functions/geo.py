@@ -73,19 +73,42 @@ _ALPHA = (
 )
 
 
+def _steps(start: Column, *steps) -> Column:
+    """``start`` through functions of structs, each evaluated once however often the next one names its fields."""
+    out = F.array(start)
+    for step in steps:
+        out = F.transform(out, step)
+    return out[0]
+
+
+_E = 2 * math.sqrt(_N) / (1 + _N)
+
+
+def _to_sphere(lat: Column, lng: Column, zone: Column) -> Column:
+    s = F.sin(F.radians(lat))
+    return F.struct(F.sinh(F.atanh(s) - _E * F.atanh(_E * s)).alias("t"), F.radians(lng - (zone * 6 - 183)).alias("lam"))
+
+
+def _to_plane(p: Column) -> Column:
+    t, lam = p["t"], p["lam"]
+    return F.struct(F.atan2(t, F.cos(lam)).alias("xi"), F.asinh(F.sin(lam) / F.sqrt(t * t + F.cos(lam) * F.cos(lam))).alias("eta"))
+
+
+def _to_metres(shift: Column):
+    def step(p: Column) -> Column:
+        x, y, xi, eta = p["eta"], p["xi"], p["xi"], p["eta"]
+        for j, a in enumerate(_ALPHA, 1):
+            x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+            y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        return F.struct((500000 + 0.9996 * _RADIUS * x).alias("easting"), (shift + 0.9996 * _RADIUS * y).alias("northing"))
+
+    return step
+
+
 def utm(lat: Column, lng: Column, zone: Column, north: Column | None = None) -> Column:
     """WGS 84 degrees to UTM metres (easting, northing)."""
-    e = 2 * math.sqrt(_N) / (1 + _N)
-    phi, lam = F.radians(lat), F.radians(lng - (zone * 6 - 183))
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
-    xi, eta = F.atan2(t, F.cos(lam)), F.asinh(F.sin(lam) / F.sqrt(t * t + F.cos(lam) * F.cos(lam)))
-    x, y = eta, xi
-    for j, a in enumerate(_ALPHA, 1):
-        x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     shift = F.when(lat < 0, 1e7).otherwise(0.0) if north is None else F.when(north, 0.0).otherwise(1e7)
-    return F.struct((500000 + 0.9996 * _RADIUS * x).alias("easting"), (shift + 0.9996 * _RADIUS * y).alias("northing"))
+    return _steps(_to_sphere(lat, lng, zone), _to_plane, _to_metres(shift))
 
 
 # The inverse series, and that of the latitude, to fourth order.
@@ -103,20 +126,35 @@ _DELTA = (
 )
 
 
-def from_utm(easting: Column, northing: Column, zone: Column, north: Column) -> Column:
-    """UTM metres to WGS 84 degrees (lat, lng)."""
-    xi = (northing - F.when(north, 0.0).otherwise(1e7)) / (0.9996 * _RADIUS)
-    eta = (easting - 500000) / (0.9996 * _RADIUS)
-    x, y = eta, xi
+def _from_metres(easting: Column, northing: Column, north: Column) -> Column:
+    return F.struct(((northing - F.when(north, 0.0).otherwise(1e7)) / (0.9996 * _RADIUS)).alias("xi"), ((easting - 500000) / (0.9996 * _RADIUS)).alias("eta"))
+
+
+def _from_plane(p: Column) -> Column:
+    x, y, xi, eta = p["eta"], p["xi"], p["xi"], p["eta"]
     for j, b in enumerate(_BETA, 1):
         x = x - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         y = y - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    chi = F.asin(F.sin(y) / F.cosh(x))
-    lat = chi
-    for j, d in enumerate(_DELTA, 1):
-        lat = lat + d * F.sin(2 * j * chi)
-    lng = zone * 6 - 183 + F.degrees(F.atan2(F.sinh(x), F.cos(y)))
-    return F.struct(F.degrees(lat).alias("lat"), lng.alias("lng"))
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def _from_sphere(p: Column) -> Column:
+    return F.struct(F.asin(F.sin(p["y"]) / F.cosh(p["x"])).alias("chi"), F.degrees(F.atan2(F.sinh(p["x"]), F.cos(p["y"]))).alias("turn"))
+
+
+def _to_degrees(zone: Column):
+    def step(p: Column) -> Column:
+        lat = p["chi"]
+        for j, d in enumerate(_DELTA, 1):
+            lat = lat + d * F.sin(2 * j * p["chi"])
+        return F.struct(F.degrees(lat).alias("lat"), (zone * 6 - 183 + p["turn"]).alias("lng"))
+
+    return step
+
+
+def from_utm(easting: Column, northing: Column, zone: Column, north: Column) -> Column:
+    """UTM metres to WGS 84 degrees (lat, lng)."""
+    return _steps(_from_metres(easting, northing, north), _from_plane, _from_sphere, _to_degrees(zone))
 
 
 #: Points on each edge of a box between its corners.
@@ -137,13 +175,15 @@ def edge_points(box: Column, points: int = EDGE_POINTS) -> Column:
 
 def utm_bounds(box: Column, zone: Column, north: Column) -> Column:
     """A box in degrees as [left, bottom, right, top] in metres: the extent of its edges."""
-    at = F.transform(edge_points(box), lambda p: utm(p["y"], p["x"], zone, north))
+    at = F.transform(edge_points(box), lambda p: _to_sphere(p["y"], p["x"], zone))
+    at = F.transform(F.transform(at, _to_plane), _to_metres(F.when(north, 0.0).otherwise(1e7)))
     return _extent(F.transform(at, lambda m: m["easting"]), F.transform(at, lambda m: m["northing"]))
 
 
 def degree_bounds(box: Column, zone: Column, north: Column) -> Column:
     """A box in metres as [west, south, east, north] in degrees: the extent of its edges."""
-    at = F.transform(edge_points(box), lambda p: from_utm(p["x"], p["y"], zone, north))
+    at = F.transform(edge_points(box), lambda p: _from_metres(p["x"], p["y"], north))
+    at = F.transform(F.transform(F.transform(at, _from_plane), _from_sphere), _to_degrees(zone))
     return _extent(F.transform(at, lambda m: m["lng"]), F.transform(at, lambda m: m["lat"]))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, pixels, times
 from ..operators import catalog
+from ..storage import Store, new_path
 from . import views
 from .registry import query
 from .views import SCENES, TILES
@@ -44,9 +45,20 @@ def a14(spark, sf):
     return retrieval.usable(views.read(spark, sf, "embeddings"), "embedding", 64).select("vec_id", "usable")
 
 
-@query("A15", "SELECT vec_id, sha256('T' || vec_id) AS cache_key FROM embeddings")
+@query("A15", "SELECT vec_id, sha256('T' || vec_id) AS cache_key, 'm' || label % 2 AS model_version, len(embedding) AS dimension, true AS unit FROM embeddings WHERE sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) > 0")
 def a15(spark, sf):
-    return views.read(spark, sf, "embeddings").select("vec_id", F.sha2(F.concat(F.lit("T"), F.col("vec_id").cast("string")), 256).alias("cache_key"))
+    """Vectors through the cache on disk: written, a part of them written again, read back."""
+    from ..sources import cache
+
+    path = new_path(spark, "cache")
+    rows = views.read(spark, sf, "embeddings").select(
+        "vec_id", F.concat(F.lit("T"), F.col("vec_id").cast("string")).alias("tile_id"), F.col("embedding").alias("vector"), F.concat(F.lit("m"), (F.col("label") % 2).cast("string")).alias("model_version"), F.lit("f").alias("fingerprint")
+    )
+    cache.write(rows, path, "model")
+    cache.write(rows.filter("vec_id % 3 = 0"), path, "model")
+    held = cache.read(spark, path).join(rows.select("tile_id", "vec_id"), "tile_id")
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return held.select("vec_id", "cache_key", "model_version", "dimension", (F.abs(norm - 1) < 1e-5).alias("unit"))
 
 
 @query("A17", f"{S} (row_number() OVER (ORDER BY cloud, scene_id))::INT AS rank, scene_id, round(ymin, 5) AS lat, round(xmin, 5) AS lng, strftime(acquired, '%Y-%m-%d') AS day FROM scenes WHERE cloud < 2")
@@ -113,6 +125,42 @@ def b7(spark, sf):
     return views.scenes(spark, sf).select("scene_id", at.alias("m")).select("scene_id", F.round("m.easting", 2).alias("easting"), F.round("m.northing", 2).alias("northing"))
 
 
+def from_utm_sql(rows: str, keep: str) -> str:
+    """``keep`` and degrees of ``rows`` (easting, northing, zone, north)."""
+    xi0, eta0 = f"(northing - CASE WHEN north THEN 0 ELSE 1e7 END) / {0.9996 * geo._RADIUS!r}::DOUBLE", f"(easting - 500000) / {0.9996 * geo._RADIUS!r}::DOUBLE"
+    x = f"eta0 - ({' + '.join(f'{v!r}::DOUBLE * cos({2 * j} * xi0) * sinh({2 * j} * eta0)' for j, v in enumerate(geo._BETA, 1))})"
+    y = f"xi0 - ({' + '.join(f'{v!r}::DOUBLE * sin({2 * j} * xi0) * cosh({2 * j} * eta0)' for j, v in enumerate(geo._BETA, 1))})"
+    lat = f"chi + {' + '.join(f'{v!r}::DOUBLE * sin({2 * j} * chi)' for j, v in enumerate(geo._DELTA, 1))}"
+    return f"""SELECT {keep}, degrees({lat}) AS lat, zone * 6 - 183 + degrees(atan2(sinh(xx), cos(yy))) AS lng
+ FROM (SELECT *, asin(sin(yy) / cosh(xx)) AS chi FROM (SELECT *, {x} AS xx, {y} AS yy FROM (SELECT *, {xi0} AS xi0, {eta0} AS eta0 FROM ({rows}))))"""
+
+
+_METRES = "SELECT *, (scene_no % 60 + 1)::INT AS zone, scene_no % 2 = 0 AS north, 300000.0::DOUBLE + scene_no % 400 * 1000 AS left_m, 1000000.0::DOUBLE + scene_no % 7000 * 1000 AS bottom_m FROM scenes"
+
+
+def _metres(spark, sf):
+    """Scenes of 10.24 km in UTM metres of some zone."""
+    n = F.col("scene_no")
+    left, bottom = 300000.0 + n % 400 * 1000, 1000000.0 + n % 7000 * 1000
+    return views.scenes(spark, sf).select("*", (n % 60 + 1).cast("int").alias("zone"), (n % 2 == 0).alias("north"), F.array(left, bottom, left + 10240, bottom + 10240).alias("bounds"))
+
+
+_EDGE = "SELECT scene_id, zone, north, {p} FROM ({rows}), (SELECT unnest(range(0, 23)) / 22.0::DOUBLE AS f), (SELECT unnest([0, 1, 2, 3]) AS side)"
+_EDGE_XY = "CASE side WHEN 2 THEN {w} WHEN 3 THEN {e} ELSE {w} + ({e} - {w}) * f END AS {x}, CASE side WHEN 0 THEN {s} WHEN 1 THEN {n} ELSE {s} + ({n} - {s}) * f END AS {y}"
+_DEGREES = from_utm_sql(_EDGE.format(rows=_METRES, p=_EDGE_XY.format(w="left_m", e="(left_m + 10240)", s="bottom_m", n="(bottom_m + 10240)", x="easting", y="northing")), "scene_id")
+_BACK = utm_sql(_EDGE.format(rows="SELECT *, (floor((xmin + 180) / 6) + 1)::INT AS zone, ymin >= 0 AS north FROM scenes", p=_EDGE_XY.format(w="xmin", e="xmax", s="ymin", n="ymax", x="lng", y="lat")), "scene_id, north")
+
+
+@query("B7_bounds", f"{S} * FROM (SELECT scene_id, round(min(lng), 6) AS west, round(min(lat), 6) AS south, round(max(lng), 6) AS east, round(max(lat), 6) AS north FROM ({_DEGREES}) GROUP BY scene_id) JOIN (SELECT scene_id, round(min(easting), 2) AS utm_left, round(max(northing + CASE WHEN north THEN 0 ELSE 1e7 END), 2) AS utm_top FROM ({_BACK}) GROUP BY scene_id) USING (scene_id)")
+def b7_bounds(spark, sf):
+    """Boxes in metres to degrees and boxes in degrees to metres, by 21 points on each edge."""
+    rows = _metres(spark, sf)
+    zone, north = (F.floor((F.col("xmin") + 180) / 6) + 1).cast("int"), F.col("ymin") >= 0
+    b, m = geo.degree_bounds(F.col("bounds"), F.col("zone"), F.col("north")), geo.utm_bounds(F.array("xmin", "ymin", "xmax", "ymax"), zone, north)
+    rows = rows.select("scene_id", b.alias("b"), m.alias("m"))
+    return rows.select("scene_id", *(F.round(F.col("b")[k], 6).alias(n) for k, n in enumerate(("west", "south", "east", "north"))), F.round(F.col("m")[0], 2).alias("utm_left"), F.round(F.col("m")[3], 2).alias("utm_top"))
+
+
 _CIRCLE = "CASE WHEN cos(radians(ymin)) > 0.01 THEN cos(radians(ymin)) ELSE 0.01 END"
 
 
@@ -151,10 +199,15 @@ def b14(spark, sf):
     return catalog.select_scenes(views.scenes(spark, sf), "landsat", "1996-01-01", "1999-12-31", (-100, -50, 100, 50), region="1-UR").select(*LIST, "region")
 
 
-@query("B15", f"{S} scene_id, (ymin + ymax) / 2 AS lat, (xmin + xmax) / 2 AS lng, sensor AS sensor_name, strftime(acquired, '%Y-%m-%d') AS day FROM scenes")
+_CENTRE = from_utm_sql(f"SELECT *, left_m + 5120 AS easting, bottom_m + 5120 AS northing FROM ({_METRES})", "*")
+
+
+@query("B15", f"{S} 'T' || scene_no AS tile_id, round(lat, 7) AS lat, round(lng, 7) AS lng, scene_id AS region, strftime(acquired, '%Y-%m-%d') AS day, CASE sensor WHEN 'sentinel-2' THEN 's2|Sentinel-2|S2' WHEN 'landsat' THEN 'ls|Landsat|LS' ELSE 's1|Sentinel-1|S1' END AS sensor, cloud / 100 AS sim, cloud FROM ({_CENTRE})")
 def b15(spark, sf):
-    lat, lng = (F.col("ymin") + F.col("ymax")) / 2, (F.col("xmin") + F.col("xmax")) / 2
-    return views.scenes(spark, sf).select("scene_id", lat.alias("lat"), lng.alias("lng"), F.col("sensor").alias("sensor_name"), F.date_format("acquired", "yyyy-MM-dd").alias("day"))
+    """Results as they are shown; the centre in degrees comes from bounds in metres."""
+    tiles = _metres(spark, sf).select(F.concat(F.lit("T"), F.col("scene_no").cast("string")).alias("tile_id"), F.col("scene_id").alias("source_scene_id"), "sensor", "acquired", "bounds", "zone", "north", (F.col("cloud") / 100).alias("score"), "cloud")
+    shown = catalog.public_result(tiles)
+    return shown.withColumn("sensor", F.concat_ws("|", "sensor.id", "sensor.name", "sensor.tag")).withColumn("lat", F.round("lat", 7)).withColumn("lng", F.round("lng", 7))
 
 
 @query("B32", f"{S} scene_id, CASE WHEN cloud >= 90 THEN 'high' WHEN cloud >= 75 THEN 'mid' ELSE 'low' END AS priority FROM scenes")
@@ -221,13 +274,24 @@ def c5(spark, sf):
     return s.withColumn("day", F.to_date("acquired")).join(days, ["sensor", "day"], "left").select("scene_id", "day_cloud")
 
 
-_PAIRS = "a AS (SELECT scene_no % 700 AS place, * FROM scenes WHERE acquired IS NOT NULL)"
+_RASTERS = """r AS (SELECT scene_no % 700 AS tile_id, scene_id AS raster_id, acquired, sensor, CASE WHEN scene_no % 23 <> 0 THEN 'EPSG:' || (32600 + scene_no % 2) END AS crs, 100 + (scene_no % 5 // 4) AS width, 100 AS height, [10.0, 0.0, (scene_no % 7 // 6)::DOUBLE, 0.0, -10.0, 0.0] AS transform,
+ [xmin, ymin, xmax, ymax] AS bounds, 3 + (scene_no % 4 + 2) // 3 AS band_count, CASE WHEN scene_no % 9 = 0 THEN 'int16' ELSE 'float32' END AS dtypes FROM scenes WHERE acquired IS NOT NULL)"""
+_CHECKS = """array_to_string(list_filter([CASE WHEN a.acquired = b.acquired THEN 'same_time' END, CASE WHEN a.sensor <> b.sensor THEN 'sensor' END, CASE WHEN a.crs IS NULL OR b.crs IS NULL THEN 'no_crs' END, CASE WHEN a.crs IS DISTINCT FROM b.crs THEN 'crs' END,
+ CASE WHEN a.width <> b.width OR a.height <> b.height THEN 'size' END, CASE WHEN a.transform <> b.transform THEN 'transform' END, CASE WHEN a.bounds <> b.bounds THEN 'bounds' END, CASE WHEN a.band_count <> b.band_count THEN 'band_count' END, CASE WHEN a.dtypes <> b.dtypes THEN 'dtypes' END,
+ CASE WHEN a.sensor = 'sentinel-2' AND least(a.band_count, b.band_count) < 4 THEN 'bands' END], lambda z: z IS NOT NULL), ',')"""
+_NEAR = "a.tile_id = b.tile_id AND (a.acquired, a.raster_id) < (b.acquired, b.raster_id) AND epoch(b.acquired) - epoch(a.acquired) <= 86400 * 400"
 
 
-@query("C6", f"WITH {SCENES}, {_PAIRS} SELECT a.place || '__' || strftime(a.acquired, '%Y%m%d') || '_' || strftime(b.acquired, '%Y%m%d') AS pair_id, a.scene_id AS scene_id_1, b.scene_id AS scene_id_2, CASE WHEN a.sensor <> b.sensor THEN 'sensor' WHEN a.xmin <> b.xmin OR a.ymin <> b.ymin THEN 'grid' END AS reject FROM a JOIN a b ON a.place = b.place AND a.acquired < b.acquired")
+@query("C6", f"WITH {SCENES}, {_RASTERS}, f AS (SELECT a.tile_id || '__' || strftime(a.acquired, '%Y%m%d') || '_' || strftime(b.acquired, '%Y%m%d') AS pair_id, a.raster_id AS raster_1, b.raster_id AS raster_2, {_CHECKS} AS reasons FROM r a JOIN r b ON {_NEAR} UNION ALL SELECT b.tile_id || '__' || strftime(b.acquired, '%Y%m%d') || '_' || strftime(a.acquired, '%Y%m%d'), b.raster_id, a.raster_id, {_CHECKS.replace("a.sensor =", "b.sensor =")} FROM r a JOIN r b ON {_NEAR} AND a.acquired < b.acquired) SELECT * FROM f")
 def c6(spark, sf):
-    rows = views.scenes(spark, sf).filter("acquired IS NOT NULL").withColumn("place", F.col("scene_no") % 700)
-    return catalog.pairs(rows, "place")
+    """Pairs up to 400 days apart, in both orders, with all reasons why they do not fit."""
+    n = F.col("scene_no")
+    rasters = views.scenes(spark, sf).select(
+        (n % 700).alias("tile_id"), F.col("scene_id").alias("raster_id"), "acquired", "sensor", F.when(n % 23 != 0, F.concat(F.lit("EPSG:"), (32600 + n % 2).cast("string"))).alias("crs"),
+        (100 + F.expr("scene_no % 5 div 4")).alias("width"), F.lit(100).alias("height"), F.array(F.lit(10.0), F.lit(0.0), F.expr("scene_no % 7 div 6").cast("double"), F.lit(0.0), F.lit(-10.0), F.lit(0.0)).alias("transform"),
+        F.array("xmin", "ymin", "xmax", "ymax").alias("bounds"), (3 + F.expr("(scene_no % 4 + 2) div 3")).alias("band_count"), F.when(n % 9 == 0, "int16").otherwise("float32").alias("dtypes"),
+    )
+    return catalog.temporal_pairs(rasters, within_days=400, reversed_too=True).select("pair_id", "raster_1", "raster_2", "reasons")
 
 
 @query("C15", "SELECT o_orderkey AS missing FROM orders WHERE o_orderkey NOT IN (SELECT DISTINCT l_orderkey FROM lineitem)")
@@ -288,9 +352,16 @@ def g2(spark, sf):
     return catalog.merge_actions(*_old_new(spark, sf), "k", ["v"], "v")
 
 
-@query("A16", f"WITH {_OLDNEW} SELECT k, v FROM old WHERE k NOT IN (SELECT k FROM new) UNION ALL SELECT k, v FROM new")
+@query("A16", f"WITH {_OLDNEW}, m AS (SELECT k, v FROM old WHERE k NOT IN (SELECT k FROM new) UNION ALL SELECT k, v FROM new) SELECT k, v, (SELECT count(*) FROM old) AS before FROM m")
 def a16(spark, sf):
-    return catalog.merge(*_old_new(spark, sf), "k", "v").orderBy("k")
+    """The catalogue sink: what readers see until the new version is published, and what they see then."""
+    store = Store(spark, new_path(spark, "catalog"))
+    old, new = _old_new(spark, sf)
+    store.commit({"catalog": old}, {"catalog": ["k"]})
+    version = store.prepare({"catalog": catalog.merge(store.read("catalog"), new, "k", "v")}, {"catalog": ["k"]})
+    before = store.read("catalog").count()
+    store.publish(version)
+    return store.read("catalog").withColumn("before", F.lit(before)).orderBy("k")
 
 
 @query("D34", f"WITH {_OLDNEW} SELECT count(*) AS discovered, count(*) FILTER (action = 'add') AS added, count(*) FILTER (action = 'update') AS updated FROM acts")

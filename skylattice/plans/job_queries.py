@@ -9,16 +9,17 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import geo, pixels
-from ..operators import catalog, change, components, embedding, focal
+from ..operators import analysis, catalog, change, components, embedding, focal
 from ..sources import aoi, arrays, manifests, sinks, stac
-from ..storage import new_path
+from ..storage import Store, new_path
 from ..streaming import jobs
 from . import views
 from .catalog_queries import utm_sql
-from .component_queries import T, _JUDGED, _RANK, _judged, _pixels, mask
+from .component_queries import _RANK, _VALID, T, _close, mask, reach
+from .pixel_queries import _geo
 from .ledger_queries import _CHAIN
 from .registry import query
-from .views import LEDGER, PX, SCENES, SIDE
+from .views import LEDGER, PX, PX2, SCENES, SIDE
 
 
 def _written(df, label: str, kind: str = "json") -> str:
@@ -117,14 +118,6 @@ def a19(spark, sf):
     return spark.read.text(path).groupBy(F.regexp_extract("layer", "[0-9]+", 0).cast("int").alias("layer_no")).agg(F.count("*").alias("n"))
 
 
-@query("A20", f"WITH {PX} SELECT scene_id, count(*) AS n, round(sum(p::DOUBLE), 6) AS total FROM px GROUP BY scene_id")
-def a20(spark, sf):
-    rows = views.px(spark, sf).select(F.col("scene_id").alias("analysis_id"), "y", "x", "p", F.create_map(F.lit("model"), F.lit("logistic")).alias("provenance"))
-    path = new_path(spark, "analysis")
-    sinks.write_analysis(rows, path)
-    return spark.read.parquet(path).groupBy(F.col("analysis_id").cast("long").alias("scene_id")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("p").cast("double")), 6).alias("total"))
-
-
 _BOX = (10.0, -20.0, 16.0, 40.0)
 _BOX_SIDES = "SELECT z AS zone, n AS north, CASE side WHEN 0 THEN {0} WHEN 1 THEN {2} ELSE {0} + ({2} - {0}) * f END AS lng, CASE side WHEN 2 THEN {1} WHEN 3 THEN {3} ELSE {1} + ({3} - {1}) * f END AS lat FROM (SELECT unnest(range(1, 61))::INT AS z), (SELECT unnest([true, false]) AS n), (SELECT unnest(range(0, 23)) / 22 AS f), (SELECT unnest(range(0, 4)) AS side)".format(*(f"{v}::DOUBLE" for v in _BOX))
 _SHIFT = "CASE WHEN north THEN 0 ELSE 1e7 END"
@@ -174,14 +167,18 @@ def f9(spark, sf):
     return focal.shift_report(focal.pair_shifts(long))
 
 
-@query("G10", "SELECT vec_id, label FROM embeddings WHERE vec_id % 2 = 0")
+@query("G10", "SELECT 'index' AS held, vec_id, label FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT 'catalog', vec_id, label + 1 FROM embeddings WHERE vec_id % 2 = 0")
 def g10(spark, sf):
-    """Versions are folders; restoring reads version 0 again."""
-    path = new_path(spark, "versions")
+    """Index and catalogue together: a baseline, a later version of both, a third that is never published, the baseline again."""
+    store = Store(spark, new_path(spark, "versions"))
     rows = views.read(spark, sf, "embeddings").select("vec_id", "label")
-    rows.filter("vec_id % 2 = 0").write.parquet(f"{path}/version=0")
-    rows.write.parquet(f"{path}/version=1")
-    return spark.read.option("basePath", path).parquet(f"{path}/version=0").select("vec_id", "label")
+    small = rows.filter("vec_id % 2 = 0")
+    baseline = store.commit({"index": small, "catalog": small.withColumn("label", F.col("label") + 1)})
+    store.commit({"index": rows, "catalog": rows})
+    store.prepare({"index": rows.limit(0)})
+    store.restore(baseline)
+    index, held = (store.read(t).select(F.lit(t).alias("held"), "vec_id", "label") for t in ("index", "catalog"))
+    return index.union(held)
 
 
 @query("J6", f"WITH {PX} SELECT scene_id, count(*) FILTER (truth NOT IN (0, 1)) AS bad_mask, count(*) FILTER (p IS NULL) AS missing, count(*) <> 2500 AS bad_shape FROM px GROUP BY scene_id")
@@ -189,16 +186,28 @@ def j6(spark, sf):
     return views.px(spark, sf).groupBy("scene_id").agg(F.count_if(~F.col("truth").isin(0, 1)).alias("bad_mask"), F.count_if(F.col("p").isNull()).alias("missing"), (F.count("*") != SIDE * SIDE).alias("bad_shape"))
 
 
-@query("K1", "SELECT vec_id AS tile_id, label FROM embeddings")
-def k1(spark, sf):
-    """Landed tiles streamed into an index twice: the second run adds nothing."""
+def _ingested(spark, sf):
+    """Landed tiles streamed into an index twice, each time by a new stream: the second adds nothing."""
     folder = new_path(spark, "ingest")
-    rows = views.read(spark, sf, "embeddings").select(F.col("vec_id").alias("tile_id"), "label")
+    rows = views.read(spark, sf, "embeddings").select(F.col("vec_id").alias("tile_id"), "label", F.concat_ws(" ", F.lit("tile"), "vec_id", F.lit("label"), "label").alias("words"))
     rows.write.parquet(f"{folder}/landed")
     for run in (0, 1):
         stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/landed")
-        jobs.ingest(stream, f"{folder}/index", f"{folder}/state{run}").awaitTermination()
-    return spark.read.parquet(f"{folder}/index").select("tile_id", "label")
+        jobs.ingest(stream, f"{folder}/store", f"{folder}/state{run}", embedding.hashed_encoder(), "words").awaitTermination()
+    return f"{folder}/store"
+
+
+@query("K1", "SELECT vec_id AS tile_id, label, 32 AS dimension FROM embeddings")
+def k1(spark, sf):
+    """What is indexed, with what the catalogue says of it."""
+    path = _ingested(spark, sf)
+    index, catalog_rows = (jobs.read_ingested(spark, path, t) for t in ("index", "catalog"))
+    return index.select("tile_id", F.size("vector").alias("dimension")).join(catalog_rows.select("tile_id", "label"), "tile_id")
+
+
+@query("K1_report", "SELECT * FROM (SELECT 0 AS number, 'success' AS status, 0::BIGINT AS count_before, n AS count_after, n AS added, 0::BIGINT AS already_indexed FROM (SELECT count(DISTINCT vec_id) AS n FROM embeddings) UNION ALL SELECT 1, 'already_indexed', n, n, 0, n FROM (SELECT count(DISTINCT vec_id) AS n FROM embeddings))")
+def k1_report(spark, sf):
+    return jobs.ingest_report(spark, _ingested(spark, sf)).select("number", "status", "count_before", "count_after", "added", "already_indexed")
 
 
 @query("K2_stream", f"WITH {LEDGER}, rv AS (SELECT ledger_id AS candidate_id, seq, CASE action WHEN 'PURCHASE' THEN 'confirmed' WHEN 'ERROR' THEN 'rejected' WHEN 'CLICK' THEN 'flagged' ELSE 'pending' END AS decision FROM ledger), f AS (SELECT candidate_id, arg_min(decision, seq) AS held, min(seq) AS first_seq FROM rv WHERE decision IN ('confirmed', 'rejected') GROUP BY candidate_id) SELECT rv.candidate_id, rv.seq, rv.decision, CASE WHEN f.first_seq IS NULL OR rv.seq <= f.first_seq THEN 'accepted' WHEN rv.decision = f.held THEN 'idempotent' ELSE 'refused' END AS outcome, CASE WHEN f.first_seq IS NULL OR rv.seq <= f.first_seq THEN rv.decision ELSE f.held END AS status FROM rv LEFT JOIN f USING (candidate_id)")
@@ -219,16 +228,45 @@ def l1(spark, sf):
     return embedding.encode_rows(pages, "page_id", "url", embedding.hashed_encoder())
 
 
-@query("L3", f"{_JUDGED} SELECT scene_id, component_id, area, mean_p, retained, reasons, {_RANK} AS rank, 10.0::DOUBLE * (centroid_x + 0.5) + 500000 AS map_x, -10.0::DOUBLE * (centroid_y + 0.5) + 4600000 AS map_y, (area * 100)::DOUBLE AS area_m2 FROM j")
+_SCALE, _CUT = 20.0, 0.85
+_PAIR_P = f"round(1 / (1 + exp(-(abs(b.b04 - a.b04) / {_SCALE!r} - 2))), 6)::FLOAT"
+_ANALYSIS = f"""WITH RECURSIVE {PX}, {PX2}, sc AS (SELECT a.scene_id, a.y, a.x, a.{_VALID} AND b.{_VALID} AS valid, CASE WHEN a.{_VALID} AND b.{_VALID} THEN {_PAIR_P} ELSE 0 END AS p FROM px a JOIN px2 b ON a.scene_id = b.scene_id AND a.y = b.y AND a.x = b.x),
+ {reach(f'SELECT scene_id, y, x FROM sc WHERE valid AND p >= {_CUT}::FLOAT', name='0')}, big AS (SELECT c.* FROM comp0 c JOIN (SELECT scene_id, root FROM comp0 GROUP BY ALL HAVING count(*) >= 3) k USING (scene_id, root)), {_close('big')},
+ {reach('SELECT scene_id, y, x FROM closed JOIN sc USING (scene_id, y, x) WHERE valid')},
+ cand AS (SELECT scene_id, component_id, count(*) AS area, min(x) AS xmin, min(y) AS ymin, max(x) + 1 AS xmax, max(y) + 1 AS ymax, round(avg(x), 6) AS centroid_x, round(avg(y), 6) AS centroid_y, round(avg(p::DOUBLE), 6) AS mean_p, min(least(y, x, 49 - y, 49 - x)) < 1 AS edge FROM comp JOIN sc USING (scene_id, y, x) GROUP BY ALL),
+ j AS (SELECT *, CASE WHEN edge THEN 'image_edge' ELSE '' END AS reasons, NOT edge AS retained FROM cand)"""
+
+
+def _analysis(spark, sf):
+    """Two rasters a scene, the second mirrored: pairs, patches, scores, masks, candidates, files."""
+    rows = [v.select((2 * F.col("scene_id") + k).alias("raster_id"), "y", "x", "b04", pixels.scl_valid(F.col("scl")).alias("valid"), "scene_id") for k, v in enumerate((views.px(spark, sf), views.px2(spark, sf)))]
+    headers = [
+        r.select("raster_id", "scene_id").distinct().select(
+            "raster_id", F.col("scene_id").cast("string").alias("tile_id"), F.to_timestamp(F.lit(f"2024-0{k + 1}-15 10:00:00")).alias("acquired"), F.lit("sentinel-2").alias("sensor"), F.lit("EPSG:32631").alias("crs"),
+            F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), _geo().alias("transform"), F.array(*map(F.lit, (500000.0, 4599500.0, 500500.0, 4600000.0))).alias("bounds"), F.lit(4).alias("band_count"), F.lit("float32").alias("dtypes"),
+        )
+        for k, r in enumerate(rows)
+    ]
+    pairs = catalog.temporal_pairs(headers[0].unionByName(headers[1])).filter("reasons = ''").withColumn("unit_m", F.lit(1.0))
+    settings = analysis.Settings(threshold=_CUT, least_area=3, close=True, reject_edge=True, patch=32, bands=("b04",))
+    score = F.round(F.col("mean_p") * F.log1p("area"), 6)
+    return analysis.analyse(pairs, rows[0].unionByName(rows[1]).drop("scene_id"), analysis.logistic_scorer(_SCALE), new_path(spark, "analysis"), settings, score=score)
+
+
+@query("L3", f"{_ANALYSIS} SELECT scene_id::VARCHAR || '__20240115_20240215' AS pair_id, component_id, area, mean_p, retained, reasons, {_RANK} AS rank, 10.0::DOUBLE * xmin + 500000 AS map_xmin, -10.0::DOUBLE * ymin + 4600000 AS map_ymax, 10.0::DOUBLE * (centroid_x + 0.5) + 500000 AS map_x, -10.0::DOUBLE * (centroid_y + 0.5) + 4600000 AS map_y, (area * 100)::DOUBLE AS area_m2 FROM j")
 def l3(spark, sf):
-    """Whole change analysis: mask, components, statistics, filters, rank, map places and areas."""
-    from .pixel_queries import _geo
-
-    ranked = components.ranked(_judged(spark, sf), F.round(F.col("mean_p") * F.log1p("area"), 6))
-    x, y = F.col("centroid_x") + 0.5, F.col("centroid_y") + 0.5
-    return ranked.select(
-        "scene_id", "component_id", "area", "mean_p", "retained", "reasons", "rank", geo.map_x(_geo(), x, y).alias("map_x"), geo.map_y(_geo(), x, y).alias("map_y"),
-        (F.col("area") * geo.pixel_area(_geo(), F.lit(1.0))).alias("area_m2"),
+    """Whole change analysis from two rasters: the candidates, read back from what the job has written."""
+    return _analysis(spark, sf).candidates.select("pair_id", "component_id", "area", "mean_p", "retained", "reasons", "rank", "map_xmin", "map_ymax", "map_x", "map_y", "area_m2")
+
+
+@query("A20", f"{_ANALYSIS}, n AS (SELECT scene_id, count(*) FILTER (valid) AS valid, count(*) FILTER (valid AND p >= 0.5) AS raw, round(sum(p::DOUBLE), 4) AS total FROM sc GROUP BY scene_id), f AS (SELECT scene_id, sum(area)::BIGINT AS changed, count(*) AS components, count(*) FILTER (retained) AS retained FROM j GROUP BY scene_id) SELECT scene_id::VARCHAR || '__20240115_20240215' AS pair_id, raw, total, valid, coalesce(changed, 0) AS changed, coalesce(changed, 0) AS final, coalesce(components, 0) AS components, coalesce(f.retained, 0) AS retained, (coalesce(changed, 0) * 100)::DOUBLE AS area_m2, {_CUT}::DOUBLE AS threshold, 'closing' AS morphology, 'b04' AS bands FROM n LEFT JOIN f USING (scene_id)")
+def a20(spark, sf):
+    """Masks, probability and metadata as the job has written them, brought together by analysis."""
+    made = _analysis(spark, sf)
+    sums = made.pixels.groupBy("analysis_id").agg(F.sum("raw").alias("raw"), F.sum("final").alias("final"), F.round(F.sum(F.col("probability").cast("double")), 4).alias("total"))
+    return made.metadata.join(sums, "analysis_id").select(
+        "pair_id", "raw", "total", "statistics.valid", "statistics.changed", "final", "statistics.components", F.col("filtering.retained_components").alias("retained"),
+        F.col("statistics.changed_area_m2").alias("area_m2"), "settings.threshold", "settings.morphology", "provenance.bands",
     )
 
 

@@ -185,12 +185,17 @@ def g6(spark, sf):
     return one.union(ids.exceptAll(index).select(F.lit("only_in_map").alias("rule"), "id"))
 
 
-@query("C8", "SELECT a.o_orderkey AS t1, b.o_orderkey AS t2, CASE WHEN a.o_orderstatus <> b.o_orderstatus THEN 'sensor' END AS reason FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderpriority = '1-URGENT' AND b.o_orderpriority = '2-HIGH'")
+_OBS = "obs AS (SELECT o_orderkey AS id, ['T1', 'T2', 'T2'][(o_orderkey % 3 + 1)::INT] AS role, o_custkey % 500 AS pair_id, o_orderstatus AS sensor FROM orders WHERE o_orderkey % 11 <> 0)"
+
+
+@query("C8", f"WITH {_OBS}, asked AS (SELECT CASE WHEN l_partkey % 50 <> 0 THEN l_orderkey END AS t1, o_orderkey AS t2 FROM lineitem JOIN orders ON o_custkey % 500 = l_suppkey % 500 AND o_orderkey % 64 = l_orderkey % 64 WHERE l_linenumber = 1), j AS (SELECT t1, t2, a.id AS a, b.id AS b, a.role AS ra, b.role AS rb, a.pair_id AS pa, b.pair_id AS pb, a.sensor AS sa, b.sensor AS sb FROM asked LEFT JOIN obs a ON a.id = t1 LEFT JOIN obs b ON b.id = t2) SELECT t1, t2, CASE WHEN t1 IS NULL OR t2 IS NULL THEN 'missing_id' WHEN a IS NULL OR b IS NULL THEN 'unknown_id' WHEN ra <> 'T1' OR rb <> 'T2' THEN 'role' WHEN pa <> pb THEN 'pair' WHEN sa <> sb THEN 'sensor' END AS reason FROM j")
 def c8(spark, sf):
-    o = views.read(spark, sf, "orders")
-    a = o.filter("o_orderpriority = '1-URGENT'").select("o_custkey", F.col("o_orderkey").alias("t1"), F.col("o_orderstatus").alias("s1"))
-    b = o.filter("o_orderpriority = '2-HIGH'").select("o_custkey", F.col("o_orderkey").alias("t2"), F.col("o_orderstatus").alias("s2"))
-    return a.join(b, "o_custkey").select("t1", "t2", F.when(F.col("s1") != F.col("s2"), "sensor").alias("reason"))
+    """Asked pairs of observations with the first check that fails."""
+    o, items = views.read(spark, sf, "orders"), views.read(spark, sf, "lineitem").filter("l_linenumber = 1")
+    role = F.element_at(F.array(*map(F.lit, ("T1", "T2", "T2"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    observations = o.filter("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("id"), role.alias("role"), (F.col("o_custkey") % 500).alias("pair_id"), F.col("o_orderstatus").alias("sensor"))
+    asked = items.join(o, F.expr("o_custkey % 500 = l_suppkey % 500 AND o_orderkey % 64 = l_orderkey % 64")).select(F.when(F.col("l_partkey") % 50 != 0, F.col("l_orderkey")).alias("t1"), F.col("o_orderkey").alias("t2"))
+    return catalog.observation_pairs(asked, observations)
 
 
 @query("A9", "SELECT o_orderkey AS id, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'role' WHEN o_totalprice < 5000 THEN 'price' END AS reason FROM orders")
