@@ -7,13 +7,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GENESIS = "0" * 64
+# FNV-1a of 32 bits, and the hash before the first event of such a chain.
+FNV_START, FNV_PRIME, FNV_GENESIS = 2166136261, 16777619, "0" * 8
 FINAL = ("confirmed", "rejected")
 
 
@@ -27,14 +27,27 @@ def event_hash(previous: str, seq: int, stamp: str, action: str, detail: str | N
     return hashlib.sha256(body.encode()).hexdigest()
 
 
-def append_chain(events: DataFrame) -> DataFrame:
+def fnv_hash(previous: str, seq: int, stamp: str, action: str, detail: str | None) -> str:
+    """FNV-1a of ``previous|stamp|action|detail`` over UTF-16 units, eight hexadecimal digits; a null detail is empty."""
+    h = FNV_START
+    for unit in memoryview(f"{previous}|{stamp}|{action}|{detail or ''}".encode("utf-16-le")).cast("H"):
+        h = (h ^ unit) * FNV_PRIME & 0xFFFFFFFF
+    return f"{h:08x}"
+
+
+#: (hash of an event, hash before the first) by the name of a chain.
+LINKS = {"sha256": (event_hash, GENESIS), "fnv1a": (fnv_hash, FNV_GENESIS)}
+
+
+def append_chain(events: DataFrame, link: str = "sha256") -> DataFrame:
     """Adds previous_hash and event_hash to events (ledger_id, seq, stamp, action, detail)."""
+    hash_of, genesis = LINKS[link]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        previous, links = GENESIS, []
+        previous, links = genesis, []
         for row in pdf.itertuples():
-            this = event_hash(previous, row.seq, row.stamp, row.action, row.detail)
+            this = hash_of(previous, row.seq, row.stamp, row.action, row.detail)
             links.append((previous, this))
             previous = this
         pdf["previous_hash"], pdf["event_hash"] = zip(*links, strict=True)
@@ -44,24 +57,55 @@ def append_chain(events: DataFrame) -> DataFrame:
     return columns.groupBy("ledger_id").applyInPandas(run, "ledger_id long, seq long, stamp string, action string, detail string, previous_hash string, event_hash string")
 
 
-def _recompute(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-    for previous, seq, stamp, action, detail in parts:
-        yield pd.Series([event_hash(*x) for x in zip(previous, seq, stamp, action, detail, strict=True)])
+def json_text(value: Column) -> Column:
+    """A string as JSON in ASCII; the word null for null. Texts without special signs are only quoted."""
+    escapes = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+    def one(c: Column) -> Column:
+        units = F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "([0-9a-f]{4})", r"\\u$1")
+        out = F.when((c >= F.lit(" ")) & (c <= F.lit("~")), c).otherwise(units)
+        for sign, text in escapes.items():
+            out = F.when(c == F.lit(sign), F.lit(text)).otherwise(out)
+        return out
 
+    special = value.rlike(r'[^\x20-\x7e]|["\\\\]')
+    body = F.when(special, F.array_join(F.transform(F.split(value, ""), one), "")).otherwise(value)
+    return F.coalesce(F.concat(F.lit('"'), body, F.lit('"')), F.lit("null"))
 
-def recomputed(*columns: str) -> Column:
-    """Hash of the event that the columns previous_hash, seq, stamp, action and detail hold."""
-    return F.pandas_udf(_recompute, "string")(*columns)
 
+def recomputed(previous: str, seq: str, stamp: str, action: str, detail: str) -> Column:
+    """Hash of the event that the columns hold: SHA-256 of its canonical JSON, built by column functions."""
+    parts = [
+        F.lit('{"action":'), json_text(F.col(action)), F.lit(',"detail":'), json_text(F.col(detail)), F.lit(',"previous_hash":'), json_text(F.col(previous)),
+        F.lit(',"seq":'), F.col(seq).cast("long").cast("string"), F.lit(',"timestamp":'), json_text(F.col(stamp)), F.lit("}"),
+    ]
+    return F.sha2(F.concat(*parts), 256)
 
-def verify_chain(chain: DataFrame) -> DataFrame:
-    """Adds ``status``: from the first row that does not fit, all rows of the ledger are broken."""
-    order = Window.partitionBy("ledger_id").orderBy("seq")
-    expected = F.coalesce(F.lag("event_hash").over(order), F.lit(GENESIS))
-    right = recomputed("previous_hash", "seq", "stamp", "action", "detail")
-    rows = chain.withColumn("right_hash", right).withColumn("bad", (F.col("previous_hash") != expected) | (F.col("event_hash") != F.col("right_hash")))
-    broken = F.max("bad").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("status", F.when(broken, "broken").otherwise("intact")).drop("right_hash", "bad")
+
+def fnv1a(text: Column) -> Column:
+    """FNV-1a, 32 bits, over the UTF-16 units of a text."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"), F.lit(1))
+    step = lambda h, c: F.pmod(h.bitwiseXOR(F.conv(c, 16, 10).cast("long")) * F.lit(FNV_PRIME).cast("long"), F.lit(1 << 32))
+    return F.aggregate(units, F.lit(FNV_START).cast("long"), step)
+
+
+def refnv(previous: str, seq: str, stamp: str, action: str, detail: str) -> Column:
+    """The FNV hash of the event that the columns hold."""
+    text = F.concat(F.col(previous), F.lit("|"), F.col(stamp), F.lit("|"), F.col(action), F.lit("|"), F.coalesce(detail, F.lit("")))
+    return F.lower(F.lpad(F.hex(fnv1a(text)), 8, "0"))
+
+
+def verify_chain(chain: DataFrame, link: str = "sha256") -> DataFrame:
+    """Adds ``status``: from the first row that does not fit, all rows of the ledger are broken. Hashes are recomputed row by
+    row wherever the row lies; only the previous hash goes through a window, and the first bad row of each ledger
+    is an aggregate that is joined back."""
+    again, genesis = (recomputed, GENESIS) if link == "sha256" else (refnv, FNV_GENESIS)
+    names = ("previous_hash", "seq", "stamp", "action", "detail")
+    checked = chain.select("ledger_id", "seq", "previous_hash", "event_hash", (~again(*names).eqNullSafe(F.col("event_hash"))).alias("wrong"))
+    expected = F.coalesce(F.lag("event_hash").over(Window.partitionBy("ledger_id").orderBy("seq")), F.lit(genesis))
+    bad = checked.withColumn("loose", ~F.col("previous_hash").eqNullSafe(expected)).filter("wrong OR loose")
+    first = bad.groupBy("ledger_id").agg(F.min("seq").alias("first_bad"))
+    return chain.join(first, "ledger_id", "left").withColumn("status", F.when(F.col("seq") >= F.col("first_bad"), "broken").otherwise("intact")).drop("first_bad")
 
 
 def tail(events: DataFrame, n: int, action: str | None = None) -> DataFrame:
@@ -70,13 +114,6 @@ def tail(events: DataFrame, n: int, action: str | None = None) -> DataFrame:
     return rows.orderBy(F.desc("seq"), F.desc("ledger_id")).limit(n).orderBy("seq", "ledger_id")
 
 
-def fnv1a(text: Column) -> Column:
-    """FNV-1a, 32 bits, over the characters of a text (basic plane)."""
-    units = F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
-    step = lambda h, c: F.pmod(h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(16777619).cast("long"), F.lit(1 << 32))
-    return F.aggregate(units, F.lit(2166136261).cast("long"), step)
-
-
 GROUPS = {"CONFIRMED": "verdicts", "REJECTED": "verdicts", "FLAGGED": "verdicts", "PURCHASE": "verdicts", "CLICK": "ops", "VIEW": "ops", "SIGNUP": "system", "ERROR": "system"}
 
 

@@ -41,13 +41,18 @@ def e7(spark, sf):
     return ledger.tail(views.ledger(spark, sf), 40, "PURCHASE").select("ledger_id", "seq", "action")
 
 
-_FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(txt, ''), lambda ch: ord(ch)::BIGINT)), lambda h, ch: (xor(h, ch) * 16777619) % 4294967296)"
+_FNV = "format('{{:08x}}', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({txt}, ''), lambda ch: ord(ch)::BIGINT)), lambda h, ch: (xor(h, ch) * 16777619) % 4294967296))"
+_LINKED = f"""WITH RECURSIVE {LEDGER}, chain AS (SELECT ledger_id, seq, '00000000' AS previous_hash, {_FNV.format(txt="'00000000|' || stamp || '|' || action || '|' || coalesce(detail, '')")} AS event_hash FROM ledger WHERE seq = 1
+ UNION ALL SELECT l.ledger_id, l.seq, c.event_hash, {_FNV.format(txt="c.event_hash || '|' || l.stamp || '|' || l.action || '|' || coalesce(l.detail, '')")} FROM chain c JOIN ledger l ON l.ledger_id = c.ledger_id AND l.seq = c.seq + 1)"""
 
 
-@query("E9", f"WITH {LEDGER}, t AS (SELECT ledger_id, seq, '0|' || stamp || '|' || action || '|' || detail AS txt FROM ledger) SELECT ledger_id, seq, {_FNV}::BIGINT AS h FROM t")
+@query("E9", f"{_LINKED} SELECT ledger_id, seq, previous_hash, event_hash, CASE WHEN ledger_id % 7 = 3 AND seq >= 5 THEN 'broken' ELSE 'intact' END AS status FROM chain")
 def e9(spark, sf):
-    text = F.concat_ws("|", F.lit("0"), "stamp", "action", "detail")
-    return views.ledger(spark, sf).select("ledger_id", "seq", ledger.fnv1a(text).alias("h"))
+    """Linked hashes of 32 bits, one event changed after the fact, and the check that finds it."""
+    chain = ledger.append_chain(views.ledger(spark, sf), "fnv1a")
+    changed = (F.col("ledger_id") % 7 == 3) & (F.col("seq") == 5)
+    tampered = chain.withColumn("detail", F.when(changed, "changed").otherwise(F.col("detail")))
+    return ledger.verify_chain(tampered, "fnv1a").select("ledger_id", "seq", "previous_hash", "event_hash", "status")
 
 
 @query("D35", f"WITH {LEDGER} SELECT CASE WHEN action = 'PURCHASE' THEN 'verdicts' WHEN action IN ('CLICK', 'VIEW') THEN 'ops' ELSE 'system' END AS group_name, action, count(*) AS n FROM ledger GROUP BY ALL")

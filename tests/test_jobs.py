@@ -274,3 +274,24 @@ def test_bounds_take_the_edges(spark):
     corner = spark.range(1).select(geo.from_utm(F.lit(300000.0), F.lit(5200000.0), F.lit(31), F.lit(True)).alias("c"), geo.from_utm(F.lit(500000.0), F.lit(5200000.0), F.lit(31), F.lit(True)).alias("e")).first()
     assert row["d"][3] == pytest.approx(corner["e"]["lat"], abs=1e-4) and row["d"][3] > corner["c"]["lat"] + 1e-3
     assert row["m"][0] == pytest.approx(1e6 - row["m"][2], abs=1e-3)
+
+
+# ----------------------------------------------------------------------------------------- ledgers
+
+
+def test_hashes_by_columns_equal_those_by_code(spark):
+    from skylattice.operators import ledger
+
+    odd = ["plain", "", None, 'q"uote', "back\\slash", "tab\t nl\n cr\r \b\f", "\x00\x1f\x0b\x7f", "é ß 日本", "🙂 𝒳", '{"a": 1}']
+    rows = [(k % 2, k // 2 + 1, f"2024-01-01T00:00:{k:02d}", f"A{k}é", d) for k, d in enumerate(odd)]
+    events = spark.createDataFrame(rows, "ledger_id long, seq long, stamp string, action string, detail string").repartition(3)
+    for link in ("sha256", "fnv1a"):
+        chain = ledger.append_chain(events, link)
+        assert {r["status"] for r in ledger.verify_chain(chain, link).collect()} == {"intact"}
+        wrong = chain.withColumn("detail", F.when((F.col("ledger_id") == 1) & (F.col("seq") == 3), "x").otherwise(F.col("detail")))
+        assert {(r["ledger_id"], r["seq"]) for r in ledger.verify_chain(wrong, link).filter("status = 'broken'").collect()} == {(1, 3), (1, 4), (1, 5)}
+        loose = chain.filter("NOT (ledger_id = 0 AND seq = 2)")
+        assert {(r["ledger_id"], r["seq"]) for r in ledger.verify_chain(loose, link).filter("status = 'broken'").collect()} == {(0, 3), (0, 4), (0, 5)}
+    # Published values of FNV-1a.
+    values = spark.createDataFrame([("",), ("a",), ("foobar",)], "t string").select(F.hex(ledger.fnv1a(F.col("t"))).alias("h"))
+    assert [r["h"] for r in values.collect()] == ["811C9DC5", "E40C292C", "BF9CF968"]
