@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stage
+from .ranking import quantiles, running_sums
+
 COUNTS = ("tp", "fp", "fn", "tn")
 
 
@@ -81,25 +84,32 @@ def best_by_each(pooled: DataFrame) -> DataFrame:
 def distribution(df: DataFrame, by: str) -> DataFrame:
     v = F.col("v")
     shares = [F.round(F.avg((v >= c / 100).cast("int")), 6).alias(f"at_{c}") for c in (25, 50, 75)]
-    return df.groupBy(by).agg(
-        F.count("*").alias("n"), F.round(F.min(v), 6).alias("low"), F.round(F.max(v), 6).alias("high"), F.round(F.avg(v), 6).alias("mean"),
-        F.percentile(v, F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99)))).alias("q"), *shares,
-    ).select(by, "n", "low", "high", "mean", *(F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("median", "p90", "p95", "p99"))), "at_25", "at_50", "at_75")
+    plain = df.groupBy(by).agg(F.count("*").alias("n"), F.round(F.min(v), 6).alias("low"), F.round(F.max(v), 6).alias("high"), F.round(F.avg(v), 6).alias("mean"), *shares)
+    places = quantiles(df, [by], "v", [0.5, 0.9, 0.95, 0.99]).select(by, "q")
+    return plain.join(places, by).select(by, "n", "low", "high", "mean", *(F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("median", "p90", "p95", "p99"))), "at_25", "at_50", "at_75")
 
 
 def discrimination(df: DataFrame, by: str) -> DataFrame:
     """Tie-aware ROC-AUC and average precision; null where only one class is present. Equal scores are
-    aggregated before the running sums."""
-    groups = df.groupBy(by, "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    up, down, whole = Window.partitionBy(by).orderBy("score"), Window.partitionBy(by).orderBy(F.desc("score")), Window.partitionBy(by)
-    rows = groups.select(
-        by, "pos", "neg", (F.sum("neg").over(up) - F.col("neg")).alias("below"), F.sum("pos").over(down).alias("tp"),
-        F.sum(F.col("pos") + F.col("neg")).over(down).alias("n"), F.sum("pos").over(whole).alias("all_pos"), F.sum("neg").over(whole).alias("all_neg"),
-    )
-    both = (F.first("all_pos") > 0) & (F.first("all_neg") > 0)
-    area = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.first("all_pos") * F.first("all_neg"))
-    precision = F.sum(F.try_divide(F.col("pos"), F.col("all_pos")) * (F.col("tp") / F.col("n")))
-    return rows.groupBy(by).agg(F.round(F.when(both, area), 6).alias("auc"), F.round(F.when(both, precision), 6).alias("average_precision"))
+    aggregated first, and sums run over range partitions."""
+    return _discriminated(df.groupBy(by, "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")), [by])
+
+
+def _discriminated(groups: DataFrame, by: list[str]) -> DataFrame:
+    """AUC and average precision from (by, score, pos, neg), one row for each score."""
+    rows = running_sums(groups, by, "score", ["pos", "neg"])
+    whole = groups.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}"))
+    rows = rows.alias("r").join(whole.alias("w"), on).select(*(F.col(f"r.{c}").alias(c) for c in by), "pos", "neg", "pos_upto", "neg_upto", "all_pos", "all_neg")
+    below, tp = F.col("neg_upto") - F.col("neg"), F.col("all_pos") - F.col("pos_upto") + F.col("pos")
+    n = tp + F.col("all_neg") - F.col("neg_upto") + F.col("neg")
+    both = (F.max("all_pos") > 0) & (F.max("all_neg") > 0)
+    auc = F.sum(F.col("pos") * (below + F.col("neg") / 2)) / (F.max("all_pos") * F.max("all_neg"))
+    return rows.groupBy(*by).agg(
+        F.round(F.when(both, auc), 6).alias("auc"), F.round(F.when(both, F.sum(F.when(F.col("all_pos") > 0, F.col("pos") / F.col("all_pos") * (tp / n)))), 6).alias("average_precision")
+    )
 
 
 def histogram(df: DataFrame, by: str, bins: int) -> DataFrame:
@@ -134,9 +144,9 @@ def spectral(df: DataFrame, one: str, two: str) -> DataFrame:
     """Band values of both dates in each confusion class."""
     pred, truth, gap = F.col("pred"), F.col("truth"), F.abs(F.col(two) - F.col(one))
     kind = F.when((pred == 1) & (truth == 1), "TP").when(pred == 1, "FP").when(truth == 1, "FN").otherwise("TN")
-    return df.groupBy(kind.alias("class")).agg(
-        F.round(F.avg(one), 6).alias("mean_1"), F.round(F.avg(two), 6).alias("mean_2"), F.round(F.avg(gap), 6).alias("mean_abs"), F.round(F.percentile(gap, 0.5), 6).alias("median_abs")
-    )
+    rows = df.select(kind.alias("class"), F.col(one).alias("one"), F.col(two).alias("two"), gap.alias("gap"))
+    means = rows.groupBy("class").agg(F.round(F.avg("one"), 6).alias("mean_1"), F.round(F.avg("two"), 6).alias("mean_2"), F.round(F.avg("gap"), 6).alias("mean_abs"))
+    return means.join(quantiles(rows, ["class"], "gap", [0.5]), "class").select("class", "mean_1", "mean_2", "mean_abs", F.round(F.col("q")[0], 6).alias("median_abs"))
 
 
 def loss_parts(df: DataFrame, logit: str, truth: str, positive_weight: float, *by: str) -> DataFrame:
@@ -188,10 +198,44 @@ def best_checkpoint(epochs: DataFrame) -> DataFrame:
     return epochs.groupBy("run").agg(F.min(F.struct("loss", "epoch")).alias("b")).select("run", "b.epoch", "b.loss")
 
 
-def evaluation_job(df: DataFrame, thresholds: list[float], by: str) -> DataFrame:
-    """Scores of each location and pooled, at every threshold, from one pass over the pixels."""
-    counts = sweep(df, thresholds, by).select(by, "threshold", *COUNTS)
-    sums = ", ".join(f"sum({c}) AS {c}" for c in COUNTS)
-    both = counts.sparkSession.sql(f"SELECT {by}, threshold, {sums} FROM {{counts}} GROUP BY GROUPING SETS (({by}, threshold), (threshold))", counts=counts)
-    level = F.when(F.col(by).isNull(), "pooled").otherwise("location")
-    return scores(both).withColumn("level", level)
+def evaluation_job(df: DataFrame, thresholds: list[float]) -> tuple[DataFrame, DataFrame]:
+    """Evaluation of each location, each fold and all together: (sweep, summary).
+
+    ``df``: fold, location, p, truth. Pixels are read once and counted by score; grouping sets add those counts up for the
+    three levels, and everything else comes from that table. The sweep has the scores at every threshold. The summary has the
+    best thresholds by F1 and by IoU and whether they agree (ties go to the higher), AUC and average precision, the
+    mean score of both classes, and for folds and all together the mean F1 at the best threshold over the locations.
+    """
+    counted = df.groupBy("fold", "location", F.col("p").alias("score")).agg(F.count_if(F.col("truth") == 1).alias("pos"), F.count_if(F.col("truth") == 0).alias("neg"))
+    rolled = counted.sparkSession.sql(
+        "SELECT CASE grouping_id() WHEN 0 THEN 'location' WHEN 2 THEN 'fold' ELSE 'pooled' END AS level, fold, location, score, sum(pos) AS pos, sum(neg) AS neg "
+        "FROM {counted} GROUP BY GROUPING SETS ((fold, location, score), (fold, score), (score))", counted=counted,
+    )
+    rolled = stage(rolled, "score-counts")
+    by = ["level", "fold", "location"]
+
+    reached = sum((F.col("score") >= F.lit(t).cast("float")).cast("int") for t in sorted(thresholds))
+    steps = F.array(*(F.lit(float(t)) for t in sorted(thresholds)))
+    few = rolled.groupBy(*by, F.coalesce(reached, F.lit(0)).alias("reached")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    at = few.select(*by, "pos", "neg", "reached", F.posexplode(steps).alias("i", "threshold"))
+    hit = F.col("reached") > F.col("i")
+    total = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(0))
+    swept = stage(scores(at.groupBy(*by, "threshold").agg(total("pos", hit).alias("tp"), total("neg", hit).alias("fp"), total("pos", ~hit).alias("fn"), total("neg", ~hit).alias("tn"))), "swept")
+
+    best = [F.max_by("threshold", F.struct(c, "threshold")).alias(f"best_{c}") for c in ("f1", "iou")]
+    chosen = swept.groupBy(*by).agg(*best, F.max("f1").alias("f1")).withColumn("agree", F.col("best_f1") == F.col("best_iou"))
+    means = rolled.groupBy(*by).agg(*(F.round(F.try_divide(F.sum(F.col("score").cast("double") * F.col(c)), F.sum(c)), 6).alias(f"mean_{c}") for c in ("pos", "neg")))
+    pooled = swept.filter("level = 'pooled'").agg(F.max_by("threshold", F.struct("f1", "threshold")).alias("threshold"))
+    local = swept.filter("level = 'location'").join(F.broadcast(pooled), "threshold").select("fold", "f1")
+    macro = local.groupBy("fold").agg(F.avg("f1").alias("macro")).select(F.lit("fold").alias("level"), "fold", "macro").unionByName(
+        local.agg(F.avg("f1").alias("macro")).select(F.lit("pooled").alias("level"), F.lit(None).cast(df.schema["fold"].dataType).alias("fold"), "macro")
+    )
+    summary = chosen
+    for other in (means, _discriminated(rolled.filter("score IS NOT NULL"), by)):
+        on = F.lit(True)
+        for c in by:
+            on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+        summary = summary.alias("a").join(other.alias("b"), on, "left").select("a.*", *(f"b.{c}" for c in other.columns if c not in by))
+    on = (F.col("a.level") == F.col("b.level")) & F.col("a.fold").eqNullSafe(F.col("b.fold"))
+    summary = summary.alias("a").join(macro.alias("b"), on, "left").select("a.*", F.round("b.macro", 6).alias("macro_f1"))
+    return swept, summary

@@ -144,7 +144,29 @@ def e11(spark, sf):
     return metrics.best_checkpoint(_epochs(spark, sf)).withColumn("epoch", F.col("epoch").cast("long"))
 
 
-@query("L5", f"""WITH {_SWEEP} SELECT CASE WHEN scene_id IS NULL THEN 'pooled' ELSE 'location' END AS level, scene_id, threshold, tp, fp, fn, tn, {_SCORES} FROM (
- SELECT scene_id, threshold, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn FROM sweep GROUP BY GROUPING SETS ((scene_id, threshold), (threshold)))""")
+_EVAL = f"""WITH {PX}, e AS (SELECT scene_id % 3 AS fold, scene_id AS location, p, truth FROM px), th AS (SELECT t, round(t::DOUBLE, 2) AS threshold FROM (VALUES {_T}) v(t)),
+ lv AS (SELECT 'location' AS level, fold, location, p, truth FROM e UNION ALL SELECT 'fold', fold, NULL, p, truth FROM e UNION ALL SELECT 'pooled', NULL, NULL, p, truth FROM e),
+ sw AS (SELECT level, fold, location, threshold, count(*) FILTER (p >= t AND truth = 1) AS tp, count(*) FILTER (p >= t AND truth = 0) AS fp, count(*) FILTER (p < t AND truth = 1) AS fn, count(*) FILTER (p < t AND truth = 0) AS tn FROM lv, th GROUP BY ALL),
+ swept AS (SELECT level, fold, location, threshold, tp, fp, fn, tn, {_SCORES} FROM sw)"""
+
+
+@query("L5", f"{_EVAL} SELECT * FROM swept")
 def l5(spark, sf):
-    return metrics.evaluation_job(views.px(spark, sf), T, "scene_id")
+    """The sweep of the evaluation: locations, folds, pooled."""
+    return metrics.evaluation_job(_folded(spark, sf), T)[0]
+
+
+def _folded(spark, sf):
+    return views.px(spark, sf).select((F.col("scene_id") % 3).alias("fold"), F.col("scene_id").alias("location"), "p", "truth")
+
+
+@query("L5_summary", f"""{_EVAL}, b AS (SELECT level, fold, location, arg_max(threshold, f1 * 1000 + threshold / 1000) AS best_f1, arg_max(threshold, iou * 1000 + threshold / 1000) AS best_iou, max(f1) AS f1 FROM swept GROUP BY ALL),
+ m AS (SELECT level, fold, location, round(avg(p::DOUBLE) FILTER (truth = 1), 6) AS mean_pos, round(avg(p::DOUBLE) FILTER (truth = 0), 6) AS mean_neg FROM lv GROUP BY ALL),
+ g AS (SELECT level, fold, location, p AS s, count(*) FILTER (truth = 1) AS pos, count(*) FILTER (truth = 0) AS neg FROM lv GROUP BY ALL),
+ r AS (SELECT *, sum(neg) OVER up - neg AS below, sum(pos) OVER down AS tp, sum(pos + neg) OVER down AS n, sum(pos) OVER (PARTITION BY level, fold, location) AS all_pos, sum(neg) OVER (PARTITION BY level, fold, location) AS all_neg FROM g WINDOW up AS (PARTITION BY level, fold, location ORDER BY s), down AS (PARTITION BY level, fold, location ORDER BY s DESC)),
+ d AS (SELECT level, fold, location, round(CASE WHEN any_value(all_pos) > 0 AND any_value(all_neg) > 0 THEN sum(pos * (below + neg / 2)) / (any_value(all_pos) * any_value(all_neg)) END, 6) AS auc, round(CASE WHEN any_value(all_pos) > 0 AND any_value(all_neg) > 0 THEN sum(pos / all_pos * (tp / n)) END, 6) AS average_precision FROM r GROUP BY ALL),
+ loc AS (SELECT fold, f1 FROM swept WHERE level = 'location' AND threshold = (SELECT best_f1 FROM b WHERE level = 'pooled')),
+ mac AS (SELECT 'fold' AS level, fold, avg(f1) AS macro FROM loc GROUP BY fold UNION ALL SELECT 'pooled', NULL, avg(f1) FROM loc)
+ SELECT b.level, b.fold, b.location, best_f1, best_iou, f1, best_f1 = best_iou AS agree, mean_pos, mean_neg, auc, average_precision, round(macro, 6) AS macro_f1 FROM b JOIN m ON m.level = b.level AND m.fold IS NOT DISTINCT FROM b.fold AND m.location IS NOT DISTINCT FROM b.location JOIN d ON d.level = b.level AND d.fold IS NOT DISTINCT FROM b.fold AND d.location IS NOT DISTINCT FROM b.location LEFT JOIN mac ON mac.level = b.level AND mac.fold IS NOT DISTINCT FROM b.fold""")
+def l5_summary(spark, sf):
+    return metrics.evaluation_job(_folded(spark, sf), T)[1]

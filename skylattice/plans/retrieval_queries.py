@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import catalog, retrieval
+from ..operators.ranking import quantiles
 from . import views
 from .registry import query
 from .views import TILES
@@ -123,7 +124,10 @@ def d29(spark, sf):
 
 @query("D30", "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def d30(spark, sf):
-    return views.read(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
+    rows = views.read(spark, sf, "events").select("event_type", "value")
+    means = rows.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    q = quantiles(rows, ["event_type"], "value", [0.5, 0.95])
+    return means.join(q, "event_type").select("event_type", "mean", F.round(F.col("q")[0], 6).alias("median"), F.round(F.col("q")[1], 6).alias("p95"))
 
 
 @query("I6", f"WITH {TILES}, {_UNIT} SELECT a.vec_id // 2 AS pair, a.tile_id AS tile_1, b.tile_id AS tile_2, round(least(greatest({_DOT.format(a='a.unit', b='b.unit')}, -1), 1), 6) AS similarity FROM n a JOIN n b ON a.vec_id // 2 = b.vec_id // 2 AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1")

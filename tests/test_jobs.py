@@ -295,3 +295,43 @@ def test_hashes_by_columns_equal_those_by_code(spark):
     # Published values of FNV-1a.
     values = spark.createDataFrame([("",), ("a",), ("foobar",)], "t string").select(F.hex(ledger.fnv1a(F.col("t"))).alias("h"))
     assert [r["h"] for r in values.collect()] == ["811C9DC5", "E40C292C", "BF9CF968"]
+
+
+# ------------------------------------------------------------------------------- sums and quantiles
+
+
+def test_running_sums_and_quantiles(spark):
+    from skylattice.operators.ranking import quantiles, running_sums
+
+    draw = np.random.default_rng(3)
+    rows = [(None if g == 2 else g, float(v), int(n)) for g in range(3) for v, n in zip(draw.permutation(200 if g else 2000), draw.integers(0, 5, 2000), strict=False)]
+    df = spark.createDataFrame(rows, "g int, v double, n long").repartition(7)
+    got = {(r["g"], r["v"]): r["n_upto"] for r in running_sums(df, ["g"], "v", ["n"]).collect()}
+    want = {}
+    for g in (0, 1, None):
+        total = 0
+        for _, v, n in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
+            total += n
+            want[g, v] = total
+    assert got == want
+    values = spark.createDataFrame([(g, None if k % 9 == 0 else float(k * 7 % 50)) for g in "ab" for k in range(300 if g == "a" else 2)], "g string, v double")
+    found = {r["g"]: (r["n"], r["q"]) for r in quantiles(values, ["g"], "v", [0, 0.1, 0.5, 0.99, 1]).collect()}
+    for g, n in (("a", 300), ("b", 2)):
+        held = [float(k * 7 % 50) for k in range(n) if k % 9]
+        assert found[g][0] == len(held) and np.allclose(found[g][1], np.quantile(held, [0, 0.1, 0.5, 0.99, 1]))
+
+
+def test_evaluation_levels(spark):
+    from skylattice.operators import metrics
+
+    rows = [(k % 2, k % 4, (k * 37 % 100) / 100, int(k % 3 == 0) if k % 4 else 0) for k in range(400)]
+    df = spark.createDataFrame(rows, "fold int, location int, p double, truth int").withColumn("p", F.col("p").cast("float"))
+    swept, summary = (x.collect() for x in metrics.evaluation_job(df, [0.25, 0.5]))
+    assert {(r["level"], r["fold"], r["location"]) for r in summary} == {("location", k % 2, k) for k in range(4)} | {("fold", 0, None), ("fold", 1, None), ("pooled", None, None)}
+    assert len(swept) == 14
+    for r in swept:
+        held = [x for x in rows if r["fold"] in (None, x[0]) and r["location"] in (None, x[1])]
+        hit = [np.float32(x[2]) >= np.float32(r["threshold"]) for x in held]
+        assert (r["tp"], r["fp"]) == (sum(h and x[3] for h, x in zip(hit, held, strict=True)), sum(h and not x[3] for h, x in zip(hit, held, strict=True)))
+    lone = next(r for r in summary if r["location"] == 0)
+    assert lone["auc"] is None and lone["mean_pos"] is None
