@@ -144,9 +144,13 @@ SORTS = {
 }
 
 
-def sort_by(df: DataFrame, mode: str, tie: str) -> DataFrame:
+def sort_order(mode: str) -> Column:
     how, column = SORTS[mode]
-    return df.orderBy(how(column), tie)
+    return how(column)
+
+
+def sort_by(df: DataFrame, mode: str, tie: str) -> DataFrame:
+    return df.orderBy(sort_order(mode), tie)
 
 
 GRID = ("crs", "size", "transform", "bounds", "band_count", "dtypes")

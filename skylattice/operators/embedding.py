@@ -26,18 +26,22 @@ def hashed_encoder(dimension: int = 32) -> Callable[[list[str]], np.ndarray]:
 
 
 def encode_rows(rows: DataFrame, key: str, text: str, encoder: Callable[[list[str]], np.ndarray], batch: int = 64) -> DataFrame:
-    """(key, vector, error): vectors batch by batch; rows of a batch that fails keep its error."""
+    """(key, vector, error): vectors batch by batch. Rows of a batch that fails are tried one by one, so that only those
+    that fail alone keep an error."""
     kind = rows.schema[key].dataType.simpleString()
 
+    def encoded(texts: list[str]) -> list[tuple]:
+        try:
+            return [(v.astype(np.float32), None) for v in encoder(texts)]
+        except Exception as e:  # the job goes on; the rows say why they have no vector
+            return [(None, f"{type(e).__name__}: {e}")] if len(texts) == 1 else [x for t in texts for x in encoded([t])]
+
     def run(parts):
         for pdf in parts:
             for a in range(0, len(pdf), batch):
                 piece = pdf.iloc[a : a + batch]
-                try:
-                    vectors, error = [v.astype(np.float32) for v in encoder([t or "" for t in piece[text]])], None
-                except Exception as e:  # the job goes on; the rows say why they have no vector
-                    vectors, error = [None] * len(piece), f"{type(e).__name__}: {e}"
-                yield pd.DataFrame({key: piece[key].to_numpy(), "vector": vectors, "error": error})
+                made = encoded([t or "" for t in piece[text]])
+                yield pd.DataFrame({key: piece[key].to_numpy(), "vector": [v for v, _ in made], "error": [e for _, e in made]})
 
     return rows.select(key, text).mapInPandas(run, f"{key} {kind}, vector array<float>, error string")
 

@@ -43,9 +43,14 @@ def per_sensor(tiles: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return best(scored(tiles, queries).withColumn("i", F.row_number().over(inner)).filter(F.col("i") <= k).drop("i"), k)
 
 
-def diagnostics(hits: DataFrame) -> DataFrame:
+def diagnostics(hits: DataFrame, eligible: DataFrame | None = None, indexed: DataFrame | None = None) -> DataFrame:
+    """Scores of each query's hits, and how many rows passed the filter in the catalogue and in the index."""
     s = F.col("score")
-    return hits.groupBy("query_id").agg(F.count("*").alias("returned"), F.round(F.min(s), 6).alias("low"), F.round(F.max(s), 6).alias("high"), F.round(F.avg(s), 6).alias("mean"))
+    found = hits.groupBy("query_id").agg(F.count("*").alias("returned"), F.round(F.min(s), 6).alias("low"), F.round(F.max(s), 6).alias("high"), F.round(F.avg(s), 6).alias("mean"))
+    for rows, name in ((eligible, "eligible"), (indexed, "indexed_eligible")):
+        if rows is not None:
+            found = found.join(rows.agg(F.count("*").alias(name)))
+    return found
 
 
 def vector_checks(batch: DataFrame, index: DataFrame, dimension: int) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, pixels, times
-from ..operators import catalog
+from ..operators import catalog, reports
+from ..operators.ranking import with_rank
+from ..sources import sinks
 from ..storage import Store, new_path
 from . import views
 from .registry import query
@@ -61,12 +63,12 @@ def a15(spark, sf):
     return held.select("vec_id", "cache_key", "model_version", "dimension", (F.abs(norm - 1) < 1e-5).alias("unit"))
 
 
-@query("A17", f"{S} (row_number() OVER (ORDER BY cloud, scene_id))::INT AS rank, scene_id, round(ymin, 5) AS lat, round(xmin, 5) AS lng, strftime(acquired, '%Y-%m-%d') AS day FROM scenes WHERE cloud < 2")
+@query("A17", f"{S} (row_number() OVER (ORDER BY cloud NULLS LAST, scene_id))::INT AS rank, scene_id, round(ymin, 5) AS lat, round(xmin, 5) AS lng, strftime(acquired, '%Y-%m-%d') AS day FROM scenes")
 def a17(spark, sf):
-    from ..sources import sinks
-
-    rows = views.scenes(spark, sf).filter("cloud < 2")
-    return sinks.result_rows(rows, ["cloud", "scene_id"])
+    """All results through the CSV export."""
+    path = new_path(spark, "results")
+    sinks.write_csv(sinks.result_rows(views.scenes(spark, sf), [F.asc_nulls_last("cloud"), "scene_id"]), path)
+    return sinks.read_csv(spark, path, "rank int, scene_id string, lat double, lng double, day string")
 
 
 @query("A22", "SELECT c_custkey AS id, CASE WHEN trim(c_mktsegment) = '' THEN 'name' WHEN c_acctbal % 200 NOT BETWEEN -90 AND 90 THEN 'lat' WHEN c_nationkey <= 0 THEN 'radius' END AS reason FROM customer")
@@ -364,10 +366,12 @@ def a16(spark, sf):
     return store.read("catalog").withColumn("before", F.lit(before)).orderBy("k")
 
 
-@query("D34", f"WITH {_OLDNEW} SELECT count(*) AS discovered, count(*) FILTER (action = 'add') AS added, count(*) FILTER (action = 'update') AS updated FROM acts")
+@query("D34", f"WITH {_OLDNEW}, b AS (SELECT k FROM new UNION ALL SELECT k FROM new WHERE k % 40 = 0), u AS (SELECT k FROM old UNION SELECT k FROM new) SELECT (SELECT count(*) FROM b) AS discovered, (SELECT count(*) FROM acts WHERE action = 'add') AS added, (SELECT count(*) FROM acts WHERE action = 'update') AS updated, (SELECT count(*) FROM u) AS total, (SELECT count(*) FROM u WHERE k NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 50 <> 0)) AS missing, (SELECT count(*) FROM new WHERE k % 40 = 0) AS duplicates")
 def d34(spark, sf):
-    a = F.col("action")
-    return catalog.merge_actions(*_old_new(spark, sf), "k", ["v"], "v").agg(F.count("*").alias("discovered"), F.count_if(a == "add").alias("added"), F.count_if(a == "update").alias("updated"))
+    """A build whose batch names some keys twice and whose files are partly gone."""
+    old, new = _old_new(spark, sf)
+    files = views.read(spark, sf, "lineitem").filter("l_orderkey % 50 <> 0").select(F.col("l_orderkey").alias("k"))
+    return reports.build_report(old, new.union(new.filter("k % 40 = 0")), files, "k", ["v"], "v")
 
 
 @query("G1", "SELECT l_orderkey AS k, min(l_partkey) AS first_part FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_orderkey")
@@ -413,9 +417,15 @@ def g9(spark, sf):
     return views.read(spark, sf, "orders").join(v, "o_orderkey", "left").agg(F.count("*").alias("catalogued"), F.count("f").alias("indexed"))
 
 
-@query("E5", f"{S} {COLS} FROM scenes WHERE cloud < 5")
+_MODES = {"similarity": "score DESC NULLS LAST", "newest": "acquired DESC NULLS LAST", "oldest": "acquired ASC NULLS LAST", "cloud": "cloud ASC NULLS LAST"}
+
+
+@query("E5", f"WITH {SCENES}, s AS (SELECT *, CASE WHEN scene_no % 13 <> 0 THEN scene_no * 7919 % 1000 END AS score FROM scenes) " + " UNION ALL ".join(f"SELECT '{m}' AS mode, row_number() OVER (ORDER BY {o}, scene_id) AS rank, scene_id FROM s" for m, o in _MODES.items()))
 def e5(spark, sf):
-    return catalog.sort_by(views.scenes(spark, sf).filter("cloud < 5"), "cloud", "scene_id").select(*LIST)
+    """All rows in each of the four orders."""
+    rows = views.scenes(spark, sf).withColumn("score", F.when(F.col("scene_no") % 13 != 0, F.col("scene_no") * 7919 % 1000)).select("scene_id", "score", "acquired", "cloud")
+    found = [with_rank(rows, [catalog.sort_order(m), "scene_id"]).select(F.lit(m).alias("mode"), F.col("rank").cast("long").alias("rank"), "scene_id") for m in _MODES]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
 
 
 @query("E6", "SELECT user_id, count(*) FILTER (event_type = 'click') = 1 AND count(*) FILTER (event_type = 'view') = 1 AS complete, CASE WHEN min(ts) FILTER (event_type = 'click') < min(ts) FILTER (event_type = 'view') THEN 'click_first' WHEN min(ts) FILTER (event_type = 'click') > min(ts) FILTER (event_type = 'view') THEN 'view_first' ELSE 'ambiguous' END AS chronology FROM events GROUP BY user_id")

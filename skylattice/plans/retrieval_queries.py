@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import catalog, retrieval
+from ..operators import catalog, embedding, reports, retrieval
 from ..operators.ranking import quantiles
 from . import views
 from .registry import query
@@ -66,7 +66,7 @@ def c3(spark, sf):
 def c2(spark, sf):
     hits = retrieval.top_k(views.tiles(spark, sf).select("tile_id", "vector"), _queries(spark, sf), 10).select(*HIT)
     meta = views.tiles(spark, sf).select("tile_id", "scene_id", "sensor", "cloud")
-    return meta.join(F.broadcast(hits), "tile_id").select("query_id", "rank", "scene_id", "sensor", "cloud")
+    return meta.join(hits, "tile_id").select("query_id", "rank", "scene_id", "sensor", "cloud")
 
 
 @query("C4", f"{_Q} SELECT {_HIT} FROM s WHERE vec_id <> query_id {_TOP}")
@@ -117,9 +117,12 @@ def i4(spark, sf):
     return hits.select("query_id", "rank", "tile_id", "sensor", "score", "cloud", "cloud_unknown", lat.alias("lat"), lng.alias("lng"), F.date_format("acquired", "yyyy-MM-dd").alias("day"))
 
 
-@query("D29", f"{_Q}, h AS (SELECT {_HIT} FROM s {_TOP}) SELECT query_id, count(*) AS returned, round(min(score), 6) AS low, round(max(score), 6) AS high, round(avg(score), 6) AS mean FROM h GROUP BY query_id")
+@query("D29", f"{_Q}, h AS (SELECT {_HIT} FROM s {_FILTER} {_TOP}) SELECT query_id, count(*) AS returned, round(min(score), 6) AS low, round(max(score), 6) AS high, round(avg(score), 6) AS mean, (SELECT count(*) FROM scenes {_FILTER}) AS eligible, (SELECT count(*) FROM tiles {_FILTER}) AS indexed_eligible FROM h GROUP BY query_id")
 def d29(spark, sf):
-    return retrieval.diagnostics(retrieval.top_k(views.tiles(spark, sf), _queries(spark, sf), 10))
+    """A filtered search: hits, and how many scenes and how many indexed tiles pass the filter."""
+    allowed = _eligible(spark, sf)
+    eligible = catalog.select_scenes(views.scenes(spark, sf), "s2", "1995-06-01", "2000-06-30", most_cloud=80)
+    return retrieval.diagnostics(retrieval.top_k(allowed, _queries(spark, sf), 10), eligible, allowed)
 
 
 @query("D30", "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
@@ -168,9 +171,21 @@ def c18(spark, sf):
     return views.read(spark, sf, "embeddings").join(_cache(spark, sf), "vec_id", "left_anti").select("vec_id", "label")
 
 
-@query("I8", f"WITH {_CACHE}, x AS (SELECT e.vec_id, c.vec_id IS NOT NULL AS hit FROM embeddings e LEFT JOIN cache c ON e.vec_id = c.vec_id AND c.version = 'v1') SELECT count(*) AS discovered, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS fresh FROM x")
+@query("I8", f"WITH {_CACHE}, x AS (SELECT e.vec_id, c.vec_id IS NOT NULL AS hit FROM embeddings e LEFT JOIN cache c ON e.vec_id = c.vec_id AND c.version = 'v1') SELECT count(*) AS discovered, count(*) FILTER (vec_id IN (SELECT o_orderkey FROM orders)) AS catalogued, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS new, count(*) FILTER (NOT hit AND vec_id % 13 <> 0) AS added, count(*) FILTER (NOT hit AND vec_id % 13 = 0) AS failed FROM x")
 def i8(spark, sf):
-    return c17(spark, sf).agg(F.count("*").alias("discovered"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("fresh"))
+    """A build that makes what the cache lacks; the encoder refuses some rows."""
+    rows = views.read(spark, sf, "embeddings").select("vec_id")
+    held = _cache(spark, sf).filter("version = 'v1'").select("vec_id")
+    texts = rows.join(held, "vec_id", "left_anti").withColumn("words", F.when(F.col("vec_id") % 13 == 0, "refused").otherwise(F.concat_ws(" ", F.lit("tile"), "vec_id")))
+
+    def encode(words):
+        if "refused" in words:
+            raise ValueError("refused")
+        return encoder(words)
+
+    encoder = embedding.hashed_encoder(8)
+    made = embedding.encode_rows(texts, "vec_id", "words", encode)
+    return reports.embedding_report(rows, views.read(spark, sf, "orders").select(F.col("o_orderkey").alias("vec_id")), held, made, "vec_id")
 
 
 @query("G5", "WITH b AS (SELECT CASE WHEN vec_id % 50 = 0 THEN '' WHEN vec_id % 50 = 1 THEN 'T1' ELSE 'T' || vec_id END AS tile_id, vec_id, label FROM embeddings) SELECT tile_id, CASE WHEN tile_id = '' THEN 'empty_id' WHEN count(*) OVER (PARTITION BY tile_id) > 1 THEN 'duplicate_in_batch' WHEN vec_id % 7 = 0 THEN 'already_indexed' WHEN vec_id % 11 = 0 THEN 'dimension' END AS reason FROM b")
@@ -181,12 +196,24 @@ def g5(spark, sf):
     return retrieval.vector_checks(rows.select("tile_id", "vector"), known, 64)
 
 
-@query("G6", "SELECT 'only_in_index' AS rule, vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') UNION ALL SELECT 'only_in_map', o_orderkey FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey NOT IN (SELECT vec_id FROM embeddings)")
-def g6(spark, sf):
+_IDS = "i AS (SELECT vec_id AS id FROM embeddings UNION ALL SELECT vec_id FROM embeddings WHERE vec_id % 97 = 0), m AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 89 = 0)"
+_RULES = "ic AS (SELECT id, count(*) AS n FROM i GROUP BY id), mc AS (SELECT id, count(*) AS n FROM m GROUP BY id), rules AS (SELECT 'only_in_index' AS rule, id, n AS copies FROM ic WHERE id NOT IN (SELECT id FROM mc) UNION ALL SELECT 'only_in_map', id, n FROM mc WHERE id NOT IN (SELECT id FROM ic) UNION ALL SELECT 'twice_in_index', id, n FROM ic WHERE n > 1 UNION ALL SELECT 'twice_in_map', id, n FROM mc WHERE n > 1)"
+
+
+def _id_sets(spark, sf):
     index = views.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
-    ids = views.read(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"))
-    one = index.exceptAll(ids).select(F.lit("only_in_index").alias("rule"), "id")
-    return one.union(ids.exceptAll(index).select(F.lit("only_in_map").alias("rule"), "id"))
+    o = views.read(spark, sf, "orders").withColumnRenamed("o_orderkey", "id")
+    return index.union(index.filter("id % 97 = 0")), o.filter("o_orderstatus <> 'P'").select("id").union(o.filter("id % 89 = 0").select("id"))
+
+
+@query("G6", f"WITH {_IDS}, {_RULES} SELECT * FROM rules")
+def g6(spark, sf):
+    return reports.id_rules(*_id_sets(spark, sf))
+
+
+@query("G6_summary", f"WITH {_IDS}, {_RULES} SELECT (SELECT count(*) FROM i) AS index_size, (SELECT count(*) FROM m) AS map_size, count(*) FILTER (rule = 'only_in_index') AS only_in_index, count(*) FILTER (rule = 'only_in_map') AS only_in_map, count(*) FILTER (rule = 'twice_in_index') AS twice_in_index, count(*) FILTER (rule = 'twice_in_map') AS twice_in_map, count(*) = 0 AS consistent FROM rules")
+def g6_summary(spark, sf):
+    return reports.id_summary(*_id_sets(spark, sf))
 
 
 _OBS = "obs AS (SELECT o_orderkey AS id, ['T1', 'T2', 'T2'][(o_orderkey % 3 + 1)::INT] AS role, o_custkey % 500 AS pair_id, o_orderstatus AS sensor FROM orders WHERE o_orderkey % 11 <> 0)"

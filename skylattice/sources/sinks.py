@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import with_rank
 
 
-def result_rows(rows: DataFrame, order: list[str]) -> DataFrame:
+def result_rows(rows: DataFrame, order: list) -> DataFrame:
     """Ranked rows as they are exported: places to five digits, day of acquisition."""
     return with_rank(rows, order).select(
         F.col("rank").cast("int").alias("rank"), "scene_id", F.round("ymin", 5).alias("lat"), F.round("xmin", 5).alias("lng"), F.date_format("acquired", "yyyy-MM-dd").alias("day")
@@ -16,7 +16,12 @@ def result_rows(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.option("header", True).option("quoteAll", True).csv(path)
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_csv`` has written."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 
 
 def write_layers(features: DataFrame, path: str) -> None:
