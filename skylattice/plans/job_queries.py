@@ -259,7 +259,7 @@ def l3(spark, sf):
     return _analysis(spark, sf).candidates.select("pair_id", "component_id", "area", "mean_p", "retained", "reasons", "rank", "map_xmin", "map_ymax", "map_x", "map_y", "area_m2")
 
 
-@query("A20", f"{_ANALYSIS}, n AS (SELECT scene_id, count(*) FILTER (valid) AS valid, count(*) FILTER (valid AND p >= 0.5) AS raw, round(sum(p::DOUBLE), 4) AS total FROM sc GROUP BY scene_id), f AS (SELECT scene_id, sum(area)::BIGINT AS changed, count(*) AS components, count(*) FILTER (retained) AS retained FROM j GROUP BY scene_id) SELECT scene_id::VARCHAR || '__20240115_20240215' AS pair_id, raw, total, valid, coalesce(changed, 0) AS changed, coalesce(changed, 0) AS final, coalesce(components, 0) AS components, coalesce(f.retained, 0) AS retained, (coalesce(changed, 0) * 100)::DOUBLE AS area_m2, {_CUT}::DOUBLE AS threshold, 'closing' AS morphology, 'b04' AS bands FROM n LEFT JOIN f USING (scene_id)")
+@query("A20", f"{_ANALYSIS}, n AS (SELECT d.scene_id, count(*) FILTER (valid) AS valid, count(*) FILTER (valid AND p >= 0.5) AS raw, round(coalesce(sum(p::DOUBLE), 0), 4) AS total FROM (SELECT DISTINCT scene_id FROM px) d LEFT JOIN sc ON sc.scene_id = d.scene_id GROUP BY d.scene_id), f AS (SELECT scene_id, sum(area)::BIGINT AS changed, count(*) AS components, count(*) FILTER (retained) AS retained FROM j GROUP BY scene_id) SELECT scene_id::VARCHAR || '__20240115_20240215' AS pair_id, raw, total, valid, coalesce(changed, 0) AS changed, coalesce(changed, 0) AS final, coalesce(components, 0) AS components, coalesce(f.retained, 0) AS retained, (coalesce(changed, 0) * 100)::DOUBLE AS area_m2, {_CUT}::DOUBLE AS threshold, 'closing' AS morphology, 'b04' AS bands FROM n LEFT JOIN f USING (scene_id)")
 def a20(spark, sf):
     """Masks, probability and metadata as the job has written them, brought together by analysis."""
     made = _analysis(spark, sf)
