@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, times
+from .ranking import quantiles
 
 # Accepted names of the sensors, with short tag and label.
 SENSORS = {
@@ -228,3 +229,32 @@ def public_result(tiles: DataFrame) -> DataFrame:
         "tile_id", centre["lat"].alias("lat"), centre["lng"].alias("lng"), F.coalesce("source_scene_id", F.lit("Local archive")).alias("region"), F.date_format("acquired", "yyyy-MM-dd").alias("day"),
         sensor.alias("sensor"), F.col("score").alias("sim"), "cloud",
     )
+
+
+def observation_checks(observations: DataFrame) -> DataFrame:
+    """``observations`` (id, role and what else they have) with ``reason``, the first rule that a row breaks: id, duplicate, role."""
+    copies = observations.groupBy("id").agg(F.count("*").alias("_n"))
+    reason = F.when(F.col("id").isNull(), "id").when(F.col("_n") > 1, "duplicate").when(~F.coalesce(F.col("role").isin("T1", "T2"), F.lit(False)), "role")
+    return observations.join(copies, "id", "left").withColumn("reason", reason).drop("_n")
+
+
+def index_status(catalogue: DataFrame, index: DataFrame, staged: DataFrame, key: str) -> DataFrame:
+    """One row: catalogued, indexed and staged keys, staged keys that are indexed, and those that wait."""
+    flag = lambda df, name: df.select(key, F.lit(True).alias(name)).distinct()
+    rows = flag(catalogue, "c").join(flag(index, "i"), key, "full").join(flag(staged, "s"), key, "full")
+    return rows.agg(
+        F.count("c").alias("catalogued"), F.count("i").alias("indexed"), F.count("s").alias("staged"), F.count_if(F.col("s") & F.col("i")).alias("staged_indexed"),
+        F.count_if(F.col("s") & F.col("i").isNull()).alias("waiting"),
+    )
+
+
+def gap_report(pairs: DataFrame, by: str) -> DataFrame:
+    """Of pairs (at_1, at_2: days; acquisition_1, acquisition_2): least, median and largest gap in days, how many have either member first, the
+    same day, and the same acquisition."""
+    gap, order = F.abs(F.datediff("at_2", "at_1")), F.datediff("at_2", "at_1")
+    rows = pairs.filter("at_1 IS NOT NULL AND at_2 IS NOT NULL").select(by, gap.cast("double").alias("gap"), order.alias("order"), F.col("acquisition_1").eqNullSafe(F.col("acquisition_2")).alias("same"))
+    counts = rows.groupBy(by).agg(
+        F.min("gap").alias("low"), F.max("gap").alias("high"), F.count_if(F.col("order") > 0).alias("first_earlier"), F.count_if(F.col("order") < 0).alias("second_earlier"),
+        F.count_if(F.col("order") == 0).alias("same_day"), F.count_if((F.col("order") == 0) & F.col("same")).alias("same_acquisition"),
+    )
+    return counts.join(quantiles(rows, [by], "gap", [0.5]).select(by, F.col("q")[0].alias("median")), by)

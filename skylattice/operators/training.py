@@ -66,3 +66,19 @@ def evenly(rows: DataFrame, order: str, n: int) -> DataFrame:
     total = rows.agg(F.count("*").alias("_n"))
     spots = total.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor(k * (F.col("_n") - 1) / (n - 1)))).alias("_i")).distinct()
     return ranked.join(F.broadcast(spots), "_i", "left_semi").drop("_i")
+
+
+def inventory(bands: DataFrame, masks: DataFrame, n_bands: int, n_dates: int) -> DataFrame:
+    """Each location's bands and dates, whether all its grids are equal, whether its mask has their shape, and whether it is complete.
+    ``bands``: location, date, band, height, width; ``masks``: location, height, width."""
+    by_date = bands.groupBy("location", "date").agg(
+        F.countDistinct("band").alias("n"), F.min("height").alias("h0"), F.max("height").alias("h1"), F.min("width").alias("w0"), F.max("width").alias("w1")
+    )
+    rows = by_date.groupBy("location").agg(
+        F.min("n").alias("least_bands"), F.max("n").alias("most_bands"), F.count("*").alias("dates"), F.max("h1").alias("height"), F.max("w1").alias("width"),
+        ((F.min("h0") == F.max("h1")) & (F.min("w0") == F.max("w1"))).alias("same_grid"),
+    )
+    shape = masks.select("location", F.col("height").alias("mask_height"), F.col("width").alias("mask_width"))
+    mask_ok = F.coalesce((F.col("height") == F.col("mask_height")) & (F.col("width") == F.col("mask_width")), F.lit(False))
+    whole = (F.col("least_bands") == n_bands) & (F.col("dates") == n_dates) & F.col("same_grid") & mask_ok
+    return rows.join(shape, "location", "left").select("location", "least_bands", "most_bands", "dates", "height", "width", "same_grid", mask_ok.alias("mask_ok"), whole.alias("complete"))

@@ -40,11 +40,21 @@ def a6(spark, sf):
     return rings.select("aoi_id", aoi.ring_box(F.col("coordinates")).alias("b")).select("aoi_id", "b.*")
 
 
-@query("A14", "SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) BETWEEN 1 - 1e-5 AND 1 + 1e-5 AND len(embedding) = 64 AS usable FROM embeddings")
+_NORM = "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
+
+
+@query("A14", f"SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'absent' WHEN vec_id % 5 = 0 THEN 'model' WHEN label % 3 = 0 THEN 'version' WHEN vec_id % 4 = 0 THEN 'dimension' WHEN vec_id % 11 = 0 THEN 'fingerprint' WHEN NOT {_NORM} BETWEEN 1 - 1e-5 AND 1 + 1e-5 THEN 'norm' END AS reason FROM embeddings")
 def a14(spark, sf):
-    from ..operators import retrieval
+    """What of a cache may be used, and why the rest may not."""
+    from ..sources import cache
 
-    return retrieval.usable(views.read(spark, sf, "embeddings"), "embedding", 64).select("vec_id", "usable")
+    rows = views.read(spark, sf, "embeddings").withColumn("tile_id", F.concat(F.lit("T"), F.col("vec_id").cast("string")))
+    held = rows.filter("vec_id % 7 <> 0").select(
+        "tile_id", F.col("embedding").alias("vector"), F.when(F.col("vec_id") % 5 == 0, "old").otherwise("clip").alias("model"), F.when(F.col("label") % 3 == 0, "v0").otherwise("v1").alias("model_version"),
+        F.size("embedding").alias("dimension"), F.when(F.col("vec_id") % 11 == 0, "stale").otherwise("f").alias("fingerprint"),
+    )
+    wanted = rows.select("tile_id", "vec_id", F.lit("v1").alias("model_version"), (F.size("embedding") + F.when(F.col("vec_id") % 4 == 0, 1).otherwise(0)).alias("dimension"), F.lit("f").alias("fingerprint"))
+    return cache.usable(held, wanted, "clip").select("vec_id", "reason")
 
 
 @query("A15", "SELECT vec_id, sha256('T' || vec_id) AS cache_key, 'm' || label % 2 AS model_version, len(embedding) AS dimension, true AS unit FROM embeddings WHERE sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) > 0")
@@ -71,12 +81,21 @@ def a17(spark, sf):
     return sinks.read_csv(spark, path, "rank int, scene_id string, lat double, lng double, day string")
 
 
-@query("A22", "SELECT c_custkey AS id, CASE WHEN trim(c_mktsegment) = '' THEN 'name' WHEN c_acctbal % 200 NOT BETWEEN -90 AND 90 THEN 'lat' WHEN c_nationkey <= 0 THEN 'radius' END AS reason FROM customer")
+_AREAS = "SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN '  ' ELSE ' ' || c_name || ' ' END AS name, c_acctbal % 200 AS lat, c_nationkey AS radius FROM customer"
+
+
+@query("A22", f"WITH a AS ({_AREAS}), r AS (SELECT *, CASE WHEN trim(name) = '' THEN 'name' WHEN lat NOT BETWEEN -90 AND 90 THEN 'lat' WHEN radius <= 0 THEN 'radius' END AS reason FROM a) SELECT substr(sha256(trim(name) || '|2024-01-01T00:00:00Z'), 1, 16) AS area_id, trim(name) AS name, NULL AS reason FROM r WHERE reason IS NULL UNION ALL SELECT NULL, name, reason FROM r WHERE reason IS NOT NULL AND id % 2 = 1")
 def a22(spark, sf):
+    """A registry in two turns, the second with all rows again: what it holds, and what the first turn refused."""
     from ..sources import aoi
 
-    rows = views.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"), (F.col("c_acctbal") % 200).alias("lat"), F.lit(0.0).alias("lng"), F.col("c_nationkey").alias("radius_km"))
-    return aoi.checked(rows).select("id", "reason")
+    blank = F.when(F.col("c_custkey") % 10 == 0, "  ").otherwise(F.concat(F.lit(" "), "c_name", F.lit(" ")))
+    rows = views.read(spark, sf, "customer").select("c_custkey", blank.alias("name"), (F.col("c_acctbal") % 200).alias("lat"), F.lit(0.0).alias("lng"), F.col("c_nationkey").alias("radius_km"))
+    store = Store(spark, new_path(spark, "areas"))
+    refused = aoi.append(store, rows.filter("c_custkey % 2 = 1"), "2024-01-01T00:00:00Z")
+    aoi.append(store, rows, "2024-01-01T00:00:00Z")
+    held = store.read("areas").select("area_id", "name", F.lit(None).cast("string").alias("reason"))
+    return held.unionByName(refused.select(F.lit(None).cast("string").alias("area_id"), "name", "reason"))
 
 
 @query("B1", f"{S} scene_id, CASE scene_no % 4 WHEN 0 THEN 'sentinel-2' WHEN 1 THEN 'landsat' WHEN 2 THEN 'sentinel-1' END AS name FROM scenes")
@@ -411,10 +430,11 @@ def g8(spark, sf):
     return training.folds(views.read(spark, sf, "customer").select(F.col("c_custkey").alias("id")), "id", 5, 7)
 
 
-@query("G9", "SELECT count(*) AS catalogued, count(*) FILTER (o_orderkey IN (SELECT vec_id FROM embeddings)) AS indexed FROM orders")
+@query("G9", "SELECT count(*) AS catalogued, (SELECT count(DISTINCT vec_id) FROM embeddings) AS indexed, count(*) FILTER (o_orderstatus = 'P') AS staged, count(*) FILTER (o_orderstatus = 'P' AND o_orderkey IN (SELECT vec_id FROM embeddings)) AS staged_indexed, count(*) FILTER (o_orderstatus = 'P' AND o_orderkey NOT IN (SELECT vec_id FROM embeddings)) AS waiting FROM orders")
 def g9(spark, sf):
-    v = views.read(spark, sf, "embeddings").select(F.col("vec_id").alias("o_orderkey"), F.lit(True).alias("f"))
-    return views.read(spark, sf, "orders").join(v, "o_orderkey", "left").agg(F.count("*").alias("catalogued"), F.count("f").alias("indexed"))
+    o = views.read(spark, sf, "orders")
+    index = views.read(spark, sf, "embeddings").select(F.col("vec_id").alias("o_orderkey"))
+    return catalog.index_status(o, index, o.filter("o_orderstatus = 'P'"), "o_orderkey")
 
 
 _MODES = {"similarity": "score DESC NULLS LAST", "newest": "acquired DESC NULLS LAST", "oldest": "acquired ASC NULLS LAST", "cloud": "cloud ASC NULLS LAST"}
@@ -447,11 +467,12 @@ def e14(spark, sf):
     return views.scenes(spark, sf).filter("acquired IS NOT NULL").orderBy(F.desc("acquired"), "scene_id").limit(25).select(*LIST)
 
 
-@query("D32", "SELECT o_custkey % 20 AS sensor_group, round(min(gap), 6) AS low, round(quantile_cont(gap, 0.5), 6) AS median, round(max(gap), 6) AS high, count(*) FILTER (gap = 0) AS same_day FROM (SELECT o_custkey, date_diff('day', lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), o_orderdate)::DOUBLE AS gap FROM orders) WHERE gap IS NOT NULL GROUP BY 1")
+@query("D32", "SELECT o_custkey % 20 AS sensor_group, min(abs(d))::DOUBLE AS low, quantile_cont(abs(d)::DOUBLE, 0.5) AS median, max(abs(d))::DOUBLE AS high, count(*) FILTER (d > 0) AS first_earlier, count(*) FILTER (d < 0) AS second_earlier, count(*) FILTER (d = 0) AS same_day, count(*) FILTER (d = 0 AND same) AS same_acquisition FROM (SELECT a.o_custkey, date_diff('day', a.o_orderdate, b.o_orderdate) AS d, a.o_orderpriority = b.o_orderpriority AS same FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey) GROUP BY 1")
 def d32(spark, sf):
-    before = F.lag("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    gaps = views.read(spark, sf, "orders").select((F.col("o_custkey") % 20).alias("sensor_group"), F.datediff("o_orderdate", before).cast("double").alias("gap")).filter("gap IS NOT NULL")
-    return gaps.groupBy("sensor_group").agg(F.min("gap").alias("low"), F.percentile("gap", 0.5).alias("median"), F.max("gap").alias("high"), F.count_if(F.col("gap") == 0).alias("same_day"))
+    """Pairs of a customer's orders, the smaller number as the first member."""
+    a, b = (views.read(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias(f"k_{k}"), F.col("o_orderdate").alias(f"at_{k}"), F.col("o_orderpriority").alias(f"acquisition_{k}")) for k in (1, 2))
+    pairs = a.join(b, "o_custkey").filter("k_1 < k_2").withColumn("sensor_group", F.col("o_custkey") % 20)
+    return catalog.gap_report(pairs, "sensor_group")
 
 
 @query("H1", "SELECT event_id, ts::TIMESTAMP AS at FROM events")

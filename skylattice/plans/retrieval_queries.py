@@ -229,10 +229,12 @@ def c8(spark, sf):
     return catalog.observation_pairs(asked, observations)
 
 
-@query("A9", "SELECT o_orderkey AS id, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'role' WHEN o_totalprice < 5000 THEN 'price' END AS reason FROM orders")
+@query("A9", "SELECT id, k, CASE WHEN id IS NULL THEN 'id' WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate' WHEN role NOT IN ('T1', 'T2') THEN 'role' END AS reason FROM (SELECT CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey - 1 WHEN o_orderkey % 31 <> 1 THEN o_orderkey END AS id, o_orderkey AS k, ['T1', 'T2', 'T3'][(o_orderkey % 3 + 1)::INT] AS role FROM orders)")
 def a9(spark, sf):
-    role = F.when(~F.col("o_orderstatus").isin("F", "O"), "role").when(F.col("o_totalprice") < 5000, "price")
-    return views.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), role.alias("reason"))
+    k = F.col("o_orderkey")
+    role = F.element_at(F.array(*map(F.lit, ("T1", "T2", "T3"))), (k % 3 + 1).cast("int"))
+    rows = views.read(spark, sf, "orders").select(F.when(k % 10 == 0, k - 1).when(k % 31 != 1, k).alias("id"), k.alias("k"), role.alias("role"))
+    return catalog.observation_checks(rows).select("id", "k", "reason")
 
 
 @query("H9", "SELECT event_id, round(ln(value + 1), 6) AS a, round(log10(value + 1), 6) AS b, round(exp(-value / 100), 6) AS c, round(sqrt(value * value + 9), 6) AS d, round(cos(radians(value)), 6) AS e FROM events")

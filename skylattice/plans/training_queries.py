@@ -61,12 +61,19 @@ def j9(spark, sf):
     return one(16, 16).union(one(25, 25)).union(one(50, 50))
 
 
-@query("J5", f"WITH {PX} SELECT scene_id, count(*) AS pixels, count(DISTINCT y) AS height, count(DISTINCT x) AS width, count(*) = 2500 AS whole, count(*) FILTER (truth NOT IN (0, 1)) = 0 AS mask_ok FROM px GROUP BY scene_id")
+_BANDS = "bd AS (SELECT scene_id, 1 AS date, 'b04' AS band, y, x FROM px UNION ALL SELECT scene_id, 1, 'b08', y, x FROM px UNION ALL SELECT scene_id, 2, 'b04', y, x FROM px UNION ALL SELECT scene_id, 2, 'b08', y, x FROM px WHERE scene_id % 3 <> 1 AND NOT (scene_id % 5 = 2 AND y > 40)), g AS (SELECT scene_id, date, band, max(y) + 1 AS height, max(x) + 1 AS width FROM bd GROUP BY ALL), m AS (SELECT scene_id, max(y) + 1 AS mh, max(x) + 1 AS mw FROM px WHERE scene_id % 7 <> 6 GROUP BY ALL)"
+
+
+@query("J5", f"WITH {PX}, {_BANDS}, d AS (SELECT scene_id, date, count(DISTINCT band) AS n, min(height) AS h0, max(height) AS h1, min(width) AS w0, max(width) AS w1 FROM g GROUP BY ALL), l AS (SELECT scene_id, min(n) AS least_bands, max(n) AS most_bands, count(*) AS dates, max(h1) AS height, max(w1) AS width, min(h0) = max(h1) AND min(w0) = max(w1) AS same_grid FROM d GROUP BY scene_id) SELECT scene_id AS location, least_bands, most_bands, dates, height, width, same_grid, coalesce(height = mh AND width = mw, false) AS mask_ok, least_bands = 2 AND dates = 2 AND same_grid AND coalesce(height = mh AND width = mw, false) AS complete FROM l LEFT JOIN m USING (scene_id)")
 def j5(spark, sf):
-    return views.px(spark, sf).groupBy("scene_id").agg(
-        F.count("*").alias("pixels"), F.countDistinct("y").alias("height"), F.countDistinct("x").alias("width"), (F.count("*") == SIDE * SIDE).alias("whole"),
-        (F.count_if(~F.col("truth").isin(0, 1)) == 0).alias("mask_ok"),
-    )
+    """Two bands at two dates; some locations lack a band, some a part of one, some the mask."""
+    px = views.px(spark, sf)
+    cut = "scene_id % 3 <> 1 AND NOT (scene_id % 5 = 2 AND y > 40)"
+    parts = [(1, "b04", px), (1, "b08", px), (2, "b04", px), (2, "b08", px.filter(cut))]
+    size = [(F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width")]
+    grids = [p.groupBy(F.col("scene_id").alias("location")).agg(*size).select("location", F.lit(d).alias("date"), F.lit(b).alias("band"), "height", "width") for d, b, p in parts]
+    masks = px.filter("scene_id % 7 <> 6").groupBy(F.col("scene_id").alias("location")).agg(*size)
+    return training.inventory(grids[0].union(grids[1]).union(grids[2]).union(grids[3]), masks, 2, 2)
 
 
 @query("J7", f"WITH {PX} SELECT scene_id, 'supervised' AS kind, sum(truth)::BIGINT AS changed FROM px WHERE scene_id % 2 = 0 GROUP BY scene_id UNION ALL SELECT scene_id, 'unlabelled', NULL FROM px WHERE scene_id % 2 = 1 GROUP BY scene_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import Store
+
 FEATURE = "type string, properties map<string,string>, geometry struct<type:string, coordinates:string>"
 
 
@@ -34,3 +36,18 @@ def checked(rows: DataFrame) -> DataFrame:
         .when(~F.coalesce(F.col("lng").between(-180, 180), F.lit(False)), "lng").when(~F.coalesce(F.col("radius_km") > 0, F.lit(False)), "radius")
     )
     return rows.withColumn("reason", reason)
+
+
+def append(store: Store, rows: DataFrame, created: str, table: str = "areas") -> DataFrame:
+    """Add the rows (name, lat, lng, radius_km) that are in order to a registry, with trimmed names, an id from name and time, and
+    the time; the others come back with their ``reason``. An area that is there already is not added again."""
+    judged = checked(rows)
+    name = F.trim("name")
+    good = judged.filter("reason IS NULL").select(
+        F.substring(F.sha2(F.concat(name, F.lit("|"), F.lit(created)), 256), 1, 16).alias("area_id"), name.alias("name"), "lat", "lng", "radius_km", F.lit(created).alias("created")
+    ).dropDuplicates(["area_id"])
+    if store.current() is not None:
+        held = store.read(table)
+        good = held.unionByName(good.join(held.select("area_id"), "area_id", "left_anti"))
+    store.commit({table: good}, {table: ["created", "area_id"]})
+    return judged.filter("reason IS NOT NULL")
