@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +37,91 @@ def best(hits: DataFrame, k: int | None = None) -> DataFrame:
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
+#: Vectors in a block.
+BLOCK = 1024
+
+
+def _pack(kept: list[str]):
+    """Vectors of one length as a matrix of doubles in one cell, ``BLOCK`` at most, with the columns ``kept`` as lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("unit")).to_numpy(zero_copy_only=False)
+            for d in np.unique(sizes):
+                places = np.flatnonzero(sizes == d)
+                for a in range(0, len(places), BLOCK):
+                    part = batch.take(pa.array(places[a : a + BLOCK]))
+                    matrix = pc.list_flatten(part.column("unit")).to_numpy(zero_copy_only=False).astype(np.float64)
+                    lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(c)) for c in kept]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(d)]), pa.array([matrix.tobytes()], pa.binary()), *lists], ["d", "matrix", *kept])
+
+    return run
+
+
+def _blocks(rows: DataFrame, kept: list[str]) -> DataFrame:
+    kinds = ", ".join(f"{c} array<{rows.schema[c].dataType.simpleString()}>" for c in kept)
+    return rows.select("unit", *kept).filter("unit IS NOT NULL").mapInArrow(_pack(kept), f"d long, matrix binary, {kinds}")
+
+
+def _products(k: int):
+    """Of each pair of blocks the hits that can be among the best ``k`` of a query in a group: those no worse than its k-th in the
+    pair, ties and rounding included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tiles, asked = (np.frombuffer(batch.column(c)[i].as_py(), np.float64).reshape(-1, batch.column("d")[i].as_py()) for c in ("matrix", "query_matrix"))
+                score = np.clip(asked @ tiles.T, -1.0, 1.0)
+                groups = np.array(pc.fill_null(batch.column("part")[i].values, "").to_pylist(), object)
+                rows, columns = [], []
+                for g in set(groups):
+                    at = np.flatnonzero(groups == g)
+                    own = score[:, at]
+                    least = np.partition(own, -k, axis=1)[:, -k] if len(at) > k else np.full(len(own), -2.0)
+                    r, c = np.nonzero(own >= least[:, None] - 2e-6)
+                    rows.append(r)
+                    columns.append(at[c])
+                r, c = np.concatenate(rows), np.concatenate(columns)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("query_id")[i].values.take(pa.array(r)), batch.column("tile_id")[i].values.take(pa.array(c)), batch.column("part")[i].values.take(pa.array(c)), pa.array(score[r, c])],
+                    ["query_id", "tile_id", "part", "score"],
+                )
+
+    return run
+
+
+def block_hits(tiles: DataFrame, queries: DataFrame, k: int, within: str | None = None) -> DataFrame:
+    """(query_id, tile_id, part, score): hits among which are the best ``k`` of each query, in each value of ``within`` if given.
+
+    Vectors travel in blocks and meet as matrices: one product for each pair of blocks, of which only what can be among the best
+    goes on. A query set of no more than MAX_QUERIES is broadcast. Vectors of another length than the query's, and those without a
+    norm, score nothing.
+    """
+    held = tiles.select("tile_id", (F.lit("") if within is None else F.coalesce(F.col(within).cast("string"), F.lit(""))).alias("part"), vectors.unit(F.col("vector")).alias("unit"))
+    asked = queries.select("query_id", vectors.unit(F.col("query")).alias("unit"))
+    n = asked.limit(MAX_QUERIES + 1).count()
+    few = n <= MAX_QUERIES
+    asked = _blocks(asked.coalesce(max(1, -(-n // BLOCK))) if few else asked, ["query_id"]).select(F.col("d").alias("query_d"), F.col("matrix").alias("query_matrix"), "query_id")
+    pairs = _blocks(held, ["tile_id", "part"]).crossJoin(F.broadcast(asked) if few else asked).filter("d = query_d")
+    kinds = ", ".join(f"{c} {x.schema[c].dataType.elementType.simpleString()}" for c, x in (("query_id", asked), ("tile_id", pairs), ("part", pairs)))
+    return pairs.mapInArrow(_products(k), f"{kinds}, score double").withColumn("score", F.round("score", 6))
+
+
+def _hydrated(hits: DataFrame, tiles: DataFrame) -> DataFrame:
+    """``hits`` with the columns of their tiles but for the vector."""
+    return tiles.drop("vector").join(hits, "tile_id")
+
+
 def top_k(tiles: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The columns of ``tiles``, query_id, score and rank of the k best tiles of each query."""
-    return best(scored(tiles, queries), k)
+    """The columns of ``tiles``, query_id, score and rank of the k best tiles of each query; tile_id names a tile."""
+    return _hydrated(best(block_hits(tiles, queries, k).drop("part"), k), tiles)
 
 
 def per_sensor(tiles: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The best k of each sensor, merged to the best k of each query."""
-    inner = Window.partitionBy("query_id", "sensor").orderBy(F.desc("score"), "tile_id")
-    return best(scored(tiles, queries).withColumn("i", F.row_number().over(inner)).filter(F.col("i") <= k).drop("i"), k)
+    inner = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "tile_id")
+    hits = block_hits(tiles, queries, k, "sensor").withColumn("i", F.row_number().over(inner)).filter(F.col("i") <= k).drop("i", "part")
+    return _hydrated(best(hits, k), tiles)
 
 
 def diagnostics(hits: DataFrame, eligible: DataFrame | None = None, indexed: DataFrame | None = None) -> DataFrame:

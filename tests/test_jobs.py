@@ -335,3 +335,36 @@ def test_evaluation_levels(spark):
         assert (r["tp"], r["fp"]) == (sum(h and x[3] for h, x in zip(hit, held, strict=True)), sum(h and not x[3] for h, x in zip(hit, held, strict=True)))
     lone = next(r for r in summary if r["location"] == 0)
     assert lone["auc"] is None and lone["mean_pos"] is None
+
+
+# ------------------------------------------------------------------------------------------ search
+
+
+def test_block_products_equal_brute_force(spark, monkeypatch):
+    from skylattice.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    draw = np.random.default_rng(9)
+    held = [(f"t{k:03d}", "abc"[k % 3] if k % 10 else None, [float(x) for x in draw.integers(-2, 3, 4)]) for k in range(120)]
+    held += [("zero", "a", [0.0] * 4), ("short", "a", [1.0, 2.0]), ("none", "b", None), ("bad", "b", [float("nan"), 0.0, 0.0, 1.0])]
+    tiles = spark.createDataFrame(held, "tile_id string, sensor string, vector array<double>").repartition(5)
+    asked = [(k, held[k * 11][2]) for k in range(10)] + [(99, [0.0] * 4)]
+    queries = spark.createDataFrame(asked, "query_id int, query array<double>")
+
+    def scores(query, of):
+        q, out = np.array(query), []
+        for t, s, v in of:
+            if v is None or len(v) != 4 or not np.isfinite(v).all() or not np.linalg.norm(v) or not np.linalg.norm(q):
+                continue
+            out.append((round(float(np.clip(np.dot(v, q) / np.linalg.norm(v) / np.linalg.norm(q), -1, 1)), 6), t))
+        return sorted(out, key=lambda x: (-x[0], x[1]))
+
+    got = sorted((r["query_id"], r["rank"], r["tile_id"]) for r in retrieval.top_k(tiles, queries, 6).collect())
+    assert got == sorted((k, i + 1, t) for k, q in asked for i, (_, t) in enumerate(scores(q, held)[:6]))
+    got = sorted((r["query_id"], r["rank"], r["tile_id"]) for r in retrieval.per_sensor(tiles, queries, 3).collect())
+    want = []
+    for k, q in asked:
+        merged = [x for s in ("a", "b", "c", None) for x in scores(q, [h for h in held if h[1] == s])[:3]]
+        want += [(k, i + 1, t) for i, (_, t) in enumerate(sorted(merged, key=lambda x: (-x[0], x[1]))[:3])]
+    assert got == sorted(want)
+    assert retrieval.top_k(tiles.limit(0), queries, 3).count() == 0 and retrieval.top_k(tiles, queries.limit(0), 3).count() == 0
