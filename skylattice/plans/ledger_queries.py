@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger
 from ..sources import sinks
-from ..storage import new_path
+from ..storage import new_path, stage
 from . import views
 from .registry import query
 from .views import LEDGER
@@ -22,7 +22,7 @@ def k3(spark, sf):
 
 
 def _tampered(spark, sf):
-    chain = ledger.append_chain(views.ledger(spark, sf))
+    chain = stage(ledger.append_chain(views.ledger(spark, sf)), "ledger")
     changed = (F.col("ledger_id") % 7 == 3) & (F.col("seq") == 5)
     return chain.withColumn("detail", F.when(changed, "changed").otherwise(F.col("detail")))
 
@@ -53,7 +53,7 @@ _LINKED = f"""WITH RECURSIVE {LEDGER}, chain AS (SELECT ledger_id, seq, '0000000
 @query("E9", f"{_LINKED} SELECT ledger_id, seq, previous_hash, event_hash, CASE WHEN ledger_id % 7 = 3 AND seq >= 5 THEN 'broken' ELSE 'intact' END AS status FROM chain")
 def e9(spark, sf):
     """Linked hashes of 32 bits, one event changed after the fact, and the check that finds it."""
-    chain = ledger.append_chain(views.ledger(spark, sf), "fnv1a")
+    chain = stage(ledger.append_chain(views.ledger(spark, sf), "fnv1a"), "ledger")
     changed = (F.col("ledger_id") % 7 == 3) & (F.col("seq") == 5)
     tampered = chain.withColumn("detail", F.when(changed, "changed").otherwise(F.col("detail")))
     return ledger.verify_chain(tampered, "fnv1a").select("ledger_id", "seq", "previous_hash", "event_hash", "status")
