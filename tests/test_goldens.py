@@ -208,6 +208,29 @@ def test_phase_shift():
     assert focal.phase_shift(a, b)[2] == pytest.approx(corr.max() / np.abs(corr).mean())
 
 
+def test_pair_shifts_of_strips(spark):
+    """Transforms that are spread over strips against those of whole grids: odd sizes, missing pixels, one row, a constant channel."""
+    draw = np.random.default_rng(9)
+    rows, want = [], {}
+    for pair, (h, w) in enumerate(((33, 21), (8, 40), (1, 9), (17, 17))):
+        for channel in ("B04", "B08"):
+            a = draw.normal(100, 20, size=(h, w))
+            b = np.roll(a, (2, -3), (0, 1)) + draw.normal(size=(h, w))
+            if (pair, channel) == (3, "B08"):
+                b[:] = 7.0
+            if pair == 0:
+                a[5, 5] = b[5, 5] = 0.0
+            want[pair, channel] = focal.phase_shift(a, b)
+            rows += [(pair, channel, y, x, float(a[y, x]), float(b[y, x])) for y in range(h) for x in range(w) if (pair, y, x) != (0, 5, 5)]
+    px = spark.createDataFrame(rows, "pair_id long, channel string, y int, x int, before double, after double").repartition(5)
+    for cells in (1, 50, focal.STRIP):
+        got = {(r["pair_id"], r["channel"]): (r["dy"], r["dx"], r["response"]) for r in focal.pair_shifts(px, cells).collect()}
+        assert got.keys() == want.keys()
+        for k, values in want.items():
+            assert got[k] == pytest.approx(values, abs=1e-6, nan_ok=True), k
+    assert np.isnan(want[3, "B08"][0]) and not focal.pair_shifts(px.limit(0)).count()
+
+
 def test_encoder_job(spark):
     from skylattice.operators import embedding
 
