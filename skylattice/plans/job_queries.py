@@ -159,12 +159,45 @@ def f8(spark, sf):
     return focal.clip_elements(lines.filter(F.size("coords") > 2), (20.0, 20.0, 70.0, 70.0))
 
 
-@query("F9")
+def _wave(at: str, n: str) -> tuple[str, str]:
+    return f"cos(2 * pi() * ({at}) / {n})", f"sin(2 * pi() * ({at}) / {n})"
+
+
+def _hann(at: str, n: str) -> str:
+    return f"CASE WHEN {n} = 1 THEN 1 ELSE 0.5 - 0.5 * cos(2 * pi() * {at} / ({n} - 1)) END"
+
+
+_CX, _SX = _wave("(u * x) % w", "w")
+_CY, _SY = _wave("(v * y) % h", "h")
+#: Phase correlation by sums over cosines and sines, first along one axis, then along the other.
+_F9 = f"""WITH {PX}, {PX2}, px_pair AS (SELECT scene_id AS pair_id, y, x, unnest([{{'c': 'B04', 'a': a.b04, 'b': b.b04}}, {{'c': 'B08', 'a': a.b08, 'b': b.b08}}]) AS t FROM px a JOIN px2 b USING (scene_id, y, x)),
+ raw AS (SELECT pair_id, t.c AS channel, y, x, t.a::DOUBLE AS a, t.b::DOUBLE AS b FROM px_pair), dim AS (SELECT pair_id, channel, max(y) + 1 AS h, max(x) + 1 AS w FROM raw GROUP BY ALL),
+ cell AS (SELECT pair_id, channel, h, w, y, unnest(range(w)) AS x FROM (SELECT *, unnest(range(h)) AS y FROM dim)),
+ full_grid AS (SELECT c.*, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM cell c LEFT JOIN raw USING (pair_id, channel, y, x)),
+ st AS (SELECT pair_id, channel, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM full_grid GROUP BY ALL),
+ z AS (SELECT pair_id, channel, h, w, y, x, greatest(-5, least(5, (a - ma) / (sa + 1e-12))) * ({_hann('y', 'h')}) * ({_hann('x', 'w')}) AS a, greatest(-5, least(5, (b - mb) / (sb + 1e-12))) * ({_hann('y', 'h')}) * ({_hann('x', 'w')}) AS b
+  FROM full_grid JOIN st USING (pair_id, channel) WHERE least(sa, sb) >= 1e-8),
+ fx AS (SELECT pair_id, channel, h, w, y, u, sum(a * {_CX}) AS ar, -sum(a * {_SX}) AS ai, sum(b * {_CX}) AS br, -sum(b * {_SX}) AS bi FROM (SELECT *, unnest(range(w)) AS u FROM z) GROUP BY ALL),
+ fy AS (SELECT pair_id, channel, h, w, v, u, sum(ar * {_CY} + ai * {_SY}) AS ar, sum(ai * {_CY} - ar * {_SY}) AS ai, sum(br * {_CY} + bi * {_SY}) AS br, sum(bi * {_CY} - br * {_SY}) AS bi FROM (SELECT *, unnest(range(h)) AS v FROM fx) GROUP BY ALL),
+ cross_power AS (SELECT pair_id, channel, h, w, v, u, ar * br + ai * bi AS r, ai * br - ar * bi AS i FROM fy), ph AS (SELECT * REPLACE (r / greatest(sqrt(r * r + i * i), 1e-12) AS r, i / greatest(sqrt(r * r + i * i), 1e-12) AS i) FROM cross_power),
+ gy AS (SELECT pair_id, channel, h, w, y, u, sum((r * {_CY} - i * {_SY}) / h) AS r, sum((i * {_CY} + r * {_SY}) / h) AS i FROM (SELECT *, unnest(range(h)) AS y FROM ph) GROUP BY ALL),
+ corr AS (SELECT pair_id, channel, h, w, y, x, sum((r * {_CX} - i * {_SX}) / w) AS c FROM (SELECT *, unnest(range(w)) AS x FROM gy) GROUP BY ALL),
+ top AS (SELECT * FROM corr QUALIFY row_number() OVER (PARTITION BY pair_id, channel ORDER BY round(c, 9) DESC, y, x) = 1), mass AS (SELECT pair_id, channel, avg(abs(c)) AS m FROM corr GROUP BY ALL),
+ near AS (SELECT t.*, m, max(n.c) FILTER (n.x = t.x AND n.y = (t.y + h - 1) % h) AS up, max(n.c) FILTER (n.x = t.x AND n.y = (t.y + 1) % h) AS down, max(n.c) FILTER (n.y = t.y AND n.x = (t.x + w - 1) % w) AS lft, max(n.c) FILTER (n.y = t.y AND n.x = (t.x + 1) % w) AS rgt
+  FROM top t JOIN mass USING (pair_id, channel) JOIN (SELECT pair_id, channel, y, x, c FROM corr) n USING (pair_id, channel) GROUP BY ALL),
+ fine AS (SELECT *, y + CASE WHEN abs(up - 2 * c + down) < 1e-12 THEN 0 ELSE 0.5 * (up - down) / (up - 2 * c + down) END AS fy, x + CASE WHEN abs(lft - 2 * c + rgt) < 1e-12 THEN 0 ELSE 0.5 * (lft - rgt) / (lft - 2 * c + rgt) END AS fx FROM near),
+ sh AS (SELECT pair_id, channel, CASE WHEN fy > h / 2 THEN fy - h ELSE fy END AS dy, CASE WHEN fx > w / 2 THEN fx - w ELSE fx END AS dx, c / (m + 1e-12) AS response FROM fine UNION ALL SELECT pair_id, channel, NULL, NULL, 0 FROM st WHERE least(sa, sb) < 1e-8),
+ rep AS (SELECT pair_id, quantile_cont(dy, 0.5) AS my, quantile_cont(dx, 0.5) AS mx, min(dy) AS ly, max(dy) AS hy, min(dx) AS lx, max(dx) AS hx, quantile_cont(response, 0.5) AS resp FROM sh GROUP BY pair_id)
+ SELECT pair_id, round(my, 5) AS shift_y, round(mx, 5) AS shift_x, round(ly, 5) AS least_y, round(hy, 5) AS most_y, round(lx, 5) AS least_x, round(hx, 5) AS most_x, round(resp, 5) AS response, round(sqrt(my * my + mx * mx), 5) AS shift, sqrt(my * my + mx * mx) > 1 AS over_1, sqrt(my * my + mx * mx) > 2 AS over_2 FROM rep"""
+
+
+@query("F9", _F9)
 def f9(spark, sf):
     a, b = views.px(spark, sf), views.px2(spark, sf)
     both = a.select(F.col("scene_id").alias("pair_id"), "y", "x", "b04", "b08").join(b.select(F.col("scene_id").alias("pair_id"), "y", "x", F.col("b04").alias("c04"), F.col("b08").alias("c08")), ["pair_id", "y", "x"])
     long = both.select("pair_id", "y", "x", F.expr("stack(2, 'B04', b04, c04, 'B08', b08, c08) AS (channel, before, after)"))
-    return focal.shift_report(focal.pair_shifts(long))
+    report = focal.shift_report(focal.pair_shifts(long))
+    return report.select("pair_id", *(F.round(c, 5).alias(c) for c in ("shift_y", "shift_x", "least_y", "most_y", "least_x", "most_x", "response", "shift")), "over_1", "over_2")
 
 
 @query("G10", "SELECT 'index' AS held, vec_id, label FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT 'catalog', vec_id, label + 1 FROM embeddings WHERE vec_id % 2 = 0")
