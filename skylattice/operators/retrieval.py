@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..storage import stage
+from .ranking import running_sums
 
 #: Queries that are broadcast at most; more of them meet the vectors partition by partition.
 MAX_QUERIES = 4096
@@ -153,25 +155,183 @@ def similar_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return one.join(two, "pair").select("pair", "tile_1", "tile_2", F.round(vectors.cosine(F.col("u"), F.col("v")), 6).alias("similarity"))
 
 
-def clusters(tiles: DataFrame, least: float, min_points: int, blocks: int = 8):
+#: Pivots of a metric index at most.
+PIVOTS = 64
+
+
+def spread_pivots(units: DataFrame, most: int = PIVOTS) -> dict[int, np.ndarray]:
+    """Pivots for each length of vector: of the 8 * ``most`` vectors with the smallest hashes of tile_id, those that lie farthest from the
+    ones taken before, ``most`` in all lengths together. Any choice gives right results; a good one skips more."""
+    drawn = units.orderBy(F.xxhash64("tile_id"), "tile_id").limit(8 * most).select("unit").collect()
+    found: dict[int, list[np.ndarray]] = {}
+    for row in drawn:
+        found.setdefault(len(row["unit"]), []).append(np.array(row["unit"], float))
+    pivots = {}
+    for d, vecs in found.items():
+        v = np.array(vecs)
+        taken, nearest = [0], v @ v[0]
+        while len(taken) < max(1, most * len(v) // len(drawn)) and nearest.min() < 1 - 1e-9:
+            taken.append(int(nearest.argmin()))
+            nearest = np.maximum(nearest, v @ v[taken[-1]])
+        pivots[d] = v[taken]
+    return pivots
+
+
+def _angles(pivots: dict[int, np.ndarray], width: int):
+    """Adds to (tile_id, unit) its length, the nearest pivot of that length and the angles to all of them, padded with zeros."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("unit")).to_numpy(zero_copy_only=False)
+            for d in np.unique(sizes):
+                part = batch.take(pa.array(np.flatnonzero(sizes == d)))
+                v = pc.list_flatten(part.column("unit")).to_numpy(zero_copy_only=False).reshape(-1, d)
+                angle = np.zeros((len(v), width))
+                region = np.zeros(len(v), np.int32)
+                if d in pivots:
+                    own = np.arccos(np.clip(v @ pivots[d].T, -1, 1))
+                    angle[:, : own.shape[1]], region = own, own.argmin(1).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * width, pa.int32()), pa.array(angle.ravel()))
+                near = angle[np.arange(len(v)), region]
+                yield pa.RecordBatch.from_arrays([part.column("tile_id"), part.column("unit"), pa.array(np.full(len(v), d, np.int32)), pa.array(region), pa.array(near), lists], ["tile_id", "unit", "d", "region", "near", "angles"])
+
+    return run
+
+
+def _pack_regions(size: int, width: int):
+    """Blocks of rows that follow each other in one region, with the least and the largest angle to each pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d, region = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "region"))
+            cuts = np.flatnonzero((np.diff(d) != 0) | (np.diff(region) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                for i in range(a, b, size):
+                    part = batch.slice(i, min(size, b - i))
+                    unit = pc.list_flatten(part.column("unit")).to_numpy(zero_copy_only=False)
+                    angle = pc.list_flatten(part.column("angles")).to_numpy(zero_copy_only=False).reshape(-1, width)
+                    ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("tile_id"))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([int(d[i])], pa.int32()), pa.array([int(region[i])], pa.int32()), pa.array([angle.min(0).tolist()], pa.list_(pa.float64())), pa.array([angle.max(0).tolist()], pa.list_(pa.float64())), pa.array([unit.tobytes()]), ids],
+                        ["d", "region", "low", "high", "matrix", "ids"],
+                    )
+
+    return run
+
+
+def _apart(width: int, reach: float):
+    """Whether two blocks (low, high; low_2, high_2) are farther from each other than ``reach`` as seen from some pivot."""
+    gap = F.greatest(*(F.greatest(F.col("low")[k] - F.col("high_2")[k], F.col("low_2")[k] - F.col("high")[k]) for k in range(width))) if width > 1 else F.greatest(F.col("low")[0] - F.col("high_2")[0], F.col("low_2")[0] - F.col("high")[0])
+    return gap > reach
+
+
+def metric_blocks(tiles: DataFrame, pivots: int = PIVOTS, block: int = BLOCK) -> tuple[DataFrame, int]:
+    """(blocks, width): a metric index of unit vectors on the sphere. Vectors are dealt to the region of their nearest pivot, sorted by the angle to
+    it and cut into blocks of at most ``block``, each with the range of its angles to all pivots. By the triangle inequality two
+    blocks whose ranges are farther apart than an angle at some pivot hold no pair within that angle. A region may hold any share
+    of the rows: its blocks are spread over range partitions. Vectors without a norm are left out."""
+    units = stage(tiles.select("tile_id", vectors.unit(F.col("vector")).alias("unit")).filter("unit IS NOT NULL"), "units")
+    chosen = spread_pivots(units, pivots)
+    width = max((len(v) for v in chosen.values()), default=1)
+    kind = units.schema["tile_id"].dataType.simpleString()
+    placed = units.mapInArrow(_angles(chosen, width), f"tile_id {kind}, unit array<double>, d int, region int, near double, angles array<double>")
+    order = ["d", "region", "near", "tile_id"]
+    sorted_rows = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    packed = sorted_rows.mapInArrow(_pack_regions(block, width), f"d int, region int, low array<double>, high array<double>, matrix binary, ids array<{kind}>")
+    return stage(packed.withColumn("block", F.monotonically_increasing_id()), "blocks"), width
+
+
+def near_blocks(blocks: DataFrame, width: int, reach: float) -> DataFrame:
+    """(block, block_2), each pair once and each block with itself: pairs that can hold vectors within the angle ``reach``. Regions meet
+    first, at most the square of the number of pivots, then the blocks of the regions that are left, by their ranges alone."""
+    lows, highs = (F.array(*(f(F.col(c)[k]) for k in range(width))).alias(c) for c, f in (("low", F.min), ("high", F.max)))
+    regions = blocks.groupBy("d", "region").agg(lows, highs)
+    other = regions.select("d", *(F.col(c).alias(f"{c}_2") for c in ("region", "low", "high")))
+    meet = regions.join(other, "d").filter(F.col("region") <= F.col("region_2")).filter(~_apart(width, reach)).select("d", "region", "region_2")
+    held = blocks.select("d", "region", "block", "low", "high")
+    second = held.select("d", *(F.col(c).alias(f"{c}_2") for c in ("region", "block", "low", "high")))
+    pairs = held.join(meet, ["d", "region"]).join(second, ["d", "region_2"])
+    once = (F.col("region") < F.col("region_2")) | (F.col("block") <= F.col("block_2"))
+    return pairs.filter(once).filter(~_apart(width, reach)).select("block", "block_2")
+
+
+def _matrices(batch: pa.RecordBatch, i: int, least: float):
+    """(ids, ids_2, near) of a pair of blocks: which vectors have a similarity of ``least`` or more, in six digits."""
+    d = batch.column("d")[i].as_py()
+    a, b = (np.frombuffer(batch.column(c)[i].as_py(), np.float64).reshape(-1, d) for c in ("matrix", "matrix_2"))
+    return batch.column("ids")[i].values, batch.column("ids_2")[i].values, np.round(np.clip(a @ b.T, -1, 1), 6) >= least
+
+
+def _count_near(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, ids_2, near = _matrices(batch, i, least)
+                sides = [(ids, near.sum(1))] if batch.column("block")[i] == batch.column("block_2")[i] else [(ids, near.sum(1)), (ids_2, near.sum(0))]
+                for names, n in sides:
+                    at = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), pa.array(n[at].astype(np.int64))], ["tile_id", "n"])
+
+    return run
+
+
+def _link_cores(least: float):
+    """Links of a pair of blocks: each core to the least core that it reaches inside the pair (kind 0), which keeps what hangs together with one
+    row for each core, and each other tile to the least core next to it (kind 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, ids_2, near = _matrices(batch, i, least)
+                names = pa.concat_arrays([ids, ids_2])
+                core, core_2 = (np.array(batch.column(c)[i].as_py(), bool) for c in ("core", "core_2"))
+                place = pc.rank(names, tiebreaker="dense").to_numpy().astype(np.int64)
+                by_place = np.empty(place.max() + 1, np.int64)
+                by_place[place] = np.arange(len(place))
+                none = np.iinfo(np.int64).max
+                first, second = place[: len(ids)].copy(), place[len(ids) :].copy()
+                both = near & core[:, None] & core_2[None, :]
+                border = np.concatenate([np.where(near & core_2[None, :], second[None, :], none).min(1), np.where(near & core[:, None], first[:, None], none).min(0)])
+                while True:
+                    new = np.minimum(first, np.where(both, second[None, :], none).min(1))
+                    new_2 = np.minimum(second, np.where(both, new[:, None], none).min(0))
+                    if (new == first).all() and (new_2 == second).all():
+                        break
+                    first, second = new, new_2
+                is_core = np.concatenate([core, core_2])
+                label = np.where(is_core, np.concatenate([first, second]), border)
+                at = np.flatnonzero((label != none) & ~(is_core & (label == place)))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), names.take(pa.array(by_place[label[at]])), pa.array((~is_core[at]).astype(np.int32))], ["tile_id", "near_id", "kind"])
+
+    return run
+
+
+def clusters(tiles: DataFrame, least: float, min_points: int, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """Density clusters by one radius: tiles with ``min_points`` neighbours (themselves included) of similarity
     ``least`` or more are cores, cores that are neighbours share a cluster, a border tile goes to the
-    smallest core next to it, others are noise (null). Pairs meet in blocks, every pair of blocks once."""
+    smallest core next to it, others are noise (null). tile_id names a tile.
+
+    Neighbours are found by ``metric_blocks``: pairs of blocks that no pivot tells apart meet as matrices, exactly. Neighbours are
+    counted, not listed, and cores are linked by one row for each core and pair of blocks, so a dense group costs no more rows than a
+    sparse one. How many pairs of blocks are skipped depends on the data: none if ``least`` is a wide angle."""
     from .graph import least_reachable
 
-    unit = tiles.select("tile_id", vectors.unit(F.col("vector")).alias("u")).filter("u IS NOT NULL")
-    block = unit.withColumn("k", F.pmod(F.xxhash64("tile_id"), F.lit(blocks)))
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    left = block.withColumn("o", others).select("tile_id", "u", F.col("k").alias("i"), F.col("o").alias("j"))
-    right = block.withColumn("o", others).select(F.col("tile_id").alias("near_id"), F.col("u").alias("v"), F.col("o").alias("i"), F.col("k").alias("j"))
-    near = left.join(right, ["i", "j"]).filter(F.round(vectors.cosine(F.col("u"), F.col("v")), 6) >= least).select("tile_id", "near_id")
-    from ..storage import stage
-
-    near = stage(near, "neighbours")
-    core = near.groupBy("tile_id").count().filter(F.col("count") >= min_points).select("tile_id")
-    core_links = near.join(core, "tile_id", "left_semi").join(core.select(F.col("tile_id").alias("near_id")), "near_id", "left_semi")
-    labels = least_reachable(core_links.select("tile_id", "near_id"), "tile_id", "near_id")
-    first = near.join(core.select(F.col("tile_id").alias("near_id")), "near_id", "left_semi").groupBy("tile_id").agg(F.min("near_id").alias("core_id"))
-    own = first.join(core.withColumn("is_core", F.lit(True)), "tile_id", "left").withColumn("at", F.when(F.col("is_core"), F.col("tile_id")).otherwise(F.col("core_id")))
-    named = own.join(labels.withColumnRenamed("node", "at"), "at", "left").select("tile_id", F.coalesce("label", "at").alias("cluster"))
+    reach = float(np.arccos(np.clip(least - 1e-6, -1, 1))) + 1e-6
+    blocks, width = metric_blocks(tiles, pivots, block)
+    pairs = stage(near_blocks(blocks, width, reach), "near-blocks")
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+
+    def met(held: DataFrame, more: list[str]) -> DataFrame:
+        second = held.select(*(F.col(c).alias(f"{c}_2") for c in ("block", "matrix", "ids", *more)))
+        return pairs.join(held.select("block", "d", "matrix", "ids", *more), "block").join(second, "block_2")
+
+    counts = met(blocks, []).mapInArrow(_count_near(least), f"tile_id {kind}, n long").groupBy("tile_id").agg(F.sum("n").alias("n"))
+    core = stage(counts.filter(F.col("n") >= min_points).select("tile_id"), "cores")
+    members = blocks.select("block", F.posexplode("ids").alias("at", "tile_id")).join(core.withColumn("is_core", F.lit(True)), "tile_id", "left")
+    flags = members.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("is_core", F.lit(False)).alias("c")))).alias("f"))
+    flagged = blocks.join(flags.select("block", F.transform("f", lambda x: x["c"]).alias("core")), "block")
+    links = stage(met(flagged, ["core"]).mapInArrow(_link_cores(least), f"tile_id {kind}, near_id {kind}, kind int"), "links")
+    labels = least_reachable(links.filter("kind = 0"), "tile_id", "near_id")
+    at = core.select("tile_id", F.col("tile_id").alias("at")).union(links.filter("kind = 1").groupBy("tile_id").agg(F.min("near_id").alias("at")))
+    named = at.join(labels.withColumnRenamed("node", "at"), "at", "left").select("tile_id", F.coalesce("label", "at").alias("cluster"))
     return tiles.select("tile_id").join(named, "tile_id", "left")

@@ -231,6 +231,38 @@ def test_pair_shifts_of_strips(spark):
     assert np.isnan(want[3, "B08"][0]) and not focal.pair_shifts(px.limit(0)).count()
 
 
+@pytest.mark.parametrize(("least", "spread"), [(0.9, 0.08), (0.35, 1.0), (0.999999, 0.0)])
+def test_clusters_of_the_metric_index(spark, least, spread):
+    """Small blocks and few pivots against all pairs: groups of copies, vectors of another length, without a norm, null."""
+    from skylattice.operators import retrieval
+
+    draw = np.random.default_rng(4)
+    centres = draw.normal(size=(12, 8))
+    vecs = [list(map(float, centres[k % 12] + spread * draw.normal(size=8))) for k in range(180)]
+    vecs += [vecs[0]] * 60 + [[1.0, 0.0, 0.0]] * 3 + [[0.0] * 8, None, [float("nan")] * 8]
+    tiles = spark.createDataFrame([(f"T{k:04d}", v) for k, v in enumerate(vecs)], "tile_id string, vector array<double>").repartition(3)
+    unit = [None if v is None or not np.linalg.norm(v) > 1e-12 else np.array(v) / np.linalg.norm(v) for v in vecs]
+    near = {i: [j for j, v in enumerate(unit) if v is not None and len(v) == len(u) and round(float(np.clip(u @ v, -1, 1)), 6) >= least] for i, u in enumerate(unit) if u is not None}
+    core = {i for i, n in near.items() if len(n) >= 3}
+    label = {i: i for i in core}
+    while True:
+        new = {i: min(label[j] for j in near[i] if j in core) for i in core}
+        if new == label:
+            break
+        label = new
+    want = {f"T{i:04d}": None for i in range(len(vecs))}
+    for i in near:
+        at = i if i in core else min((j for j in near[i] if j in core), default=None)
+        want[f"T{i:04d}"] = None if at is None else f"T{label[at]:04d}"
+    got = {r["tile_id"]: r["cluster"] for r in retrieval.clusters(tiles, least, 3, pivots=5, block=16).collect()}
+    assert got == want
+    if least == 0.9:
+        blocks, width = retrieval.metric_blocks(tiles, 5, 16)
+        n = blocks.count()
+        assert retrieval.near_blocks(blocks, width, float(np.arccos(least))).count() < n * (n + 1) // 2
+    assert retrieval.clusters(tiles.limit(0), least, 3).count() == 0
+
+
 def test_encoder_job(spark):
     from skylattice.operators import embedding
 
