@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, times
-from .ranking import quantiles
+from .ranking import quantiles, running_sums
 
 # Accepted names of the sensors, with short tag and label.
 SENSORS = {
@@ -130,13 +130,14 @@ def day_cloud(scenes: DataFrame) -> DataFrame:
 
 
 def timeline(df: DataFrame, by: str) -> DataFrame:
-    """Scenes of each group by time, and where they lie between the first and the last; 0.5 if there is one time."""
-    w = Window.partitionBy(by)
+    """Scenes of each group by time, and where they lie between the first and the last; 0.5 if there is one time. Ranks come from
+    running counts over range partitions: a group may hold any share of the archive. A scene_id that comes twice at one time is not expected."""
     t = F.unix_timestamp("acquired").cast("double")
-    first, last = F.min(t).over(w), F.max(t).over(w)
-    place = F.when(last > first, (t - first) / (last - first)).otherwise(F.lit(0.5))
-    rank = F.row_number().over(w.orderBy("acquired", "scene_id"))
-    return df.filter("acquired IS NOT NULL").select(by, "scene_id", rank.alias("rank"), F.round(place, 6).alias("place"))
+    known = df.filter("acquired IS NOT NULL").select(by, "scene_id", t.alias("t"), F.struct("acquired", "scene_id").alias("_at"), F.lit(1).alias("_one"))
+    spans = known.groupBy(F.col(by).alias("_by")).agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    rows = running_sums(known, [by], "_at", ["_one"]).join(spans, F.col(by).eqNullSafe(F.col("_by")))
+    place = F.when(F.col("last") > F.col("first"), (F.col("t") - F.col("first")) / (F.col("last") - F.col("first"))).otherwise(F.lit(0.5))
+    return rows.select(by, "scene_id", F.col("_one_upto").cast("int").alias("rank"), F.round(place, 6).alias("place"))
 
 
 SORTS = {

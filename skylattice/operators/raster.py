@@ -6,9 +6,11 @@ on a coarser key that comes from it; nothing needs a scene in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import quantiles
+
 KEY = ["scene_id", "y", "x"]
 
 
@@ -96,7 +98,8 @@ def positions(extent: int, size: int, n: int) -> list[int]:
 
 
 def sampled_statistics(df: DataFrame, height: int, width: int, size: int, n: int) -> DataFrame:
-    """Statistics of ``value`` over n by n windows; pixels in several windows count for each."""
+    """Statistics of ``value`` over n by n windows; pixels in several windows count for each. Pixels without a value (null, NaN, infinite) are
+    masked: they count in ``n`` and lower ``valid_fraction`` only."""
 
     def covering(k: str, extent: int):
         hits = [F.when((F.col(k) >= s) & (F.col(k) < s + size), 1).otherwise(0) for s in positions(extent, size, n)]
@@ -106,11 +109,59 @@ def sampled_statistics(df: DataFrame, height: int, width: int, size: int, n: int
         return total
 
     times = covering("y", height) * covering("x", width)
-    held = df.withColumn("times", times).filter("times > 0")
+    held = df.withColumn("times", times).filter("times > 0").withColumn("value", F.when(finite(F.col("value")), F.col("value")))
+    valid = F.sum(F.when(F.col("value").isNotNull(), F.col("times")).otherwise(0))
     return held.groupBy("scene_id").agg(
-        F.min("value").alias("low"), F.max("value").alias("high"),
-        F.round(F.sum(F.col("value") * F.col("times")) / F.sum("times"), 6).alias("mean"), F.sum("times").cast("long").alias("n"),
+        F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.try_divide(F.sum(F.col("value") * F.col("times")), valid), 6).alias("mean"),
+        F.sum("times").cast("long").alias("n"), F.round(valid / F.sum("times"), 6).alias("valid_fraction"),
+    )
+
+
+def finite(c: Column) -> Column:
+    x = c.cast("double")
+    return F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))
+
+
+def pair_similarity(rows: DataFrame) -> DataFrame:
+    """How alike the two dates of each pair are: correlation and mean difference of the channels, and the normalised difference of all pixels and
+    channels. ``rows``: pair_id, channel, y, x, a, b; pixels that are not finite at both dates are left out. Quantiles are
+    exact and come from range partitions."""
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    held = rows.filter(finite(a) & finite(b)).select("pair_id", "channel", a.alias("a"), b.alias("b"))
+    size, gap = F.abs("a") + F.abs("b"), F.abs(F.col("b") - F.col("a"))
+    held = held.withColumn("nd", (F.col("b") - F.col("a")) / (size + 1e-8))
+    per_channel = held.groupBy("pair_id", "channel").agg(F.corr("a", "b").alias("r"), F.avg(gap).alias("mae"))
+    channels = per_channel.groupBy("pair_id").agg(
+        F.percentile("r", 0.5).alias("pearson_median"), F.min("r").alias("pearson_low"), F.max("r").alias("pearson_high"), F.percentile("mae", 0.5).alias("mae_median")
+    )
+    whole = held.groupBy("pair_id").agg(
+        (F.avg(gap) / (F.avg(size / 2) + 1e-8)).alias("relative_mae"), F.min("nd").alias("nd_low"), F.max("nd").alias("nd_high"), F.avg("nd").alias("nd_mean"),
+        F.avg((F.abs("nd") >= 0.5).cast("int")).alias("over_half"), F.avg((F.abs("nd") >= 0.8).cast("int")).alias("over_08"),
     )
+    q = quantiles(held, ["pair_id"], "nd", [0.5, 0.9, 0.95, 0.99]).select("pair_id", *(F.col("q")[k].alias(c) for k, c in enumerate(("nd_median", "nd_p90", "nd_p95", "nd_p99"))))
+    found = channels.join(whole, "pair_id").join(q, "pair_id")
+    return found.select("pair_id", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in found.columns if c != "pair_id"))
+
+
+def channel_values(rows: DataFrame) -> DataFrame:
+    """Values of each channel of a pair at both dates (``side`` a and b): finite values from least to largest with their quantiles, and the shares of
+    finite and zero pixels among all."""
+    sides = rows.select("pair_id", "channel", F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).cast("double").alias("v")) for c in "ab"))).alias("s")).select("pair_id", "channel", "s.*")
+    key = ["pair_id", "channel", "side"]
+    v = F.when(finite(F.col("v")), F.col("v"))
+    shares = sides.groupBy(*key).agg(
+        F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.avg(finite(F.col("v")).cast("int")).alias("finite_share"), F.avg(F.coalesce(F.col("v") == 0, F.lit(False)).cast("int")).alias("zero_share")
+    )
+    q = quantiles(sides.withColumn("v", v), key, "v", [0.5, 0.9, 0.95, 0.99]).select(*key, *(F.col("q")[k].alias(c) for k, c in enumerate(("median", "p90", "p95", "p99"))))
+    found = shares.join(q, key, "left")
+    return found.select(*key, *(F.round(c, 6).alias(c) for c in found.columns if c not in key))
+
+
+def distinct_values(rows: DataFrame, by: str, value: str, most: int = 32) -> DataFrame:
+    """(by, values): the smallest ``most`` distinct values of each group, in order; nulls are none."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(value))
+    kept = rows.select(by, value).filter(F.col(value).isNotNull()).distinct().withColumn("_place", place).filter(F.col("_place") <= most)
+    return kept.groupBy(by).agg(F.array_sort(F.collect_list(value)).alias("values"))
 
 
 def tile_statistics(df: DataFrame, size: int, width: int, least: float) -> DataFrame:

@@ -24,19 +24,17 @@ def usable(rows: DataFrame, vector: str, dimension: int) -> DataFrame:
     return rows.withColumn("usable", F.coalesce((F.size(vector) == dimension) & n.between(1 - 1e-5, 1 + 1e-5), F.lit(False)))
 
 
-def scored(tiles: DataFrame, queries: DataFrame, *more: str) -> DataFrame:
-    """``tiles`` with the score of each query (query_id, query, and the columns ``more``). A set of no more than MAX_QUERIES
-    is broadcast."""
-    asked = queries.select("query_id", vectors.unit(F.col("query")).alias("query"), *more)
-    asked = F.broadcast(asked) if asked.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES else asked
-    held = tiles.withColumn("unit", vectors.unit(F.col("vector"))).filter("unit IS NOT NULL").drop("vector")
-    return held.crossJoin(asked).withColumn("score", F.round(vectors.cosine(F.col("unit"), F.col("query")), 6)).drop("unit", "query")
+def best(hits: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of ``hits`` for each query with their ``rank``, ties by tile_id; kept in each partition first."""
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "tile_id")))
+    return ranked.filter(F.col("rank") <= k)
 
 
-def best(hits: DataFrame, k: int | None = None) -> DataFrame:
-    """``hits`` with their ``rank`` for each query, ties by tile_id; the best ``k`` if given, kept in each partition first."""
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "tile_id")))
-    return ranked if k is None else ranked.filter(F.col("rank") <= k)
+def ranked(hits: DataFrame) -> DataFrame:
+    """All ``hits`` with their ``rank`` for each query, ties by tile_id. Places come from running counts over range partitions, so a
+    query with any number of hits is no single task."""
+    placed = hits.withColumn("_at", F.struct(-F.col("score"), F.col("tile_id"))).withColumn("_one", F.lit(1))
+    return running_sums(placed, ["query_id"], "_at", ["_one"]).select(*hits.columns, F.col("_one_upto").cast("int").alias("rank"))
 
 
 #: Vectors in a block.
@@ -65,9 +63,9 @@ def _blocks(rows: DataFrame, kept: list[str]) -> DataFrame:
     return rows.select("unit", *kept).filter("unit IS NOT NULL").mapInArrow(_pack(kept), f"d long, matrix binary, {kinds}")
 
 
-def _products(k: int):
+def _products(k: int | None, limit: float | None):
     """Of each pair of blocks the hits that can be among the best ``k`` of a query in a group: those no worse than its k-th in the
-    pair, ties and rounding included."""
+    pair, and those of a score of ``limit`` or more; ties and rounding included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +77,8 @@ def _products(k: int):
                 for g in set(groups):
                     at = np.flatnonzero(groups == g)
                     own = score[:, at]
-                    least = np.partition(own, -k, axis=1)[:, -k] if len(at) > k else np.full(len(own), -2.0)
+                    least = np.partition(own, -k, axis=1)[:, -k] if k is not None and len(at) > k else np.full(len(own), -2.0)
+                    least = least if limit is None else np.maximum(least, limit)
                     r, c = np.nonzero(own >= least[:, None] - 2e-6)
                     rows.append(r)
                     columns.append(at[c])
@@ -92,8 +91,9 @@ def _products(k: int):
     return run
 
 
-def block_hits(tiles: DataFrame, queries: DataFrame, k: int, within: str | None = None) -> DataFrame:
-    """(query_id, tile_id, part, score): hits among which are the best ``k`` of each query, in each value of ``within`` if given.
+def block_hits(tiles: DataFrame, queries: DataFrame, k: int | None = None, within: str | None = None, least: float | None = None) -> DataFrame:
+    """(query_id, tile_id, part, score): hits among which are the best ``k`` of each query, in each value of ``within`` if given, or all of a
+    score of ``least`` or more.
 
     Vectors travel in blocks and meet as matrices: one product for each pair of blocks, of which only what can be among the best
     goes on. A query set of no more than MAX_QUERIES is broadcast. Vectors of another length than the query's, and those without a
@@ -106,7 +106,8 @@ def block_hits(tiles: DataFrame, queries: DataFrame, k: int, within: str | None
     asked = _blocks(asked.coalesce(max(1, -(-n // BLOCK))) if few else asked, ["query_id"]).select(F.col("d").alias("query_d"), F.col("matrix").alias("query_matrix"), "query_id")
     pairs = _blocks(held, ["tile_id", "part"]).crossJoin(F.broadcast(asked) if few else asked).filter("d = query_d")
     kinds = ", ".join(f"{c} {x.schema[c].dataType.elementType.simpleString()}" for c, x in (("query_id", asked), ("tile_id", pairs), ("part", pairs)))
-    return pairs.mapInArrow(_products(k), f"{kinds}, score double").withColumn("score", F.round("score", 6))
+    hits = pairs.mapInArrow(_products(k, least), f"{kinds}, score double").withColumn("score", F.round("score", 6))
+    return hits if least is None else hits.filter(F.col("score") >= least)
 
 
 def _hydrated(hits: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -119,6 +120,14 @@ def top_k(tiles: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return _hydrated(best(block_hits(tiles, queries, k).drop("part"), k), tiles)
 
 
+def like_seeds(tiles: DataFrame, seeds: DataFrame, k: int, within: str, own: str) -> DataFrame:
+    """(query_id, tile_id, score, within, rank): the best ``k`` tiles for each seed (query_id, query, ``own``, ``within``) among those of the seed's
+    value of ``within``, its own tile ``own`` left out. A seed without that value finds nothing."""
+    hits = block_hits(tiles, seeds, k + 1, within)
+    asked = seeds.select("query_id", F.col(own).alias("_own"), within)
+    return best(hits.join(asked, "query_id").filter((F.col("part") == F.col(within).cast("string")) & (F.col("tile_id") != F.col("_own"))).drop("part", "_own"), k)
+
+
 def per_sensor(tiles: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The best k of each sensor, merged to the best k of each query."""
     inner = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "tile_id")

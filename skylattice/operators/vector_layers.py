@@ -22,4 +22,6 @@ def classify(elements: DataFrame) -> DataFrame:
 
 
 def counts(layers: DataFrame) -> DataFrame:
-    return layers.groupBy("layer").agg(F.count("*").alias("n"))
+    """Features of each layer, how many of them are closed, and the total of all layers."""
+    per_layer = layers.groupBy("layer").agg(F.count("*").alias("n"), F.count_if("closed").alias("closed"))
+    return per_layer.join(F.broadcast(per_layer.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total"))))

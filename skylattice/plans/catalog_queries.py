@@ -253,22 +253,29 @@ def b34(spark, sf):
 _B37 = """WITH osm AS (SELECT l_orderkey, l_linenumber, l_partkey, ['highway','waterway','boundary','building','landuse','place'][(l_partkey % 6 + 1)::INT] AS k, CASE WHEN l_partkey % 6 = 0 AND l_suppkey % 2 = 0 THEN 'primary' WHEN l_partkey % 6 = 0 THEN 'residential' ELSE 'yes' END AS v, l_quantity > 25 AS closed FROM lineitem)"""
 
 
-@query("B37", f"{_B37} SELECT layer, count(*) AS n FROM (SELECT unnest(CASE k WHEN 'highway' THEN [CASE WHEN v = 'primary' THEN 'roads_major' ELSE 'roads_local' END] WHEN 'waterway' THEN CASE WHEN closed THEN ['water_line', 'water_area'] ELSE ['water_line'] END WHEN 'boundary' THEN ['boundaries'] WHEN 'building' THEN CASE WHEN closed THEN ['buildings'] ELSE [] END WHEN 'landuse' THEN CASE WHEN closed THEN ['context'] ELSE [] END ELSE ['places'] END) AS layer FROM osm) GROUP BY layer")
-def b37(spark, sf):
+_LAYERS = "CASE k WHEN 'highway' THEN [CASE WHEN v = 'primary' THEN 'roads_major' ELSE 'roads_local' END] WHEN 'waterway' THEN CASE WHEN closed THEN ['water_line', 'water_area'] ELSE ['water_line'] END WHEN 'boundary' THEN ['boundaries'] WHEN 'building' THEN CASE WHEN closed THEN ['buildings'] ELSE [] END WHEN 'landuse' THEN CASE WHEN closed THEN ['context'] ELSE [] END ELSE ['places'] END"
+
+
+def _layers(spark, sf):
     from ..operators import vector_layers
 
     kinds = F.array(*map(F.lit, ("highway", "waterway", "boundary", "building", "landuse", "place")))
     key = F.element_at(kinds, (F.col("l_partkey") % 6 + 1).cast("int"))
     value = F.when(key != "highway", "yes").when(F.col("l_suppkey") % 2 == 0, "primary").otherwise("residential")
     rows = views.read(spark, sf, "lineitem").select(F.create_map(key, value).alias("tags"), (F.col("l_quantity") > 25).alias("closed"))
-    return vector_layers.counts(vector_layers.classify(rows))
+    return vector_layers.classify(rows)
+
+
+@query("B37", f"{_B37} SELECT layer, count(*) AS n FROM (SELECT unnest({_LAYERS}) AS layer FROM osm) GROUP BY layer")
+def b37(spark, sf):
+    return _layers(spark, sf).groupBy("layer").agg(F.count("*").alias("n"))
 
 
-@query("D36", f"{_B37} SELECT k AS tag, count(*) AS n, count(*) FILTER (closed) AS closed FROM osm GROUP BY k")
+@query("D36", f"{_B37}, l AS (SELECT unnest({_LAYERS}) AS layer, closed FROM osm), n AS (SELECT layer, count(*) AS n, count(*) FILTER (closed) AS closed FROM l GROUP BY layer) SELECT *, (sum(n) OVER ())::BIGINT AS total FROM n")
 def d36(spark, sf):
-    kinds = F.array(*map(F.lit, ("highway", "waterway", "boundary", "building", "landuse", "place")))
-    key = F.element_at(kinds, (F.col("l_partkey") % 6 + 1).cast("int"))
-    return views.read(spark, sf, "lineitem").groupBy(key.alias("tag")).agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") > 25).alias("closed"))
+    from ..operators import vector_layers
+
+    return vector_layers.counts(_layers(spark, sf))
 
 
 @query("B38", f"{S} s.scene_id, k.key IS NOT NULL AS asked FROM scenes s LEFT JOIN (SELECT DISTINCT 'S' || vec_id AS key FROM embeddings) k ON s.scene_id = k.key WHERE k.key IS NOT NULL")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import geo, pixels
-from ..operators import analysis, catalog, change, components, embedding, focal
+from ..operators import analysis, catalog, change, components, embedding, focal, raster
 from ..sources import aoi, arrays, manifests, sinks, stac
 from ..storage import Store, new_path
 from ..streaming import jobs
@@ -96,15 +96,31 @@ def d31(spark, sf):
     return arrays.inventory(_npy(spark, sf))
 
 
-@query("D33", f"WITH {PX} SELECT scene_id, round(corr(b04, b08), 6) AS pearson, round(avg(abs(b08 - b04)), 6) AS mae, round(avg(abs(b08 - b04)) / (avg(abs(b04)) + 1e-8), 6) AS relative_mae, round(quantile_cont((b08 - b04) / (abs(b04) + abs(b08) + 1e-8), 0.5), 6) AS nd_median, round(avg((abs((b08 - b04) / (abs(b04) + abs(b08) + 1e-8)) >= 0.5)::INT), 6) AS over_half, count(DISTINCT scl) AS distinct_scl FROM px GROUP BY scene_id")
+_SIDES = f"""WITH {PX}, {PX2}, ch AS (SELECT scene_id AS pair_id, unnest([{{'c': 'B04', 'a': a.b04, 'b': b.b04}}, {{'c': 'B08', 'a': a.b08, 'b': b.b08}}]) AS t FROM px a JOIN px2 b USING (scene_id, y, x)),
+ r AS (SELECT pair_id, t.c AS channel, t.a::DOUBLE AS a, t.b::DOUBLE AS b, (t.b - t.a) / (abs(t.a) + abs(t.b) + 1e-8) AS nd FROM ch)"""
+
+
+def _sides(spark, sf):
+    """Both dates of all scenes as (pair_id, channel, y, x, a, b)."""
+    a, b = views.px(spark, sf), views.px2(spark, sf)
+    both = a.select(F.col("scene_id").alias("pair_id"), "y", "x", "b04", "b08").join(b.select(F.col("scene_id").alias("pair_id"), "y", "x", F.col("b04").alias("c04"), F.col("b08").alias("c08")), ["pair_id", "y", "x"])
+    return both.select("pair_id", "y", "x", F.expr("stack(2, 'B04', b04, c04, 'B08', b08, c08) AS (channel, a, b)"))
+
+
+@query("D33", f"""{_SIDES}, per AS (SELECT pair_id, channel, corr(a, b) AS r, avg(abs(b - a)) AS mae FROM r GROUP BY ALL),
+ c AS (SELECT pair_id, round(quantile_cont(r, 0.5), 6) + 0 AS pearson_median, round(min(r), 6) + 0 AS pearson_low, round(max(r), 6) + 0 AS pearson_high, round(quantile_cont(mae, 0.5), 6) AS mae_median FROM per GROUP BY pair_id),
+ w AS (SELECT pair_id, round(avg(abs(b - a)) / (avg((abs(a) + abs(b)) / 2) + 1e-8), 6) AS relative_mae, round(min(nd), 6) + 0 AS nd_low, round(max(nd), 6) + 0 AS nd_high, round(avg(nd), 6) + 0 AS nd_mean, round(avg((abs(nd) >= 0.5)::INT), 6) AS over_half, round(avg((abs(nd) >= 0.8)::INT), 6) AS over_08,
+  round(quantile_cont(nd, 0.5), 6) + 0 AS nd_median, round(quantile_cont(nd, 0.9), 6) + 0 AS nd_p90, round(quantile_cont(nd, 0.95), 6) + 0 AS nd_p95, round(quantile_cont(nd, 0.99), 6) + 0 AS nd_p99 FROM r GROUP BY pair_id),
+ d AS (SELECT scene_id AS pair_id, array_to_string(list_sort(list(DISTINCT scl))[:32], ',') AS classes FROM px GROUP BY scene_id) SELECT * FROM c JOIN w USING (pair_id) JOIN d USING (pair_id)""")
 def d33(spark, sf):
-    a, b = F.col("b04"), F.col("b08")
-    nd = pixels.normalised_difference(a, b)
-    mae = F.avg(F.abs(b - a))
-    return views.px(spark, sf).groupBy("scene_id").agg(
-        F.round(F.corr(a, b), 6).alias("pearson"), F.round(mae, 6).alias("mae"), F.round(mae / (F.avg(F.abs(a)) + 1e-8), 6).alias("relative_mae"),
-        F.round(F.percentile(nd, 0.5), 6).alias("nd_median"), F.round(F.avg((F.abs(nd) >= 0.5).cast("int")), 6).alias("over_half"), F.countDistinct("scl").alias("distinct_scl"),
-    )
+    classes = raster.distinct_values(views.px(spark, sf).withColumnRenamed("scene_id", "pair_id"), "pair_id", "scl")
+    return raster.pair_similarity(_sides(spark, sf)).join(classes.select("pair_id", F.array_join("values", ",").alias("classes")), "pair_id")
+
+
+@query("D33_channels", f"""{_SIDES}, s AS (SELECT pair_id, channel, 'a' AS side, a AS v FROM r UNION ALL SELECT pair_id, channel, 'b', b FROM r) SELECT pair_id, channel, side, round(min(v), 6) AS low, round(max(v), 6) AS high, round(avg(v), 6) AS mean,
+ round(avg(isfinite(v)::INT), 6) AS finite_share, round(avg((v = 0)::INT), 6) AS zero_share, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.9), 6) AS p90, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.99), 6) AS p99 FROM s GROUP BY ALL""")
+def d33_channels(spark, sf):
+    return raster.channel_values(_sides(spark, sf))
 
 
 @query("A19", "SELECT label % 3 AS layer_no, count(*) AS n FROM embeddings GROUP BY 1")
@@ -188,16 +204,14 @@ _F9 = f"""WITH {PX}, {PX2}, px_pair AS (SELECT scene_id AS pair_id, y, x, unnest
  fine AS (SELECT *, y + CASE WHEN abs(up - 2 * c + down) < 1e-12 THEN 0 ELSE 0.5 * (up - down) / (up - 2 * c + down) END AS fy, x + CASE WHEN abs(lft - 2 * c + rgt) < 1e-12 THEN 0 ELSE 0.5 * (lft - rgt) / (lft - 2 * c + rgt) END AS fx FROM near),
  sh AS (SELECT pair_id, channel, CASE WHEN fy > h / 2 THEN fy - h ELSE fy END AS dy, CASE WHEN fx > w / 2 THEN fx - w ELSE fx END AS dx, c / (m + 1e-12) AS response FROM fine UNION ALL SELECT pair_id, channel, NULL, NULL, 0 FROM st WHERE least(sa, sb) < 1e-8),
  rep AS (SELECT pair_id, quantile_cont(dy, 0.5) AS my, quantile_cont(dx, 0.5) AS mx, min(dy) AS ly, max(dy) AS hy, min(dx) AS lx, max(dx) AS hx, quantile_cont(response, 0.5) AS resp FROM sh GROUP BY pair_id)
- SELECT pair_id, round(my, 5) AS shift_y, round(mx, 5) AS shift_x, round(ly, 5) AS least_y, round(hy, 5) AS most_y, round(lx, 5) AS least_x, round(hx, 5) AS most_x, round(resp, 5) AS response, round(sqrt(my * my + mx * mx), 5) AS shift, sqrt(my * my + mx * mx) > 1 AS over_1, sqrt(my * my + mx * mx) > 2 AS over_2 FROM rep"""
+ SELECT pair_id, round(my, 5) + 0 AS shift_y, round(mx, 5) + 0 AS shift_x, round(ly, 5) + 0 AS least_y, round(hy, 5) + 0 AS most_y, round(lx, 5) + 0 AS least_x, round(hx, 5) + 0 AS most_x, round(resp, 5) + 0 AS response, round(sqrt(my * my + mx * mx), 5) AS shift, sqrt(my * my + mx * mx) > 1 AS over_1, sqrt(my * my + mx * mx) > 2 AS over_2 FROM rep"""
 
 
 @query("F9", _F9)
 def f9(spark, sf):
-    a, b = views.px(spark, sf), views.px2(spark, sf)
-    both = a.select(F.col("scene_id").alias("pair_id"), "y", "x", "b04", "b08").join(b.select(F.col("scene_id").alias("pair_id"), "y", "x", F.col("b04").alias("c04"), F.col("b08").alias("c08")), ["pair_id", "y", "x"])
-    long = both.select("pair_id", "y", "x", F.expr("stack(2, 'B04', b04, c04, 'B08', b08, c08) AS (channel, before, after)"))
+    long = _sides(spark, sf).withColumnsRenamed({"a": "before", "b": "after"})
     report = focal.shift_report(focal.pair_shifts(long))
-    return report.select("pair_id", *(F.round(c, 5).alias(c) for c in ("shift_y", "shift_x", "least_y", "most_y", "least_x", "most_x", "response", "shift")), "over_1", "over_2")
+    return report.select("pair_id", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("shift_y", "shift_x", "least_y", "most_y", "least_x", "most_x", "response", "shift")), "over_1", "over_2")
 
 
 @query("G10", "SELECT 'index' AS held, vec_id, label FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT 'catalog', vec_id, label + 1 FROM embeddings WHERE vec_id % 2 = 0")

@@ -220,10 +220,14 @@ def d1(spark, sf):
     return raster.mask_statistics(views.px(spark, sf).select("scene_id", pixels.scl_valid(F.col("scl")).alias("valid")))
 
 
-@query("D2", sql("""SELECT w.scene_id, min(b04) AS low, max(b04) AS high, round(avg(b04), 6) AS mean, count(*) AS n FROM
+_CLEAR = "CASE WHEN scl NOT IN (0,1,3,8,9,10,11) THEN b04 END"
+
+
+@query("D2", sql(f"""SELECT w.scene_id, min({_CLEAR}) AS low, max({_CLEAR}) AS high, round(avg({_CLEAR}), 6) AS mean, count(*) AS n, round(count({_CLEAR}) / count(*), 6) AS valid_fraction FROM
  (SELECT DISTINCT scene_id FROM px) w, (VALUES (0), (15), (30)) a(y0), (VALUES (0), (15), (30)) b(x0), px WHERE px.scene_id = w.scene_id AND px.y >= y0 AND px.y < y0 + 20 AND px.x >= x0 AND px.x < x0 + 20 GROUP BY w.scene_id"""))
 def d2(spark, sf):
-    return raster.sampled_statistics(views.px(spark, sf).select(*KEY, F.col("b04").alias("value")), SIDE, SIDE, 20, 3)
+    value = F.when(pixels.scl_valid(F.col("scl")), F.col("b04")).alias("value")
+    return raster.sampled_statistics(views.px(spark, sf).select(*KEY, value), SIDE, SIDE, 20, 3)
 
 
 _TILES = """SELECT scene_id, (y // 16)::INT AS ty, (x // 16)::INT AS tx, round(count(*) FILTER (scl NOT IN (0,1,3,8,9,10,11)) / 256, 6) AS valid_fraction FROM px GROUP BY ALL"""

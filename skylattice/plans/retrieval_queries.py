@@ -85,19 +85,18 @@ def retrieval_rank(hits, k):
 @query("I5", f"{_Q} SELECT query_id, tile_id, score, region FROM s WHERE vec_id <> query_id AND region = (SELECT region FROM tiles t WHERE t.vec_id = query_id) {_TOP}")
 def i5(spark, sf):
     t = views.tiles(spark, sf)
-    seeds = t.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.col("region").alias("seed_region"))
-    near = retrieval.scored(t, seeds, "seed_region").filter("vec_id <> query_id AND region = seed_region")
-    return retrieval.best(near, 10).select("query_id", "tile_id", "score", "region")
+    seeds = t.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.col("tile_id").alias("seed_tile"), "region")
+    return retrieval.like_seeds(t, seeds, 10, "region", "seed_tile").select("query_id", "tile_id", "score", "region")
 
 
 @query("E2", f"{_Q} SELECT {_HIT} FROM s WHERE score >= 0.1")
 def e2(spark, sf):
-    return retrieval.best(retrieval.scored(views.tiles(spark, sf), _queries(spark, sf)).filter("score >= 0.1")).select(*HIT)
+    return retrieval.ranked(retrieval.block_hits(views.tiles(spark, sf), _queries(spark, sf), least=0.1)).select(*HIT)
 
 
 @query("B12", f"{_Q} SELECT query_id, tile_id, score FROM s WHERE score >= 0.2")
 def b12(spark, sf):
-    return retrieval.scored(views.tiles(spark, sf), _queries(spark, sf)).filter("score >= 0.2").select("query_id", "tile_id", "score")
+    return retrieval.block_hits(views.tiles(spark, sf), _queries(spark, sf), least=0.2).select("query_id", "tile_id", "score")
 
 
 _SENSOR = f"b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, sensor ORDER BY score DESC, tile_id) <= 8), m AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tile_id))::INT AS rank FROM b)"
