@@ -59,17 +59,36 @@ def error_components(labels: DataFrame, big: int) -> DataFrame:
     )
 
 
-def block_clusters(a: DataFrame, b: DataFrame, size: int, over: float, share: float, top: int) -> DataFrame:
-    """Largest 4-connected clusters of blocks in which more than ``share`` of the pixels changed by more than ``over``."""
-    changed = (F.abs(F.col("v") - F.col("then")) > over).cast("int")
+def pixel_distance(a: DataFrame, b: DataFrame, channels: tuple[str, ...]) -> DataFrame:
+    """(scene_id, y, x, distance): mean absolute difference of the channels at the pixels that both dates have."""
+    then = b.select(*KEY, *(F.col(c).alias(f"{c}_then") for c in channels))
+    total = sum((F.abs(F.col(c).cast("double") - F.col(f"{c}_then")) for c in channels[1:]), F.abs(F.col(channels[0]).cast("double") - F.col(f"{channels[0]}_then")))
+    return a.select(*KEY, *channels).join(then, KEY).select(*KEY, (total / len(channels)).alias("distance"))
+
+
+def block_clusters(distances: DataFrame, size: int = 10, over: float = 30.0, share: float = 0.3, top: int = 5) -> DataFrame:
+    """Largest 4-connected clusters of ``size`` by ``size`` blocks in which more than ``share`` of the pixels changed by more than ``over``, with the box
+    of their blocks. Pixels that a block at the edge lacks have not changed. Clusters of one size by their first block."""
     blocks = (
-        a.join(b.select(*KEY, F.col("v").alias("then")), KEY)
+        distances.filter(F.col("distance") > over)
         .groupBy("scene_id", F.floor(F.col("y") / size).cast("int").alias("y"), F.floor(F.col("x") / size).cast("int").alias("x"))
-        .agg(F.avg(changed).alias("part")).filter(F.col("part") > share)
+        .agg(F.count("*").alias("n")).filter(F.col("n") / (size * size) > share).select(*KEY)
     )
-    clusters = components.label(blocks, diagonal=False).groupBy("scene_id", "root").agg(F.count("*").alias("blocks"))
+    box = (F.min("y").alias("top"), F.min("x").alias("left"), F.max("y").alias("bottom"), F.max("x").alias("right"))
+    clusters = components.label(blocks, diagonal=False).groupBy("scene_id", "root").agg(F.count("*").alias("blocks"), *box)
     rank = F.row_number().over(Window.partitionBy("scene_id").orderBy(F.desc("blocks"), "root"))
-    return clusters.withColumn("rank", rank).filter(F.col("rank") <= top).select("scene_id", "rank", "blocks")
+    return clusters.withColumn("rank", rank).filter(F.col("rank") <= top).select("scene_id", "rank", "blocks", "top", "left", "bottom", "right")
+
+
+def visual_report(distances: DataFrame, clusters: DataFrame, dates: DataFrame, over: float = 30.0) -> DataFrame:
+    """One row for each scene: share of changed pixels and visual similarity in percent, days between the dates (null if one is unknown), regions.
+    ``clusters`` as ``block_clusters`` gives them, ``dates``: scene_id, before, after."""
+    far = F.avg((F.col("distance") > over).cast("int"))
+    found = distances.groupBy("scene_id").agg(F.round(far * 100, 1).alias("delta"), F.round(100 - F.avg("distance") / 255 * 100, 1).alias("similarity"))
+    days = F.abs(F.round((F.unix_timestamp("after") - F.unix_timestamp("before")) / 86400)).cast("int")
+    regions = clusters.groupBy("scene_id").agg(F.count("*").alias("regions"))
+    held = found.join(dates.select("scene_id", days.alias("days")), "scene_id", "left").join(regions, "scene_id", "left")
+    return held.select("scene_id", "delta", "similarity", "days", F.coalesce("regions", F.lit(0).cast("long")).alias("regions"))
 
 
 def choose(grid: DataFrame) -> DataFrame:

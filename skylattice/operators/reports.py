@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import catalog
+from .ranking import running_sums
 
 
 def build_report(old: DataFrame, batch: DataFrame, files: DataFrame, key: str, values: list[str], order: str) -> DataFrame:
@@ -45,3 +46,17 @@ def id_summary(index: DataFrame, ids: DataFrame) -> DataFrame:
     sizes = index.agg(F.count("*").alias("index_size")).join(ids.agg(F.count("*").alias("map_size")))
     total = F.col("only_in_index") + F.col("only_in_map") + F.col("twice_in_index") + F.col("twice_in_map")
     return sizes.join(broken).withColumn("consistent", total == 0)
+
+
+def bundle(parts: dict[str, DataFrame], key: str, order: dict[str, str]) -> DataFrame:
+    """Export of a case as lines (key, part, seq, body): each row of each part as JSON, numbered from 1 in the order of its column ``order[part]``.
+    The key leads the lines, so a case with very many rows is spread over tasks and files like any other. An id without rows in a part
+    has no line there; null values are written."""
+    lines = None
+    for name, rows in parts.items():
+        body = F.to_json(F.struct(*(c for c in rows.columns if c != key)), {"ignoreNullFields": "false"})
+        own = rows.select(F.col(key), F.lit(name).alias("part"), F.struct(F.col(order[name]), body.alias("b")).alias("_at"), F.monotonically_increasing_id().alias("_id"), body.alias("body"))
+        placed = running_sums(own.withColumn("_at", F.struct("_at", "_id")).drop("_id").withColumn("_one", F.lit(1)), [key], "_at", ["_one"])
+        placed = placed.select(key, "part", F.col("_one_upto").cast("long").alias("seq"), "body")
+        lines = placed if lines is None else lines.unionByName(placed)
+    return lines

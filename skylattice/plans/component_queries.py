@@ -173,14 +173,27 @@ def f6(spark, sf):
     return components.distance_bands(wrong, truth, 2, 8)
 
 
-_F7 = f"""WITH RECURSIVE {PX}, {PX2}, blk AS (SELECT a.scene_id, (a.y // 5)::INT AS y, (a.x // 5)::INT AS x FROM px a JOIN px2 b ON a.scene_id = b.scene_id AND a.y = b.y AND a.x = b.x GROUP BY ALL HAVING avg((abs(a.b04 - b.b04) > 60)::INT) > 0.5),
- {reach('SELECT * FROM blk', 'abs(m.y - r.y) + abs(m.x - r.x) <= 1')}"""
+_F7 = f"""WITH RECURSIVE {PX}, {PX2}, dist AS (SELECT a.scene_id, a.y, a.x, (abs(a.b04 - b.b04) + abs(a.b08 - b.b08) + abs(a.scl - b.scl) * 20) / 3 AS d FROM px a JOIN px2 b ON a.scene_id = b.scene_id AND a.y = b.y AND a.x = b.x),
+ blk AS (SELECT scene_id, (y // 10)::INT AS y, (x // 10)::INT AS x FROM dist WHERE d > 30 GROUP BY ALL HAVING count(*) / 100 > 0.3), {reach('SELECT * FROM blk', 'abs(m.y - r.y) + abs(m.x - r.x) <= 1')},
+ k AS (SELECT scene_id, root, count(*) AS blocks, min(y) AS t, min(x) AS l, max(y) AS b, max(x) AS r FROM lab GROUP BY ALL), f7 AS (SELECT scene_id, (row_number() OVER (PARTITION BY scene_id ORDER BY blocks DESC, root))::INT AS rank, blocks, t AS "top", l AS "left", b AS "bottom", r AS "right" FROM k QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY blocks DESC, root) <= 5)"""
 
 
-@query("F7", f"{_F7}, k AS (SELECT scene_id, root, count(*) AS blocks FROM lab GROUP BY ALL) SELECT scene_id, (row_number() OVER (PARTITION BY scene_id ORDER BY blocks DESC, root))::INT AS rank, blocks FROM k QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY blocks DESC, root) <= 5")
+def _distances(spark, sf):
+    a, b = (v.select("scene_id", "y", "x", "b04", "b08", (F.col("scl") * 20).alias("shade")) for v in (views.px(spark, sf), views.px2(spark, sf)))
+    return change.pixel_distance(a, b, ("b04", "b08", "shade"))
+
+
+@query("F7", f"{_F7} SELECT * FROM f7")
 def f7(spark, sf):
-    a, b = (v.select("scene_id", "y", "x", F.col("b04").alias("v")) for v in (views.px(spark, sf), views.px2(spark, sf)))
-    return change.block_clusters(a, b, size=5, over=60.0, share=0.5, top=5)
+    return change.block_clusters(_distances(spark, sf))
+
+
+@query("F7_report", f"""{_F7}, days AS (SELECT event_id // 2500 AS scene_id, abs(round((epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts)))) / 86400))::INT AS days FROM events GROUP BY ALL), n AS (SELECT scene_id, count(*) AS regions FROM f7 GROUP BY ALL),
+ s AS (SELECT scene_id, round(avg((d > 30)::INT) * 100, 1) AS delta, round(100 - avg(d) / 255 * 100, 1) AS similarity FROM dist GROUP BY ALL) SELECT scene_id, delta, similarity, days, coalesce(regions, 0) AS regions FROM s LEFT JOIN days USING (scene_id) LEFT JOIN n USING (scene_id)""")
+def f7_report(spark, sf):
+    dates = views.read(spark, sf, "events").groupBy(F.expr("event_id div 2500").alias("scene_id")).agg(F.min("ts").alias("before"), F.max("ts").alias("after"))
+    distances = _distances(spark, sf)
+    return change.visual_report(distances, change.block_clusters(distances), dates)
 
 
 _STEP3 = "(VALUES (-1), (0), (1)) s(d)"

@@ -44,13 +44,17 @@ def a2(spark, sf):
     return back.select("tile_id", "source_scene_id", F.concat(F.lit("["), F.array_join(F.transform("bounds", lambda x: x.cast("string")), ", "), F.lit("]")).alias("bounds"))
 
 
-@query("A7", "SELECT o_custkey AS source, o_orderkey AS tile FROM orders")
+@query("A7", """SELECT o_custkey AS source, o_orderkey AS tile, CASE WHEN o_orderkey % 5 = 0 THEN 'absolute' WHEN o_orderkey % 5 < 3 THEN 'below' ELSE 'beside' END AS how FROM orders WHERE o_orderkey % 5 <> 4""")
 def a7(spark, sf):
-    tile = F.struct(F.concat(F.col("o_orderkey").cast("string"), F.lit(".tif")).alias("path"))
-    rows = views.read(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("source")).agg(F.collect_list(tile).alias("tiles"))
-    path = _written(rows, "manifests")
-    back = spark.read.schema(manifests.MANIFEST).option("recursiveFileLookup", True).option("mode", "FAILFAST").json(path)
-    return back.select(F.col("source").cast("long").alias("source"), F.explode("tiles").alias("t")).select("source", F.regexp_replace("t.path", "[.]tif$", "").cast("long").alias("tile"))
+    """Paths that are absolute, below the archive, only beside the manifest, or nowhere."""
+    name, key = F.concat(F.col("o_orderkey").cast("string"), F.lit(".tif")), F.col("o_orderkey") % 5
+    path = F.when(key == 0, F.concat(F.lit("/absolute/"), name)).otherwise(F.concat(F.lit("tiles/"), name))
+    orders = views.read(spark, sf, "orders")
+    rows = orders.groupBy(F.col("o_custkey").cast("string").alias("source")).agg(F.collect_list(F.struct(path.alias("path"))).alias("tiles"))
+    root = _written(rows, "manifests")
+    held = F.when(key == 0, path).when(key < 3, F.concat(F.lit("/archive/"), path)).when(key == 3, F.concat(F.lit(root + "/"), name))
+    found = manifests.resolve_tiles(manifests.read_manifests(spark, root, "*.json"), orders.select(held.alias("file")).filter("file IS NOT NULL"), "/archive")
+    return found.select(F.col("source").cast("long").alias("source"), F.regexp_extract("path", r"(\d+)[.]tif$", 1).cast("long").alias("tile"), "how")
 
 
 @query("A12", "SELECT 'C' || c_custkey AS id FROM customer")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ledger
+from ..operators import ledger, reports
 from ..sources import sinks
 from ..storage import new_path, stage
 from . import views
@@ -90,7 +90,25 @@ def k4(spark, sf):
     return ledger.queue(ledger.decide(decisions(spark, sf)))
 
 
-@query("A21", f"WITH {LEDGER} SELECT ledger_id, array_to_string(list(action ORDER BY seq), ',') AS actions, count(*) AS n FROM ledger GROUP BY ledger_id")
+@query("A21", f"""{_STATE}, inv AS (SELECT ledger_id, 'investigation' AS part, 1::BIGINT AS seq, count(*)::VARCHAR AS value FROM ledger GROUP BY ledger_id), tl AS (SELECT ledger_id, 'timeline' AS part, seq, stamp AS value FROM ledger),
+ an AS (SELECT ledger_id, 'analysis' AS part, row_number() OVER (PARTITION BY ledger_id ORDER BY action) AS seq, action || ' ' || count(*) AS value FROM ledger GROUP BY ledger_id, action), ev AS (SELECT ledger_id, 'evidence' AS part, row_number() OVER (PARTITION BY ledger_id ORDER BY seq) AS seq, event_id::VARCHAR AS value FROM ledger WHERE action = 'PURCHASE'),
+ pr AS (SELECT ledger_id, 'provenance' AS part, 1::BIGINT AS seq, min(stamp) || ' ' || max(stamp) AS value FROM ledger GROUP BY ledger_id), rw AS (SELECT candidate_id AS ledger_id, 'review' AS part, row_number() OVER (PARTITION BY candidate_id ORDER BY st.seq) AS seq, outcome AS value FROM st)
+ SELECT * FROM inv UNION ALL SELECT * FROM tl UNION ALL SELECT * FROM an UNION ALL SELECT * FROM ev UNION ALL SELECT * FROM pr UNION ALL SELECT * FROM rw""")
 def a21(spark, sf):
-    rows = views.ledger(spark, sf).groupBy("ledger_id").agg(F.sort_array(F.collect_list(F.struct("seq", "action"))).alias("e"), F.count("*").alias("n"))
-    return rows.select("ledger_id", F.array_join(F.transform("e", lambda x: x["action"]), ",").alias("actions"), "n")
+    """The six parts of each case, written and read back."""
+    rows = stage(views.ledger(spark, sf), "ledger")
+    text = lambda c: c.cast("string").alias("value")
+    review = ledger.decide(decisions(spark, sf)).select(F.col("candidate_id").alias("ledger_id"), "seq", F.col("outcome").alias("value"))
+    parts = {
+        "investigation": rows.groupBy("ledger_id").agg(text(F.count("*"))),
+        "timeline": rows.select("ledger_id", "seq", F.col("stamp").alias("value")),
+        "analysis": rows.groupBy("ledger_id", "action").count().select("ledger_id", "action", F.concat_ws(" ", "action", "count").alias("value")),
+        "evidence": rows.filter("action = 'PURCHASE'").select("ledger_id", "seq", text(F.col("event_id"))),
+        "provenance": rows.groupBy("ledger_id").agg(F.concat_ws(" ", F.min("stamp"), F.max("stamp")).alias("value")),
+        "review": review,
+    }
+    order = {"investigation": "value", "timeline": "seq", "analysis": "action", "evidence": "seq", "provenance": "value", "review": "seq"}
+    path = new_path(spark, "bundles")
+    sinks.write_bundles(reports.bundle(parts, "ledger_id", order), "ledger_id", path)
+    back = sinks.read_bundles(spark, "ledger_id", "long", path)
+    return back.select("ledger_id", "part", "seq", F.get_json_object("body", "$.value").alias("value"))

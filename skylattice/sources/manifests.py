@@ -22,11 +22,37 @@ def read_tile_catalog(spark: SparkSession, path: str) -> DataFrame:
     return read_json_list(spark, path, TILE).orderBy("tile_id")
 
 
-def read_manifests(spark: SparkSession, root: str) -> DataFrame:
-    """Tiles of all ``tiles.json`` below ``root``, with the folder that their paths start from."""
-    rows = spark.read.schema(MANIFEST).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "tiles.json").json(root)
+def read_manifests(spark: SparkSession, root: str, names: str = "tiles.json") -> DataFrame:
+    """Tiles of all ``tiles.json`` below ``root``, with the folder that their paths start from. A manifest that is no JSON fails. Other ``names``, such as
+    those of files that Spark has written, may hold a manifest in each line."""
+    rows = spark.read.schema(MANIFEST).option("multiLine", names == "tiles.json").option("recursiveFileLookup", True).option("pathGlobFilter", names).option("mode", "FAILFAST").json(root)
     folder = F.regexp_replace(F.input_file_name(), "/[^/]*$", "")
-    return rows.select("source", folder.alias("folder"), F.explode("tiles").alias("t")).select("source", "t.*", F.concat_ws("/", "folder", "t.path").alias("resolved"))
+    return rows.select("source", folder.alias("folder"), F.explode("tiles").alias("t")).select("source", "folder", "t.*", F.concat_ws("/", "folder", "t.path").alias("resolved"))
+
+
+def list_files(spark: SparkSession, root: str, names: str = "*") -> DataFrame:
+    """(file): all files below ``root``; nothing of them is read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(root).select(F.col("path").alias("file"))
+
+
+def _bare(path: Column) -> Column:
+    """A path without its scheme."""
+    return F.regexp_replace(path, "^[a-z0-9]+:(//)?(?=/)", "")
+
+
+def resolve_tiles(rows: DataFrame, files: DataFrame, base: str) -> DataFrame:
+    """The records of ``read_manifests`` that name a file of ``files``, once for each file, with ``file`` and ``how``. An absolute path is the file itself;
+    another is looked up below ``base``, then by its bare name beside its manifest. Of records of one file that of the last manifest counts,
+    by source if one folder holds them."""
+    path = F.col("path")
+    option = lambda k, how, at: F.struct(F.lit(k).alias("k"), F.lit(how).alias("how"), at.alias("at"))
+    below, beside = F.concat(F.lit(base.rstrip("/") + "/"), path), F.concat(_bare(F.col("folder")), F.lit("/"), F.regexp_extract(path, "[^/]*$", 0))
+    options = F.when(path.startswith("/"), F.array(option(0, "absolute", path))).otherwise(F.array(option(1, "below", below), option(2, "beside", beside)))
+    asked = rows.drop("resolved").filter(path.isNotNull()).withColumn("_row", F.struct(*(c for c in rows.columns if c != "resolved"))).select("_row", F.explode(options).alias("o"))
+    known = files.select(_bare(F.col("file")).alias("file")).distinct()
+    hits = asked.join(known, F.col("o.at") == F.col("file")).groupBy("_row").agg(F.min_by(F.struct("file", F.col("o.how").alias("how")), "o.k").alias("hit"))
+    last = hits.groupBy("hit.file").agg(F.max_by(F.struct("_row", F.col("hit.how").alias("how")), F.struct("_row.folder", "_row.source", "_row.path")).alias("r"))
+    return last.select("r._row.*", "file", "r.how")
 
 
 def read_roster(spark: SparkSession, path: str) -> DataFrame:

@@ -30,6 +30,16 @@ def write_layers(features: DataFrame, path: str) -> None:
     features.select("layer", line.alias("value")).write.partitionBy("layer").text(path)
 
 
+def write_bundles(lines: DataFrame, key: str, path: str) -> None:
+    """The lines of ``reports.bundle`` as JSON, a folder for each part, sorted by case."""
+    lines.repartitionByRange(key, "part", "seq").sortWithinPartitions("part", key, "seq").write.partitionBy("part").json(path)
+
+
+def read_bundles(spark: SparkSession, key: str, kind: str, path: str) -> DataFrame:
+    """What ``write_bundles`` has written."""
+    return spark.read.schema(f"{key} {kind}, seq long, body string, part string").json(path)
+
+
 def write_analysis(pixels: DataFrame, path: str) -> None:
     """Probability and masks by analysis; provenance travels as a column."""
     pixels.write.partitionBy("analysis_id").parquet(path)
