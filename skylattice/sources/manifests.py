@@ -31,7 +31,7 @@ def read_manifests(spark: SparkSession, root: str, names: str = "tiles.json") ->
 
 
 def list_files(spark: SparkSession, root: str, names: str = "*") -> DataFrame:
-    """(file): all files below ``root``; nothing of them is read."""
+    """(file): all files below ``root`` but those without content, which Spark's file sources pass over; nothing of them is read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(root).select(F.col("path").alias("file"))
 
 
