@@ -5,20 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stage
+from .components import roots
 
 
 def least_reachable(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, label): the smallest node that each node of ``links`` reaches, itself included. Labels spread to
-    neighbours and then jump to the label of the label, until a round changes nothing."""
-    pairs = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    both = stage(pairs.union(pairs.select("y", "x")).distinct(), "links")
-    labels = stage(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("label")), "labels")
-    while True:
-        near = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("seen"))
-        spread = labels.join(near, F.col("node") == F.col("x"), "left").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("then"))
-        spread = stage(spread.join(jump, F.col("label") == F.col("at"), "left").select("node", "old", F.least("label", "then").alias("label")), "labels")
-        labels = spread.select("node", "label")
-        if spread.filter("label <> old").isEmpty():
-            return labels
+    """(node, label): the smallest node that each node of ``links`` reaches, itself included."""
+    return roots(links.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct(), []).select(F.col("label").alias("node"), F.col("root").alias("label"))

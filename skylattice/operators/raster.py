@@ -42,7 +42,8 @@ def nearest(source: DataFrame, grids: DataFrame, height: int, width: int, to_sou
 
 
 def bilinear(source: DataFrame, grids: DataFrame, height: int, width: int, to_height: int, to_width: int) -> DataFrame:
-    """``value`` at a grid of another size over the same extent, from the four nearest centres; edges repeat."""
+    """``value`` at a grid of another size over the same extent, from the four nearest centres; edges repeat. Where the source
+    lacks pixels, those of the four that it has share the weight; a centre without any gets no row."""
 
     def axis(i, n: int, m: int):
         return F.greatest((F.col(i) + 0.5) * (n / m) - 0.5, F.lit(0.0))
@@ -59,7 +60,8 @@ def bilinear(source: DataFrame, grids: DataFrame, height: int, width: int, to_he
     held = source.select("scene_id", F.col("y").alias("sy"), F.col("x").alias("sx"), "value")
     return (
         corners.select(*KEY, sy.alias("sy"), sx.alias("sx"), (wy * wx).alias("w")).join(held, ["scene_id", "sy", "sx"])
-        .groupBy(*KEY).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+        .groupBy(*KEY).agg(F.sum(F.col("w") * F.col("value")).alias("value"), F.sum("w").alias("w"))
+        .filter("w > 0").select(*KEY, (F.col("value") / F.col("w")).alias("value"))
     )
 
 

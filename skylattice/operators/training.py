@@ -33,15 +33,16 @@ def reflected(i: Column, extent: Column) -> Column:
 
 
 def extract(grids: DataFrame, pixels: DataFrame, patch: int, stride: int, value: str, truth: str) -> DataFrame:
-    """Pixels of every patch; beyond the bottom and right edges the values mirror, labels are 0 and invalid."""
+    """Pixels of every patch; beyond the bottom and right edges the values mirror, labels are 0 and invalid. A pixel that the
+    grid lacks has no value, label 0, and is invalid."""
     size = F.sequence(F.lit(0), F.lit(patch - 1))
     cells = (
         patch_grid(grids, patch, stride).join(grids, "scene_id").withColumn("i", F.explode(size)).withColumn("j", F.explode(size))
         .withColumn("ty", F.col("top") + F.col("i")).withColumn("tx", F.col("left") + F.col("j"))
         .withColumn("y", reflected(F.col("ty"), F.col("height"))).withColumn("x", reflected(F.col("tx"), F.col("width")))
     )
-    inside = (F.col("ty") < F.col("height")) & (F.col("tx") < F.col("width"))
-    return cells.join(pixels, ["scene_id", "y", "x"]).select(
+    inside = (F.col("ty") < F.col("height")) & (F.col("tx") < F.col("width")) & F.col("_held").isNotNull()
+    return cells.join(pixels.withColumn("_held", F.lit(True)), ["scene_id", "y", "x"], "left").select(
         "scene_id", "top", "left", "i", "j", value, F.when(inside, F.col(truth)).otherwise(0).alias("label"), inside.alias("valid")
     )
 

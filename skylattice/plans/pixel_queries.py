@@ -174,12 +174,11 @@ def c9(spark, sf):
 @query("C10", sql("""SELECT scene_id, oy AS y, ox AS x, round(sum(w * b04), 6) AS value FROM (
  SELECT scene_id, oy, ox, (CASE WHEN dy = 0 THEN 1 - fy ELSE fy END) * (CASE WHEN dx = 0 THEN 1 - fx ELSE fx END) AS w, least(greatest(iy + dy, 0), 49) AS sy, least(greatest(ix + dx, 0), 49) AS sx FROM (
   SELECT s.scene_id, oy::INT AS oy, ox::INT AS ox, floor(greatest((oy + 0.5) * 2.5 - 0.5, 0)) AS iy, floor(greatest((ox + 0.5) * 2.5 - 0.5, 0)) AS ix, greatest((oy + 0.5) * 2.5 - 0.5, 0) - floor(greatest((oy + 0.5) * 2.5 - 0.5, 0)) AS fy, greatest((ox + 0.5) * 2.5 - 0.5, 0) - floor(greatest((ox + 0.5) * 2.5 - 0.5, 0)) AS fx
-  FROM (SELECT scene_id FROM px GROUP BY scene_id HAVING count(*) = 2500) s, range(0, 20) a(oy), range(0, 20) b(ox)), (VALUES (0), (1)) d1(dy), (VALUES (0), (1)) d2(dx)) t
+  FROM (SELECT DISTINCT scene_id FROM px) s, range(0, 20) a(oy), range(0, 20) b(ox)), (VALUES (0), (1)) d1(dy), (VALUES (0), (1)) d2(dx)) t
  JOIN px ON px.scene_id = t.scene_id AND px.y = t.sy AND px.x = t.sx GROUP BY ALL""".replace("SELECT scene_id, oy AS y", "SELECT t.scene_id, oy AS y")))
 def c10(spark, sf):
     p = views.px(spark, sf)
-    whole = p.groupBy("scene_id").count().filter(F.col("count") == SIDE * SIDE).select("scene_id")
-    return raster.bilinear(p.select(*KEY, F.col("b04").alias("value")), whole, SIDE, SIDE, 20, 20).withColumn("value", F.round("value", 6))
+    return raster.bilinear(p.select(*KEY, F.col("b04").alias("value")), p.select("scene_id").distinct(), SIDE, SIDE, 20, 20).withColumn("value", F.round("value", 6))
 
 
 @query("C11", sql("SELECT scene_id, (y // 5)::INT AS y, (x // 5)::INT AS x, round(avg(b04), 6) AS value FROM px GROUP BY ALL"))

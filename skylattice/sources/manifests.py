@@ -61,8 +61,19 @@ def read_roster(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dates(spark: SparkSession, path: str) -> DataFrame:
-    """(file, dates): the two dates of each ``label: date`` file, in order; another number fails."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("lines"))
+    """``two_dates`` of the files of a folder, a file for each place."""
+    return two_dates(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"))
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value): small text files held together as JSON lines, many to a file, so that the number of files does not grow with
+    the number of places. A line that is no JSON fails."""
+    return spark.read.schema("file string, value string").option("mode", "FAILFAST").json(path)
+
+
+def two_dates(texts: DataFrame) -> DataFrame:
+    """(file, dates): the two dates of each ``label: date`` text (file, value), in order; another number fails."""
+    lines = texts.select("file", F.split("value", r"\r?\n").alias("lines"))
     found = F.transform(F.filter("lines", lambda x: F.contains(x, F.lit(":"))), lambda x: F.trim(F.element_at(F.split(x, ":", 2), 2)))
     fail = F.raise_error(F.lit("a date file needs two dates")).cast("array<string>")
     return lines.select("file", F.when(F.size(found) == 2, found).otherwise(fail).alias("dates"))

@@ -354,3 +354,33 @@ def test_more_queries_than_are_broadcast(spark, monkeypatch):
         want = sorted(map(tuple, search(tiles, queries, 4).select("query_id", "tile_id", "score", "rank").collect()))
         monkeypatch.setattr(retrieval, "MAX_QUERIES", 2)
         assert sorted(map(tuple, search(tiles, queries, 4).select("query_id", "tile_id", "score", "rank").collect())) == want and len(want) == 36
+
+
+def test_grids_that_lack_pixels(spark):
+    """A patch pixel that is missing has no value, label 0, invalid; a resampled one takes the weight of those that are there."""
+    px = grid(spark, [[1.0, 2.0], [3.0, 4.0]]).filter("NOT (y = 1 AND x = 1)").withColumn("truth", F.lit(1))
+    grids = spark.createDataFrame([(1, 2, 2)], "scene_id long, height int, width int")
+    rows = {(r["i"], r["j"]): (r["v"], r["label"], r["valid"]) for r in training.extract(grids, px, 3, 3, "v", "truth").collect()}
+    assert len(rows) == 9 and rows[1, 1] == (None, 0, False) and rows[0, 0] == (1.0, 1, True) and rows[2, 0] == (1.0, 0, False)
+    one = raster.bilinear(px.select("scene_id", "y", "x", F.col("v").alias("value")), grids.select("scene_id"), 2, 2, 1, 1).collect()
+    assert [r["value"] for r in one] == [pytest.approx(2.0)]
+    same = raster.bilinear(px.select("scene_id", "y", "x", F.col("v").alias("value")), grids.select("scene_id"), 2, 2, 2, 2).collect()
+    assert {(r["y"], r["x"]): r["value"] for r in same} == {(0, 0): 1.0, (0, 1): 2.0, (1, 0): 3.0}
+
+
+def test_dates_of_files_and_of_held_texts(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    from skylattice.sources import manifests
+
+    texts = {"a": "date_1: 20150101\r\ndate_2: 20160101\r\n", "b": "t1:20170101\n\nt2: 20180101:x"}
+    for name, text in texts.items():
+        (tmp_path / "each" / name).mkdir(parents=True)
+        (tmp_path / "each" / name / "dates.txt").write_text(text, newline="")
+    held = spark.createDataFrame([(f"{n}/dates.txt", t) for n, t in texts.items()], "file string, value string")
+    held.coalesce(1).write.json(str(tmp_path / "held"))
+    want = {"a": ["20150101", "20160101"], "b": ["20170101", "20180101:x"]}
+    for rows in (manifests.read_dates(spark, str(tmp_path / "each" / "*")), manifests.two_dates(manifests.read_texts(spark, str(tmp_path / "held")))):
+        assert {r["file"].split("/")[-2]: r["dates"] for r in rows.collect()} == want
+    with pytest.raises(PySparkException, match="two dates"):
+        manifests.two_dates(held.withColumn("value", F.lit("date_1: 20150101"))).collect()
