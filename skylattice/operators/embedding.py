@@ -17,8 +17,8 @@ def hashed_encoder(dimension: int = 32) -> Callable[[list[str]], np.ndarray]:
         out = np.zeros((len(texts), dimension))
         for i, text in enumerate(texts):
             for word in text.split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                out[i, h % dimension] += 1 if h >> 32 & 1 else -1
+                h = hashlib.md5(word.encode()).hexdigest()
+                out[i, int(h[:8], 16) % dimension] += 1 if int(h[8], 16) % 2 else -1
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1)
 

@@ -201,69 +201,3 @@ def shift_report(shifts: DataFrame) -> DataFrame:
     )
     size = F.hypot("shift_y", "shift_x")
     return per_pair.withColumn("shift", size).withColumn("over_1", size > 1).withColumn("over_2", size > 2)
-
-
-def clip_segment(a, b, box):
-    """The part of a segment inside a box, or None (Liang-Barsky)."""
-    (x0, y0), (x1, y1) = a, b
-    t0, t1 = 0.0, 1.0
-    for p, q in ((x0 - x1, x0 - box[0]), (x1 - x0, box[2] - x0), (y0 - y1, y0 - box[1]), (y1 - y0, box[3] - y0)):
-        if p == 0:
-            if q < 0:
-                return None
-        elif p < 0:
-            t0 = max(t0, q / p)
-        else:
-            t1 = min(t1, q / p)
-    if t0 > t1:
-        return None
-    return (x0 + t0 * (x1 - x0), y0 + t0 * (y1 - y0)), (x0 + t1 * (x1 - x0), y0 + t1 * (y1 - y0))
-
-
-def clip_line(points, box) -> list[list]:
-    """Parts of a line inside a box. A part ends where the line leaves or a segment has nothing inside; a piece without
-    length does not make it longer."""
-    parts, going_on = [], False
-    for a, b in zip(points[:-1], points[1:], strict=True):
-        kept = clip_segment(a, b, box)
-        if kept is None:
-            going_on = False
-        elif not (going_on and parts[-1][-1] == kept[0]):
-            parts.append(list(kept))
-            going_on = True
-        elif kept[0] != kept[1]:
-            parts[-1].append(kept[1])
-    return parts
-
-
-def clip_ring(points, box) -> list:
-    """A ring cut to a box (Sutherland-Hodgman), closed; empty if nothing is left."""
-    for axis, limit, up in ((0, box[0], True), (0, box[2], False), (1, box[1], True), (1, box[3], False)):
-        inside = [p[axis] >= limit if up else p[axis] <= limit for p in points]
-        out = []
-        for k, b in enumerate(points):
-            a = points[k - 1]
-            if inside[k - 1] != inside[k]:
-                t = (limit - a[axis]) / (b[axis] - a[axis])
-                cut = [a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])]
-                cut[axis] = limit
-                out.append(tuple(cut))
-            if inside[k]:
-                out.append(b)
-        points = out
-    return [*points, points[0]] if len(points) > 2 else []
-
-
-def clip_elements(elements: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
-    """Elements (id, closed, coords) cut to a box: one row for each part that is left."""
-
-    def run(parts):
-        for pdf in parts:
-            rows = []
-            for id_, closed, coords in zip(pdf["id"], pdf["closed"], pdf["coords"], strict=True):
-                points = [tuple(map(float, p)) for p in coords]
-                found = [clip_ring(points[:-1] if points[0] == points[-1] else points, box)] if closed else clip_line(points, box)
-                rows += [(id_, k, [list(p) for p in part]) for k, part in enumerate(found) if part]
-            yield pd.DataFrame(rows, columns=["id", "part", "coords"])
-
-    return elements.select("id", "closed", "coords").mapInPandas(run, "id long, part int, coords array<array<double>>")

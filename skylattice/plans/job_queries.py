@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import geo, pixels
-from ..operators import analysis, catalog, change, components, embedding, focal, raster
+from ..operators import analysis, catalog, change, clipping, components, embedding, focal, raster
 from ..sources import aoi, arrays, manifests, sinks, stac
-from ..storage import Store, new_path
+from ..operators.ranking import running_sums
+from ..storage import Store, new_path, stage
 from ..streaming import jobs
 from . import views
 from .catalog_queries import utm_sql
@@ -168,13 +169,40 @@ def f5(spark, sf):
     return focal.lee_filter(rows, SIDE, SIDE, 3).withColumn("filtered", F.round("filtered", 5))
 
 
-@query("F8")
+def _ring_sql(box: tuple[float, float, float, float]) -> str:
+    """The points of rings r0 (id, pos, x, y), cut by one side of a box after the other, as r4."""
+    steps = []
+    for k, (axis, limit, op) in enumerate((("x", box[0], ">="), ("x", box[2], "<="), ("y", box[1], ">="), ("y", box[3], "<="))):
+        t = f"({limit!r} - a{axis}) / ({axis} - a{axis})"
+        cut = ", ".join(f"{limit!r} AS x" if c == axis == "x" else f"{limit!r} AS y" if c == axis else f"a{c} + {t} * ({c} - a{c}) AS {c}" for c in "xy")
+        steps.append(f"""w{k} AS (SELECT id, pos, x, y, coalesce(lag(x) OVER o, last_value(x) OVER a) AS ax, coalesce(lag(y) OVER o, last_value(y) OVER a) AS ay FROM r{k} WINDOW o AS (PARTITION BY id ORDER BY pos), a AS (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ r{k + 1} AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos, s) - 1 AS pos, x, y FROM (SELECT id, pos, 0 AS s, {cut} FROM w{k} WHERE ({axis} {op} {limit!r}) <> (a{axis} {op} {limit!r}) UNION ALL SELECT id, pos, 1, x, y FROM w{k} WHERE {axis} {op} {limit!r}))""")
+    return ",\n ".join(steps)
+
+
+_CUT_BOX = (20.0, 20.0, 70.0, 70.0)
+_LINE_SIDES = [(f"({p})", f"({q})") for p, q in (("x0 - x1", f"x0 - {_CUT_BOX[0]!r}"), ("x1 - x0", f"{_CUT_BOX[2]!r} - x0"), ("y0 - y1", f"y0 - {_CUT_BOX[1]!r}"), ("y1 - y0", f"{_CUT_BOX[3]!r} - y0"))]
+
+
+@query("F8", f"""WITH pt AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, (event_id % 97)::DOUBLE AS x, (value % 89)::DOUBLE AS y FROM events),
+ seg AS (SELECT id, pos, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM pt WHERE id % 2 <> 0 WINDOW w AS (PARTITION BY id ORDER BY pos)),
+ cut AS (SELECT *, greatest(0.0::DOUBLE, {", ".join(f"CASE WHEN {p} < 0 THEN {q} / {p} END" for p, q in _LINE_SIDES)}) AS t0, least(1.0::DOUBLE, {", ".join(f"CASE WHEN {p} > 0 THEN {q} / {p} END" for p, q in _LINE_SIDES)}) AS t1 FROM seg WHERE x1 IS NOT NULL AND NOT ({" OR ".join(f"({p} = 0 AND {q} < 0)" for p, q in _LINE_SIDES)})),
+ kept AS (SELECT id, pos, {", ".join(f"CASE t{e} WHEN 0 THEN {c}0 WHEN 1 THEN {c}1 ELSE {c}0 + t{e} * ({c}1 - {c}0) END AS {n}{c}" for e, n in enumerate("uv") for c in "xy")} FROM cut WHERE t0 <= t1),
+ flag AS (SELECT k.*, coalesce(NOT (p.vx = k.ux AND p.vy = k.uy), true) AS new FROM kept k LEFT JOIN kept p ON p.id = k.id AND p.pos = k.pos - 1),
+ line_pt AS (SELECT id, sum(new::INT) OVER (PARTITION BY id ORDER BY pos) - 1 AS part, pos, ux, uy, vx, vy, new FROM flag),
+ both_pt AS (SELECT id, part, pos, 0 AS s, ux AS x, uy AS y FROM line_pt WHERE new UNION ALL SELECT id, part, pos, 1, vx, vy FROM line_pt WHERE new OR ux <> vx OR uy <> vy),
+ e0 AS (SELECT *, count(*) OVER (PARTITION BY id) AS n, first_value(x) OVER (PARTITION BY id ORDER BY pos) AS fx, first_value(y) OVER (PARTITION BY id ORDER BY pos) AS fy FROM pt WHERE id % 2 = 0),
+ c0 AS (SELECT * FROM e0 WHERE NOT (n > 1 AND pos = n - 1 AND x = fx AND y = fy)), r0 AS (SELECT id, pos, x, y FROM c0 WHERE id IN (SELECT id FROM c0 GROUP BY id HAVING count(*) > 2)),
+ {_ring_sql(_CUT_BOX)}, big AS (SELECT id, count(*) AS n FROM r4 GROUP BY id HAVING count(*) > 2)
+ SELECT id, part::INT AS part, row_number() OVER (PARTITION BY id ORDER BY pos, s) - 1 AS pos, x, y FROM both_pt
+ UNION ALL SELECT id, 0, pos, x, y FROM r4 JOIN big USING (id) UNION ALL SELECT id, 0, n, x, y FROM r4 JOIN big USING (id) WHERE pos = 0""")
 def f8(spark, sf):
-    """Lines through a user's events and rings of scenes, cut to a box."""
-    at = F.array((F.col("event_id") % 97).cast("double"), (F.col("value") % 89).cast("double"))
-    lines = views.read(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("event_id", at.alias("p")))).alias("e"))
-    lines = lines.select("id", (F.col("id") % 2 == 0).alias("closed"), F.transform("e", lambda x: x["p"]).alias("coords"))
-    return focal.clip_elements(lines.filter(F.size("coords") > 2), (20.0, 20.0, 70.0, 70.0))
+    """Lines and rings through users' events, cut to a box."""
+    at = views.read(spark, sf, "events").select(
+        F.col("user_id").alias("id"), "event_id", (F.col("event_id") % 97).cast("double").alias("x"), (F.col("value") % 89).cast("double").alias("y"), F.lit(1).cast("long").alias("one")
+    )
+    points = running_sums(at, ["id"], "event_id", ["one"]).select("id", (F.col("id") % 2 == 0).alias("closed"), (F.col("one_upto") - 1).alias("seq"), "x", "y")
+    return clipping.clip_elements(stage(points, "points"), _CUT_BOX)
 
 
 def _wave(at: str, n: str) -> tuple[str, str]:
@@ -271,10 +299,14 @@ def k3_stream(spark, sf):
     return jobs.replay(spark, views.ledger(spark, sf).drop("event_id"), new_path(spark, "audit"), jobs.audit)
 
 
-@query("L1")
+@query("L1", """WITH w AS (SELECT page_id, unnest(list_filter(regexp_split_to_array(coalesce(url, ''), '\\s+'), lambda x: x <> '')) AS word FROM pages),
+ h AS (SELECT page_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 32 AS dim, CASE WHEN ('0x' || substr(md5(word), 9, 1))::INT % 2 = 1 THEN 1 ELSE -1 END AS v FROM w),
+ s AS (SELECT page_id, dim, sum(v)::DOUBLE AS v FROM h GROUP BY ALL), n AS (SELECT page_id, sqrt(sum(v * v)) AS n FROM s GROUP BY page_id)
+ SELECT page_id, d::INT AS dim, round((coalesce(v / CASE WHEN n > 0 THEN n ELSE 1 END, 0))::FLOAT::DOUBLE, 6) + 0 AS value, NULL::VARCHAR AS error FROM (SELECT page_id, unnest(range(0, 32)) AS d FROM pages) LEFT JOIN n USING (page_id) LEFT JOIN (SELECT page_id, dim AS d, v FROM s) USING (page_id, d)""")
 def l1(spark, sf):
     pages = views.read(spark, sf, "pages").select("page_id", "url")
-    return embedding.encode_rows(pages, "page_id", "url", embedding.hashed_encoder())
+    made = embedding.encode_rows(pages, "page_id", "url", embedding.hashed_encoder())
+    return made.select("page_id", "error", F.posexplode_outer("vector").alias("dim", "v")).select("page_id", "dim", (F.round(F.col("v").cast("double"), 6) + 0).alias("value"), "error")
 
 
 _SCALE, _CUT = 20.0, 0.85

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylattice.functions import geo, pixels, times, vectors
-from skylattice.operators import catalog, components, focal, ledger, metrics, raster, retrieval, training
+from skylattice.operators import catalog, clipping, components, focal, ledger, metrics, raster, retrieval, training
 from skylattice.sources import aoi, arrays, manifests
 from skylattice.streaming import jobs
 
@@ -288,15 +288,90 @@ def test_patch_scoring(spark):
         embedding.score_patches(px, lambda a, b: a + b + 2, patch=4).collect()
 
 
+def clip_segment(a, b, box):
+    """The part of a segment inside a box, or None (Liang-Barsky)."""
+    (x0, y0), (x1, y1) = a, b
+    t0, t1 = 0.0, 1.0
+    for p, q in ((x0 - x1, x0 - box[0]), (x1 - x0, box[2] - x0), (y0 - y1, y0 - box[1]), (y1 - y0, box[3] - y0)):
+        if p == 0:
+            if q < 0:
+                return None
+        elif p < 0:
+            t0 = max(t0, q / p)
+        else:
+            t1 = min(t1, q / p)
+    if t0 > t1:
+        return None
+    at = lambda t: (x0, y0) if t == 0 else (x1, y1) if t == 1 else (x0 + t * (x1 - x0), y0 + t * (y1 - y0))
+    return at(t0), at(t1)
+
+
+def clip_line(points, box) -> list[list]:
+    """Parts of a line inside a box. A part ends where the line leaves or a segment has nothing inside; a piece without
+    length does not make it longer."""
+    parts, going_on = [], False
+    for a, b in zip(points[:-1], points[1:], strict=True):
+        kept = clip_segment(a, b, box)
+        if kept is None:
+            going_on = False
+        elif not (going_on and parts[-1][-1] == kept[0]):
+            parts.append(list(kept))
+            going_on = True
+        elif kept[0] != kept[1]:
+            parts[-1].append(kept[1])
+    return parts
+
+
+def clip_ring(points, box) -> list:
+    """A ring cut to a box (Sutherland-Hodgman), closed; empty if nothing is left."""
+    for axis, limit, up in ((0, box[0], True), (0, box[2], False), (1, box[1], True), (1, box[3], False)):
+        inside = [p[axis] >= limit if up else p[axis] <= limit for p in points]
+        out = []
+        for k, b in enumerate(points):
+            a = points[k - 1]
+            if inside[k - 1] != inside[k]:
+                t = (limit - a[axis]) / (b[axis] - a[axis])
+                cut = [a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])]
+                cut[axis] = limit
+                out.append(tuple(cut))
+            if inside[k]:
+                out.append(b)
+        points = out
+    return [*points, points[0]] if len(points) > 2 else []
+
+
 def test_clipping():
     box = (0, 0, 10, 10)
-    assert focal.clip_line([(-5, 5), (5, 5), (5, 20), (7, 5)], box) == [[(0.0, 5.0), (5.0, 5.0), (5.0, 10.0)], [(pytest.approx(6.3333, abs=1e-3), 10.0), (7.0, 5.0)]]
-    assert focal.clip_line([(20, 20), (30, 30)], box) == []
-    assert focal.clip_line([(0, 5), (10, 5), (20, 5)], box) == [[(0, 5), (10, 5)]]
-    assert focal.clip_line([(5, 5), (10, 5), (20, 5), (20, 6), (10, 6), (5, 6)], box) == [[(5, 5), (10, 5)], [(10, 6), (10, 6), (5, 6)]]
-    ring = focal.clip_ring([(-5, -5), (5, -5), (5, 5), (-5, 5)], box)
+    assert clip_line([(-5, 5), (5, 5), (5, 20), (7, 5)], box) == [[(0.0, 5.0), (5.0, 5.0), (5.0, 10.0)], [(pytest.approx(6.3333, abs=1e-3), 10.0), (7.0, 5.0)]]
+    assert clip_line([(20, 20), (30, 30)], box) == []
+    assert clip_line([(0, 5), (10, 5), (20, 5)], box) == [[(0, 5), (10, 5)]]
+    assert clip_line([(5, 5), (10, 5), (20, 5), (20, 6), (10, 6), (5, 6)], box) == [[(5, 5), (10, 5)], [(10, 6), (10, 6), (5, 6)]]
+    ring = clip_ring([(-5, -5), (5, -5), (5, 5), (-5, 5)], box)
     assert ring[0] == ring[-1] and {(0, 0), (5, 0), (5, 5), (0, 5)} == set(ring)
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_clipping_of_tables(spark, parts):
+    """Lines and rings as tables of points against one element at a time."""
+    draw = np.random.default_rng(parts)
+    box = (2.0, 3.0, 11.0, 9.0)
+    shapes = {k: [tuple(map(float, p)) for p in draw.integers(0, 14, size=(int(draw.integers(1, 30)), 2))] for k in range(60)}
+    shapes |= {k: [*shapes[k], shapes[k][0]] for k in range(0, 20)}
+    shapes |= {100: [(5, 5), (11, 5), (20, 5), (20, 6), (11, 6), (5, 6)], 101: [(5.0, 5.0)], 102: [(0.0, 0.0), (20.0, 20.0)], 103: [(2.0, 3.0), (11.0, 3.0), (11.0, 9.0), (2.0, 9.0)], 104: [(0.1, 3.7), (7.3, 4.9), (7.3, 4.9), (10.9, 8.1)]}
+    rows = [(k, c, i, float(x), float(y)) for k, pts in shapes.items() for c in (False, True) for i, (x, y) in enumerate(pts)]
+    points = spark.createDataFrame([(2 * k + c, c, i, x, y) for k, c, i, x, y in rows], "id long, closed boolean, seq long, x double, y double").repartition(parts)
+    want = {}
+    for k, pts in shapes.items():
+        pts = [tuple(map(float, p)) for p in pts]
+        want[2 * k] = clip_line(pts, box)
+        ring = pts[:-1] if len(pts) > 1 and pts[0] == pts[-1] else pts
+        want[2 * k + 1] = [r for r in [clip_ring(ring, box) if len(ring) > 2 else []] if r]
+    got = {}
+    for r in sorted(clipping.clip_elements(points, box).collect(), key=lambda r: (r["id"], r["pos"])):
+        got.setdefault(r["id"], {}).setdefault(r["part"], []).append((r["x"], r["y"]))
+    assert {k: list(v.values()) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    assert all(list(v) == list(range(len(v))) for v in got.values())
+    assert clipping.clip_elements(points.limit(0), box).count() == 0
+
 
 def test_patches_mirror_beyond_the_edge(spark):
     px = grid(spark, [[10 * y + x for x in range(5)] for y in range(5)]).withColumn("truth", F.lit(1))
@@ -371,8 +446,6 @@ def test_grids_that_lack_pixels(spark):
 def test_dates_of_files_and_of_held_texts(spark, tmp_path):
     from pyspark.errors import PySparkException
 
-    from skylattice.sources import manifests
-
     texts = {"a": "date_1: 20150101\r\ndate_2: 20160101\r\n", "b": "t1:20170101\n\nt2: 20180101:x"}
     for name, text in texts.items():
         (tmp_path / "each" / name).mkdir(parents=True)
