@@ -57,6 +57,16 @@ def few(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, members: str, heavy: int = 10_000) -> DataFrame:
+    """Each of ``rows`` with the columns of its group (``key``, ``members``, ...); every key of ``rows`` has one row in ``groups``, which
+    counts all its rows in ``members``. Groups of more than a ``heavy``-th of all rows, fewer than ``heavy`` by that, are broadcast, so
+    that their rows stay where they are; no key that is shuffled has more rows than that. Both tables are read more than once."""
+    total = groups.agg(F.sum(members)).first()[0] or 0
+    large, small = (groups.filter(c).drop(members) for c in (F.col(members) * heavy > total, F.col(members) * heavy <= total))
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(large), key).unionByName(rest.join(small, key))
+
+
 def words_column(text: Column) -> Column:
     """Words of a text as an array; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

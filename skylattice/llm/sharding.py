@@ -6,7 +6,8 @@ for each partition) give every partition its start, and so every group its byte
 the shard in which its middle byte falls, so that cuts lie at equal targets, shards are contiguous in
 the order, and equal texts share a shard. Sizes are as near equal as whole groups allow. A document's
 slot is its place in the order inside its shard, again from partition totals; the rows of one large
-group lie in many partitions, since the order goes on by doc_id.
+group lie in many partitions, since the order goes on by doc_id. Groups are named by 128 bits of their text; the
+place of a group that holds more than a ten-thousandth of all rows is broadcast, so its rows are not shuffled to one task.
 
 Law: ``bytes``. Size is the UTF-8 length of the text plus 1.
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import join_groups, stage, table
 
 
 def _running(column: str):
@@ -66,7 +67,7 @@ def shard(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     rows = stage(
         docs.select(
             F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-            F.xxhash64(text).alias("key"),
+            F.unhex(F.md5(text)).alias("key"),
         ),
         "sizes",
     )
@@ -80,7 +81,7 @@ def shard(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     )
     counts = dict(placed.groupBy("shard").agg(F.sum("members")).collect())
     firsts = [sum(counts.get(k, 0) for k in range(s)) for s in range(n_shards)]
-    dealt = rows.join(placed.select("key", "leader", "shard"), "key").withColumn("one", F.lit(1).cast("long"))
+    dealt = join_groups(rows, placed.select("key", "members", "leader", "shard"), "key", "members").withColumn("one", F.lit(1).cast("long"))
     numbered, _ = prefix_sums(dealt, ["leader", "key", "doc_id"], "one", "slots")
     first = F.array(*(F.lit(x).cast("long") for x in firsts))
     return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("offset") - F.get(first, F.col("shard"))).alias("slot"))

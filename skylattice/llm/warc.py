@@ -10,8 +10,9 @@ as a whole, rewrites those of a lost task, and any store that Spark can write wi
 
 Of pages with equal payloads the one with the smallest page_id is a ``response``; the others are
 ``revisit`` records that name it and carry no payload. The page with the smallest id is found by an
-aggregation on the payload's SHA-256, and only the small keys are joined back: a payload that a third
-of all pages share makes one row in each map task.
+aggregation on the payload's SHA-256: a payload that a third of all pages share makes one row in each map
+task. The ids of payloads that are more than a ten-thousandth of all pages are broadcast, so that those pages are
+bundled where they are read; the others are shuffled once by their digest. Records are read back by the index.
 
 Defined cases: null html is an empty payload; a null url leaves the target out; a null page_id is
 never the smallest (a group of nulls only is all responses) and is read back as null;
@@ -25,13 +26,15 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import join_groups, stage, table
 
 FRAME_BYTES = 256 * 1024
 BUNDLE_BYTES = 4 * 1024 * 1024
@@ -167,9 +170,10 @@ def _bundle(bundle_bytes: int, frame_bytes: int):
 def write_bundles(pages: DataFrame, bundle_bytes: int = BUNDLE_BYTES, frame_bytes: int = FRAME_BYTES, least_revisit_bytes: int = 0) -> DataFrame:
     """Bundles of all rows of ``pages`` (page_id, url, html), committed in the shared folder."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(html, 256).alias("key"), F.octet_length(html).alias("size"))
-    firsts = keyed.filter(F.col("size") >= least_revisit_bytes).groupBy("key").agg(F.min("page_id").alias("first"))
-    rows = keyed.join(firsts, "key", "left").select("page_id", "url", "html", F.coalesce("first", "page_id").alias("first"))
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.unhex(F.sha2(html, 256)).alias("key"), F.octet_length(html).alias("size"))
+    least = F.min(F.when(F.col("size") >= least_revisit_bytes, F.col("page_id")))
+    firsts = stage(keyed.groupBy("key").agg(least.alias("first"), F.count("*").alias("members")), "firsts")
+    rows = join_groups(keyed, firsts, "key", "members").select("page_id", "url", "html", F.coalesce("first", "page_id").alias("first"))
     return stage(rows.mapInArrow(_bundle(bundle_bytes, frame_bytes), BUNDLES), "warc")
 
 
@@ -179,20 +183,21 @@ def _read(with_payload: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("data"):
+            for data, index in zip(batch.column("data"), batch.column("index"), strict=True):
                 data = data.as_py()
-                for k in range(len(seek_table(data))):
-                    rows = list(parse_records(read_frame(data, k)))
-                    if not with_payload:
-                        for r in rows:
-                            r["payload"] = None
+                for k, entries in groupby(sorted(index.as_py(), key=itemgetter("frame", "offset")), itemgetter("frame")):
+                    plain, rows = read_frame(data, k), []
+                    for e in entries:
+                        r = next(parse_records(plain[e["offset"] : e["offset"] + e["length"]]))
+                        rows.append(r if with_payload else r | {"payload": None})
                     yield pa.RecordBatch.from_pylist(rows, pa.schema(list(zip(names, kinds, strict=True))))
 
     return run
 
 
 def read_bundles(bundles: DataFrame, with_payload: bool = True) -> DataFrame:
-    return bundles.select("data").mapInArrow(_read(with_payload), RECORDS)
+    """All records, each by its entry in the index; a frame is decompressed once."""
+    return bundles.select("data", "index").mapInArrow(_read(with_payload), RECORDS)
 
 
 def op6_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:

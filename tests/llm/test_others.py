@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skylattice.llm import decontaminate, language_id, licenses, lm_score, mixing, quality, sharding, warc
+from skylattice.llm.common import join_groups
 
 from .conftest import prose
 
@@ -264,6 +265,22 @@ def test_warc_empty(spark):
     assert warc.read_bundles(warc.write_bundles(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("heavy", [1, 3, 10_000])
+def test_groups_with_hot_keys(spark, heavy):
+    """A third of all rows under one key; a plain join gives the same rows, whichever groups are broadcast."""
+    rows = spark.createDataFrame([(k, "hot" if k % 3 == 0 else f"k{k % 40}") for k in range(600)], "id long, key string")
+    groups = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("first"))
+    found = join_groups(rows, groups, "key", "members", heavy)
+    assert sorted(map(tuple, found.select("id", "first").collect())) == sorted(map(tuple, rows.join(groups, "key").select("id", "first").collect()))
+    assert found.columns == ["key", "id", "first"] and join_groups(rows.limit(0), groups.limit(0), "key", "members").count() == 0
+
+
+def test_warc_small_payloads_are_responses(spark):
+    df = spark.createDataFrame([(3, None, "abc"), (1, None, "abc"), (2, None, "abcd"), (4, None, "abcd"), (None, None, "abcd")], "page_id long, url string, html string")
+    found = warc.read_bundles(warc.write_bundles(df, least_revisit_bytes=4), with_payload=False).collect()
+    assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in found} == {(1, "response", None), (3, "response", None), (2, "response", None), (4, "revisit", 2), (None, "revisit", 2)}
+
+
 # -------------------------------------------------------------------------------------- language ID
 
 
@@ -350,6 +367,26 @@ def test_shards(frame, odd_docs):
     assert sharding.shard(frame([])).count() == 0
 
 
+def test_shards_by_brute_force(frame, odd_docs):
+    """Every row's shard and slot against prefix sums over a sorted list."""
+    rows = odd_docs + [(k, "hot " * 9, "en", "a") for k in range(500, 650)] + [(100 + k, f"text {k % 60} " * (1 + k % 9), "en", "a") for k in range(300)] + [(None, "no id, own text", "en", "a")] * 2
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1] or ""].append(r[0])
+    least = lambda ids: min((i for i in ids if i is not None), default=None)
+    order = sorted(groups, key=lambda t: ((least(groups[t]) is not None, least(groups[t]) or 0), hashlib.md5(t.encode()).digest()))
+    size = lambda t: len(t.encode()) + 1
+    total, at, slots, want = sum(size(r[1] or "") for r in rows), 0, Counter(), Counter()
+    for t in order:
+        held = size(t) * len(groups[t])
+        shard = min(7, int((at + held / 2) * 8 // total))
+        for i in sorted(groups[t], key=lambda i: (i is not None, i or 0)):
+            want[i, size(t), zlib.crc32(t.encode()), shard, slots[shard]] += 1
+            slots[shard] += 1
+        at += held
+    assert Counter(map(tuple, sharding.shard(frame(rows)).select("doc_id", "size", "text_crc32", "shard", "slot").collect())) == want
+
+
 # ------------------------------------------------------------------------------------------ pipeline
 
 
