@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -161,31 +165,75 @@ def from_utm(easting: Column, northing: Column, zone: Column, north: Column) ->
 EDGE_POINTS = 21
 
 
-def edge_points(box: Column, points: int = EDGE_POINTS) -> Column:
-    """The corners of a box [west, south, east, north] and ``points`` points between them on each edge, as (x, y)."""
-    w, s, e, n = (box[i] for i in range(4))
-    steps = F.transform(F.sequence(F.lit(0), F.lit(points + 1)), lambda k: k / F.lit(points + 1.0))
-    sides = [lambda f: (w + (e - w) * f, s), lambda f: (w + (e - w) * f, n), lambda f: (w, s + (n - s) * f), lambda f: (e, s + (n - s) * f)]
+def edge_places(box: np.ndarray, points: int) -> tuple[np.ndarray, np.ndarray]:
+    """x and y of the corners of boxes (rows of west, south, east, north) and of ``points`` points between them on each edge."""
+    w, s, e, n = (box[:, i : i + 1] for i in range(4))
+    f = np.arange(points + 2) / (points + 1)
+    x, y = w + (e - w) * f, s + (n - s) * f
+    return np.hstack([x, x, np.broadcast_to(w, y.shape), np.broadcast_to(e, y.shape)]), np.hstack([np.broadcast_to(s, x.shape), np.broadcast_to(n, x.shape), y, y])
 
-    def along(side):
-        return F.transform(steps, lambda f: F.struct(*(c.alias(a) for a, c in zip(("x", "y"), side(f), strict=True))))
 
-    return F.concat(*map(along, sides))
+def _series(factors: tuple, xi: np.ndarray, eta: np.ndarray | None = None) -> np.ndarray:
+    """Sum of a_j sin(2 j z) for z = ``xi`` or the complex xi + i eta, by the recurrence of the multiples of an angle."""
+    sin, cos = np.sin(2 * xi), np.cos(2 * xi)
+    low, here, twice = 0, sin, 2 * cos
+    if eta is not None:
+        up = np.exp(2 * eta)
+        cosh, sinh = (up + 1 / up) / 2, (up - 1 / up) / 2
+        here, twice = sin * cosh + 1j * (cos * sinh), 2 * (cos * cosh) - 2j * (sin * sinh)
+    total = factors[0] * here
+    for a in factors[1:]:
+        low, here = here, twice * here - low
+        total += a * here
+    return total
 
 
-def utm_bounds(box: Column, zone: Column, north: Column) -> Column:
-    """A box in degrees as [left, bottom, right, top] in metres: the extent of its edges."""
-    at = F.transform(edge_points(box), lambda p: _to_sphere(p["y"], p["x"], zone))
-    at = F.transform(F.transform(at, _to_plane), _to_metres(F.when(north, 0.0).otherwise(1e7)))
-    return _extent(F.transform(at, lambda m: m["easting"]), F.transform(at, lambda m: m["northing"]))
+def _metres(lng: np.ndarray, lat: np.ndarray, zone: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    s, lam = np.sin(np.radians(lat)), np.radians(lng - (zone * 6 - 183))
+    t, c = np.sinh(np.arctanh(s) - _E * np.arctanh(_E * s)), np.cos(lam)
+    xi, eta = np.arctan2(t, c), np.arcsinh(np.sin(lam) / np.sqrt(t * t + c * c))
+    more = _series(_ALPHA, xi, eta)
+    return 500000 + 0.9996 * _RADIUS * (eta + more.imag), shift + 0.9996 * _RADIUS * (xi + more.real)
 
 
-def degree_bounds(box: Column, zone: Column, north: Column) -> Column:
-    """A box in metres as [west, south, east, north] in degrees: the extent of its edges."""
-    at = F.transform(edge_points(box), lambda p: _from_metres(p["x"], p["y"], north))
-    at = F.transform(F.transform(F.transform(at, _from_plane), _from_sphere), _to_degrees(zone))
-    return _extent(F.transform(at, lambda m: m["lng"]), F.transform(at, lambda m: m["lat"]))
+def _degrees(easting: np.ndarray, northing: np.ndarray, zone: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    xi, eta = (northing - shift) / (0.9996 * _RADIUS), (easting - 500000) / (0.9996 * _RADIUS)
+    less = _series(_BETA, xi, eta)
+    xi, eta = xi - less.real, eta - less.imag
+    chi = np.arcsin(np.sin(xi) / np.cosh(eta))
+    return zone * 6 - 183 + np.degrees(np.arctan2(np.sinh(eta), np.cos(xi))), np.degrees(chi + _series(_DELTA, chi))
 
 
-def _extent(x: Column, y: Column) -> Column:
-    return F.array(F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y))
+#: Boxes whose points are held at once.
+BOXES_AT_ONCE = 256
+
+
+def _edge_extent(projected: Callable, points: int):
+    """Extent of the projected edges of each box, a batch at a time; four nulls for boxes that lack a bound or the zone."""
+
+    def run(box: pa.Array, zone: pa.Array, north: pa.Array) -> pa.Array:
+        whole = pc.fill_null(pc.and_(pc.equal(pc.list_value_length(box), 4), pc.is_valid(zone)), False)
+        places = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        held = pc.list_flatten(box.take(pa.array(places))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, 4)
+        zones = zone.take(pa.array(places)).to_numpy(zero_copy_only=False).astype(np.float64)
+        shift = np.where(pc.fill_null(north, False).to_numpy(zero_copy_only=False)[places], 0.0, 1e7)
+        out = np.full((len(box), 4), np.nan)
+        with np.errstate(all="ignore"):
+            for a in range(0, len(places), BOXES_AT_ONCE):
+                part = slice(a, a + BOXES_AT_ONCE)
+                x, y = projected(*edge_places(held[part], points), zones[part, None], shift[part, None])
+                out[places[part]] = np.stack([x.min(1), y.min(1), x.max(1), y.max(1)], 1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(box) + 1) * 4, pa.int32()), pa.array(out.ravel(), from_pandas=True))
+
+    return run
+
+
+def utm_bounds(box: Column, zone: Column, north: Column, points: int = EDGE_POINTS) -> Column:
+    """A box in degrees as [left, bottom, right, top] in metres: the extent of its corners and of ``points`` points between them on each edge.
+    Batches of boxes are projected as arrays: a function of each element is interpreted, node by node, for every point."""
+    return F.arrow_udf(_edge_extent(_metres, points), "array<double>")(box, zone, north)
+
+
+def degree_bounds(box: Column, zone: Column, north: Column, points: int = EDGE_POINTS) -> Column:
+    """A box in metres as [west, south, east, north] in degrees, in the same way."""
+    return F.arrow_udf(_edge_extent(_degrees, points), "array<double>")(box, zone, north)

@@ -279,6 +279,17 @@ def test_bounds_take_the_edges(spark):
 # ----------------------------------------------------------------------------------------- ledgers
 
 
+def test_bounds_of_many_boxes_are_arrays(spark):
+    """Boxes are projected a batch at a time, not point by point in interpreted functions; a box without a zone or a bound has no extent."""
+    d = spark.range(3000).select("id", F.array(*(F.lit(v) + F.col("id") % 50 for v in (0.0, 10.0, 1.0, 11.0))).alias("box"), F.when(F.col("id") != 7, 31).alias("zone"))
+    d = d.withColumn("box", F.when(F.col("id") != 8, F.col("box"))).select("id", "box", geo.utm_bounds("box", "zone", F.lit(True)).alias("m"))
+    assert "ArrowEvalPython" in d._jdf.queryExecution().executedPlan().toString()
+    rows = {r["id"]: r for r in d.collect()}
+    assert rows[7]["m"] == rows[8]["m"] == [None] * 4 and len(rows) == 3000
+    corner = spark.range(1).select(geo.utm(F.lit(10.0), F.lit(0.0), F.lit(31), F.lit(True)).alias("c")).first()["c"]
+    assert abs(rows[2950]["m"][0] - corner["easting"]) < 1e-6 and rows[0]["m"] == rows[2950]["m"]
+
+
 def test_hashes_by_columns_equal_those_by_code(spark):
     from skylattice.operators import ledger
 
