@@ -167,6 +167,19 @@ def test_temporal_pairs(spark):
     assert len(both) == 10 and ("a__20240112_20240110", 2, 1) in {(r["pair_id"], r["raster_1"], r["raster_2"]) for r in both}
 
 
+def test_temporal_pairs_meet_once_for_both_orders(spark):
+    """What a raster says by itself is not made anew for a pair, and one join gives both orders."""
+    same = "'sentinel-2' AS sensor, 'c' AS crs, 1 AS width, 1 AS height, array(1.0D) AS transform, array(1.0D) AS bounds, 4 AS band_count, 'f' AS dtypes"
+    rasters = spark.sql(f"SELECT id % 3 AS tile_id, concat('r', id) AS raster_id, timestamp_seconds(86400 * (id div 6)) AS acquired, {same} FROM range(60)")
+    pairs = catalog.temporal_pairs(rasters, within_days=2, reversed_too=True)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and plan.index("Join Inner") < plan.index("date_format")
+    rows = pairs.collect()
+    early = {(r["raster_1"], r["raster_2"]) for r in rows if r["acquired_1"] < r["acquired_2"]}
+    assert early == {(b, a) for r in rows if r["acquired_1"] > r["acquired_2"] for a, b in [(r["raster_1"], r["raster_2"])]} and len(early) == 3 * 4 * (9 + 8)
+    assert {r["reasons"] for r in rows} == {"", "same_time"} and all(r["pair_id"].startswith(f"{r['tile_id']}__197001") for r in rows)
+
+
 def test_observation_products_join_each_side_first(spark):
     obs = spark.sql("SELECT id, IF(id % 2 = 0, 'T1', 'T2') AS role, id % 5 AS pair_id, IF(id % 7 = 0, 'a', 'b') AS sensor FROM range(40) WHERE id % 9 <> 0")
     first, second = spark.sql("SELECT IF(id % 8 <> 1, id, NULL) AS t1, id % 2 AS k FROM range(40)"), spark.sql("SELECT id AS t2, id % 2 AS k FROM range(45)")
