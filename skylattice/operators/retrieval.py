@@ -9,10 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import vectors
 from ..storage import stage
-from .ranking import running_sums
 
 #: Queries that are broadcast at most; more of them meet the vectors partition by partition.
 MAX_QUERIES = 4096
@@ -31,82 +31,108 @@ def best(hits: DataFrame, k: int) -> DataFrame:
 
 
 def ranked(hits: DataFrame) -> DataFrame:
-    """All ``hits`` with their ``rank`` for each query, ties by tile_id. Places come from running counts over range partitions, so a
-    query with any number of hits is no single task."""
-    placed = hits.withColumn("_at", F.struct(-F.col("score"), F.col("tile_id"))).withColumn("_one", F.lit(1))
-    return running_sums(placed, ["query_id"], "_at", ["_one"]).select(*hits.columns, F.col("_one_upto").cast("int").alias("rank"))
-
-
+    """All ``hits`` with their ``rank`` for each query, ties by tile_id. Range partitions are sorted and numbered each by itself, and one row for each
+    query in each partition gives the start, so a query with any number of hits is no single task; a hit is shuffled once and stored once."""
+    order = ["query_id", F.desc("score"), "tile_id"]
+    rows = stage(hits.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ranked").withColumn("_part", F.shiftright("_id", 33))
+    firsts = rows.groupBy("_part", "query_id").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("query_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stage(firsts.select("_part", "query_id", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift")), "starts")
+    few = starts.limit(MAX_STARTS + 1).count() <= MAX_STARTS
+    placed = rows.join(F.broadcast(starts) if few else starts, ["_part", "query_id"])
+    return placed.select(*hits.columns, (F.col("_id") + F.col("_shift")).cast("int").alias("rank"))
+
+
+#: Starts of ranks that are broadcast at most, one for each query in each partition.
+MAX_STARTS = 200_000
 #: Vectors in a block.
 BLOCK = 1024
 
 
-def _pack(kept: list[str]):
-    """Vectors of one length as a matrix of doubles in one cell, ``BLOCK`` at most, with the columns ``kept`` as lists."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = pc.list_value_length(batch.column("unit")).to_numpy(zero_copy_only=False)
-            for d in np.unique(sizes):
-                places = np.flatnonzero(sizes == d)
-                for a in range(0, len(places), BLOCK):
-                    part = batch.take(pa.array(places[a : a + BLOCK]))
-                    matrix = pc.list_flatten(part.column("unit")).to_numpy(zero_copy_only=False).astype(np.float64)
-                    lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(c)) for c in kept]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(d)]), pa.array([matrix.tobytes()], pa.binary()), *lists], ["d", "matrix", *kept])
-
-    return run
-
-
-def _blocks(rows: DataFrame, kept: list[str]) -> DataFrame:
-    kinds = ", ".join(f"{c} array<{rows.schema[c].dataType.simpleString()}>" for c in kept)
-    return rows.select("unit", *kept).filter("unit IS NOT NULL").mapInArrow(_pack(kept), f"d long, matrix binary, {kinds}")
-
-
-def _products(k: int | None, limit: float | None):
-    """Of each pair of blocks the hits that can be among the best ``k`` of a query in a group: those no worse than its k-th in the
-    pair, and those of a score of ``limit`` or more; ties and rounding included."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                tiles, asked = (np.frombuffer(batch.column(c)[i].as_py(), np.float64).reshape(-1, batch.column("d")[i].as_py()) for c in ("matrix", "query_matrix"))
-                score = np.clip(asked @ tiles.T, -1.0, 1.0)
-                groups = np.array(pc.fill_null(batch.column("part")[i].values, "").to_pylist(), object)
-                rows, columns = [], []
-                for g in set(groups):
-                    at = np.flatnonzero(groups == g)
-                    own = score[:, at]
-                    least = np.partition(own, -k, axis=1)[:, -k] if k is not None and len(at) > k else np.full(len(own), -2.0)
-                    least = least if limit is None else np.maximum(least, limit)
-                    r, c = np.nonzero(own >= least[:, None] - 2e-6)
-                    rows.append(r)
-                    columns.append(at[c])
-                r, c = np.concatenate(rows), np.concatenate(columns)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("query_id")[i].values.take(pa.array(r)), batch.column("tile_id")[i].values.take(pa.array(c)), batch.column("part")[i].values.take(pa.array(c)), pa.array(score[r, c])],
-                    ["query_id", "tile_id", "part", "score"],
-                )
-
-    return run
+def _best_of(asked: np.ndarray, tiles: np.ndarray, groups: np.ndarray, k: int | None, limit: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, place of the tile, score) of the hits that can be among the best ``k`` of a query in a group: those no worse than its
+    k-th among these tiles, and those of a score of ``limit`` or more; ties and rounding included."""
+    score = np.clip(asked @ tiles.T, -1.0, 1.0)
+    least = np.full(score.shape, -2.0 if limit is None else limit)
+    if k is not None:
+        for g in np.unique(groups):
+            at = np.flatnonzero(groups == g)
+            if len(at) > k:
+                own = np.partition(score[:, at], -k, axis=1)[:, -k]
+                least[:, at] = np.maximum(least[:, at], own[:, None])
+    r, c = np.nonzero(score >= least - 2e-6)
+    return r, c, score[r, c]
+
+
+def _chunked_hits(asked: list[tuple[pa.Array, np.ndarray]], tiles: pa.RecordBatch | pa.Table, k: int | None, limit: float | None) -> Iterator[pa.RecordBatch]:
+    """Hits of all query blocks ``asked`` among ``tiles`` (unit, tile_id, part), a block of either at a time."""
+    tiles = tiles.combine_chunks() if isinstance(tiles, pa.Table) else tiles
+    unit, tile_id, part = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (tiles.column(n) for n in ("unit", "tile_id", "part")))
+    sizes = pc.list_value_length(unit).to_numpy(zero_copy_only=False)
+    groups = pc.rank(pc.fill_null(part, ""), tiebreaker="dense").to_numpy()
+    for ids, matrix in asked:
+        places = np.flatnonzero(sizes == matrix.shape[1])
+        for a in range(0, len(places), BLOCK):
+            at = places[a : a + BLOCK]
+            own = pc.list_flatten(unit.take(pa.array(at))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
+            r, c, score = _best_of(matrix, own, groups[at], k, limit)
+            near = pa.array(at[c])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), tile_id.take(near), part.take(near), pa.array(score)], ["query_id", "tile_id", "part", "score"])
+
+
+def _query_blocks(asked: pa.Table) -> list[tuple[pa.Array, np.ndarray]]:
+    """(query_ids, matrix) of queries of one length, ``BLOCK`` at most."""
+    ids, unit = (asked.column(c).combine_chunks() for c in ("query_id", "unit"))
+    sizes = pc.list_value_length(unit).to_numpy(zero_copy_only=False)
+    blocks = []
+    for d in np.unique(sizes):
+        places = np.flatnonzero(sizes == d)
+        for a in range(0, len(places), BLOCK):
+            at = pa.array(places[a : a + BLOCK])
+            blocks.append((ids.take(at), pc.list_flatten(unit.take(at)).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), int(d))))
+    return blocks
+
+
+#: Vectors of a cell, where too many queries to be broadcast meet the tiles.
+CELL = 32 * BLOCK
 
 
 def block_hits(tiles: DataFrame, queries: DataFrame, k: int | None = None, within: str | None = None, least: float | None = None) -> DataFrame:
     """(query_id, tile_id, part, score): hits among which are the best ``k`` of each query, in each value of ``within`` if given, or all of a
     score of ``least`` or more.
 
-    Vectors travel in blocks and meet as matrices: one product for each pair of blocks, of which only what can be among the best
-    goes on. A query set of no more than MAX_QUERIES is broadcast. Vectors of another length than the query's, and those without a
-    norm, score nothing.
+    Vectors meet as matrices, a block of tiles and a block of queries at a time, of whose products only what can be among the best goes on, so a
+    task holds one batch of tiles. A query set of no more than MAX_QUERIES is broadcast; of a larger one, cells of tiles and cells of queries
+    meet by shuffles. Vectors of another length than the query's, and those without a norm, score nothing.
     """
-    held = tiles.select("tile_id", (F.lit("") if within is None else F.coalesce(F.col(within).cast("string"), F.lit(""))).alias("part"), vectors.unit(F.col("vector")).alias("unit"))
-    asked = queries.select("query_id", vectors.unit(F.col("query")).alias("unit"))
-    n = asked.limit(MAX_QUERIES + 1).count()
-    few = n <= MAX_QUERIES
-    asked = _blocks(asked.coalesce(max(1, -(-n // BLOCK))) if few else asked, ["query_id"]).select(F.col("d").alias("query_d"), F.col("matrix").alias("query_matrix"), "query_id")
-    pairs = _blocks(held, ["tile_id", "part"]).crossJoin(F.broadcast(asked) if few else asked).filter("d = query_d")
-    kinds = ", ".join(f"{c} {x.schema[c].dataType.elementType.simpleString()}" for c, x in (("query_id", asked), ("tile_id", pairs), ("part", pairs)))
-    hits = pairs.mapInArrow(_products(k, least), f"{kinds}, score double").withColumn("score", F.round("score", 6))
+    held = tiles.select("tile_id", (F.lit("") if within is None else F.coalesce(F.col(within).cast("string"), F.lit(""))).alias("part"), vectors.unit(F.col("vector")).alias("unit")).filter("unit IS NOT NULL")
+    asked = queries.select("query_id", vectors.unit(F.col("query")).alias("unit")).filter("unit IS NOT NULL")
+    schema = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for c, x in (("query_id", asked), ("tile_id", held), ("part", held))) + ", score double"
+    first = asked.limit(MAX_QUERIES + 1).toArrow()
+    if first.num_rows <= MAX_QUERIES:
+        sent = tiles.sparkSession.sparkContext.broadcast(_query_blocks(first))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _chunked_hits(sent.value, batch, k, least)
+
+        hits = held.mapInArrow(run, schema)
+    else:
+        n, m = (-(-x.count() // size) for x, size in ((asked, MAX_QUERIES), (held, CELL)))
+        cells = lambda key, count: F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+        all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        left = held.withColumn("_cell", cells("tile_id", max(m, 1))).withColumn("_query_cell", all_of(n))
+        right = asked.withColumn("_query_cell", cells("query_id", n)).withColumn("_cell", all_of(max(m, 1)))
+
+        def meet(tiles: pa.Table, asked: pa.Table) -> pa.Table:
+            found = list(_chunked_hits(_query_blocks(asked), tiles, k, least)) if tiles.num_rows and asked.num_rows else []
+            return pa.Table.from_batches(found) if found else empty
+
+        kinds = [to_arrow_type(held.schema["tile_id"].dataType), to_arrow_type(held.schema["part"].dataType)]
+        empty = pa.table({"query_id": pa.array([], to_arrow_type(asked.schema["query_id"].dataType)), "tile_id": pa.array([], kinds[0]), "part": pa.array([], kinds[1]), "score": pa.array([], pa.float64())})
+        keys = ("_cell", "_query_cell")
+        hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
+    hits = hits.withColumn("score", F.round("score", 6))
     return hits if least is None else hits.filter(F.col("score") >= least)
 
 

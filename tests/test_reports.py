@@ -26,6 +26,28 @@ def test_threshold_search_and_ranks(spark):
     assert retrieval.ranked(retrieval.block_hits(tiles.limit(0), asked, least=0.2)).count() == 0
 
 
+def test_ranks_store_a_hit_once(spark, monkeypatch):
+    """Ranks come from the place in a sorted partition: no window over the hits, ties by tile_id, a query over many partitions."""
+    hits = spark.range(3000).select((F.col("id") % 2).alias("query_id"), F.concat(F.lit("t"), F.col("id")).alias("tile_id"), (F.col("id") % 7 / 10).alias("score"))
+    want = {}
+    for q in (0, 1):
+        order = sorted(((-(i % 7) / 10, f"t{i}") for i in range(3000) if i % 2 == q))
+        want |= {(q, t): k for k, (_, t) in enumerate(order, 1)}
+    for most in (retrieval.MAX_STARTS, 1):
+        monkeypatch.setattr(retrieval, "MAX_STARTS", most)
+        found = retrieval.ranked(hits)
+        assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {(r["query_id"], r["tile_id"]): r["rank"] for r in found.collect()} == want
+
+
+def test_block_products_hold_a_batch_of_tiles(spark):
+    """Blocks of tiles and queries do not travel as pairs of matrices: a row that goes to Python is one vector."""
+    tiles = spark.range(50).select(F.concat(F.lit("t"), F.col("id")).alias("tile_id"), F.array(F.col("id") + 1.0, F.lit(1.0)).alias("vector"))
+    found = retrieval.block_hits(tiles, tiles.limit(3).select(F.col("tile_id").alias("query_id"), F.col("vector").alias("query")), 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "BroadcastNestedLoopJoin" not in plan and "Cartesian" not in plan
+
+
 def test_like_seeds(spark):
     rows = [("a", "n", [1.0, 0.0]), ("b", "n", [1.0, 0.0]), ("c", "n", [0.0, 1.0]), ("d", "s", [1.0, 0.0]), ("e", None, [1.0, 0.0])]
     tiles = spark.createDataFrame(rows, "tile_id string, region string, vector array<double>")
