@@ -160,6 +160,19 @@ def test_chain_breaks_at_a_changed_row(spark):
     assert [r["status"] for r in ledger.verify_chain(bad).orderBy("seq").collect()] == ["intact"] * 2 + ["broken"] * 3
 
 
+def test_outlines_do_not_hold_all_sides(spark):
+    """A ring of one component inside another, with a hole: sides by brute force, and no aggregate of sides."""
+    pixels = {(y, x): 1 if y in (0, 5) or x in (0, 5) else 2 for y in range(6) for x in range(6) if (y, x) != (2, 2)}
+    labels = spark.createDataFrame([(7, y, x, c) for (y, x), c in pixels.items()], "scene_id long, y int, x int, component_id int")
+    found = components.outlines(labels)
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for (y, x), c in pixels.items():
+        near = {("h", y, x): (y - 1, x), ("h", y + 1, x): (y + 1, x), ("v", y, x): (y, x - 1), ("v", y, x + 1): (y, x + 1)}
+        want += [(7, c, *side) for side, other in near.items() if pixels.get(other) != c]
+    assert sorted(map(tuple, found.select("scene_id", "component_id", "kind", "ey", "ex").collect())) == sorted(want)
+
+
 def test_streams_equal_batches(spark, tmp_path):
     kinds = ("pending", "flagged", "confirmed", "rejected")
     rows = spark.createDataFrame([(k % 7, k, kinds[k * 5 % 11 % 4]) for k in range(80)], "candidate_id long, seq long, decision string")
