@@ -75,11 +75,16 @@ def ingest_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([tuple(c[f.split()[0]] for f in schema.split(", ")) for c in commits(spark, path)], schema)
 
 
+def _by_seq(parts: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
+    """seq and ``columns`` of the rows of one key in the order of seq, as tuples: groups are small and many, and each frame made of one costs more than its rows."""
+    rows = [row for p in parts for row in zip(*(p[c].tolist() for c in ("seq", *columns)), strict=True)]
+    return iter(sorted(rows, key=lambda row: row[0]))
+
+
 def _decide(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     held = state.get[0] if state.exists else None
-    rows = pd.concat(list(parts)).sort_values("seq")
     out = []
-    for seq, decision in zip(rows["seq"], rows["decision"], strict=True):
+    for seq, decision in _by_seq(parts, "decision"):
         if held is None:
             outcome, status = "accepted", decision
             held = decision if decision in FINAL else None
@@ -101,9 +106,9 @@ def review(stream: DataFrame) -> DataFrame:
 def _append(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     previous = state.get[0] if state.exists else GENESIS
     out = []
-    for r in pd.concat(list(parts)).sort_values("seq").itertuples():
-        this = event_hash(previous, r.seq, r.stamp, r.action, r.detail)
-        out.append((key[0], r.seq, previous, this))
+    for seq, stamp, action, detail in _by_seq(parts, "stamp", "action", "detail"):
+        this = event_hash(previous, seq, stamp, action, detail)
+        out.append((key[0], seq, previous, this))
         previous = this
     state.update((previous,))
     yield pd.DataFrame(out, columns=["ledger_id", "seq", "previous_hash", "event_hash"])
@@ -118,7 +123,8 @@ def audit(stream: DataFrame) -> DataFrame:
 
 def replay(spark: SparkSession, rows: DataFrame, folder: str, job, batches: int = 3) -> DataFrame:
     """The rows landed in ``batches`` slices of rising seq, each streamed through ``job`` before the next one lands;
-    state goes on in the checkpoint. Returns the output as a table."""
+    state goes on in the checkpoint. Returns the output as a table. What makes the rows runs once, not for each slice."""
+    rows = storage.stage(rows, "replayed")
     low, high = rows.agg(F.min("seq"), F.max("seq")).first()
     slice_of = F.least(F.floor((F.col("seq") - F.lit(low or 0)) * batches / F.lit(max((high or 0) - (low or 0), 1))), F.lit(batches - 1))
     for k in range(batches):

@@ -160,6 +160,20 @@ def test_chain_breaks_at_a_changed_row(spark):
     assert [r["status"] for r in ledger.verify_chain(bad).orderBy("seq").collect()] == ["intact"] * 2 + ["broken"] * 3
 
 
+def test_replay_makes_its_rows_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.sql("SELECT id % 2 AS candidate_id, id AS seq, IF(id = 5, 'confirmed', 'pending') AS decision FROM range(12)").mapInArrow(count, "candidate_id long, seq long, decision string")
+    found = jobs.replay(spark, rows, str(tmp_path / "once"), jobs.review).collect()
+    assert made.value == 12 and len(found) == 12
+    assert {r["seq"] for r in found if r["outcome"] == "refused"} == {7, 9, 11}
+
+
 def test_outlines_do_not_hold_all_sides(spark):
     """A ring of one component inside another, with a hole: sides by brute force, and no aggregate of sides."""
     pixels = {(y, x): 1 if y in (0, 5) or x in (0, 5) else 2 for y in range(6) for x in range(6) if (y, x) != (2, 2)}
