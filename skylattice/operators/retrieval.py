@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import vectors
 from ..storage import stage
+from .ranking import with_rank
 
 #: Queries that are broadcast at most; more of them meet the vectors partition by partition.
 MAX_QUERIES = 4096
@@ -341,6 +342,45 @@ def _link_cores(least: float):
     return run
 
 
+#: Blocks of a chunk at most; two chunks meet in a task.
+CHUNK = 32
+#: Results of pairs of blocks that are held before equal rows become one.
+HELD = 32
+
+
+def _met(pairs: DataFrame, blocks: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, chunk: int = CHUNK) -> DataFrame:
+    """What ``run`` says of each of the ``pairs`` (block, block_2) of ``blocks``; a column n is summed over equal rows of a task, other equal rows are one.
+
+    Blocks are dealt to chunks and a matrix is sent once for each pair of chunks, not for each pair of blocks, so that what is shuffled is
+    less by the size of a chunk; a task holds two chunks."""
+    size = min(chunk, max(1, -(-blocks.count() // 8)))
+    place = stage(with_rank(blocks.select("block"), ["block"], "_place").select("block", F.floor((F.col("_place") - 1) / size).alias("chunk")), "chunks")
+    known = pairs.join(place, "block").join(place.select(F.col("block").alias("block_2"), F.col("chunk").alias("chunk_2")), "block_2")
+    cells = stage(known.select(F.least("chunk", "chunk_2").alias("_low"), F.greatest("chunk", "chunk_2").alias("_high"), "block", "block_2"), "cells")
+    sent = cells.select(F.col("_low").alias("_a"), F.col("_high").alias("_b")).distinct().withColumn("chunk", F.explode(F.array_distinct(F.array("_a", "_b"))))
+    columns = [c for c in ("block", "d", "matrix", "ids", "core") if c in blocks.columns]
+    held = blocks.select(*columns).join(place, "block").join(sent, "chunk").select("_a", "_b", *columns)
+    sides = [columns, ["block_2", "d_2", *(f"{c}_2" for c in columns[2:])]]
+
+    def folded(found: list[pa.RecordBatch | pa.Table]) -> pa.Table:
+        rows = pa.concat_tables([pa.Table.from_batches([x]) if isinstance(x, pa.RecordBatch) else x for x in found])
+        if "n" in rows.column_names:
+            return rows.group_by("tile_id").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["tile_id", "n"])
+        return rows.group_by(rows.column_names).aggregate([])
+
+    def meet(held: pa.Table, wanted: pa.Table) -> pa.Table:
+        rows = {b: held.slice(i, 1).select(columns).combine_chunks() for i, b in enumerate(held.column("block").to_pylist())}
+        found: list = []
+        for a, b in zip(wanted.column("block").to_pylist(), wanted.column("block_2").to_pylist(), strict=True):
+            both = [x for k in (a, b) for x in rows[k].to_batches()[0].columns]
+            found += run(iter([pa.RecordBatch.from_arrays(both, [*sides[0], *sides[1]])]))
+            if len(found) > HELD:
+                found = [folded(found)]
+        return folded(found)
+
+    return held.groupBy("_a", "_b").cogroup(cells.groupBy("_low", "_high")).applyInArrow(meet, schema)
+
+
 def clusters(tiles: DataFrame, least: float, min_points: int, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """Density clusters by one radius: tiles with ``min_points`` neighbours (themselves included) of similarity
     ``least`` or more are cores, cores that are neighbours share a cluster, a border tile goes to the
@@ -356,16 +396,12 @@ def clusters(tiles: DataFrame, least: float, min_points: int, pivots: int = PIVO
     pairs = stage(near_blocks(blocks, width, reach), "near-blocks")
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
 
-    def met(held: DataFrame, more: list[str]) -> DataFrame:
-        second = held.select(*(F.col(c).alias(f"{c}_2") for c in ("block", "matrix", "ids", *more)))
-        return pairs.join(held.select("block", "d", "matrix", "ids", *more), "block").join(second, "block_2")
-
-    counts = met(blocks, []).mapInArrow(_count_near(least), f"tile_id {kind}, n long").groupBy("tile_id").agg(F.sum("n").alias("n"))
+    counts = _met(pairs, blocks, _count_near(least), f"tile_id {kind}, n long").groupBy("tile_id").agg(F.sum("n").alias("n"))
     core = stage(counts.filter(F.col("n") >= min_points).select("tile_id"), "cores")
     members = blocks.select("block", F.posexplode("ids").alias("at", "tile_id")).join(core.withColumn("is_core", F.lit(True)), "tile_id", "left")
     flags = members.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("is_core", F.lit(False)).alias("c")))).alias("f"))
     flagged = blocks.join(flags.select("block", F.transform("f", lambda x: x["c"]).alias("core")), "block")
-    links = stage(met(flagged, ["core"]).mapInArrow(_link_cores(least), f"tile_id {kind}, near_id {kind}, kind int"), "links")
+    links = stage(_met(pairs, flagged, _link_cores(least), f"tile_id {kind}, near_id {kind}, kind int"), "links")
     labels = least_reachable(links.filter("kind = 0"), "tile_id", "near_id")
     at = core.select("tile_id", F.col("tile_id").alias("at")).union(links.filter("kind = 1").groupBy("tile_id").agg(F.min("near_id").alias("at")))
     named = at.join(labels.withColumnRenamed("node", "at"), "at", "left").select("tile_id", F.coalesce("label", "at").alias("cluster"))

@@ -40,6 +40,19 @@ def test_ranks_store_a_hit_once(spark, monkeypatch):
         assert {(r["query_id"], r["tile_id"]): r["rank"] for r in found.collect()} == want
 
 
+def test_clusters_send_a_matrix_once_for_two_chunks(spark):
+    """Each block goes once to each pair of chunks, not to each pair of blocks."""
+    tiles = spark.range(160).select(F.concat(F.lit("t"), F.lpad(F.col("id"), 3, "0")).alias("tile_id"), F.array(F.cos(F.col("id") / 20), F.sin(F.col("id") / 20)).alias("vector"))
+    blocks, width = retrieval.metric_blocks(tiles, 2, 8)
+    pairs = retrieval.near_blocks(blocks, width, 4.0)
+    met = retrieval._met(pairs, blocks, retrieval._count_near(-1.0), "tile_id string, n long", chunk=4)
+    found = {r[0]: r[1] for r in met.groupBy("tile_id").agg(F.sum("n")).collect()}
+    n = blocks.count()
+    assert n >= 20 and pairs.count() == n * (n + 1) // 2 and len(found) == 160 and set(found.values()) == {160}
+    size = min(4, -(-n // 8))
+    assert met.count() <= 160 * -(-n // size) < 160 * n // 2
+
+
 def test_block_products_hold_a_batch_of_tiles(spark):
     """Blocks of tiles and queries do not travel as pairs of matrices: a row that goes to Python is one vector."""
     tiles = spark.range(50).select(F.concat(F.lit("t"), F.col("id")).alias("tile_id"), F.array(F.col("id") + 1.0, F.lit(1.0)).alias("vector"))
