@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, pixels
 from ..operators import analysis, catalog, change, clipping, components, embedding, focal, raster
 from ..sources import aoi, arrays, manifests, sinks, stac
-from ..operators.ranking import running_sums
-from ..storage import Store, new_path, stage
+from ..storage import Store, new_path
 from ..streaming import jobs
 from . import views
 from .catalog_queries import utm_sql
@@ -198,11 +197,10 @@ _LINE_SIDES = [(f"({p})", f"({q})") for p, q in (("x0 - x1", f"x0 - {_CUT_BOX[0]
  UNION ALL SELECT id, 0, pos, x, y FROM r4 JOIN big USING (id) UNION ALL SELECT id, 0, n, x, y FROM r4 JOIN big USING (id) WHERE pos = 0""")
 def f8(spark, sf):
     """Lines and rings through users' events, cut to a box."""
-    at = views.read(spark, sf, "events").select(
-        F.col("user_id").alias("id"), "event_id", (F.col("event_id") % 97).cast("double").alias("x"), (F.col("value") % 89).cast("double").alias("y"), F.lit(1).cast("long").alias("one")
+    points = views.read(spark, sf, "events").select(
+        F.col("user_id").alias("id"), (F.col("user_id") % 2 == 0).alias("closed"), F.col("event_id").alias("seq"), (F.col("event_id") % 97).cast("double").alias("x"), (F.col("value") % 89).cast("double").alias("y")
     )
-    points = running_sums(at, ["id"], "event_id", ["one"]).select("id", (F.col("id") % 2 == 0).alias("closed"), (F.col("one_upto") - 1).alias("seq"), "x", "y")
-    return clipping.clip_elements(stage(points, "points"), _CUT_BOX)
+    return clipping.clip_elements(points, _CUT_BOX)
 
 
 def _wave(at: str, n: str) -> tuple[str, str]:
