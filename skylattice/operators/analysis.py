@@ -4,7 +4,7 @@ Rasters are headers (one row each) and pixels. Pairs that fit are cut into patch
 scorer that the user gives, and comes back as pixels with a probability and validity. Masks, components, candidates, ranks, map
 places and statistics follow, and everything is written with its provenance.
 
-One shuffle brings both dates of a patch to one task; a task holds one patch. Headers are joined to pixels by raster, so a
+One shuffle brings both dates of a patch to one task; a task holds one patch and a batch of rows. Headers are joined to pixels by raster, so a
 raster may stand in many pairs. Grids of different sizes run together: sizes are columns.
 """
 
@@ -15,13 +15,13 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..storage import stage
 from . import components
+from .groups import Arrays, map_groups
 from .ranking import with_rank
 
 #: (bands, rows, columns) of the first and the second date, invalid pixels 0, to probabilities (rows, columns).
@@ -54,29 +54,30 @@ def logistic_scorer(scale: float = 50.0, shift: float = 2.0, digits: int = 6) ->
 
 
 def _score_patch(scorer: Scorer, patch: int, bands: tuple[str, ...]):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        scene, top, left, height, width = key[0], key[1] * patch, key[2] * patch, key[3], key[4]
-        h, w = min(patch, height - top), min(patch, width - left)
-        dates, valid = [], np.ones((patch, patch), bool)
+    def run(rows: Arrays) -> Arrays:
+        scene, top, left = rows["scene_id"][0], int(rows["py"][0]) * patch, int(rows["px"][0]) * patch
+        h, w = min(patch, int(rows["height"][0]) - top), min(patch, int(rows["width"][0]) - left)
+        dates, valid = [], np.ones(patch * patch, bool)
         for role in (1, 2):
-            rows = pdf[pdf["role"] == role]
-            y, x = rows["y"].to_numpy(np.int64) - top, rows["x"].to_numpy(np.int64) - left
-            if len(rows) and len(np.unique(y * patch + x)) < len(rows):
+            own = np.flatnonzero(rows["role"] == role)
+            at = (rows["y"][own].astype(np.int64) - top) * patch + rows["x"][own] - left
+            if len(own) and np.bincount(at).max() > 1:
                 raise ValueError(f"a pixel of analysis {scene} comes twice")
-            values = rows[list(bands)].to_numpy(np.float64, na_value=np.nan).T
-            here = np.zeros((patch, patch), bool)
-            here[y, x] = rows["valid"].to_numpy(bool) & np.isfinite(values).all(axis=0)
-            image = np.zeros((len(bands), patch, patch))
-            image[:, y, x] = values
-            dates.append(np.where(here, image, 0.0))
+            values = np.stack([rows[b][own] for b in bands])
+            here = np.zeros(patch * patch, bool)
+            here[at] = rows["valid"][own] & np.isfinite(values).all(axis=0)
+            image = np.zeros((len(bands), patch * patch))
+            image[:, at] = values
+            dates.append(np.where(here, image, 0.0).reshape(len(bands), patch, patch))
             valid &= here
         p = np.asarray(scorer(*dates), np.float64)
         if p.shape != (patch, patch):
             raise ValueError(f"the scorer gave {p.shape} for a patch of {patch}")
         if not (np.isfinite(p) & (p >= 0) & (p <= 1)).all():
             raise ValueError(f"a probability of analysis {scene} is outside [0, 1]")
-        y, x = (a.reshape(-1) for a in np.indices((h, w)))
-        return pd.DataFrame({"scene_id": scene, "y": (y + top).astype(np.int32), "x": (x + left).astype(np.int32), "p": np.where(valid, p, 0.0)[y, x].astype(np.float32), "valid": valid[y, x]})
+        valid = valid.reshape(patch, patch)[:h, :w]
+        y, x = (a.reshape(-1).astype(np.int32) for a in np.indices((h, w)))
+        return {"scene_id": np.full(h * w, scene, np.int64), "y": y + np.int32(top), "x": x + np.int32(left), "p": np.where(valid, p[:h, :w], 0.0).astype(np.float32).reshape(-1), "valid": valid.reshape(-1)}
 
     return run
 
@@ -87,19 +88,21 @@ def score_pairs(pairs: DataFrame, pixels: DataFrame, scorer: Scorer, patch: int
     score 0; patches without any pixel are there too."""
     roles = pairs.select("scene_id", "height", "width", F.explode(F.array(*(F.struct(F.lit(k).alias("role"), F.col(f"raster_{k}").alias("raster_id")) for k in (1, 2)))).alias("r"))
     roles = roles.select("scene_id", "height", "width", "r.role", "r.raster_id")
-    by = ["scene_id", "py", "px", "height", "width"]
+    grid = ["scene_id", "py", "px", "height", "width"]
     py, px = (F.floor(F.col(c) / patch).cast("int").alias(n) for c, n in (("y", "py"), ("x", "px")))
     inside = pixels.join(roles, "raster_id").filter("y >= 0 AND x >= 0 AND y < height AND x < width")
     held = inside.select("scene_id", py, px, "height", "width", "role", "y", "x", *(F.col(b).cast("double").alias(b) for b in bands), F.coalesce("valid", F.lit(False)).alias("valid"))
     steps = [F.explode(F.sequence(F.lit(0), F.floor((F.col(c) - 1) / patch).cast("int"))).alias(n) for c, n in (("height", "py"), ("width", "px"))]
     every = pairs.select("scene_id", "height", "width", steps[0]).select("scene_id", "py", "height", "width", steps[1])
-    marks = every.select(*by, F.lit(0).alias("role"), F.lit(0).alias("y"), F.lit(0).alias("x"), *(F.lit(0.0).alias(b) for b in bands), F.lit(False).alias("valid"))
-    return held.unionByName(marks).groupBy(*by).applyInPandas(_score_patch(scorer, patch, bands), "scene_id long, y int, x int, p float, valid boolean")
+    marks = every.select(*grid, F.lit(0).alias("role"), F.lit(0).alias("y"), F.lit(0).alias("x"), *(F.lit(0.0).alias(b) for b in bands), F.lit(False).alias("valid"))
+    return map_groups(held.unionByName(marks), ["scene_id", "py", "px"], _score_patch(scorer, patch, bands), "scene_id long, y int, x int, p float, valid boolean")
 
 
 def mosaic(scores: DataFrame, pairs: DataFrame) -> DataFrame:
     """``scores`` once every pixel of every grid is there exactly once; else an error."""
-    n = scores.groupBy("scene_id").agg(F.count("*").alias("n"), F.countDistinct(F.struct("y", "x")).alias("places"))
+    # the places of 64 columns of a row are the bits of one number
+    bits = scores.groupBy("scene_id", "y", F.floor(F.col("x") / 64).alias("x64")).agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1L, pmod(x, 64))")).alias("bits"))
+    n = bits.groupBy("scene_id").agg(F.sum("n").alias("n"), F.sum(F.bit_count("bits")).alias("places"))
     wrong = pairs.join(n, "scene_id", "left").filter("n IS NULL OR n <> places OR n <> height * width")
     if not wrong.isEmpty():
         raise ValueError("patches of an analysis overlap or leave pixels out")

@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .groups import Arrays, map_groups
+
 
 def hashed_encoder(dimension: int = 32) -> Callable[[list[str]], np.ndarray]:
     """A deterministic encoder of texts: signed sums over hashed words, unit length."""
@@ -51,14 +53,15 @@ def score_patches(pixels: DataFrame, scorer: Callable[[np.ndarray, np.ndarray],
     pixels get 0; a probability outside [0, 1] is an error."""
     from pyspark.sql import functions as F
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = pdf["y"].to_numpy() % patch, pdf["x"].to_numpy() % patch
+    def run(rows: Arrays) -> Arrays:
+        y, x = rows["y"] % patch, rows["x"] % patch
         a, b = np.zeros((patch, patch)), np.zeros((patch, patch))
-        a[y, x], b[y, x] = pdf["before"], pdf["after"]
+        a[y, x], b[y, x] = rows["before"], rows["after"]
         p = scorer(a, b)[y, x]
         if not ((p >= 0) & (p <= 1)).all():
             raise ValueError("a probability is outside [0, 1]")
-        return pd.DataFrame({"scene_id": pdf["scene_id"], "y": pdf["y"], "x": pdf["x"], "p": np.where(pdf["valid"], p, 0.0), "valid": pdf["valid"]})
+        return {"scene_id": rows["scene_id"], "y": rows["y"], "x": rows["x"], "p": np.where(rows["valid"], p, 0.0), "valid": rows["valid"]}
 
-    key = ("scene_id", F.floor(F.col("y") / patch).alias("py"), F.floor(F.col("x") / patch).alias("px"))
-    return pixels.groupBy(*key).applyInPandas(run, "scene_id long, y int, x int, p double, valid boolean")
+    held = pixels.select(F.col("scene_id").cast("long"), F.col("y").cast("int"), F.col("x").cast("int"), F.col("before").cast("double"), F.col("after").cast("double"), F.coalesce("valid", F.lit(False)).alias("valid"))
+    held = held.select("*", F.floor(F.col("y") / patch).alias("py"), F.floor(F.col("x") / patch).alias("px"))
+    return map_groups(held, ["scene_id", "py", "px"], run, "scene_id long, y int, x int, p double, valid boolean")

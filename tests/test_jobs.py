@@ -151,6 +151,47 @@ def test_analysis_refuses(spark, tmp_path):
         analysis.Settings(threshold=1.5)
 
 
+@pytest.mark.parametrize("batch", [5, 10000])
+def test_small_groups_share_batches(spark, batch):
+    """Many small patches and scenes in a batch, and groups over many batches, against one at a time."""
+    from skylattice.operators import components, groups
+
+    draw = np.random.default_rng(4)
+    values = {k: draw.random((2, 5, 3)) * 90 for k in range(30)}
+    pairs = spark.createDataFrame([(k, 2 * k, 2 * k + 1, 5, 3) for k in values], "scene_id long, raster_1 long, raster_2 long, height int, width int")
+    px = spark.createDataFrame([(2 * k + r, y, x, float(v[r, y, x]), (k + y + x) % 7 != 0) for k, v in values.items() for r in (0, 1) for y in range(5) for x in range(3)], "raster_id long, y int, x int, b04 double, valid boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        scored = analysis.score_pairs(pairs, px, analysis.logistic_scorer(20.0), 4, ("b04",))
+        plan = scored._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+        got = {(r["scene_id"], r["y"], r["x"]): r["p"] for r in analysis.mosaic(scored, pairs).collect()}
+        want = {(k, y, x): float(np.float32(analysis.logistic_scorer(20.0)(v[0][None], v[1][None])[y, x] if (k + y + x) % 7 else 0)) for k, v in values.items() for y in range(5) for x in range(3)}
+        assert got == want
+
+        rows = spark.range(400).selectExpr("id % 37 AS g", "CAST(id % 2 AS INT) AS h", "id AS v")
+        total = lambda r: {"g": r["g"][:1], "n": np.array([len(r["v"])]), "s": r["v"].sum(keepdims=True)}
+        sums = rows.groupBy("g", "h").agg(F.count("*").alias("n"), F.sum("v").alias("s")).select("g", "n", "s")
+        assert sorted(groups.map_groups(rows, ["g", "h"], total, "g long, n long, s long").collect()) == sorted(sums.collect())
+        with pytest.raises(Exception, match="null in the keys"):
+            groups.map_groups(rows.withColumn("g", F.expr("nullif(g, 3)")), ["g", "h"], total, "g long, n long, s long").collect()
+
+        mask = scored.filter("p > 0.3").select("scene_id", "y", "x")
+        assert sorted(components.label(mask, block=2).collect()) == sorted(components.label(mask).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_mosaic_of_wide_grids(spark):
+    """One place twice and its neighbour missing, on either side of a border of 64 columns."""
+    pairs = spark.createDataFrame([(1, 2, 130)], "scene_id long, height int, width int")
+    whole = spark.range(260).selectExpr("1L AS scene_id", "CAST(id div 130 AS INT) AS y", "CAST(id % 130 AS INT) AS x")
+    assert analysis.mosaic(whole, pairs).count() == 260
+    for twice, gone in ((63, 64), (64, 63), (5, 6), (127, 129)):
+        with pytest.raises(ValueError, match="overlap or leave"):
+            analysis.mosaic(whole.filter(f"NOT (y = 1 AND x = {gone})").union(whole.filter(f"y = 1 AND x = {twice}")), pairs)
+
+
 # ------------------------------------------------------------------------------------------- pairs
 
 
