@@ -221,6 +221,56 @@ def test_temporal_pairs_meet_once_for_both_orders(spark):
     assert {r["reasons"] for r in rows} == {"", "same_time"} and all(r["pair_id"].startswith(f"{r['tile_id']}__197001") for r in rows)
 
 
+def test_temporal_pairs_share_one_narrow_shuffle(spark):
+    """Both sides of the join read one shuffle, in which a header is a few codes and a raster is held once, or twice near the start of a bin."""
+    wide = "'s' AS sensor, 'c' AS crs, 1 AS width, 1 AS height, array(1.0D, id) AS transform, array(1.0D) AS bounds, 4 AS band_count, 'f' AS dtypes"
+    rasters = spark.sql(f"SELECT id % 1 AS tile_id, id AS raster_id, timestamp_seconds(3600 * id) AS acquired, {wide} FROM range(480)")
+    pairs = catalog.temporal_pairs(rasters, within_days=2, reversed_too=True).select("pair_id", "raster_1", "raster_2", "reasons")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert plan.count("- Exchange ") == 1 and plan.count("- ReusedExchange ") == 1
+    shared = next(x for x in plan.splitlines() if "ReusedExchange " in x)
+    assert "_transform#" in shared and not any(f" {c}#" in shared for c in ("transform", "bounds", "crs", "sensor", "dtypes"))
+    assert pairs.count() == 2 * (480 * 48 - 48 * 49 // 2) and {r["reasons"] for r in pairs.select("reasons").distinct().collect()} == {"transform"}
+
+
+@pytest.mark.parametrize("within", [None, 0, 1, 3])
+@pytest.mark.parametrize("reversed_too", [False, True])
+def test_temporal_pairs_of_odd_headers(spark, within, reversed_too):
+    """Against all pairs one by one: null headers, empty arrays and arrays of null, 0.0 and -0.0, not a number, times at the ends of bins and before 1970."""
+    kinds = [None, [], [None], [0.0], [-0.0], [float("nan")], [1.0, 2.0], [1.0, None], [None, 1.0]]
+    rows = []
+    for k in range(72):
+        seconds = -3 * 86400 + 14400 * (k % 48) + (k % 5 == 0) - (k % 7 == 0)
+        sensor, crs = (None, "sentinel-2", "landsat")[k % 3], (None, "", "null")[k // 3 % 3]
+        rows.append((k % 2 if k % 11 else None, f"r{k:02d}", None if k % 13 == 12 else seconds, sensor, crs, (None, 1, 2)[k % 3], (1, None)[k % 2], kinds[k % 9], kinds[k * 7 % 9], (None, 3, 4)[k // 2 % 3], (None, "a")[k // 4 % 2]))
+    names = ["raster_id", "acquired", "sensor", "crs", "width", "height", "transform", "bounds", "band_count", "dtypes"]
+    schema = "tile_id long, raster_id string, acquired long, sensor string, crs string, width int, height int, transform array<double>, bounds array<double>, band_count int, dtypes string"
+    rasters = spark.createDataFrame(rows, schema).withColumn("acquired", F.timestamp_seconds("acquired"))
+    plain = lambda v: None if v is None else [0.0 if x == 0 else "nan" if x is not None and x != x else x for x in v]
+    want = []
+    for a in rows:
+        for b in rows:
+            if a[0] is None or a[0] != b[0] or a[2] is None or b[2] is None or (within is not None and abs(a[2] - b[2]) > 86400 * within):
+                continue
+            if not (a[2] < b[2] or (a[2] == b[2] and a[1] < b[1]) or (reversed_too and a[2] > b[2])):
+                continue
+            x, y = (dict(zip(names, r[1:], strict=True)) for r in (a, b))
+            bands = [v["band_count"] for v in (x, y) if v["band_count"] is not None]
+            failed = [
+                ("same_time", a[2] == b[2]), ("sensor", x["sensor"] != y["sensor"]), ("no_crs", x["crs"] is None or y["crs"] is None), ("crs", x["crs"] != y["crs"]),
+                ("size", (x["width"], x["height"]) != (y["width"], y["height"])), ("transform", plain(x["transform"]) != plain(y["transform"])), ("bounds", plain(x["bounds"]) != plain(y["bounds"])),
+                ("band_count", x["band_count"] != y["band_count"]), ("dtypes", x["dtypes"] != y["dtypes"]), ("bands", x["sensor"] == "sentinel-2" and min(bands, default=9) < 4),
+            ]
+            want.append((a[1], b[1], ",".join(n for n, c in failed if c), repr(plain(x["transform"])), x["height"]))
+    found = catalog.temporal_pairs(rasters, within_days=within, reversed_too=reversed_too).collect()
+    assert len(want) > 5 and sorted(map(repr, want)) == sorted(repr((r["raster_1"], r["raster_2"], r["reasons"], repr(plain(r["transform"])), r["height"])) for r in found)
+
+
 def test_observation_products_join_each_side_first(spark):
     obs = spark.sql("SELECT id, IF(id % 2 = 0, 'T1', 'T2') AS role, id % 5 AS pair_id, IF(id % 7 = 0, 'a', 'b') AS sensor FROM range(40) WHERE id % 9 <> 0")
     first, second = spark.sql("SELECT IF(id % 8 <> 1, id, NULL) AS t1, id % 2 AS k FROM range(40)"), spark.sql("SELECT id AS t2, id % 2 AS k FROM range(45)")
