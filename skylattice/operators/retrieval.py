@@ -213,34 +213,152 @@ def spread_pivots(units: DataFrame, most: int = PIVOTS) -> dict[int, np.ndarray]
     return pivots
 
 
-def _angles(pivots: dict[int, np.ndarray], width: int):
-    """Adds to (tile_id, unit) its length, the nearest pivot of that length and the angles to all of them, padded with zeros."""
+#: Vectors that all others meet before blocks do, where clusters are sought.
+HUB = 4096
+#: Groups of settled cores that have blocks of their own, the largest ones.
+PARTS = 8
+
+
+def _similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which vectors of two matrices have a similarity of ``least`` or more, in six digits; only scores that rounding can decide are rounded."""
+    score = a @ b.T
+    low, high = (np.floor(least * 1e6) - 1) / 1e6, (np.ceil(least * 1e6) + 1) / 1e6
+    near = score > high
+    doubtful = np.nonzero((score >= low) & ~near)
+    near[doubtful] = np.round(np.clip(score[doubtful], -1, 1), 6) >= least
+    return near
+
+
+def _united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label``, the least node of the group of each node, after nodes ``a`` and ``b`` are linked one by one."""
+    while True:
+        one, two = label[a], label[b]
+        if (one == two).all():
+            return label
+        label = label.copy()
+        np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _near_parts(v: np.ndarray, ids: pa.Array, hub: tuple[pa.Array, np.ndarray, np.ndarray], least: float, min_points: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, part), each once: the parts of the hub, which is in their order, that vectors are next to, of those with ``min_points`` neighbours
+    in the hub alone, themselves included."""
+    names, matrix, part = hub
+    near = _similar(v, matrix, least)
+    own = np.round(np.clip((v * v).sum(1), -1, 1), 6) >= least
+    n = near.sum(1) + (own & ~pc.is_in(ids, value_set=names).to_numpy(zero_copy_only=False))
+    starts = np.flatnonzero(np.diff(part, prepend=-2))
+    place, at = np.nonzero(np.logical_or.reduceat(near, starts, axis=1) & (part[starts] >= 0) & (n >= min_points)[:, None])
+    return place, part[starts[at]]
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """(length, rows, matrix) of rows with vectors of one length, ``BLOCK`` at most."""
+    sizes = pc.list_value_length(batch.column("unit")).to_numpy(zero_copy_only=False)
+    for d in np.unique(sizes):
+        places = np.flatnonzero(sizes == d)
+        for a in range(0, len(places), BLOCK):
+            part = batch.take(pa.array(places[a : a + BLOCK]))
+            yield int(d), part, pc.list_flatten(part.column("unit")).to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
+def _count_parts(hub, least: float, min_points: int):
+    """(part, other, n): how many vectors are next to a part, and to which others as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            for d, rows, v in _by_length(batch):
+                if d not in hub.value:
+                    continue
+                place, part = _near_parts(v, rows.column("tile_id"), hub.value[d], least, min_points)
+                first = np.full(len(v), np.iinfo(np.int64).max)
+                np.minimum.at(first, place, part)
+                for (a, b), n in zip(*(x.tolist() for x in np.unique(np.stack([first[place], part], 1), axis=0, return_counts=True)), strict=True):
+                    found[a, b] = found.get((a, b), 0) + n
+        keys = np.array(list(found), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.array(list(found.values()), np.int64))], ["part", "other", "n"])
+
+    return run
+
+
+def hub_parts(units: DataFrame, least: float, min_points: int, block: int = BLOCK):
+    """A function (d, ids, matrix) to the part of each vector: vectors of one part are cores for certain and hang together, -1 knows nothing.
+
+    The hub, the ``HUB`` vectors with the smallest hashes of tile_id, is grouped by itself. A vector with ``min_points`` neighbours in it is a
+    core whatever else it is next to, and hangs together with the cores of the hub next to it. Only the ``PARTS`` largest parts count, of
+    ``block`` vectors or more. In a dense table nearly all vectors are of one part; where the hub is too thin, none is."""
+    drawn = units.orderBy(F.xxhash64("tile_id"), "tile_id").limit(HUB).select(F.col("tile_id").alias("query_id"), "unit").toArrow()
+    held: dict[int, list] = {}
+    for ids, matrix in _query_blocks(drawn):
+        held.setdefault(matrix.shape[1], []).append((ids, matrix))
+
+    def in_order(ids: pa.Array, matrix: np.ndarray, part: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        order = np.argsort(part, kind="stable")
+        return ids.take(pa.array(order)), matrix[order], part[order]
+
+    hub, total = {}, 0
+    for d, blocks in held.items():
+        matrix = np.concatenate([m for _, m in blocks])
+        core = np.concatenate([_similar(m, matrix, least).sum(1) for _, m in blocks]) >= min_points
+        label, start = np.arange(len(matrix)), 0
+        for _, m in blocks:
+            r, c = np.nonzero(_similar(m, matrix, least) & core & core[start : start + len(m), None])
+            label, start = _united(label, r + start, c), start + len(m)
+        hub[d] = in_order(pa.concat_arrays([i for i, _ in blocks]), matrix, np.where(core, label + total, -1))
+        total += len(matrix)
+
+    context = units.sparkSession.sparkContext
+    met = units.mapInArrow(_count_parts(context.broadcast(hub), least, min_points), "part long, other long, n long").groupBy("part", "other").agg(F.sum("n").alias("n"))
+    met = stage(met, "parts")
+    large = [r["part"] for r in met.filter((F.col("part") == F.col("other")) & (F.col("n") >= block)).orderBy(F.desc("n"), "part").limit(PARTS).collect()]
+    kept = np.full(total + 1, -1)
+    for part in large:
+        kept[part] = part
+    for r in met.filter(F.col("part").isin(large) & F.col("other").isin(large)).collect():
+        one, two = sorted((kept[r["part"]], kept[r["other"]]))
+        kept[kept == two] = one
+    sent = context.broadcast({d: in_order(ids, matrix, kept[part]) for d, (ids, matrix, part) in hub.items()})
+
+    def part_of(d: int, ids: pa.Array, v: np.ndarray) -> np.ndarray:
+        found = np.full(len(v), total)
+        if d in sent.value:
+            np.minimum.at(found, *_near_parts(v, ids, sent.value[d], least, min_points))
+        return np.where(found == total, -1, found)
+
+    return part_of
+
+
+def _angles(pivots: dict[int, np.ndarray], width: int, part_of: Callable | None):
+    """Adds to (tile_id, unit) its length, its part (-1 without ``part_of``), the nearest pivot of that length and the angles to all of them, padded with zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pc.list_value_length(batch.column("unit")).to_numpy(zero_copy_only=False)
-            for d in np.unique(sizes):
-                part = batch.take(pa.array(np.flatnonzero(sizes == d)))
-                v = pc.list_flatten(part.column("unit")).to_numpy(zero_copy_only=False).reshape(-1, d)
+            for d, rows, v in _by_length(batch):
                 angle = np.zeros((len(v), width))
                 region = np.zeros(len(v), np.int32)
                 if d in pivots:
                     own = np.arccos(np.clip(v @ pivots[d].T, -1, 1))
                     angle[:, : own.shape[1]], region = own, own.argmin(1).astype(np.int32)
+                part = np.full(len(v), -1) if part_of is None else part_of(d, rows.column("tile_id"), v)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * width, pa.int32()), pa.array(angle.ravel()))
                 near = angle[np.arange(len(v)), region]
-                yield pa.RecordBatch.from_arrays([part.column("tile_id"), part.column("unit"), pa.array(np.full(len(v), d, np.int32)), pa.array(region), pa.array(near), lists], ["tile_id", "unit", "d", "region", "near", "angles"])
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("tile_id"), rows.column("unit"), pa.array(np.full(len(v), d, np.int32)), pa.array(part.astype(np.int32)), pa.array(region), pa.array(near), lists],
+                    ["tile_id", "unit", "d", "part", "region", "near", "angles"],
+                )
 
     return run
 
 
 def _pack_regions(size: int, width: int):
-    """Blocks of rows that follow each other in one region, with the least and the largest angle to each pivot."""
+    """Blocks of rows that follow each other in one region and part, with the least and the largest angle to each pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, region = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "region"))
-            cuts = np.flatnonzero((np.diff(d) != 0) | (np.diff(region) != 0)) + 1
+            d, part_no, region = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "part", "region"))
+            cuts = np.flatnonzero((np.diff(d) != 0) | (np.diff(part_no) != 0) | (np.diff(region) != 0)) + 1
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
                 for i in range(a, b, size):
                     part = batch.slice(i, min(size, b - i))
@@ -248,8 +366,8 @@ def _pack_regions(size: int, width: int):
                     angle = pc.list_flatten(part.column("angles")).to_numpy(zero_copy_only=False).reshape(-1, width)
                     ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("tile_id"))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(d[i])], pa.int32()), pa.array([int(region[i])], pa.int32()), pa.array([angle.min(0).tolist()], pa.list_(pa.float64())), pa.array([angle.max(0).tolist()], pa.list_(pa.float64())), pa.array([unit.tobytes()]), ids],
-                        ["d", "region", "low", "high", "matrix", "ids"],
+                        [pa.array([int(d[i])], pa.int32()), pa.array([int(part_no[i])], pa.int32()), pa.array([int(region[i])], pa.int32()), pa.array([angle.min(0).tolist()], pa.list_(pa.float64())), pa.array([angle.max(0).tolist()], pa.list_(pa.float64())), pa.array([unit.tobytes()]), ids],
+                        ["d", "part", "region", "low", "high", "matrix", "ids"],
                     )
 
     return run
@@ -261,33 +379,38 @@ def _apart(width: int, reach: float):
     return gap > reach
 
 
-def metric_blocks(tiles: DataFrame, pivots: int = PIVOTS, block: int = BLOCK) -> tuple[DataFrame, int]:
+def metric_blocks(tiles: DataFrame, pivots: int = PIVOTS, block: int = BLOCK, parts: Callable[[DataFrame], Callable] | None = None) -> tuple[DataFrame, int]:
     """(blocks, width): a metric index of unit vectors on the sphere. Vectors are dealt to the region of their nearest pivot, sorted by the angle to
     it and cut into blocks of at most ``block``, each with the range of its angles to all pivots. By the triangle inequality two
     blocks whose ranges are farther apart than an angle at some pivot hold no pair within that angle. A region may hold any share
-    of the rows: its blocks are spread over range partitions. Vectors without a norm are left out."""
+    of the rows: its blocks are spread over range partitions. Vectors without a norm are left out. ``parts`` makes of the unit vectors a function
+    like that of ``hub_parts``; a block is of one part."""
     units = stage(tiles.select("tile_id", vectors.unit(F.col("vector")).alias("unit")).filter("unit IS NOT NULL"), "units")
     chosen = spread_pivots(units, pivots)
     width = max((len(v) for v in chosen.values()), default=1)
     kind = units.schema["tile_id"].dataType.simpleString()
-    placed = units.mapInArrow(_angles(chosen, width), f"tile_id {kind}, unit array<double>, d int, region int, near double, angles array<double>")
-    order = ["d", "region", "near", "tile_id"]
+    part_of = None if parts is None else parts(units)
+    placed = units.mapInArrow(_angles(chosen, width, part_of), f"tile_id {kind}, unit array<double>, d int, part int, region int, near double, angles array<double>")
+    order = ["d", "part", "region", "near", "tile_id"]
     sorted_rows = placed.repartitionByRange(*order).sortWithinPartitions(*order)
-    packed = sorted_rows.mapInArrow(_pack_regions(block, width), f"d int, region int, low array<double>, high array<double>, matrix binary, ids array<{kind}>")
+    packed = sorted_rows.mapInArrow(_pack_regions(block, width), f"d int, part int, region int, low array<double>, high array<double>, matrix binary, ids array<{kind}>")
     return stage(packed.withColumn("block", F.monotonically_increasing_id()), "blocks"), width
 
 
 def near_blocks(blocks: DataFrame, width: int, reach: float) -> DataFrame:
-    """(block, block_2), each pair once and each block with itself: pairs that can hold vectors within the angle ``reach``. Regions meet
-    first, at most the square of the number of pivots, then the blocks of the regions that are left, by their ranges alone."""
+    """(block, block_2), each pair once and each block with itself: pairs that can hold vectors within the angle ``reach``, but for those of one
+    settled part, which have nothing to say. Regions meet first, at most the square of the number of pivots and parts, then the blocks of
+    the regions that are left, by their ranges alone."""
     lows, highs = (F.array(*(f(F.col(c)[k]) for k in range(width))).alias(c) for c, f in (("low", F.min), ("high", F.max)))
-    regions = blocks.groupBy("d", "region").agg(lows, highs)
-    other = regions.select("d", *(F.col(c).alias(f"{c}_2") for c in ("region", "low", "high")))
-    meet = regions.join(other, "d").filter(F.col("region") <= F.col("region_2")).filter(~_apart(width, reach)).select("d", "region", "region_2")
-    held = blocks.select("d", "region", "block", "low", "high")
-    second = held.select("d", *(F.col(c).alias(f"{c}_2") for c in ("region", "block", "low", "high")))
-    pairs = held.join(meet, ["d", "region"]).join(second, ["d", "region_2"])
-    once = (F.col("region") < F.col("region_2")) | (F.col("block") <= F.col("block_2"))
+    regions = blocks.groupBy("d", "part", "region").agg(lows, highs)
+    other = regions.select("d", *(F.col(c).alias(f"{c}_2") for c in ("part", "region", "low", "high")))
+    here, there = F.struct("part", "region"), F.struct("part_2", "region_2")
+    open_ones = (F.col("part") < 0) | (F.col("part") != F.col("part_2"))
+    meet = regions.join(other, "d").filter(open_ones & (here <= there)).filter(~_apart(width, reach)).select("d", "part", "region", "part_2", "region_2")
+    held = blocks.select("d", "part", "region", "block", "low", "high")
+    second = held.select("d", *(F.col(c).alias(f"{c}_2") for c in ("part", "region", "block", "low", "high")))
+    pairs = held.join(meet, ["d", "part", "region"]).join(second, ["d", "part_2", "region_2"])
+    once = (here < there) | (F.col("block") <= F.col("block_2"))
     return pairs.filter(once).filter(~_apart(width, reach)).select("block", "block_2")
 
 
@@ -295,7 +418,7 @@ def _matrices(batch: pa.RecordBatch, i: int, least: float):
     """(ids, ids_2, near) of a pair of blocks: which vectors have a similarity of ``least`` or more, in six digits."""
     d = batch.column("d")[i].as_py()
     a, b = (np.frombuffer(batch.column(c)[i].as_py(), np.float64).reshape(-1, d) for c in ("matrix", "matrix_2"))
-    return batch.column("ids")[i].values, batch.column("ids_2")[i].values, np.round(np.clip(a @ b.T, -1, 1), 6) >= least
+    return batch.column("ids")[i].values, batch.column("ids_2")[i].values, _similar(a, b, least)
 
 
 def _count_near(least: float):
@@ -321,23 +444,19 @@ def _link_cores(least: float):
                 ids, ids_2, near = _matrices(batch, i, least)
                 names = pa.concat_arrays([ids, ids_2])
                 core, core_2 = (np.array(batch.column(c)[i].as_py(), bool) for c in ("core", "core_2"))
-                place = pc.rank(names, tiebreaker="dense").to_numpy().astype(np.int64)
-                by_place = np.empty(place.max() + 1, np.int64)
-                by_place[place] = np.arange(len(place))
-                none = np.iinfo(np.int64).max
-                first, second = place[: len(ids)].copy(), place[len(ids) :].copy()
-                both = near & core[:, None] & core_2[None, :]
-                border = np.concatenate([np.where(near & core_2[None, :], second[None, :], none).min(1), np.where(near & core[:, None], first[:, None], none).min(0)])
-                while True:
-                    new = np.minimum(first, np.where(both, second[None, :], none).min(1))
-                    new_2 = np.minimum(second, np.where(both, new[:, None], none).min(0))
-                    if (new == first).all() and (new_2 == second).all():
-                        break
-                    first, second = new, new_2
-                is_core = np.concatenate([core, core_2])
-                label = np.where(is_core, np.concatenate([first, second]), border)
-                at = np.flatnonzero((label != none) & ~(is_core & (label == place)))
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), names.take(pa.array(by_place[label[at]])), pa.array((~is_core[at]).astype(np.int32))], ["tile_id", "near_id", "kind"])
+                node = pc.rank(names, tiebreaker="dense").to_numpy().astype(np.int64) - 1
+                n = node.max() + 1
+                by_node, is_core = np.empty(n, np.int64), np.zeros(n, bool)
+                by_node[node], is_core[node] = np.arange(len(node)), np.concatenate([core, core_2])
+                r, c = np.nonzero(near)
+                a, b, from_core, to_core = node[r], node[len(ids) + c], core[r], core_2[c]
+                both = from_core & to_core
+                border = np.full(n, n)
+                np.minimum.at(border, a[to_core], b[to_core])
+                np.minimum.at(border, b[from_core], a[from_core])
+                label = np.where(is_core, _united(np.arange(n), a[both], b[both]), border)
+                at = np.flatnonzero((label < n) & ~(is_core & (label == np.arange(n))))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(by_node[at])), names.take(pa.array(by_node[label[at]])), pa.array((~is_core[at]).astype(np.int32))], ["tile_id", "near_id", "kind"])
 
     return run
 
@@ -388,20 +507,23 @@ def clusters(tiles: DataFrame, least: float, min_points: int, pivots: int = PIVO
 
     Neighbours are found by ``metric_blocks``: pairs of blocks that no pivot tells apart meet as matrices, exactly. Neighbours are
     counted, not listed, and cores are linked by one row for each core and pair of blocks, so a dense group costs no more rows than a
-    sparse one. How many pairs of blocks are skipped depends on the data: none if ``least`` is a wide angle."""
+    sparse one. Pairs of cores that are known to hang together (``hub_parts``) are not looked at, so in a dense table nearly all vectors meet the
+    hub alone. How many pairs of blocks are skipped depends on the data: none if ``least`` is a wide angle and the hub settles nothing."""
     from .graph import least_reachable
 
     reach = float(np.arccos(np.clip(least - 1e-6, -1, 1))) + 1e-6
-    blocks, width = metric_blocks(tiles, pivots, block)
+    blocks, width = metric_blocks(tiles, pivots, block, lambda units: hub_parts(units, least, min_points, block))
+    settled = blocks.filter("part >= 0").select("part", F.explode("ids").alias("tile_id"))
     pairs = stage(near_blocks(blocks, width, reach), "near-blocks")
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
 
     counts = _met(pairs, blocks, _count_near(least), f"tile_id {kind}, n long").groupBy("tile_id").agg(F.sum("n").alias("n"))
-    core = stage(counts.filter(F.col("n") >= min_points).select("tile_id"), "cores")
+    core = stage(counts.filter(F.col("n") >= min_points).select("tile_id").union(settled.select("tile_id")).distinct(), "cores")
     members = blocks.select("block", F.posexplode("ids").alias("at", "tile_id")).join(core.withColumn("is_core", F.lit(True)), "tile_id", "left")
     flags = members.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("is_core", F.lit(False)).alias("c")))).alias("f"))
     flagged = blocks.join(flags.select("block", F.transform("f", lambda x: x["c"]).alias("core")), "block")
-    links = stage(_met(pairs, flagged, _link_cores(least), f"tile_id {kind}, near_id {kind}, kind int"), "links")
+    known = settled.join(F.broadcast(settled.groupBy("part").agg(F.min("tile_id").alias("near_id"))), "part").select("tile_id", "near_id", F.lit(0).alias("kind"))
+    links = stage(_met(pairs, flagged, _link_cores(least), f"tile_id {kind}, near_id {kind}, kind int").union(known), "links")
     labels = least_reachable(links.filter("kind = 0"), "tile_id", "near_id")
     at = core.select("tile_id", F.col("tile_id").alias("at")).union(links.filter("kind = 1").groupBy("tile_id").agg(F.min("near_id").alias("at")))
     named = at.join(labels.withColumnRenamed("node", "at"), "at", "left").select("tile_id", F.coalesce("label", "at").alias("cluster"))

@@ -53,6 +53,43 @@ def test_clusters_send_a_matrix_once_for_two_chunks(spark):
     assert met.count() <= 160 * -(-n // size) < 160 * n // 2
 
 
+@pytest.mark.parametrize(("hub", "parts", "least", "min_points", "spread"), [(48, 8, 0.7, 3, 0.25), (48, 1, 0.8, 4, 0.3), (8, 8, 0.35, 1, 1.0), (400, 2, 0.9, 3, 0.15)])
+def test_clusters_with_a_hub(spark, monkeypatch, hub, parts, least, min_points, spread):
+    """Hubs of all sizes against all pairs: groups, some joined by a bridge, border tiles, noise, copies, vectors of another length."""
+    monkeypatch.setattr(retrieval, "HUB", hub, raising=False)
+    monkeypatch.setattr(retrieval, "PARTS", parts, raising=False)
+    draw = np.random.default_rng(12)
+    centres = np.eye(8)[:4]
+    vecs = [centres[k % 4] + spread * draw.normal(size=8) for k in range(240)] + [np.cos(t) * centres[0] + np.sin(t) * centres[1] for t in np.linspace(0, np.pi / 2, 9)]
+    vecs += list(draw.normal(size=(20, 8))) + [centres[2]] * 20 + [np.array([1.0, k, 0.0]) for k in (0.0, 0.0, 0.1, 9.0)]
+    order = draw.permutation(len(vecs))
+    vecs = [vecs[k] / np.linalg.norm(vecs[k]) for k in order]
+    near = [[j for j, v in enumerate(vecs) if len(v) == len(u) and round(float(np.clip(u @ v, -1, 1)), 6) >= least] for u in vecs]
+    label = {i: i for i, n in enumerate(near) if len(n) >= min_points}
+    core = set(label)
+    while (new := {i: min(label[j] for j in near[i] if j in core) for i in core}) != label:
+        label = new
+    places = [i if i in core else min((j for j in near[i] if j in core), default=None) for i in range(len(vecs))]
+    want = {f"T{i:03d}": None if at is None else f"T{label[at]:03d}" for i, at in enumerate(places)}
+    tiles = spark.createDataFrame([(f"T{k:03d}", [float(x) for x in v]) for k, v in enumerate(vecs)], "tile_id string, vector array<double>").repartition(3)
+    assert {r["tile_id"]: r["cluster"] for r in retrieval.clusters(tiles, least, min_points, pivots=4, block=16).collect()} == want
+
+
+def test_clusters_of_a_dense_table_meet_few_blocks(spark, monkeypatch):
+    """At a wide angle no pivot tells blocks apart: cores that hang together are not compared pair by pair."""
+    monkeypatch.setattr(retrieval, "HUB", 64, raising=False)
+    tiles = spark.range(640).select(F.concat(F.lit("t"), F.lpad(F.col("id"), 3, "0")).alias("tile_id"), F.array(F.cos(F.col("id") / 100), F.sin(F.col("id") / 100)).alias("vector"))
+    seen, met = [], retrieval._met
+
+    def counted(pairs, blocks, *more):
+        seen.append((pairs.count(), blocks.count()))
+        return met(pairs, blocks, *more)
+
+    monkeypatch.setattr(retrieval, "_met", counted)
+    assert {r["cluster"] for r in retrieval.clusters(tiles, 0.35, 3, pivots=4, block=16).collect()} == {"t000"}
+    assert len(seen) == 2 and all(n >= 40 and pairs <= n for pairs, n in seen)
+
+
 def test_block_products_hold_a_batch_of_tiles(spark):
     """Blocks of tiles and queries do not travel as pairs of matrices: a row that goes to Python is one vector."""
     tiles = spark.range(50).select(F.concat(F.lit("t"), F.col("id")).alias("tile_id"), F.array(F.col("id") + 1.0, F.lit(1.0)).alias("vector"))
